@@ -1,11 +1,15 @@
 """Queries of this folder's operators and the SQL that checks them."""
 
+from .byte_bpe import op6_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .token_store import op9_token_store
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_token_store": op9_token_store,
 }
 
 ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL}
