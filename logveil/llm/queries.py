@@ -2,14 +2,18 @@
 
 from .byte_bpe import op6_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .language_id import op10_language_id
+from .line_quality import op3_line_quality
 from .token_store import op9_token_store
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_line_quality": op3_line_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_token_store": op9_token_store,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL}
