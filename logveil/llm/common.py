@@ -134,5 +134,6 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np
         out[np.repeat(begin[long], m) + step] = mix(shingle[np.repeat(first[long], m) + step])
     for d in np.flatnonzero((count > 0) & (count < k)):
         own = words[first[d] : first[d + 1]]
-        out[begin[d]] = mix((own * np.array(weight[: len(own)], np.uint64)).sum(dtype=np.uint64) + weight[k] * np.uint64(len(own)))
+        total = (own * np.array(weight[: len(own)], np.uint64)).sum(dtype=np.uint64, keepdims=True)
+        out[begin[d]] = mix(total + np.array([len(own)], np.uint64) * weight[k])[0]
     return out, begin

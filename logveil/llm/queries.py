@@ -1,9 +1,11 @@
 """Queries of this folder's operators and the SQL that checks them."""
 
 from .byte_bpe import op6_byte_bpe
+from .decontaminate import op5_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op10_language_id
 from .line_quality import op3_line_quality
+from .near_dedup import op7_near_dedup
 from .token_store import op9_token_store
 from .url_filter import OP2_SQL, op2_url_filter
 
@@ -11,7 +13,9 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_line_quality": op3_line_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_near_dedup": op7_near_dedup,
     "op9_token_store": op9_token_store,
     "op10_language_id": op10_language_id,
 }
