@@ -6,6 +6,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op10_language_id
 from .line_quality import op3_line_quality
 from .near_dedup import op7_near_dedup
+from .site_style_tree import op8_main_text
 from .token_store import op9_token_store
 from .url_filter import OP2_SQL, op2_url_filter
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_near_dedup": op7_near_dedup,
+    "op8_main_text": op8_main_text,
     "op9_token_store": op9_token_store,
     "op10_language_id": op10_language_id,
 }
