@@ -14,6 +14,7 @@ against the library over whole texts).
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,11 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, shared_dir, utf8
+from .common import chunks, shared_dir, utf8, written
+
+
+BEYOND = re.compile(rb"[\xc6-\xff]")
+
+
+def _lower(text: bytes) -> bytes:
+    if text.isascii():
+        return text.lower()
+    return text if BEYOND.search(text) else text.decode().lower().encode()
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache: int = 1_200_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -41,13 +51,14 @@ class WordEncoder:
         """All ids of the UTF-8 texts in a row, and where each text's begin (one more entry ends the last).
 
         Words are split at ASCII white space only; the library treats any
-        other inside a word. Letters of a text that is all ASCII are
-        lower-cased first, as the library would, so that fewer words differ.
+        other inside a word. A text of no character beyond U+017F, where no
+        composition can happen, is lower-cased first, as the library would, so
+        that fewer words differ.
         """
         cache = self.cache
         if len(cache) > self.limit:
             cache.clear()
-        words = [(t.lower() if t.isascii() else t).split() for t in texts]
+        words = [_lower(t).split() for t in texts]
         new = list(set(chain.from_iterable(words)).difference(cache))
         for w, coded in zip(new, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
             cache[w] = array("i", coded.ids).tobytes()
@@ -92,13 +103,16 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = None, id_c
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encode, "doc_id long, n_tokens long, n_chars long, ids array<int>")
 
 
-def write_tokens(encoded: DataFrame, path: str, encoding: str = "delta", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000) -> None:
-    """Writes ``encoded`` in ascending ``doc_id`` order over all files, file names included.
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = None, encoding: str = "delta", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encodes ``docs`` and writes them in ascending ``doc_id`` order over all files, file names included.
 
-    ``encoding``: ``delta`` (DELTA_BINARY_PACKED, dictionary off) or
+    The texts are dealt out by ranges of the id before they are encoded: the
+    sample that finds the ranges reads ids alone, and each text is encoded
+    once. ``encoding``: ``delta`` (DELTA_BINARY_PACKED, dictionary off) or
     ``dictionary``. Row groups and pages end at the given sizes.
     """
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ordered = encode_documents(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), tokenizer, end_id)
     options = {
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
@@ -164,6 +178,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = shared_dir(spark)
-    write_tokens(encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2), path)
-    stored = read_tokens(spark, path)
-    return with_starts(ids_crc32(stored)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
+    return with_starts(written(ids_crc32(read_tokens(spark, path)))).select("doc_id", "start", "n_tokens", "ids_crc32")
