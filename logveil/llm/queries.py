@@ -6,11 +6,13 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op10_language_id
 from .line_quality import op3_line_quality
 from .near_dedup import op7_near_dedup
+from .ppm import op1_ppm
 from .site_style_tree import op8_main_text
 from .token_store import op9_token_store
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op1_ppm": op1_ppm,
     "op2_url_filter": op2_url_filter,
     "op3_line_quality": op3_line_quality,
     "op4_exact_dedup": op4_exact_dedup,
