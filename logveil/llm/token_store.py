@@ -29,16 +29,20 @@ from .common import chunks, shared_dir, utf8, written
 
 
 BEYOND = re.compile(rb"[\xc6-\xff]")
+CLOSED = re.compile(rb"(?<=[a-z0-9])(?=[.,])")
+AT_ONCE = 4096  # words in one call of the library, which keeps an object for each
 
 
 def _lower(text: bytes) -> bytes:
     if text.isascii():
-        return text.lower()
-    return text if BEYOND.search(text) else text.decode().lower().encode()
+        text = text.lower()
+    elif not BEYOND.search(text):
+        text = text.decode().lower().encode()
+    return CLOSED.sub(b" ", text)
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -52,7 +56,8 @@ class WordEncoder:
 
         Words are split at ASCII white space only; the library treats any
         other inside a word. A text of no character beyond U+017F, where no
-        composition can happen, is lower-cased first, as the library would, so
+        composition can happen, is lower-cased first, and a point or comma
+        parted from the letter or digit before it, as the library would, so
         that fewer words differ.
         """
         cache = self.cache
@@ -60,8 +65,10 @@ class WordEncoder:
             cache.clear()
         words = [_lower(t).split() for t in texts]
         new = list(set(chain.from_iterable(words)).difference(cache))
-        for w, coded in zip(new, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            cache[w] = array("i", coded.ids).tobytes()
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            for w, coded in zip(part, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                cache[w] = array("i", coded.ids).tobytes()
         each = [b"".join(map(cache.__getitem__, ws)) for ws in words]
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(e) // 4 for e in each], out=at[1:])
@@ -91,7 +98,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = None, id_c
         words = encoder(path)
         for batch in batches:
             texts = utf8(batch.column(1))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 2 << 20):
                 ids, at = words.encode(texts[a:b])
                 if end_id is not None:
                     ids = np.insert(ids, at[1:], np.int32(end_id))
