@@ -29,53 +29,85 @@ from .common import chunks, shared_dir, utf8, written
 
 
 BEYOND = re.compile(rb"[\xc6-\xff]")
-CLOSED = re.compile(rb"(?<=[a-z0-9])(?=[.,])")
-AT_ONCE = 4096  # words in one call of the library, which keeps an object for each
+UPPER = re.compile(r"[A-Z]")
 
 
 def _lower(text: bytes) -> bytes:
     if text.isascii():
-        text = text.lower()
-    elif not BEYOND.search(text):
-        text = text.decode().lower().encode()
-    return CLOSED.sub(b" ", text)
+        return text.lower()
+    return text if BEYOND.search(text) else text.decode().lower().encode()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 stands for itself, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache: int = 800_000):
+    """Ids of words by the tokenizers library.
+
+    A word of printable ASCII without an apostrophe, or of letters up to
+    U+017F alone, has parts that are plain to see, and the library's merges
+    take each part once; every other word goes through the whole library.
+    """
+
+    def __init__(self, path: str, cache: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
-        self.cache: dict[bytes, bytes] = {}  # a word's ids as 32-bit integers
+        self.merge = self.library.model.tokenize
+        self.words: dict[bytes, bytes] = {}  # ids as 32-bit integers
+        self.parts: dict[str, bytes] = {}
         self.limit = cache
 
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            got = array("i", [t.id for t in self.merge(part)]).tobytes()
+            if len(part) <= 64:
+                self.parts[part] = got
+        return got
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        if word.isascii():
+            if word.isprintable() and "'" not in word and not UPPER.search(word):
+                return b"".join(map(self._part, PARTS.findall(word)))
+        elif word.isalpha() and not BEYOND.search(raw) and word == word.lower():
+            return self._part(raw.decode("latin-1").translate(LETTERS))
+        return array("i", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the UTF-8 texts in a row, and where each text's begin (one more entry ends the last).
 
         Words are split at ASCII white space only; the library treats any
         other inside a word. A text of no character beyond U+017F, where no
-        composition can happen, is lower-cased first, and a point or comma
-        parted from the letter or digit before it, as the library would, so
-        that fewer words differ.
+        composition can happen, is lower-cased first, as the library would.
         """
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
+        known = self.words
+        if len(known) > self.limit:
+            known.clear()
+        if len(self.parts) > self.limit:
+            self.parts.clear()
         words = [_lower(t).split() for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(cache))
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            for w, coded in zip(part, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                cache[w] = array("i", coded.ids).tobytes()
-        each = [b"".join(map(cache.__getitem__, ws)) for ws in words]
+        new = set(chain.from_iterable(words)).difference(known)
+        for w in new:
+            known[w] = self._word(w)
+        each = [b"".join(map(known.__getitem__, ws)) for ws in words]
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(e) // 4 for e in each], out=at[1:])
         flat = np.frombuffer(b"".join(each), np.int32)
         for w in new:  # long runs without white space are not kept
             if len(w) > 64:
-                del cache[w]
+                del known[w]
         return flat, at
 
 
