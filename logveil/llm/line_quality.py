@@ -135,24 +135,25 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 150, rate: float
     if not len(texts):
         width = 3 * OWN
         return LineField(np.zeros(width), np.ones(width), np.zeros(width + 1), np.zeros((2, 2)))
-    x, _, at = line_features(texts)
+    parts = [line_features(texts[a:b]) for a, b in chunks(texts, 1 << 20)]
+    x = np.concatenate([p[0] for p in parts])
+    at = np.append(0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))
     y = np.repeat(np.asarray(labels, np.float64), np.diff(at))
     cuts = np.concatenate([np.arange(a, b, piece) for a, b in zip(at[:-1], at[1:], strict=True)] + [at[-1:]])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = np.hstack([((x - mean) / scale).astype(np.float64), np.ones((len(x), 1))])
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1), np.float32)])
     inner = np.ones(len(y), bool)
     inner[cuts[1:] - 1] = False
     left = y[inner].astype(int)
     right = y[np.flatnonzero(inner) + 1].astype(int)
     seen = np.zeros((2, 2))
     np.add.at(seen, (left, right), 1)
-    # every document weighs the same, however many lines it has
     theta = np.zeros(z.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, pair = theta[:-4], theta[-4:].reshape(2, 2)
-        p, expected = _forward_backward(np.clip(z @ w, -30, 30), cuts, pair)
-        grad = np.concatenate([z.T @ (p - y), (expected - seen).ravel()]) / len(y) + decay * theta
+        p, expected = _forward_backward(np.clip((z @ w.astype(np.float32)).astype(np.float64), -30, 30), cuts, pair)
+        grad = np.concatenate([z.T @ (p - y).astype(np.float32), (expected - seen).ravel()]) / len(y) + decay * theta
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
