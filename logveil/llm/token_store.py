@@ -49,6 +49,20 @@ LETTERS = _byte_letters()
 PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
+class Known(dict):
+    """Ids (32-bit integers) by word, made at the first use; those of long runs without white space are not kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.make(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of words by the tokenizers library.
 
@@ -57,14 +71,14 @@ class WordEncoder:
     take each part once; every other word goes through the whole library.
     """
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
         self.merge = self.library.model.tokenize
-        self.words: dict[bytes, bytes] = {}  # ids as 32-bit integers
+        self.words = Known(self._word)
         self.parts: dict[str, bytes] = {}
         self.limit = cache
 
@@ -92,23 +106,14 @@ class WordEncoder:
         other inside a word. A text of no character beyond U+017F, where no
         composition can happen, is lower-cased first, as the library would.
         """
-        known = self.words
-        if len(known) > self.limit:
-            known.clear()
-        if len(self.parts) > self.limit:
+        if len(self.words) + len(self.parts) > self.limit:
+            self.words.clear()
             self.parts.clear()
-        words = [_lower(t).split() for t in texts]
-        new = set(chain.from_iterable(words)).difference(known)
-        for w in new:
-            known[w] = self._word(w)
-        each = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        ids_of = self.words.__getitem__
+        each = [b"".join(map(ids_of, _lower(t).split())) for t in texts]
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(e) // 4 for e in each], out=at[1:])
-        flat = np.frombuffer(b"".join(each), np.int32)
-        for w in new:  # long runs without white space are not kept
-            if len(w) > 64:
-                del known[w]
-        return flat, at
+        return np.frombuffer(b"".join(each), np.int32), at
 
 
 @lru_cache(2)
