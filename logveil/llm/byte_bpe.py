@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import chunks, lean, utf8
 
 # Symbols: letter, number, other, apostrophe with a contraction of one or two
 # letters after it, space before a visible character, other white space before
@@ -244,7 +244,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
                     columns.append(pa.array((bpe.offsets(ids[i:j].tolist()) for i, j in zip(at[:-1], at[1:], strict=True)), pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "offsets"][: len(columns)])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(encode), schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -258,7 +258,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
                 texts = pa.array((bpe.decode(x or []) for x in part.column(1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["id", "ids", "decoded"])
 
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(decode, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(lean(decode), "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,28 @@ def utf8(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def lean(run):
+    """``run`` (batches to batches) with what its allocators hold unused given back after each task."""
+
+    def trimmed(batches):
+        yield from run(batches)
+        give_back()
+
+    return trimmed
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -95,12 +117,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+HASHED_AT_ONCE = 1 << 20  # bytes; hashing takes some forty for each
+
+
 def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``raw[start:end]`` for all ranges at once, by differences of one prefix polynomial."""
-    power, inverse = _powers(len(raw) + 1)
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=prefix[1:], dtype=np.uint64)
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+    """64-bit hashes of ``raw[start:end]`` for ascending ranges, by differences of a prefix polynomial for each block."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, low + HASHED_AT_ONCE)))
+        part = raw[low : int(ends[j - 1])]
+        begin, end = starts[i:j] - low, ends[i:j] - low
+        power, inverse = _powers(len(part) + 1)
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=prefix[1:], dtype=np.uint64)
+        out[i:j] = mix((prefix[end] - prefix[begin]) * inverse[begin])
+        i = j
+    return out
 
 
 def token_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, shingle_hashes, token_hashes, utf8
+from .common import chunks, lean, shingle_hashes, token_hashes, utf8
 
 LEAST, COVERAGE = 5, 0.5
 BETWEEN = np.ones(256, bool)
@@ -151,7 +151,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_byt
                             ["id", "item_id", "coverage", "tiles"],
                         )
 
-        part = rows.mapInArrow(find, schema)
+        part = rows.mapInArrow(lean(find), schema)
         out = part if k == 0 else out.unionByName(part)
     return out.withColumnRenamed("id", id_col)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _FOLD, bucket, chunks, utf8
+from .common import _FOLD, bucket, chunks, lean, utf8
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -184,7 +184,7 @@ def predict_languages(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_i
                 names, score = net.predict(texts[a:b]) if net else ([UNKNOWN] * (b - a), np.zeros(b - a))
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(names, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(predict, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(predict), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

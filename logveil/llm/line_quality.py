@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, chunks, run_hashes, utf8
+from .common import bucket, chunks, lean, run_hashes, utf8
 
 UPPER, LOWER, DIGIT, SPACE, STOP, BAR, MARK, OTHER, CONTROL = range(9)
 KINDS = 9
@@ -180,7 +180,7 @@ def score_lines(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_
             where = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays([keys.take(where), pa.array(number), pa.array(weight.astype(np.int64)), pa.array(model.marginals(x, at))], ["id", "line", "n_bytes", "good"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(score, "id long, line long, n_bytes long, good double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(score), "id long, line long, n_bytes long, good double").withColumnRenamed("id", id_col)
 
 
 def _features(batches: Iterator[pa.RecordBatch]):
@@ -202,7 +202,7 @@ def score_documents(docs: DataFrame, model: LineField, id_col: str = "doc_id", t
             total = np.add.reduceat(model.marginals(x, at) * weight, at[:-1]) / np.add.reduceat(weight, at[:-1])
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.clip(total, 0.0, 1.0))], ["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(score, "id long, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(score), "id long, score double").withColumnRenamed("id", id_col)
 
 
 THRESHOLD = 0.7

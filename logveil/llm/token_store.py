@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, shared_dir, utf8, written
+from .common import chunks, lean, shared_dir, utf8, written
 
 
 BEYOND = re.compile(rb"[\xc6-\xff]")
@@ -144,7 +144,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = None, id_c
                 chars = pa.array([len(t) if t.isascii() else len(t.decode("utf-8", "replace")) for t in texts[a:b]], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), chars, lists], ["doc_id", "n_tokens", "n_chars", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encode, "doc_id long, n_tokens long, n_chars long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(encode), "doc_id long, n_tokens long, n_chars long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = None, encoding: str = "delta", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -214,7 +214,7 @@ def ids_crc32(stored: DataFrame) -> DataFrame:
             crc = [crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
 
-    return stored.select("doc_id", "n_tokens", "ids").mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long")
+    return stored.select("doc_id", "n_tokens", "ids").mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
