@@ -70,10 +70,15 @@ def utf8(column) -> list[bytes]:
 
 
 def lean(run):
-    """``run`` (batches to batches) with what its allocators hold unused given back after each task."""
+    """``run`` (batches to batches) on slices of at most 1000 rows, with what its allocators hold unused given back after each task."""
+
+    def slices(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                yield batch.slice(i, 1000)
 
     def trimmed(batches):
-        yield from run(batches)
+        yield from run(slices(batches))
         give_back()
 
     return trimmed
