@@ -33,9 +33,8 @@ UPPER = re.compile(r"[A-Z]")
 
 
 def _lower(text: bytes) -> bytes:
-    if text.isascii():
-        return text.lower()
-    return text if BEYOND.search(text) else text.decode().lower().encode()
+    """Letters of ASCII in lower case, unless the text has characters that might compose with them."""
+    return text.lower() if text.isascii() or not BEYOND.search(text) else text
 
 
 def _byte_letters() -> dict[int, str]:
@@ -95,8 +94,8 @@ class WordEncoder:
         if word.isascii():
             if word.isprintable() and "'" not in word and not UPPER.search(word):
                 return b"".join(map(self._part, PARTS.findall(word)))
-        elif word.isalpha() and not BEYOND.search(raw) and word == word.lower():
-            return self._part(raw.decode("latin-1").translate(LETTERS))
+        elif not BEYOND.search(raw) and (low := word.lower()).isalpha():
+            return self._part(low.encode().decode("latin-1").translate(LETTERS))
         return array("i", self.library.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +103,8 @@ class WordEncoder:
 
         Words are split at ASCII white space only; the library treats any
         other inside a word. A text of no character beyond U+017F, where no
-        composition can happen, is lower-cased first, as the library would.
+        composition can happen, has its ASCII letters lower-cased first, as the
+        library would.
         """
         if len(self.words) + len(self.parts) > self.limit:
             self.words.clear()
@@ -163,7 +163,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
         "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes),
         "parquet.page.row.count.limit": str(page_rows),
-        "compression": "zstd",
     }
     ordered.write.options(**options).parquet(path)
 
@@ -210,8 +209,8 @@ def ids_crc32(stored: DataFrame) -> DataFrame:
 
         for batch in batches:
             lists = batch.column(2)
-            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), np.asarray(lists.offsets)
-            crc = [crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            flat, at = memoryview(lists.values.to_numpy().astype("<i4", copy=False)).cast("B"), (np.asarray(lists.offsets) * 4).tolist()
+            crc = [crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
 
     return stored.select("doc_id", "n_tokens", "ids").mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_crc32 long")
