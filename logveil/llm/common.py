@@ -69,13 +69,22 @@ def utf8(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+SLICE_BYTES = 2 << 20
+
+
 def lean(run):
-    """``run`` (batches to batches) on slices of at most 1000 rows, with what its allocators hold unused given back after each task."""
+    """``run`` (batches to batches) on slices of at most 1000 rows and ``SLICE_BYTES``, one row at least, with what its allocators hold unused given back after each task."""
 
     def slices(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                yield batch.slice(i, 1000)
+            left = [batch]
+            while left:
+                part = left.pop()
+                if part.num_rows > 1 and (part.num_rows > 1000 or part.nbytes > SLICE_BYTES):
+                    half = part.num_rows // 2
+                    left += (part.slice(half), part.slice(0, half))
+                elif part.num_rows:
+                    yield part
 
     def trimmed(batches):
         yield from run(slices(batches))

@@ -22,10 +22,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, lean, shared_dir, utf8, written
+from .common import chunks, lean, shared_dir, utf8
 
 
 BEYOND = re.compile(rb"[\xc6-\xff]")
@@ -177,28 +177,25 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
     return out if ids else out.drop("ids")
 
 
-def with_starts(stored: DataFrame, parts: int | None = None) -> DataFrame:
-    """Adds ``start``: the ids of all documents before each, in ``doc_id`` order.
+def with_starts(rows: DataFrame, counts: DataFrame, parts: int | None = None) -> DataFrame:
+    """Adds ``start`` to ``rows (doc_id, n_tokens, …)``: the ids of all documents before each, in ``doc_id`` order.
 
-    Sums by range of ``doc_id`` are gathered first (as many rows as ranges,
+    ``counts`` has the same ``doc_id`` and ``n_tokens``, cheap to read. Its
+    sums by range of ``doc_id`` are gathered first (as many rows as ranges,
     which the parameter bounds), so no window spans the table. Rows that
     repeat a ``doc_id`` are ordered by their size.
     """
-    spark = stored.sparkSession
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = stored.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+    parts = parts or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = counts.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
     edges = sorted({int(e) for e in edges})
     keys = F.array(*[F.lit(e).cast("long") for e in edges]) if edges else F.array().cast("array<bigint>")
     part = F.size(F.filter(keys, lambda e: e < F.col("doc_id")))
-    parted = stored.withColumn("part", part)
     before, total = {}, 0
-    for row in parted.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # at most ``parts`` rows
+    for row in counts.groupBy(part.alias("part")).agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # at most ``parts`` rows
         before[row["part"]], total = total, total + row["n"]
-    from pyspark.sql import Window
-
     own = Window.partitionBy("part").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     table = F.array(*[F.lit(before.get(i, 0)).cast("long") for i in range(len(edges) + 1)])
-    return parted.withColumn("start", F.get(table, F.col("part")) + F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).drop("part")
+    return rows.withColumn("part", part).withColumn("start", F.get(table, F.col("part")) + F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).drop("part")
 
 
 def ids_crc32(stored: DataFrame) -> DataFrame:
@@ -222,4 +219,4 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = shared_dir(spark)
     write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
-    return with_starts(written(ids_crc32(read_tokens(spark, path)))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(ids_crc32(read_tokens(spark, path)), read_tokens(spark, path, ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
