@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,7 +157,6 @@ def spread(rows: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col:
 
 def register(spark, config: MaskConfig | None = None) -> None:
     """``mask_text(text)``, ``unmask_text(text, map)``, ``is_accepted(label, value)`` and the table function ``detect_spans(id, text)`` for SQL."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf, udtf
 
     from ..functions.accept import accepted
