@@ -29,7 +29,6 @@ from .common import chunks, lean, shared_dir, utf8
 
 
 BEYOND = re.compile(rb"[\xc6-\xff]")
-UPPER = re.compile(r"[A-Z]")
 
 
 def _lower(text: bytes) -> bytes:
@@ -45,7 +44,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 LETTERS = _byte_letters()
-PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+# small letters up to U+017F, and words of them and of printable ASCII without an apostrophe
+SMALL = "a-z\u00df-\u00f6\u00f8-\u017f"
+PLAIN = re.compile(f"[{SMALL}!-&(-@\\[-~]*")
+PARTS = re.compile(f"[{SMALL}]+|[0-9]|[^{SMALL}0-9]+")
 
 
 class Known(dict):
@@ -65,9 +67,9 @@ class Known(dict):
 class WordEncoder:
     """Ids of words by the tokenizers library.
 
-    A word of printable ASCII without an apostrophe, or of letters up to
-    U+017F alone, has parts that are plain to see, and the library's merges
-    take each part once; every other word goes through the whole library.
+    A word of letters up to U+017F and printable ASCII without an apostrophe
+    has parts that are plain to see, and the library's merges take each part
+    once; every other word goes through the whole library.
     """
 
     def __init__(self, path: str, cache: int = 800_000):
@@ -84,18 +86,16 @@ class WordEncoder:
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            got = array("i", [t.id for t in self.merge(part)]).tobytes()
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(LETTERS)
+            got = array("i", [t.id for t in self.merge(letters)]).tobytes()
             if len(part) <= 64:
                 self.parts[part] = got
         return got
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
-        if word.isascii():
-            if word.isprintable() and "'" not in word and not UPPER.search(word):
-                return b"".join(map(self._part, PARTS.findall(word)))
-        elif not BEYOND.search(raw) and (low := word.lower()).isalpha():
-            return self._part(low.encode().decode("latin-1").translate(LETTERS))
+        if not BEYOND.search(raw) and PLAIN.fullmatch(low := word.lower()):
+            return b"".join(map(self._part, PARTS.findall(low)))
         return array("i", self.library.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
