@@ -8,7 +8,7 @@ places; the result is by severity and kind.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules.registry import CATEGORIES
@@ -48,56 +48,102 @@ def _edge(value: Column) -> Column:
     return F.concat(left, quoted, F.when(value.rlike(r"(?U)\w$"), F.lit(r"(?!\w)")).otherwise(F.lit("")))
 
 
-def _found(rows: DataFrame, order: int, kind: str, severity: str, values: Column, detail: str, count: str = "n") -> DataFrame:
-    each = rows.select("id", "text", F.posexplode(values).alias("pos", "value"))
-    grouped = each.groupBy("id", "value").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
-    n = F.col("n") if count == "n" else _times(F.col("text"), F.col("value"))
-    return grouped.select("id", F.lit(order).alias("detector"), F.col("pos").cast("long").alias("pos"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), "value", n.cast("long").alias("count"), F.lit(detail).alias("detail"))
+def _first(values: Column) -> Column:
+    """The first 25 values that differ in more than case."""
 
+    def add(kept: Column, v: Column) -> Column:
+        fresh = (F.size(kept) < MOST) & ~F.exists(kept, lambda k: F.lower(k) == F.lower(v))
+        return F.when(fresh, F.array_append(kept, v)).otherwise(kept)
+
+    return F.aggregate(F.array_distinct(values), F.array().cast("array<string>"), add)
+
+
+def _rows(values: Column, detector: int, kind: str, severity: str, count, detail) -> Column:
+    return F.transform(
+        values,
+        lambda v: F.struct(
+            F.lit(detector).alias("detector"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), v.alias("value"), count(v).cast("long").alias("count"), detail(v).alias("detail"),
+        ),
+    )
 
-def scan(rows: DataFrame, mapping: DataFrame | None = None, custom_terms: list[str] = (), enabled: tuple[str, ...] = CATEGORIES, keep_terms: list[str] = (), id_col: str = "doc_id", text_col: str = "masked") -> DataFrame:
-    """``<id_col>, rank, type, severity, value, count, detail`` of every text.
 
-    ``mapping (<id_col>, placeholder, value, ord)`` holds the values that were
+def findings(t: Column, known: Column | None = None, custom_terms: list[str] = (), enabled: tuple[str, ...] = CATEGORIES, keep_terms: list[str] = ()) -> Column:
+    """``array<struct<detector, type, severity, value, count, detail>>`` of one text, without leaving its row.
+
+    ``known``: ``array<struct<placeholder, value>>`` of values that were
     masked; kept terms silence known values and assets alone.
     """
-    text = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.trim("text") != "")
-    kept = [t.strip().lower() for t in keep_terms if t.strip()]
-    t = F.col("text")
+    kept = [x.strip().lower() for x in keep_terms if x.strip()]
 
     def all_of(regex: str) -> Column:
         return F.regexp_extract_all(t, F.lit(f"(?dU){regex}"), F.lit(0))
 
+    def said(text: str):
+        return lambda v: F.lit(text)
+
+    def matches(found: Column):
+        return lambda v: F.size(F.filter(found, lambda x: x == v))
+
     parts = []
-    if mapping is not None:
-        known = mapping.select(F.col(id_col).alias("id"), "placeholder", "value", "ord").where((F.length("value") >= 4) & ~F.col("value").rlike(r"^\d+$") & ~F.lower("value").isin(kept or [""]))
-        hit = text.join(known, "id").withColumn("n", F.regexp_count("text", _edge(F.col("value")))).where("n > 0")
-        detail = F.concat(F.lit("Masked elsewhere as "), "placeholder", F.lit(", but visible here."))
-        parts.append(hit.select("id", F.lit(1).alias("detector"), F.col("ord").cast("long").alias("pos"), F.lit("known_value").alias("type"), F.lit("high").alias("severity"), "value", F.col("n").cast("long").alias("count"), detail.alias("detail")))
+    if known is not None:
+        real = F.filter(known, lambda e: (F.length(e["value"]) >= 4) & ~e["value"].rlike(r"^\d+$") & ~F.lower(e["value"]).isin(kept or [""]) & F.contains(t, e["value"]))
+        each = F.transform(
+            real,
+            lambda e: F.struct(
+                F.lit(1).alias("detector"), F.lit("known_value").alias("type"), F.lit("high").alias("severity"), e["value"].alias("value"), F.regexp_count(t, _edge(e["value"])).cast("long").alias("count"),
+                F.concat(F.lit("Masked elsewhere as "), e["placeholder"], F.lit(", but visible here.")).alias("detail"),
+            ),
+        )
+        parts.append(F.filter(each, lambda x: x["count"] > 0))
     terms = sorted({x.strip() for x in custom_terms if len(x.strip()) >= 3})
     if terms:
-        each = text.crossJoin(F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(terms)), "pos long, value string")))  # a parameter list
-        hit = each.withColumn("n", F.regexp_count("text", F.concat(F.lit("(?iu)"), _edge(F.col("value"))))).where("n > 0")
-        parts.append(hit.select("id", F.lit(2).alias("detector"), "pos", F.lit("custom_term").alias("type"), F.lit("high").alias("severity"), "value", F.col("n").cast("long").alias("count"), F.lit("A term to mask is still visible.").alias("detail")))
+        each = _rows(F.array(*map(F.lit, terms)), 2, "custom_term", "high", lambda v: F.regexp_count(t, F.concat(F.lit("(?iu)"), _edge(v))), said("A term to mask is still visible."))
+        parts.append(F.filter(each, lambda x: x["count"] > 0))
     if "network" in enabled:
-        parts.append(_found(text, 3, "ip_address", "high", F.filter(all_of(IPV4), lambda v: ~v.startswith("127.") & (v != "0.0.0.0")), "An IPv4 address was not masked."))
+        found = F.filter(all_of(IPV4), lambda v: ~v.startswith("127.") & (v != "0.0.0.0"))
+        parts.append(_rows(_first(found), 3, "ip_address", "high", matches(found), said("An IPv4 address was not masked.")))
     if "identities" in enabled:
-        parts.append(_found(text, 4, "email", "high", all_of(MAILBOX), "A mailbox was not masked."))
+        found = all_of(MAILBOX)
+        parts.append(_rows(_first(found), 4, "email", "high", matches(found), said("A mailbox was not masked.")))
     if "secrets" in enabled:
-        parts.append(_found(text, 5, "secret_like", "medium", all_of(HEX), "A long hex run was not masked."))
-        harmless = lambda v: F.expr("false") | v.startswith(CLASSES[0]) | v.startswith(CLASSES[1]) | v.startswith(CLASSES[2]) | v.startswith(CLASSES[3])
-        parts.append(_found(text, 6, "secret_like", "medium", F.filter(all_of(TOKEN), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (entropy(v) >= ENTROPY) & ~harmless(v)), "A token looks like a credential.", "substring"))
+        found = all_of(HEX)
+        parts.append(_rows(_first(found), 5, "secret_like", "medium", matches(found), said("A long hex run was not masked.")))
+        odd = F.filter(F.array_distinct(all_of(TOKEN)), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike("^(?:" + "|".join(CLASSES) + ")") & (entropy(v) >= ENTROPY))
+        parts.append(_rows(_first(odd), 6, "secret_like", "medium", lambda v: _times(t, v), said("A token looks like a credential.")))
     if "network" in enabled:
-        safe = "^(?:" + "|".join(SAFE_PREFIXES) + ")"
-        parts.append(_found(text, 7, "host_like", "medium", F.filter(all_of(ASSET), lambda v: v.rlike("[0-9]") & ~F.lower(v).isin([*SAFE, *kept]) & ~F.lower(v).rlike(safe)), "A token looks like the name of an asset.", "substring"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    first = Window.partitionBy("id", "type", F.lower("value")).orderBy("detector", "pos")
-    found = found.withColumn("again", F.row_number().over(first)).where("again = 1")
-    found = found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("detector", "pos"))).where(F.col("place") <= MOST)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("severity", "type", "place"))  # high before medium
-    return found.select(F.col("id").alias(id_col), rank.alias("rank"), "type", "severity", "value", "count", "detail")
+        named = F.filter(all_of(ASSET), lambda v: v.rlike("[0-9]") & ~F.lower(v).isin([*SAFE, *kept]) & ~F.lower(v).rlike("^(?:" + "|".join(SAFE_PREFIXES) + ")"))
+        parts.append(_rows(_first(named), 7, "host_like", "medium", lambda v: _times(t, v), said("A token looks like the name of an asset.")))
+
+    def add(out: Column, f: Column) -> Column:
+        fresh = (F.size(out) < MOST) & ~F.exists(out, lambda o: (o["type"] == f["type"]) & (F.lower(o["value"]) == F.lower(f["value"])))
+        return F.when(fresh, F.array_append(out, f)).otherwise(out)
+
+    kind = "array<struct<detector:int,type:string,severity:string,value:string,count:bigint,detail:string>>"
+    if not parts:
+        return F.array().cast(kind)
+    merged = F.aggregate(F.concat(*[p.cast(kind) for p in parts]), F.array().cast(kind), add)
+    # high before medium, then by kind, then as they came
+    placed = F.transform(merged, lambda f, i: F.struct(f["severity"].alias("severity"), f["type"].alias("type"), i.alias("place"), f.alias("f")))
+    return F.transform(F.array_sort(placed), lambda x: x["f"])
+
+
+def scan(rows: DataFrame, mapping: DataFrame | None = None, custom_terms: list[str] = (), enabled: tuple[str, ...] = CATEGORIES, keep_terms: list[str] = (), id_col: str = "doc_id", text_col: str = "masked", mapping_col: str | None = None) -> DataFrame:
+    """``<id_col>, rank, type, severity, value, count, detail`` of every text.
+
+    Values that were masked come from a map column of the rows
+    (``mapping_col``: no shuffle), or from ``mapping (<id_col>, placeholder,
+    value, ord)``, gathered by text.
+    """
+    text = rows.select(F.col(id_col), F.col(text_col).alias("text"), *([F.col(mapping_col).alias("mapping")] if mapping_col else [])).where(F.trim("text") != "")
+    known = None
+    if mapping_col:
+        known = F.transform(F.map_entries(F.coalesce("mapping", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("placeholder"), e["value"].alias("value")))
+    elif mapping is not None:
+        each = mapping.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("ord", "placeholder", "value"))).alias("known"))
+        text = text.join(each, id_col, "left")
+        known = F.coalesce("known", F.array().cast("array<struct<ord:int,placeholder:string,value:string>>"))
+    found = text.select(id_col, F.posexplode(findings(F.col("text"), known, custom_terms, enabled, keep_terms)).alias("rank", "f"))
+    return found.select(id_col, (F.col("rank") + 1).alias("rank"), "f.type", "f.severity", "f.value", "f.count", "f.detail")
 
 
 def blocking(findings: DataFrame, id_col: str = "doc_id") -> DataFrame:

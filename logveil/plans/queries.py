@@ -6,7 +6,7 @@ import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.accept import veto_column
@@ -344,8 +344,7 @@ def leak_kinds(spark, sf_dir):
 def leak_findings(spark, sf_dir):
     """All seven detectors over masked documents with their mappings."""
     masked = masking.mask(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    mapping = masking.entities(masked).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("label", "n")))
-    return leaks.scan(masked, mapping, custom_terms=["license"], keep_terms=["example"])
+    return leaks.scan(masked, custom_terms=["license"], keep_terms=["example"], mapping_col="mapping")
 
 
 @query(
@@ -387,7 +386,7 @@ def leak_known_values(spark, sf_dir):
 # --- ledger --------------------------------------------------------------------------------------------------------
 
 _AUDIT_SQL = """audit as (
-  select row_number() over (order by conv_id, turn) as seq, '2024-0' || (conv_id % 3 + 1) || '-1' || (turn % 10) || 'T10:00:00+00:00' as time,
+  select conv_id * 1000 + turn as seq, '2024-0' || (conv_id % 3 + 1) || '-1' || (turn % 10) || 'T10:00:00+00:00' as time,
     (['anthropic', 'openai', 'ollama', 'azure', 'm365copilot', ''])[conv_id % 6 + 1] as provider, (['claude-x-opus', 'gpt-y-mini', 'llama', 'deploy1', 'copilot', 'mystery'])[conv_id % 6 + 1] as model,
     'c' || conv_id as conversation_id, text, turn % 5 <> 4 as ok, turn % 3 = 0 as exact from conversations),
 entries as (
@@ -401,7 +400,7 @@ _RATE_SQL = """case when p in ('ollama', 'm365copilot') then [0.0, 0.0] when p =
 def _audit(spark, sf_dir) -> DataFrame:
     """Turns as requests: exact usage for every third, failures, providers with and without rates."""
     c = _table(spark, sf_dir, "conversations")
-    seq = F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long")
+    seq = F.col("conv_id") * 1000 + F.col("turn")
 
     def pick(*names: str) -> F.Column:
         return F.element_at(F.array(*map(F.lit, names)), (F.col("conv_id") % len(names) + 1).cast("int"))
@@ -667,8 +666,10 @@ def entity_join(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document masked, with what residue scanning finds in the result."""
     masked = masking.mask(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = leaks.scan(masked).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_findings"), F.max((F.col("severity") == "high").cast("int")).alias("blocks"))
-    return masked.join(found, "doc_id", "left").select("doc_id", "masked", F.size("spans").alias("n_spans"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), (F.coalesce("blocks", F.lit(0)) == 1).alias("blocks"))
+    found = leaks.findings(F.col("masked"))
+    return masked.select("doc_id", "masked", F.size("spans").alias("n_spans"), found.alias("f")).select(
+        "doc_id", "masked", "n_spans", F.size("f").alias("n_findings"), F.exists("f", lambda x: x["severity"] == "high").alias("blocks")
+    )
 
 
 query("mask_and_scan")(flagship)
