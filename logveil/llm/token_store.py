@@ -18,14 +18,13 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, lean, shared_dir, utf8
+from .common import _SPACE, lean, shared_dir, utf8
 
 
 BEYOND = re.compile(rb"[\xc6-\xff]")
@@ -45,11 +44,15 @@ def _byte_letters() -> dict[int, str]:
 
 LETTERS = _byte_letters()
 # small letters up to U+017F, and words of them and of printable ASCII without an apostrophe
+SYMBOLS = b"!#$%&*,.:;?|"
 SMALL = "a-z\u00df-\u00f6\u00f8-\u017f"
 PLAIN = re.compile(f"[{SMALL}!-&(-@\\[-~]*")
 PARTS = re.compile(f"[{SMALL}]+|[0-9]|[^{SMALL}0-9]+")
 
 
+AT_ONCE = 12 << 20  # bytes of text
+
+
 class Known(dict):
     """Ids (32-bit integers) by word, made at the first use; those of long runs without white space are not kept."""
 
@@ -93,6 +96,10 @@ class WordEncoder:
         return got
 
     def _word(self, raw: bytes) -> bytes:
+        stem = raw.rstrip(SYMBOLS)
+        if stem.isalpha():  # of bytes: ASCII letters
+            ids = self._part(stem.lower().decode())
+            return ids + self._part(raw[len(stem) :].decode()) if len(stem) < len(raw) else ids
         word = raw.decode("utf-8", "replace")
         if not BEYOND.search(raw) and PLAIN.fullmatch(low := word.lower()):
             return b"".join(map(self._part, PARTS.findall(low)))
@@ -104,16 +111,33 @@ class WordEncoder:
         Words are split at ASCII white space only; the library treats any
         other inside a word. A text of no character beyond U+017F, where no
         composition can happen, has its ASCII letters lower-cased first, as the
-        library would.
+        library would. The words of all texts are dictionary-coded by Arrow,
+        each with the white space after it, and ids are gathered by code.
         """
         if len(self.words) + len(self.parts) > self.limit:
             self.words.clear()
             self.parts.clear()
+        raw = np.frombuffer(b" ".join([*map(_lower, texts), b""]), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        inside = ~_SPACE[raw]
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        if inside[:1].any():
+            starts = np.append(0, starts)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        offsets = pa.py_buffer(np.append(starts, len(raw)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(raw)]).dictionary_encode()
         ids_of = self.words.__getitem__
-        each = [b"".join(map(ids_of, _lower(t).split())) for t in texts]
-        at = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(e) // 4 for e in each], out=at[1:])
-        return np.frombuffer(b"".join(each), np.int32), at
+        each = [ids_of(w.rstrip()) for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        known = np.frombuffer(b"".join(each), np.int32)
+        code = coded.indices.to_numpy()
+        length = size[code]
+        before = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(length, out=before[1:])
+        place = np.repeat((np.cumsum(size) - size)[code] - before[:-1], length)
+        place += np.arange(before[-1])
+        return known[place], before[np.append(0, np.searchsorted(starts, ends))]
 
 
 @lru_cache(2)
@@ -133,16 +157,31 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = None, id_c
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = encoder(path)
+        keys: list[pa.Array] = []
+        texts: list[bytes] = []
+
+        def coded() -> pa.RecordBatch:
+            ids, at = words.encode(texts)
+            if end_id is not None:
+                ids = np.insert(ids, at[1:], np.int32(end_id))
+                at = at + np.arange(len(at))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+            chars = pa.array([len(t) if t.isascii() else len(t.decode("utf-8", "replace")) for t in texts], pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(np.diff(at)), chars, lists], ["doc_id", "n_tokens", "n_chars", "ids"])
+            keys.clear(), texts.clear()
+            return out
+
+        size = 0
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for a, b in chunks(texts, 2 << 20):
-                ids, at = words.encode(texts[a:b])
-                if end_id is not None:
-                    ids = np.insert(ids, at[1:], np.int32(end_id))
-                    at = at + np.arange(len(at))
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                chars = pa.array([len(t) if t.isascii() else len(t.decode("utf-8", "replace")) for t in texts[a:b]], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), chars, lists], ["doc_id", "n_tokens", "n_chars", "ids"])
+            more = utf8(batch.column(1))
+            keys.append(batch.column(0))
+            texts += more
+            size += sum(map(len, more))
+            if size >= AT_ONCE:
+                yield coded()
+                size = 0
+        if texts:
+            yield coded()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(encode), "doc_id long, n_tokens long, n_chars long, ids array<int>")
 
