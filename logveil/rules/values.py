@@ -334,6 +334,6 @@ NOTES = {
     "wazuh-alert-host": '"(X) ip->module"',
     "syslog-iso-host": 'token after ISO/RFC5424 timestamp at line start',
     "meraki-host": 'token after 10-digit epoch at line start',
-    "path-domain": 'domain right after "/", restricted suffix list (log_masker/masker.py:153-159)',
+    "path-domain": 'domain right after "/", with one of a short list of suffixes',
     "fqdn": 'dotted name with alphabetic last label; not after / \\ . - unless after //',
 }
