@@ -146,7 +146,7 @@ def compact(n: Column) -> Column:
 
 def usage_of(block: Column, provider: str) -> Column:
     """``input_tokens, output_tokens`` from a provider's own usage block (a JSON string); null where both are absent."""
-    names = {"gemini": ("promptTokenCount", "candidatesTokenCount"), "openai": ("prompt_tokens", "completion_tokens"), "azure": ("prompt_tokens", "completion_tokens"), "ollama": ("prompt_eval_count", "eval_count")}
+    names = {"google": ("promptTokenCount", "candidatesTokenCount"), "openai": ("prompt_tokens", "completion_tokens"), "azure": ("prompt_tokens", "completion_tokens"), "ollama": ("prompt_eval_count", "eval_count")}
     a, b = names.get(provider, ("input_tokens", "output_tokens"))
     got = [F.get_json_object(block, f"$.{n}").cast("long") for n in (a, b)]
     return F.when(got[0].isNotNull() | got[1].isNotNull(), F.struct(F.coalesce(got[0], F.lit(0)).alias("input_tokens"), F.coalesce(got[1], F.lit(0)).alias("output_tokens"), F.lit("provider").alias("source")))

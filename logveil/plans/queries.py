@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.accept import veto_column
-from ..operators import lab, leaks, ledger, masking, templates, vault, verdicts
+from ..operators import lab, leaks, ledger, masking, providers, templates, vault, verdicts
 from ..operators.kernel import MaskConfig
 from ..rules import registry
 from ..rules import values as V
@@ -663,6 +663,45 @@ def entity_join(spark, sf_dir):
     return numbered.join(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").groupBy("doc_id", "lang", "source").agg(F.count(F.lit(1)).alias("n_values"))
 
 
+MODELS = [("openai", "gpt-9-mini", 1), ("openai", "gpt-9-audio", 0), ("openai", "o7", 1), ("openai", "text-embedding", 0), ("google", "models/gemini-9-flash", 1), ("google", "models/gemini-9-tts", 0), ("google", "models/bison", 0), ("azure", "x", 0), ("ollama", "llama", 1)]
+
+
+@query("chat_models", "select * from (values " + ", ".join(f"('{p}', '{m.removeprefix('models/')}')" for p, m, keep in MODELS if keep) + ") t(provider, model)")
+def chat_models(spark, sf_dir):
+    return providers.chat_models(spark.createDataFrame([(p, m) for p, m, _ in MODELS], "provider string, model string"))
+
+
+ENDPOINTS = [
+    ("", "missing"), ("ftp://a", "scheme"), ("a.example", "scheme"), ("http://", "host"), ("https://metadata.google.internal/x", "metadata"), ("http://169.254.169.254/latest", "network"), ("http://[fe80::1]:80/", "network"),
+    ("http://100.64.1.1", "network"), ("http://100.63.1.1", None), ("http://127.0.0.1:11434", None), ("https://u:p@res.example.com:443/x?y", None), ("http://[::1]:11434", None),
+]
+
+
+@query("endpoint_refusals", "select * from (values " + ", ".join(f"('{u}', {rendered.quoted(w) if w else 'null'})" for u, w in ENDPOINTS) + ") t(url, refusal)")
+def endpoint_refusals(spark, sf_dir):
+    return spark.createDataFrame([(u,) for u, _ in ENDPOINTS], "url string").select("url", providers.refusal(F.col("url")).alias("refusal"))
+
+
+@query("provider_registry", "select * from (values " + ", ".join(f"('{p}', '{a}', {str(a == 'apikey').lower()})" for p, _, a, _ in providers.PROVIDERS) + ") t(provider, auth, needs_key)")
+def provider_registry(spark, sf_dir):
+    return providers.registry(spark).select("provider", "auth", "needs_key")
+
+
+@query("clean_answers", "select event_id, 'user' || user_id || ' did it' as answer from events")
+def clean_answers(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.select("event_id", providers.cleaned(F.concat(F.lit(" <Person>user"), "user_id", F.lit("</Person> did it[^3^] "))).alias("answer"))
+
+
+@query("usage_blocks", "select event_id, event_id + 10 as input_tokens, user_id as output_tokens from events")
+def usage_blocks(spark, sf_dir):
+    """Token counts from providers' own shapes."""
+    e = _table(spark, sf_dir, "events")
+    block = {p: F.to_json(F.struct((F.col("event_id") + 10).alias(a), F.col("user_id").alias(b))) for p, (a, b) in {"openai": ("prompt_tokens", "completion_tokens"), "google": ("promptTokenCount", "candidatesTokenCount")}.items()}
+    usage = F.when(F.col("event_id") % 2 == 0, ledger.usage_of(block["openai"], "openai")).otherwise(ledger.usage_of(block["google"], "google"))
+    return e.select("event_id", usage["input_tokens"].alias("input_tokens"), usage["output_tokens"].alias("output_tokens"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document masked, with what residue scanning finds in the result."""
     masked = masking.mask(_table(spark, sf_dir, "documents").select("doc_id", "text"))

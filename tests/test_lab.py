@@ -76,3 +76,13 @@ def test_null_and_empty_texts(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (2, "a@x.io"), (2, "a@x.io")], "doc_id long, text string").withColumn("masked", F.lit("x"))
     got = masking.mask(rows).orderBy("doc_id", "masked").collect()
     assert [r.masked for r in got] == [None, "", "[EMAIL_1]", "[EMAIL_1]"]
+
+
+def test_settings():
+    from logveil.operators import providers
+
+    defaults = {"provider": "openai", "provider_models": {"openai": "a", "google": "b"}, "x": 1}
+    assert providers.merged_settings({"model": "old"}, defaults)["provider_models"] == {"openai": "old", "google": "b"}
+    assert providers.merged_settings({"model": "old", "provider_models": {"openai": "c"}}, defaults) == {"provider": "openai", "provider_models": {"openai": "c", "google": "b"}, "x": 1}
+    assert providers.system_prompt({}, "D", instructions=" i ") == "D\n\nAdditional user instructions:\ni"
+    assert providers.system_prompt({"system_prompt": "S"}, "D", use_system=False, instructions="i", schema="!") == "i!"
