@@ -499,6 +499,7 @@ def test_components(spark):
         ("<nav>x</nav><div class='side-bar ad'>y</div><div>z<script>if (a<b) '</div>'</script></div>", ["z"]),
         ("<article><header><h1>T</h1></header><p>x</p><section id=comments><p>no</p></section><form>q</form></article><footer>f", ["T", "x"]),
         ("<table><tr><td>1<td>2<tr><td>3</table><!-- c --><div hidden>h</div><div role=navigation>n", ["1", "2", "3"]),
+        ("<div class='siteHeader header'>x</div><div role=main><div class=userComments>no</div><p>y</div><p>z", ["y", "z"]),
         ("<title>t</title><p title='a > b'>x &#233;&nbsp; y</p><![CDATA[z]]>", ["x é y", "z"]),
     ],
 )
