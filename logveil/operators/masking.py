@@ -24,6 +24,21 @@ SPAN = "struct<start:int,end:int,value:string,label:string,tier:string,rule_id:s
 _SPAN = pa.struct([(n, pa.int32() if n in ("start", "end") else pa.string()) for n in ("start", "end", "value", "label", "tier", "rule_id", "placeholder")])
 
 
+SMALL, LARGE = 1 << 20, 32 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where they are few bytes for each: a file of one row group is one task, however many cores there are.
+
+    Inputs of more than 32 MB for each core have parts enough and aren't
+    shuffled, nor are those under 1 MB.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if SMALL < size < LARGE * cores else rows
+
+
 def mask(rows: DataFrame, config: MaskConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, masked, mapping, spans`` of every row; a null text stays null."""
     config = config or MaskConfig()
@@ -47,7 +62,7 @@ def mask(rows: DataFrame, config: MaskConfig | None = None, id_col: str = "doc_i
                     [id_col, "masked", "mapping", "spans"],
                 )
 
-    return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, masked string, mapping map<string,string>, spans array<{SPAN}>")
+    return dealt(rows.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, masked string, mapping map<string,string>, spans array<{SPAN}>")
 
 
 def spans(masked: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..rules.template_values import SIGNALS, TEMPLATES
-from .masking import java
+from .kernel import needed
+from .masking import dealt, java
 
 LEAST, MOST = 0.12, 3
 FIELDS = ("template_id", "name", "category", "tactic", "tactic_id", "technique", "technique_id")
@@ -34,6 +35,17 @@ def signals(custom: list[dict] = ()) -> list[tuple[str, int, str]]:
     return out + [(c["template_id"], 2, re.escape(k.strip())) for c in custom for k in c.get("keywords", []) if k and k.strip()]
 
 
+def _may(pattern: str) -> Column:
+    """Whether the text (in ``folded``, ``odd`` where letters fold oddly) has what the pattern needs: a search for strings spares most patterns."""
+    needs = needed("(?i)" + pattern)
+    if not needs:
+        return F.lit(True)
+    out = F.col("odd")
+    for n in needs:
+        out = out | F.contains(F.col("folded"), F.lit(n))
+    return out
+
+
 def _hits(text: Column, custom: list[dict]) -> Column:
     """``array<struct<ord, template_id, hit, fired, total>>`` for one text; patterns are literals, so they compile once."""
     by: dict[str, list[tuple[int, str]]] = {}
@@ -41,7 +53,7 @@ def _hits(text: Column, custom: list[dict]) -> Column:
         by.setdefault(t, []).append((w, p))
     each = []
     for i, (t, own) in enumerate(by.items()):
-        fires = [text.rlike("(?iu)" + java(p)) for _, p in own]
+        fires = [_may(p) & text.rlike("(?iu)" + java(p)) for _, p in own]
         hit = sum((F.when(f, w).otherwise(0) for f, (w, _) in zip(fires, own, strict=True)), F.lit(0))
         fired = sum((f.cast("int") for f in fires), F.lit(0))
         each.append(F.struct(F.lit(i).alias("ord"), F.lit(t).alias("template_id"), hit.alias("hit"), fired.alias("fired"), F.lit(sum(w for w, _ in own)).alias("total")))
@@ -50,7 +62,8 @@ def _hits(text: Column, custom: list[dict]) -> Column:
 
 def suggest(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, least: float = LEAST, custom: list[dict] = ()) -> DataFrame:
     """``<id_col>, rank, template_id, score, signals_fired``: at most ``most`` templates of a text whose score is ``least`` or more."""
-    each = rows.where(F.trim(text_col) != "").select(id_col, F.inline(_hits(F.col(text_col), list(custom)))).where("hit > 0")
+    texts = rows.where(F.trim(text_col) != "").select(id_col, F.col(text_col).alias("text"), F.lower(text_col).alias("folded"), F.col(text_col).rlike("[İıſK]").alias("odd"))
+    each = dealt(texts).select(id_col, F.inline(_hits(F.col("text"), list(custom)))).where("hit > 0")
     each = each.withColumn("raw", F.col("hit") / F.col("total")).where(F.col("raw") >= least)
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("raw"), F.desc("fired"), "ord"))
     return each.withColumn("rank", rank).where(F.col("rank") <= most).select(id_col, "rank", "template_id", F.bround("raw", 3).alias("score"), F.col("fired").alias("signals_fired"))
