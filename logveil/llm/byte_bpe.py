@@ -19,7 +19,6 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,8 +114,8 @@ def token_starts(points: np.ndarray, ends: np.ndarray, block: int = 256) -> np.n
     return np.flatnonzero(starts.T.reshape(-1)[:n])
 
 
-def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """The pre-tokens of each text, as UTF-8."""
+def pre_tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of all texts in a row, and the place of the mark that ends each text."""
     joined = b"\0".join([*texts, b""])
     points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     width = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
@@ -125,24 +124,34 @@ def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
     at = np.cumsum([len(t) + 1 for t in texts]) - 1
     ends = np.searchsorted(offset, at)
     starts = token_starts(points, ends)
-    cuts = np.append(offset[starts], len(joined)).tolist()
-    bounds = np.searchsorted(starts, ends).tolist()
-    k = 0
-    for stop in bounds:
-        yield [joined[a:b] for a, b in zip(cuts[k:stop], cuts[k + 1 : stop + 1], strict=True)]
-        k = stop + 1
+    cuts = pa.py_buffer(np.append(offset[starts], len(joined)).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, cuts, pa.py_buffer(joined)]), np.searchsorted(starts, ends)
+
+
+class Cache(dict):
+    """Ids (32-bit integers) by piece, made at the first use; those of long pieces are not kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = array("i", self.make(piece)).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
 
 
 class ByteBPE:
     """``ranks_path``: a file of lines ``base64-token rank``."""
 
-    def __init__(self, ranks_path: str, cache: int = 1_200_000):
+    def __init__(self, ranks_path: str, cache: int = 1_000_000):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.vocab: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.vocab[rank] = token
-        self.cache: dict[bytes, bytes] = {}  # a piece's ids as 32-bit integers
+        self.cache = Cache(self._merge)
         self.limit = cache
 
     def _merge(self, piece: bytes) -> tuple[int, ...]:
@@ -193,21 +202,22 @@ class ByteBPE:
         return tuple(ranks[p] for p in part if p is not None)
 
     def encode_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and where each text's begin (one more entry ends the last)."""
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        pieces = list(slices(texts))
-        new = set(chain.from_iterable(pieces)).difference(cache)
-        for piece in new:
-            cache[piece] = array("i", self._merge(piece)).tobytes()
-        each = [b"".join(map(cache.__getitem__, p)) for p in pieces]
-        for piece in new:  # long pieces are not kept
-            if len(piece) > 64:
-                del cache[piece]
-        at = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(e) // 4 for e in each], out=at[1:])
-        return np.frombuffer(b"".join(each), np.int32), at
+        """All ids in a row, and where each text's begin (one more entry ends the last). Each different piece is merged once."""
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        pieces, marks = pre_tokens(texts)
+        coded = pieces.dictionary_encode()
+        each = list(map(self.cache.__getitem__, coded.dictionary.to_pylist()))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        known = np.frombuffer(b"".join(each), np.int32)
+        code = coded.indices.to_numpy()
+        length = size[code]
+        length[marks] = 0
+        before = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(length, out=before[1:])
+        place = np.repeat((np.cumsum(size) - size)[code] - before[:-1], length)
+        place += np.arange(before[-1])
+        return known[place], np.append(0, before[marks])
 
     def encode(self, text: str) -> list[int]:
         return self.encode_texts([text.encode("utf-8", "surrogatepass")])[0].tolist()
