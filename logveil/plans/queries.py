@@ -476,7 +476,7 @@ def ledger_latest(spark, sf_dir):
 RATE_CASES = [("anthropic", "claude-x-opus", 15.0, "default"), ("openai", "gpt-z-nano", 0.05, "default"), ("openai", "o3-pro", 1.1, "default"), ("azure", "gpt-z", None, None), ("ollama", "x", 0.0, "free"), ("m365copilot", "x", 0.0, "licensed"), ("openai", " My-Model ", 2.0, "custom"), ("gemini", "gemini-flash-lite", 0.1, "default"), ("openai", "", None, None)]
 
 
-@query("rate_lookup", "select * from (values " + ", ".join(f"('{p}', '{m}', {'null' if a is None else a}, {'null' if s is None else rendered.quoted(s)})" for p, m, a, s in RATE_CASES) + ") t(provider, model, rate_in, rate_source)")
+@query("rate_lookup", "select provider, model, rate_in::double as rate_in, rate_source from (values " + ", ".join(f"('{p}', '{m}', {'null' if a is None else a}, {'null' if s is None else rendered.quoted(s)})" for p, m, a, s in RATE_CASES) + ") t(provider, model, rate_in, rate_source)")
 def rate_lookup(spark, sf_dir):
     rows = spark.createDataFrame([(p, m, 1, 1) for p, m, _, _ in RATE_CASES], "provider string, model string, tokens_in long, tokens_out long")
     own = spark.createDataFrame([("my-model", 2.0, 4.0)], "model string, own_in double, own_out double")
@@ -524,9 +524,9 @@ def vault_new(spark, sf_dir):
     return _vault(spark, sf_dir)[1]
 
 
-@query("vault_stats", f"with {_SEEN_SQL} select 'USER' as label, count(distinct placeholder) as entities, null::bigint as incidents from seen union all select null, count(distinct placeholder), count(distinct incident_id) from seen")
+@query("vault_stats", f"with {_SEEN_SQL} select 'USER' as label, count(distinct placeholder) as entities, 0::bigint as incidents from seen union all select '', count(distinct placeholder), count(distinct incident_id) from seen")
 def vault_stats(spark, sf_dir):
-    return vault.stats(_vault(spark, sf_dir)[0])
+    return vault.stats(_vault(spark, sf_dir)[0]).fillna({"label": "", "incidents": 0})
 
 
 @query(
