@@ -10,8 +10,18 @@ region's first member. Regions of more than ``CROWD`` members are dealt into
 slices, each ordered for itself and all tied to the same first member, so that
 no task gets an unbounded region. Candidates are confirmed on the full sets,
 for which every text needed is sent once to the group that holds its links;
-links within what is connected already are skipped. The smallest id that the
-confirmed links reach names the component.
+links within what is connected already are skipped.
+
+The forest finds most links but bounds the partners of a representative, so
+what it misses is found by a prefix-filtered set join of whatever it has left
+in different components: in one order of all shingles, two sets that are
+near enough have a shingle in common among their first ``n - ceil(t n) + 1``.
+Where at most ``LIST`` representatives have such a shingle, the pairs of
+different components that its place in both still allows are confirmed or
+excluded; longer lists that hold several components are joined to bundles, in
+which every pair of fitting sizes is. The order puts common shingles last (a bitmap from one in ``SAMPLED``
+representatives); it decides how much is compared, never what is found. The
+smallest id that the links reach names the component.
 """
 
 from __future__ import annotations
@@ -31,6 +41,10 @@ TREES, DEPTH, ROOT = 16, 6, 3
 WORDS = 5
 CROWD = 1000  # members of a region; a group that confirms links has about as many, four times as many at most
 SENT = 500_000  # rows of the list of needed texts that may be broadcast
+SAMPLED, COMMON = 4, 2  # shingles that so many of one in SAMPLED representatives have are common
+BITS = 27  # of the bitmap of common shingles
+LIST = 32  # representatives with one shingle of whom each pair is a row
+BUNDLE = 2000  # members that are compared in one group; larger bundles are dealt by size, then in blocks
 
 _SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FLIP, _TIMES = _SEEDS[: TREES * DEPTH], _SEEDS[TREES * DEPTH :] | np.uint64(1)
@@ -155,6 +169,137 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return texts.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(confirm, "a long, b long").where("a <> b")
 
 
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Bitmap of ``BITS`` bits of a hash, set for shingles that many of ``docs (rep, text)`` have."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for a, b in chunks(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts[a:b])[0].view(np.int64))], ["shingle"])
+
+    some = docs.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(lean(of), "shingle long")
+    cell = F.shiftrightunsigned("shingle", 64 - BITS)
+    often = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select(F.shiftright(cell, 3).alias("byte"), F.expr(f"cast(1 as int) << cast(shiftrightunsigned(shingle, {64 - BITS}) & 7 as int)").alias("bit"))
+    got = often.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (BITS - 3) rows at most
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    out[got.column("byte").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+def _least(n: np.ndarray, percent: int) -> np.ndarray:
+    """Members that a set near enough to one of ``n`` has at least, and that they have in common at least."""
+    return -(-n * percent // 100)
+
+
+def prefixes(docs: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
+    """``shingle, at, rep``: the first shingles of each set of ``docs (rep, text)``; sets too small to be near an unequal one have none."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keys = utf8(batch.column(1)), batch.column(0).to_numpy()
+            for a, b in chunks(texts):
+                sets, at = shingle_sets(texts[a:b])
+                size = np.diff(at)
+                cell = (sets >> np.uint64(64 - BITS)).astype(np.int64)
+                late = (sent.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+                owner = np.repeat(np.arange(len(size)), size)
+                by = np.lexsort((sets, late, owner))
+                first = size - _least(size, percent) + 1
+                first[(_least(size, percent) == size) & (size * 100 // percent == size)] = 0
+                place = np.arange(len(sets)) - at[owner]
+                kept = place < first[owner]
+                here = by[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(sets[here].view(np.int64)), pa.array(place[kept].astype(np.int32)), pa.array(keys[a:b][owner[here]])], ["shingle", "at", "rep"])
+
+    return docs.select("rep", "text").mapInArrow(lean(of), "shingle long, at int, rep long")
+
+
+def near_pairs(sets: np.ndarray, at: np.ndarray, component: np.ndarray, own: np.ndarray, other: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different components of which one is ``own`` and one ``other``, as many as connect what is near; every pair of fitting sizes is looked at."""
+    size = np.diff(at)
+    by = np.argsort(size, kind="stable")
+    _, ids = np.unique(sets, return_inverse=True)
+    ids = np.concatenate([ids[at[i] : at[i + 1]] for i in by])
+    size, own, other = size[by], own[by], other[by]
+    at = np.append(0, np.cumsum(size))
+    _, root = np.unique(component[by], return_inverse=True)
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    last = np.searchsorted(size, size * 100 // percent, "right")
+    out = []
+    for i in range(len(size)):
+        j = np.arange(i + 1, last[i])
+        j = j[(root[j] != root[i]) & ((own[i] & other[j]) | (other[i] & own[j]))]
+        if not len(j):
+            continue
+        mark[ids[at[i] : at[i + 1]]] = True
+        low, high = at[j[0]], at[j[-1] + 1]
+        both = np.add.reduceat(mark[ids[low:high]], at[j[0] : j[-1] + 1] - low, dtype=np.int64)[j - j[0]]
+        mark[ids[at[i] : at[i + 1]]] = False
+        for k in j[100 * both >= percent * (size[i] + size[j] - both)]:
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                out.append((int(by[i]), int(by[k])))
+    return out
+
+
+def completed(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` links that connect the ``reps (rep, n_shingles, component)`` of different components that are near.
+
+    ``docs``: ``rep, text`` of the representatives.
+    """
+    first = written(prefixes(docs, percent, common_shingles(docs)))
+    shared = first.groupBy("shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("shingle")
+    met = written(first.join(shared, "shingle").join(reps, "rep"))
+    lists = met.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members"), F.min("rep").alias("hub")).where("least < most").drop("most")
+    lists = written(lists)
+    short, x, y = lists.where(F.col("members") <= LIST).select("shingle", "hub"), met.alias("x"), met.alias("y")
+    n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
+    # what both have from their first common shingle on
+    rest = F.least(n - F.col("x.at"), m - F.col("y.at"))
+    pairs = short.join(x, "shingle").join(y, "shingle").where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
+    pairs = pairs.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= percent * (n + m)))
+    pairs = written(pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.min("hub").alias("hub")))
+    links = confirmed(docs, pairs, percent)
+    met = written(met.join(lists.where(F.col("members") > LIST).select("shingle", "least"), "shingle").select("rep", "n_shingles", "component", "least").distinct())
+    if not met.take(1):
+        return links
+    bundles = components(met.select(F.col("component").alias("a"), F.col("least").alias("b")))
+    # a bundle holds whole components, but of them only members that share a prefix with another one
+    members = written(met.select("rep", "n_shingles", "component").distinct().join(bundles.select(F.col("node").alias("component"), F.col("component").alias("bundle")), "component"))
+    sizes = members.groupBy("bundle").agg(F.count(F.lit(1)).alias("members"))
+    groups = max(1, -(-members.count() // BUNDLE))
+    all_ = members.join(sizes, "bundle")
+    yes = F.lit(True)
+    small = all_.where(F.col("members") <= BUNDLE).select("rep", "component", "bundle", F.pmod(F.xxhash64("bundle"), F.lit(groups)).alias("group"), yes.alias("own"), yes.alias("other"))
+    # sizes of a pair lie in one band or in two beside each other
+    band = F.floor(F.log("n_shingles") / -np.log(percent / 100 - 1e-9))
+    banded = all_.where(F.col("members") > BUNDLE).withColumn("band", band)
+    banded = banded.select("rep", "component", "bundle", F.inline(F.array(F.struct(F.col("band").alias("band"), yes.alias("lower")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("lower")))))
+    blocks = banded.groupBy("bundle", "band").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).cast("long").alias("blocks"), F.bool_or("lower").alias("needed")).where("needed")
+    banded = banded.join(blocks, ["bundle", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "partner"), F.greatest("block", "partner")
+    dealt = small.unionByName(banded.select("rep", "component", "bundle", F.xxhash64("bundle", "band", low, high).alias("group"), (F.col("block") == low).alias("own"), (F.col("block") == high).alias("other")))
+    dealt = written(dealt)
+    side = F.broadcast(dealt) if dealt.count() <= SENT else dealt
+    texts = docs.join(side, "rep").select("group", "rep", "component", "bundle", "own", "other", "text")
+
+    def confirm(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("bundle", "ascending")])
+        ids, bundle, component = (group.column(c).to_numpy() for c in ("rep", "bundle", "component"))
+        own, other = (group.column(c).to_numpy() for c in ("own", "other"))
+        cuts = np.append(np.flatnonzero(np.append(True, bundle[1:] != bundle[:-1])), len(bundle))
+        out = []
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            sets, at = shingle_sets(utf8(group.column("text").slice(x, y - x).combine_chunks()))
+            out += [(ids[x + i], ids[x + j]) for i, j in near_pairs(sets, at, component[x:y], own[x:y], other[x:y], percent)]
+        give_back()
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return links.unionByName(texts.groupBy("group").applyInArrow(confirm, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, n_shingles, component_id, kept`` of every row.
 
@@ -170,8 +315,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     pairs = candidates(groups.where("rep is not null").select("rep", "n_shingles", "sig"))
     pairs = written(pairs.where(F.col("most").isNull() | (F.col("fewest") * 100 >= F.col("most") * percent)).select("a", "b", "hub"))
     first = rows.where("id is not null").withColumnRenamed("id", "rep")
-    links = confirmed(first, pairs, percent)
-    named = components(links)
+    links = written(confirmed(first, pairs, percent))
+    named = written(components(links))
+    reps = groups.where("rep is not null").join(named, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    reps = written(reps)
+    others = written(sketches.where("id is not null").select(F.col("id").alias("rep")).join(reps, "rep", "left_anti").distinct())
+    others = F.broadcast(others) if others.count() <= SENT else others
+    more = written(completed(first.join(others, "rep", "left_anti"), reps, percent))
+    if more.take(1):
+        named = written(components(links.unionByName(more)))
     known = written(groups.join(named, groups["rep"] == named["node"], "left").select("print", F.coalesce("component", "rep").alias("component_id"), "rows"))
     few = sketches.select("id", "n_shingles", "print")
     # fewer than 10,000 prints can have more rows than this

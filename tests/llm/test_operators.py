@@ -470,6 +470,23 @@ def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
     assert got == brute_near(texts, 85)
 
 
+@pytest.mark.parametrize("bundle", [2000, 400])
+def test_near_duplicates_of_a_star(spark, monkeypatch, bundle):
+    """Thousands of variants that are near to their centre alone, whose id is in the middle."""
+    monkeypatch.setattr(near_dedup, "BUNDLE", bundle, raising=False)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(300)]
+    texts = {1500: " ".join(base)}
+    for k in [*range(1500), *range(1501, 3001)]:
+        words = list(base)
+        for at in rng.sample(range(5, 295, 6), 3):
+            words[at] = f"v{k}_{at}"
+        texts[k] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, 85).collect()]
+    assert sorted(got) == [(k, 0) for k in range(3001)]
+
+
 def test_near_duplicate_edges(edges, nothing):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(edges).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (5, 1, 5, True), (6, 1, 6, True), (7, 1, 7, True), (None, 1, None, False)} <= got
