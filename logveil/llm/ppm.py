@@ -1,31 +1,26 @@
 """Code length of documents by prediction by partial matching.
 
-A text is its tokens and one end. Bytes of a token are predicted from the up
-to ``order`` bytes before them, of which the space before the token is the
-first; contexts don't reach into the token before, so a token's code length
-depends on the token alone and a document's is the sum over its tokens. The
-model is a trie of byte contexts with counts from all training documents.
-An unseen byte escapes to the next shorter context (method D: a byte seen c
-times of T with q distinct ones has (2c - 1) / 2T, the escape q / 2T), and what the
-longer context has seen is excluded there. Below order 0 all bytes not yet
-excluded are equally likely.
-
-Above the bytes stand two blended contexts. A whole token that the training
-documents have keeps its count less a discount d; the discounts are the
-escape to the byte trie, which learns every distinct token once (as symbols
-that escaped to it would), and d is estimated from the tokens seen once and
-twice. The longest context is the document itself, and it is adaptive: the
-i-th token is one of the tokens before it in proportion to their counts, or
-escapes with odds ``own : (i - 1)``. What a document repeats gets shorter; the
-order of its tokens doesn't matter, so the product has a closed form in Gamma
-functions of the counts.
-
-Everything counted is counted over all documents: documents make token
-tables of bounded chunks, these are summed by token, the trie is summed from
-the tokens, and scores return to the chunks by a join on the token's 64-bit
-hash. No task or machine holds the vocabulary. The trie goes to the
-executors; its size is counted first, and a longest order is taken whose trie
-has at most ``most_nodes`` nodes.
+A text is its tokens, each followed by one space, and one end (byte 10, which
+no token has). Every byte is predicted from the ``order`` bytes before it,
+across tokens; before a text stand ends. The model is a trie of byte contexts
+over all bytes of all training documents, of the same order at every size.
+
+The longest context has the counts of its symbols; a shorter one counts a
+symbol once for each longer context that met it (update exclusion: a symbol
+reaches the shorter context only where the longer one didn't know it). Escapes
+follow method D: of q distinct symbols with T counts in all, one seen c times
+has (c - 1/2) / T and the escape q / 2T. After an escape, what the longer
+context knows is excluded from the shorter one. Below order 0 all bytes not
+yet excluded are equally likely.
+
+The trie is never in one place. Documents are cut to chunks of bounded size,
+and a chunk to its distinct grams (context and symbol) with their counts, dealt
+to parts by the three bytes nearest to the symbol. A part sums the grams of all
+chunks, holds every context of three and more bytes that ends in its own, and
+gives each chunk back the log probability of its grams. Contexts of fewer than
+three bytes span parts; their table has at most 2 ** 24 entries at any size and
+is sent to all. Token counts for the smoothed word baseline travel the same
+way, by the token's 64-bit hash.
 """
 
 from __future__ import annotations
@@ -34,338 +29,379 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _FOLD, _SPACE, bucket, chunks, give_back, lean, run_hashes, utf8, written
-
-ORDER = 5
-OWN = 2000.0  # weight of the trie against the tokens of the document so far
-MOST_NODES = 1_500_000
-CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 60_000
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Of positive numbers: Stirling's series at ``x + 8``."""
-    low = np.zeros_like(x)
-    for j in range(8):
-        low += np.log(x + j)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
-
-
-def adaptive(log10_p: np.ndarray, times: np.ndarray, own: float = OWN) -> np.ndarray:
-    """log10 of ``own * p`` rising ``times`` times: a token's part of its document's probability."""
-    weight = np.log(own) + log10_p * np.log(10)
-    out = weight.copy()
-    many = times > 1
-    w = np.exp(weight[many])
-    out[many] += log_gamma(w + times[many]) - log_gamma(w + 1)
-    return out / np.log(10)
-
-
-def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Binary values ``data[offsets[i]:offsets[i + 1]]`` (offsets in bytes)."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
-
-
-def token_table(texts: list[bytes], trained: np.ndarray) -> tuple[np.ndarray, Iterator[pa.RecordBatch]]:
-    """The tokens of each text, and the table of distinct tokens in blocks: hash, bytes, count in the trained texts, and pairs (text, count) of 16 bits each."""
-    parts = []
-    base = 0
-    for a, b in chunks(texts):
-        part = _FOLD[np.frombuffer(b" ".join([*texts[a:b], b""]), np.uint8)]
-        inside = np.zeros(len(part) + 2, np.int8)
-        inside[1:-1] = ~_SPACE[part]
-        edge = np.diff(inside)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        at = np.cumsum([0, *(len(t) + 1 for t in texts[a:b])])
-        count = np.diff(np.searchsorted(starts, at))
-        parts.append((part, run_hashes(part, starts, ends), (starts + base).astype(np.int32), (ends - starts).astype(np.int32), count))
-        base += len(part)
-    raw, value, starts, sizes, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint16), count)
-    # texts are in order already, so a stable sort by hash orders pairs by text
-    order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
-    n = len(value)
-    new = np.ones(n, bool)
-    new[1:] = value[1:] != value[:-1]
-    pair = new.copy()
-    pair[1:] |= owner[1:] != owner[:-1]
-    begin, pairs = np.flatnonzero(new), np.flatnonzero(pair)
-    times = np.diff(np.append(pairs, n))
-    totals = np.add.reduceat(trained[owner], begin, dtype=np.int64) if n else np.zeros(0, np.int64)
-    who = owner[pairs]
-    bounds = np.searchsorted(pairs, np.append(begin, n))
-    if len(times) and times.max() > 65535:  # one text has a token very often: the pair is repeated
-        parts = -(-times // 65535)
-        left = np.repeat(times, parts)
-        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        times = np.minimum(left - 65535 * step, 65535)
-        who = np.repeat(who, parts)
-        bounds = np.append(0, np.cumsum(parts))[bounds]
-    postings = np.stack([who, times.astype(np.uint16)], axis=1) if len(who) else np.zeros((0, 2), np.uint16)
-    example, value = order[begin], value[begin].view(np.int64)
-    begins, sizes = starts[example], sizes[example]
-    del order, owner, starts, pair
-
-    def blocks(rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(value), rows):
-            own = slice(i, i + rows)
-            cut = np.append(0, np.cumsum(sizes[own], dtype=np.int64))
-            spell = raw[np.repeat(begins[own] - cut[:-1], sizes[own]) + np.arange(cut[-1])]
-            low, high = bounds[i], bounds[min(i + rows, len(value))]
-            docs = _binary(postings[low:high], (bounds[i : i + rows + 1] - low) * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(value[own]), _binary(spell, cut), pa.array(totals[own]), docs], ["hash", "word", "n", "docs"])
-
-    return count, blocks()
-
-
-def token_tables(docs: DataFrame) -> DataFrame:
-    """``chunk, hash, word, n, docs`` of ``docs (id, trained, text)``; a chunk's first row has a null hash and the chunk's ids, flags and sizes."""
+from .common import _FOLD, _SPACE, bucket, give_back, lean, mix, run_hashes, utf8, written
+
+ORDER = 6  # bytes of context; seven bytes of context and symbol leave one of 64 bits' eight
+TOP = 2  # contexts up to here are sent to all parts
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 50_000
+PART_BYTES = 16 << 20  # text whose grams make a part
+END, GAP = 10, 32
+HALF = 0.5  # what method D takes off every count
+
+
+def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' lower-cased tokens, each with a space after it, and an end; and the bytes of each text."""
+    raw = _FOLD[np.frombuffer(b"".join(t + b" \n" for t in texts), np.uint8)]
+    ends = np.cumsum([len(t) + 2 for t in texts], dtype=np.int64) - 1
+    space = _SPACE[raw]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    keep[ends] = True
+    raw[space] = GAP
+    raw[ends] = END
+    size = np.add.reduceat(keep, np.append(0, ends[:-1] + 1), dtype=np.int64)
+    return raw[keep], size
+
+
+def grams(raw: np.ndarray, size: np.ndarray, order: int) -> np.ndarray:
+    """For every byte a number: the ``order`` bytes before it, nearest first, and itself in the lowest byte."""
+    owner = np.repeat(np.arange(1, len(size) + 1, dtype=np.int32), size)
+    place = np.arange(len(raw)) + order * owner
+    padded = np.full(len(raw) + order * len(size), END, np.uint64)
+    padded[place] = raw
+    key = padded.copy()
+    for k in range(1, order + 1):
+        key[k:] |= padded[:-k] << np.uint64(8 * (order + 1 - k))
+    return key[place]
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
+def distinct(key: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers below 2 ** 63 and how often each is ``trained``."""
+    packed = np.sort((key << np.uint64(1)) | trained.astype(np.uint64))
+    value = packed >> np.uint64(1)
+    at = _starts(value)
+    return value[at], np.add.reduceat(packed & np.uint64(1), at).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+
+
+def tokens(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of every token (ends aside)."""
+    word = np.ones(len(raw) + 1, bool)
+    word[0] = False
+    word[1:] = (raw != GAP) & (raw != END)
+    starts = np.flatnonzero(word[1:] & ~word[:-1])
+    ends = np.flatnonzero(raw == GAP)
+    return run_hashes(raw, starts, ends), np.searchsorted(np.cumsum(size), starts, side="right")
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as byte planes behind their count, compressed; ascending ones as differences."""
+    flat = np.ascontiguousarray(values)
+    planes = flat.view(np.uint8).reshape(len(flat), flat.itemsize).T
+    return len(flat).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(blob[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(pa.py_buffer(blob).slice(4), decompressed_size=n * width, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    return np.diff(ordered, prepend=np.uint64(0))
+
+
+def _shorter(key: np.ndarray) -> np.ndarray:
+    """The same symbol in the context without its farthest byte."""
+    return ((key >> np.uint64(16)) << np.uint64(8)) | (key & np.uint64(255))
+
+
+def _found(table: np.ndarray, value: np.ndarray, key: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(key), value.dtype)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return np.where(table[at] == key, value[at], 0)
+
+
+def _escape(count: np.ndarray, total: np.ndarray, kinds: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """log10 of a symbol in a context with these counts left, ``tail`` below it."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(count > 0, np.log10((count - HALF) / total), np.where(kinds > 0, np.log10(HALF * kinds / total), 0.0) + tail)
+
+
+class Top:
+    """Contexts of at most ``TOP`` bytes: the grams of ``TOP`` + 1 bytes and how many longer contexts met each."""
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray):
+        by = np.argsort(gram)
+        self.gram, self.count = [gram[by].astype(np.uint64)], [count[by].astype(np.int64)]
+        for _ in range(TOP):
+            key = np.sort(_shorter(self.gram[0]))
+            at = _starts(key)
+            self.gram.insert(0, key[at])
+            self.count.insert(0, np.diff(np.append(at, len(key))))
+        self.context, self.total, self.kinds, self.below = [], [], [], []
+        for k in range(TOP + 1):
+            context = self.gram[k] >> np.uint64(8)
+            at = _starts(context)
+            add = (lambda v, at=at: np.add.reduceat(v, at)) if len(at) else (lambda v: np.zeros(0, np.int64))
+            self.context.append(context[at])
+            self.total.append(add(self.count[k]))
+            self.kinds.append(np.diff(np.append(at, len(context))))
+            self.below.append(add(_found(self.gram[k - 1], self.count[k - 1], _shorter(self.gram[k]))) if k else np.zeros(len(at), np.int64))
+
+    def state(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of grams of ``TOP`` + 1 bytes: count, total and kinds of the context, and log10 of the symbol after an escape from it."""
+        keys = [key]
+        for _ in range(TOP):
+            keys.insert(0, _shorter(keys[0]))
+        used = int(self.kinds[0][0]) if len(self.kinds[0]) else 0
+        tail = np.full(len(key), -np.log10(max(256 - used, 1)))
+        for k in range(TOP):
+            count, total, kinds = self._at(k, keys[k])
+            above, context = k + 1, keys[k + 1] >> np.uint64(8)
+            tail = _escape(count, total - _found(self.context[above], self.below[above], context), kinds - _found(self.context[above], self.kinds[above], context), tail)
+        return *self._at(TOP, key), tail
+
+    def _at(self, k: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        context = key >> np.uint64(8)
+        return _found(self.gram[k], self.count[k], key), _found(self.context[k], self.total[k], context), _found(self.context[k], self.kinds[k], context)
+
+
+def log10_of(gram: np.ndarray, count: np.ndarray, order: int, top: Top) -> np.ndarray:
+    """log10 probability of the last byte of each of the sorted distinct grams, of which each context of more than ``TOP`` bytes is there whole or not at all."""
+    key, counts, up = [gram], [count], []
+    for _ in range(order - TOP):
+        shorter, back = np.unique(_shorter(key[0]), return_inverse=True)
+        key.insert(0, shorter)
+        up.insert(0, back)
+        counts.insert(0, np.bincount(back, counts[0] > 0, len(shorter)).astype(np.int64))
+    count, total, kinds, tail = top.state(key[0])
+    for k in range(1, order - TOP + 1):
+        back = up[k - 1]
+        context = key[k] >> np.uint64(8)
+        at = _starts(context)
+        sizes = np.diff(np.append(at, len(context)))
+        seen = counts[k] > 0
+
+        def whole(v: np.ndarray, at=at, sizes=sizes) -> np.ndarray:
+            return np.repeat(np.add.reduceat(v, at), sizes) if len(at) else v
+
+        here_kinds = whole(seen.astype(np.int64))
+        tail = _escape(count[back], total[back] - whole(np.where(seen, count[back], 0)), kinds[back] - here_kinds, tail[back])
+        count, total, kinds = counts[k], whole(counts[k]), here_kinds
+    return _escape(count, total, kinds, tail)
+
+
+def chunk_table(docs: DataFrame) -> DataFrame:
+    """``chunk, heads, text, size, tokens, ends`` of ``docs (id, trained, text)``: canonical texts one after another; for each its id, flags, bytes and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        texts: list[bytes] = []
-        heads: list[pa.RecordBatch] = []
-        size = made = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size, made
-            ids = pa.concat_arrays([h.column(0) for h in heads])
-            trained = pa.concat_arrays([h.column(1) for h in heads]).to_numpy(zero_copy_only=False).astype(bool)
-            count, blocks = token_table(texts, trained)
-            chunk = (part << 24) | made
-            head = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64) * 2 + trained, count], axis=1).astype(np.int64)
-            names = ["chunk", "hash", "word", "n", "docs"]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([None], pa.int64()), pa.array([b""]), pa.array([int(trained.sum())], pa.int64()), pa.array([head.tobytes()])], names)
-            for block in blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(block.num_rows, chunk)), *block.columns], names)
-            texts.clear()
-            heads.clear()
-            give_back()
-            size, made = 0, made + 1
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        held = rows = made = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, rows, made
+            head = np.concatenate([h for h, _ in kept])
+            text = b"".join(t.tobytes() for _, t in kept)
+            trained = head[:, 1] % 2 == 1
+            kept.clear()
+            row = [(part << 24) | made, head.tobytes(), text, len(text), int(head[trained, 3].sum()), int(trained.sum())]
+            held, rows, made = 0, 0, made + 1
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["chunk", "heads", "text", "size", "tokens", "ends"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                piece = batch.slice(i, 500)
-                more = utf8(piece.column(2))
-                texts += more
-                heads.append(piece.select([0, 1]))
-                size += sum(map(len, more))
-                if size >= CHUNK_BYTES or len(texts) >= CHUNK_ROWS - 500:
-                    yield from flush()
-        if texts:
-            yield from flush()
-
-    return docs.select("id", "trained", "text").mapInArrow(lean(run), "chunk long, hash long, word binary, n long, docs binary")
-
-
-def _grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol of every word (the closing space included): the ``order`` bytes before it and itself as one number, how many of them there are, and its word."""
-    raw = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8).astype(np.uint64)
-    length = np.array([len(w) + 1 for w in words])
-    owner = np.repeat(np.arange(len(words)), length)
-    begin = np.cumsum(length) - length
-    depth = np.arange(len(owner)) - begin[owner] + 1
-    key = raw[1:].copy()
-    for k in range(1, order + 1):
-        shifted = np.zeros(len(key), np.uint64)
-        shifted[k - 1 :] = raw[: len(key) - k + 1]
-        key |= np.where(depth >= k, shifted << np.uint64(8 * k), np.uint64(0))
-    return key, np.minimum(depth, order), owner
+            for i in range(0, batch.num_rows, 200):
+                piece = batch.slice(i, 200)
+                text, size = canonical(utf8(piece.column(2)))
+                ids, flags = piece.column(0), piece.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                spaces = np.add.reduceat(text == GAP, np.cumsum(size) - size, dtype=np.int64)
+                kept.append((np.stack([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False) * 2 + flags, size, spaces], axis=1).astype(np.int64), text))
+                held, rows = held + len(text), rows + len(size)
+                if held >= CHUNK_BYTES or rows >= CHUNK_ROWS:
+                    yield flush()
+        if kept:
+            yield flush()
+
+    return docs.select("id", "trained", "text").mapInArrow(lean(run), "chunk long, heads binary, text binary, size long, tokens long, ends long")
+
+
+def _opened(heads: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(heads, np.int64).reshape(-1, 4), np.frombuffer(text, np.uint8)
+
+
+class Dealt:
+    """The distinct grams and token hashes of a chunk in the order of the parts they go to."""
+
+    def __init__(self, head: np.ndarray, raw: np.ndarray, order: int, parts: int):
+        size, trained = head[:, 2], head[:, 1] % 2 == 1
+        self.gram, self.gram_n = distinct(grams(raw, size, order), np.repeat(trained, size))
+        nearest = self.gram >> np.uint64(8 * (order - TOP))
+        self.gram_order, self.gram_cut = self._deal(mix(nearest), parts)
+        value, owner = tokens(raw, size)
+        by = np.argsort(value)
+        value, self.owner = value[by], owner[by]
+        at = _starts(value)
+        self.word, self.times = value[at], np.diff(np.append(at, len(value)))
+        self.word_n = np.add.reduceat(trained[self.owner], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+        self.word_order, self.word_cut = self._deal(mix(self.word), parts)
+
+    @staticmethod
+    def _deal(hashed: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        part = (hashed % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.uint32)
+        return np.argsort(part, kind="stable"), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+
+
+def deal(chunks: DataFrame, order: int, parts: int) -> DataFrame:
+    """``part, chunk, gram, gram_n, word, word_n``: packed distinct grams and token hashes of a chunk with their counts in training texts."""
+    names = ["part", "chunk", "gram", "gram_n", "word", "word_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, heads, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+                d = Dealt(*_opened(heads.as_py(), text.as_py()), order, parts)
+                rows = []
+                for p in range(parts):
+                    g = d.gram_order[d.gram_cut[p] : d.gram_cut[p + 1]]
+                    w = d.word_order[d.word_cut[p] : d.word_cut[p + 1]]
+                    if len(g) or len(w):
+                        rows.append((p, chunk.as_py(), pack(_steps(d.gram[g])), pack(d.gram_n[g].astype(np.uint32)), pack(_steps(d.word[w])), pack(d.word_n[w].astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+        give_back()
+
+    return chunks.select("chunk", "heads", "text").mapInArrow(run, "part long, chunk long, gram binary, gram_n binary, word binary, word_n binary")
+
+
+def _summed(blobs: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct numbers of all blobs, their summed counts, and for each blob where its numbers are among them."""
+    each = [np.cumsum(unpack(b, "u8"), dtype=np.uint64) for b in blobs]
+    value = np.concatenate(each)
+    value = np.sort(value)
+    value = value[_starts(value)]
+    total, places = np.zeros(len(value), np.int64), []
+    for key, n in zip(each, counts, strict=True):
+        at = np.searchsorted(value, key)
+        total[at] += unpack(n, "u4")
+        places.append(at.astype(np.uint32))
+    return value, total, places
+
+
+def judge(dealt: DataFrame, order: int, sent) -> DataFrame:
+    """``chunk, part, scores, counts``: what ``deal`` gave, as log10 probabilities and as counts of all; with a row of chunk ``-1 - part`` for the number of distinct trained tokens."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        blobs = {c: [b.as_py() for b in group.column(c)] for c in ("gram", "gram_n", "word", "word_n")}
+        key, total, places = _summed(blobs["gram"], blobs["gram_n"])
+        score = log10_of(key, total, order, sent.value).astype(np.float32)
+        scores = [pack(score[at]) for at in places]
+        key, total, places = _summed(blobs["word"], blobs["word_n"])
+        kinds = int((total > 0).sum())
+        counts = [pack(total[at]) for at in places]
+        give_back()
+        chunks = [*group.column("chunk").to_pylist(), -1 - part]
+        return pa.table({"chunk": chunks, "part": pa.array([part] * len(chunks), pa.int64()), "scores": [*scores, b""], "counts": [*counts, pack(np.array([kinds], np.int64))]})
+
+    return dealt.groupBy("part").applyInArrow(run, "chunk long, part long, scores binary, counts binary")
+
+
+def _document_scores(raw: np.ndarray, size: np.ndarray, gram: np.ndarray, score: np.ndarray, order: int) -> np.ndarray:
+    """Sums of the scores of each text's grams, 256 texts at once: a gram's free byte holds the text."""
+    out = np.zeros(len(size))
+    bounds = np.append(0, np.cumsum(size))
+    for a in range(0, len(size), 256):
+        own = size[a : a + 256]
+        key = grams(raw[bounds[a] : bounds[a + len(own)]], own, order) << np.uint64(8)
+        key |= np.repeat(np.arange(len(own), dtype=np.uint64), own)
+        key.sort()
+        at = _starts(key)
+        times = np.diff(np.append(at, len(key)))
+        key = key[at]
+        found = score[np.searchsorted(gram, key >> np.uint64(8))]
+        out[a : a + len(own)] = np.bincount((key & np.uint64(255)).astype(np.intp), found * times, len(own))
+    return out
+
+
+def gather(chunks: DataFrame, judged: DataFrame, order: int, parts: int, end_n: int) -> DataFrame:
+    """``id, trained, n_tokens, n_known, logs, score`` of each text, and rows without tokens that hold distinct trained tokens in ``n_known``."""
+    schema = pa.schema([("id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("part")
+        counts = [unpack(b.as_py(), "i8") for b in right.column("counts")]
+        if not left.num_rows:
+            kinds = int(sum(c[0] for c in counts))
+            return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, 0, kinds, 0.0, 0.0), schema, strict=True)], schema=schema)
+        head, raw = _opened(left.column("heads")[0].as_py(), left.column("text")[0].as_py())
+        n, size = len(head), head[:, 2]
+        d = Dealt(head, raw, order, parts)
+        score = np.empty(len(d.gram), np.float32)
+        score[d.gram_order] = np.concatenate([unpack(b.as_py(), "f4") for b in right.column("scores")])
+        found = np.empty(len(d.word), np.int64)
+        found[d.word_order] = np.concatenate(counts)
+
+        def total(value: np.ndarray) -> np.ndarray:
+            return np.bincount(d.owner, np.repeat(value, d.times), n)
 
+        result = [
+            pa.array(head[:, 0], mask=head[:, 1] < 2),
+            pa.array(head[:, 1] % 2 == 1),
+            pa.array(head[:, 3] + 1),
+            pa.array(total((found > 0).astype(np.float64)).astype(np.int64) + (end_n > 0)),
+            pa.array(total(np.log10(found + 0.1)) + np.log10(end_n + 0.1)),
+            pa.array(_document_scores(raw, size, d.gram, score, order)),
+        ]
+        give_back()
+        return pa.Table.from_arrays(result, schema=schema)
 
-def _cut(key: np.ndarray, k: int) -> np.ndarray:
-    return key & np.uint64((1 << (8 * (k + 1))) - 1)
+    left = chunks.select("chunk", "heads", "text")
+    return left.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(run, "id long, trained boolean, n_tokens long, n_known long, logs double, score double")
 
 
-def gram_counts(tokens: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, n`` of ``tokens (word, n)``: the context's length in the top byte, then context and symbol."""
+def top_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
+    """``gram, n``: grams of ``TOP`` + 1 bytes and the number of contexts one byte longer that met each, at most 2 ** 24 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(words: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-            key, depth, owner = _grams(words, order)
-            keys, counts = [], []
-            for k in range(order + 1):
-                deep = depth >= k
-                got, back = np.unique(_cut(key[deep], k) | np.uint64(k << 56), return_inverse=True)
-                keys.append(got)
-                counts.append(np.bincount(back, n[owner[deep]], len(got)))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], ["gram", "n"])
-
-        words: list[bytes] = []
-        n: list[np.ndarray] = []
         for batch in batches:
-            words += batch.column(0).to_pylist()
-            n.append(batch.column(1).to_numpy())
-            if len(words) >= 40_000:
-                yield table(words, np.concatenate(n))
-                words, n = [], []
-        if words:
-            yield table(words, np.concatenate(n))
-
-    return tokens.select("word", "n").mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Trie:
-    """Counts of all contexts up to ``order``: for each length the sorted (context, symbol) numbers with counts, and the sorted contexts with sums."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int):
-        self.order = order
-        by = np.argsort(grams, kind="stable")
-        grams, counts = grams[by].view(np.uint64), counts[by].astype(np.float64)
-        length = (grams >> np.uint64(56)).astype(int)
-        self.gram, self.count, self.context, self.total, self.kinds, self.below = [], [], [], [], [], []
-        for k in range(order + 1):
-            own = length == k
-            g, c = grams[own] & np.uint64((1 << 56) - 1), counts[own]
-            ctx, at = np.unique(g >> np.uint64(8), return_index=True)
-            kinds = np.diff(np.append(at, len(g)))
-            # what the next shorter context has counted of the symbols seen here
-            if k and len(g):
-                shorter = _cut(g, k - 1)
-                below = np.add.reduceat(self.count[k - 1][np.searchsorted(self.gram[k - 1], shorter)], at)
-            else:
-                below = np.zeros(len(ctx))
-            self.gram.append(g)
-            self.count.append(c)
-            self.context.append(ctx)
-            self.total.append(np.add.reduceat(c, at) if len(g) else c)
-            self.kinds.append(kinds.astype(np.float64))
-            self.below.append(below)
+            for heads, text in zip(batch.column(0), batch.column(1), strict=True):
+                head, raw = _opened(heads.as_py(), text.as_py())
+                trained = head[:, 1] % 2 == 1
+                raw = raw[np.repeat(trained, head[:, 2])]
+                key = np.sort(grams(raw, head[trained, 2], TOP + 1).astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array(key[_starts(key)].astype(np.int64))], ["gram"])
+        give_back()
 
-    @staticmethod
-    def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(key), np.intp), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-        return at, table[at] == key
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each token, given that a token or the end (the empty word) begins."""
-        if not words:
-            return np.zeros(0)
-        key, depth, owner = _grams(words, self.order)
-        score = np.zeros(len(key))
-        open_ = np.arange(len(key))
-        out_total, out_kinds = np.zeros(len(key)), np.zeros(len(key))  # excluded from the context at hand
-        for k in range(self.order, -1, -1):
-            here = open_[depth[open_] >= k]
-            g = _cut(key[here], k)
-            at, known = self._find(self.context[k], g >> np.uint64(8))
-            here, g, at = here[known], g[known], at[known]
-            total = self.total[k][at] - out_total[here]
-            kinds = self.kinds[k][at] - out_kinds[here]
-            place, seen = self._find(self.gram[k], g)
-            count = self.count[k][place]
-            score[here[seen]] += np.log10((2 * count[seen] - 1) / (2 * total[seen]))
-            on = ~seen & (kinds > 0)
-            score[here[on]] += np.log10(kinds[on] / (2 * total[on]))
-            out_total[here], out_kinds[here] = self.below[k][at], self.kinds[k][at]
-            done = np.zeros(len(key), bool)
-            done[here[seen]] = True
-            open_ = open_[~done[open_]]
-        score[open_] -= np.log10(np.maximum(256 - out_kinds[open_], 1))
-        return np.bincount(owner, score, len(words))
-
-
-def fit(tokens: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES) -> Trie:
-    """The trie of ``tokens (word, n)``. Its nodes are counted before it is fetched; ``most_nodes`` bounds what is fetched and sent."""
-    grams = gram_counts(tokens, order).persist(StorageLevel.DISK_ONLY)  # read twice; lost parts are made again
-    length = F.shiftright("gram", 56)
-    nodes = {r["k"]: r["nodes"] for r in grams.groupBy(length.alias("k")).agg(F.count(F.lit(1)).alias("nodes")).collect()}  # order + 1 rows
-    while order > 1 and sum(nodes.get(k, 0) for k in range(order + 1)) > most_nodes:
-        order -= 1
-    got = grams.where(length <= order).toArrow()
-    grams.unpersist()
-    return Trie(got.column("gram").to_numpy(), got.column("n").to_numpy(), order)
-
-
-def score_documents(docs: DataFrame, trained, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, most_nodes: int = MOST_NODES, own: float = OWN) -> DataFrame:
+    met = chunks.select("heads", "text").mapInArrow(run, "gram long").distinct()
+    shorter = F.shiftleft(F.shiftright("gram", 16), 8).bitwiseOR(F.col("gram").bitwiseAND(F.lit(255)))
+    return met.groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def score_documents(docs: DataFrame, trained, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """``<id_col>, trained, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``trained``: a Boolean column, true for rows to learn from. Null and empty
     texts are the end alone. Rows without an id are scored and, where
-    ``trained`` is null, not learnt from. Repeated rows each count. Extra
-    columns are ignored; an empty table gives an empty one.
+    ``trained`` is null, not learnt from. Repeated rows each count and are each
+    returned; ties don't arise. Extra columns are ignored; an empty table gives
+    an empty one. Without a row to learn from every byte has 1/256. ``order``
+    is 3 to 6. A very long text is a chunk by itself.
     """
+    if not TOP < order <= ORDER:
+        raise ValueError(f"order {order} is not in {TOP + 1} to {ORDER}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(trained, F.lit(False)).alias("trained"), F.col(text_col).alias("text"))
-    tables = written(token_tables(rows), compression="zstd")
-    # the head of a chunk counts as the end: the empty word
-    tokens = written(tables.groupBy("word").agg(F.sum("n").alias("n")), compression="zstd")
-    known = tokens.where("n > 0")
-    once, twice = (F.count_if(F.col("n") == k) for k in (1, 2))
-    facts = known.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), once.alias("once"), twice.alias("twice")).first()
-    total, kinds = facts["all"] or 0, facts["kinds"]
-    discount = max(0.1, facts["once"] / max(1, facts["once"] + 2 * facts["twice"]))
-    trie = fit(known.select("word", F.lit(1).cast("long").alias("n")), order, most_nodes)
-    sent = spark.sparkContext.broadcast(trie)
-
-    def blended(n: np.ndarray, bytes_log10: np.ndarray) -> np.ndarray:
-        if not total:
-            return bytes_log10
-        return np.log10((np.maximum(n - discount, 0) + discount * kinds * 10.0 ** np.maximum(bytes_log10, -300)) / total)
-
-    below = 0.1 * (kinds + 1) + total
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 20_000):
-                part = batch.slice(i, 20_000)
-                n, words = part.column(1).to_numpy(), part.column(0).to_pylist()
-                ppm = blended(n, sent.value.log10(words))
-                ends = np.cumsum([len(w) for w in words])
-                hashes = run_hashes(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column(1), pa.array(ppm.astype(np.float32))], ["hash", "n", "ppm"])
-
-    scores = tokens.where(F.length("word") > 0).select("word", "n").mapInArrow(lean(score), "hash long, n long, ppm float")
-    end_n = int(tokens.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0)
-    end = (end_n > 0, float(np.log10((end_n + 0.1) / below)), float(blended(np.array([end_n]), trie.log10([b""]))[0]))
-    heads = tables.where("hash is null").select("chunk", "docs", F.lit(None).cast("long").alias("n"), F.lit(0.0).cast("float").alias("ppm"))
-    scored = tables.where("hash is not null").select("chunk", "hash", "docs").join(scores, "hash").select("chunk", "docs", "n", "ppm").unionByName(heads)
-
-    def gather(batch: pa.Table) -> pa.Table:
-        trained_n = batch.column("n").combine_chunks()
-        blobs = batch.column("docs").combine_chunks()
-        is_head = trained_n.is_null().to_numpy(zero_copy_only=False)
-        place = int(np.flatnonzero(is_head)[0])
-        head = np.frombuffer(blobs[place].as_py(), np.int64).reshape(-1, 3)
-        n = len(head)
-        size = np.asarray(pa.compute.binary_length(blobs)) // 4
-        size[place] = 0
-        rest = blobs.filter(pa.array(~is_head))
-        flat = np.frombuffer(b"".join(rest.to_pylist()), np.uint16).reshape(-1, 2)
-        who, times = flat[:, 0], flat[:, 1].astype(np.float64)
-
-        def total(value: np.ndarray) -> np.ndarray:
-            return np.bincount(who, np.repeat(value, size) * times, n)
-
-        n_train, ppm = trained_n.fill_null(0).to_numpy(zero_copy_only=False), batch.column("ppm").to_numpy().astype(np.float64)
-        # a token whose pair had to be split counts as one
-        both = who.astype(np.int64) + np.repeat(np.arange(len(size)), size) * n
-        new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
-        often = np.add.reduceat(times, new) if len(new) else times
-        score = np.bincount(who[new], adaptive(np.repeat(ppm, size)[new], often, own), n).astype(np.float64)
-        length = head[:, 2] + 1.0
-        score += adaptive(np.full(n, end[2]), np.ones(n), own) - (log_gamma(own + length) - log_gamma(np.full(n, own))) / np.log(10)
-        return pa.table(
-            {
-                "id": pa.array(head[:, 0], mask=head[:, 1] < 2),
-                "trained": pa.array(head[:, 1] % 2 == 1),
-                "n_tokens": pa.array(head[:, 2] + 1),
-                "n_known": pa.array(total((n_train > 0).astype(np.float64)).astype(np.int64) + int(end[0])),
-                "base_score": pa.array(total(np.log10((n_train + 0.1) / below)) + end[1]),
-                "score": pa.array(score),
-            }
-        )
-
-    out = scored.groupBy("chunk").applyInArrow(gather, "id long, trained boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col).withColumn("train_tokens", F.lit(total).cast("long"))
+    chunks = written(chunk_table(rows), compression="zstd")
+    facts = chunks.agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("ends").alias("ends")).first()
+    parts = max(1, -(-(facts["size"] or 0) // PART_BYTES))
+    ends = facts["ends"] or 0
+    total = (facts["tokens"] or 0) + ends
+    top = top_counts(chunks).toArrow()
+    sent = spark.sparkContext.broadcast(Top(top.column("gram").to_numpy(), top.column("n").to_numpy()))
+    judged = judge(deal(chunks, order, parts), order, sent)
+    out = written(gather(chunks, judged, order, parts, ends))
+    kinds = (out.where("n_tokens = 0").agg(F.sum("n_known")).first()[0] or 0) + (ends > 0)
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + 0.1 * (kinds + 1))))
+    return out.where("n_tokens > 0").select(F.col("id").alias(id_col), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

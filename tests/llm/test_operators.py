@@ -1,5 +1,6 @@
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -88,60 +89,67 @@ def test_ppm_base_and_counts(spark, small, texts):
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws), rel=1e-9)
 
 
-def brute_ppm(counts, order):
-    children = collections.defaultdict(dict)
-    for w, n in counts.items():
-        q = b" " + w + b" "
-        for i in range(1, len(q)):
-            for k in range(min(order, i) + 1):
-                c = children[q[i - k : i]]
-                c[q[i]] = c.get(q[i], 0) + n
+def brute_ppm(trained, order):
+    """Distribution of the next byte after a context, from dictionaries of symbol counts."""
+    tables = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    for t in trained:
+        q = b"\n" * order + t
+        for i in range(order, len(q)):
+            tables[order][q[i - order : i]][q[i]] += 1
+    for k in range(order, 0, -1):
+        for context, symbols in tables[k].items():
+            tables[k - 1][context[1:]].update(symbols.keys())
 
     def distribution(context):
         """Over all 256 next bytes."""
-        out, seen, left = {}, set(), 1.0
-        for k in range(len(context), -1, -1):
-            own = {s: n for s, n in children.get(context[len(context) - k :], {}).items() if s not in seen}
+        out, left = {}, 1.0
+        for k in range(order, -1, -1):
+            own = {s: n for s, n in tables[k].get(context[order - k :], {}).items() if s not in out}
+            total = sum(own.values())
+            out |= {s: left * (n - 0.5) / total for s, n in own.items()}
             if own:
-                total = sum(own.values())
-                out |= {s: left * (2 * n - 1) / (2 * total) for s, n in own.items()}
-                left *= len(own) / (2 * total)
-                seen |= set(own)
-        return out | {s: left / (256 - len(seen)) for s in range(256) if s not in seen}
+                left *= 0.5 * len(own) / total
+        free = 256 - len(out)
+        return out | {s: left / free for s in range(256) if s not in out}
 
     return distribution
 
 
-def test_ppm_trie_against_brute_force():
-    counts = {b"the": 9, b"then": 3, b"cat": 2, b"": 4, b"a": 1, b"\xc3\xa9t": 2}
-    distribution = brute_ppm(counts, 3)
-    for context in (b" ", b" t", b" th", b"the", b"zz", b" c"):
-        assert sum(distribution(context).values()) == pytest.approx(1)
-    grams = collections.Counter()
-    for w, n in counts.items():
-        q = b" " + w + b" "
-        for i in range(1, len(q)):
-            for k in range(min(3, i) + 1):
-                grams[(k << 56) | int.from_bytes(q[i - k : i + 1], "big")] += n
-    trie = ppm.Trie(np.array(list(grams), np.int64), np.array(list(grams.values())), 3)
-    for w in [*counts, b"thecat", b"zq", b"\xff"]:
-        q = b" " + w + b" "
-        want = sum(math.log10(distribution(q[max(0, i - 3) : i])[q[i]]) for i in range(1, len(q)))
-        assert trie.log10([w])[0] == pytest.approx(want, rel=1e-9)
-
-
-def test_ppm_document_context():
-    p, own = np.log10(np.array([0.01])), 50.0
-    # one token three times: own*p / own, then one seen of the tokens before it
-    want = sum(math.log10((own * 0.01 + i) / (own + i)) for i in range(3))
-    got = ppm.adaptive(p, np.array([3.0]), own)[0] - (ppm.log_gamma(np.array([own + 3])) - ppm.log_gamma(np.array([own])))[0] / math.log(10)
-    assert got == pytest.approx(want, rel=1e-9)
-    assert ppm.log_gamma(np.array([0.5, 1e-6, 30.0])) == pytest.approx([math.lgamma(x) for x in (0.5, 1e-6, 30.0)], rel=1e-9)
+def spelled(text):
+    return b"".join(w + b" " for w in text.encode().translate(FOLD).split(b" ") if w) + b"\n"
+
+
+FOLD = bytes(ord(chr(k).lower()) if 65 <= k < 91 else 32 if 9 <= k < 14 else k for k in range(256))
+
+
+def test_ppm_score_equals_brute_force(spark, small, texts, monkeypatch):
+    monkeypatch.setattr(ppm, "PART_BYTES", 100_000)  # more than one part and chunk
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 150_000)
+    got = {r.doc_id: r.score for r in queries.QUERIES["op1_ppm"](spark, small).collect()}
+    lines = {k: spelled(t) for k, t in texts.items()}
+    distribution = functools.cache(brute_ppm([t for k, t in lines.items() if zlib.crc32(str(k).encode()) % 10], ppm.ORDER))
+    assert all(sum(distribution(c).values()) == pytest.approx(1) for c in (b"\n" * 6, b"of the", b"\xff\xfe\xfd\xfc\xfb\xfa"))
+    for k, t in lines.items():
+        q = b"\n" * ppm.ORDER + t
+        want = sum(math.log10(distribution(q[i : i + ppm.ORDER])[q[i + ppm.ORDER]]) for i in range(len(t)))
+        assert got[k] == pytest.approx(want, rel=1e-6)
+
+
+def test_ppm_depends_on_word_order(spark):
+    rows = spark.createDataFrame([(k, "one two three four five six") for k in range(5)] + [(9, "six five four three two one")], "doc_id long, text string")
+    got = {r.doc_id: r for r in ppm.score_documents(rows, F.col("doc_id") < 9).collect()}
+    assert got[0].base_score == pytest.approx(got[9].base_score) and got[0].score > got[9].score + 1
+
+
+def test_ppm_packs():
+    for v in (np.zeros(0, np.uint64), np.array([3, 3, 7, 1 << 63], np.uint64), np.array([1.5, -2], np.float32)):
+        assert ppm.unpack(ppm.pack(v), v.dtype.str).tolist() == v.tolist()
 
 
 def test_ppm_beats_words_on_held_out_text(spark, small):
-    held = queries.QUERIES["op1_ppm"](spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert held.s > held.b
+    for folder in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        held = queries.QUERIES["op1_ppm"](spark, folder).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+        assert held.s > held.b
 
 
 def test_ppm_edges(edges, nothing):
@@ -152,14 +160,6 @@ def test_ppm_edges(edges, nothing):
     assert ppm.score_documents(edges, F.lit(False)).where("n_known > 0").count() == 0
 
 
-def test_ppm_split_pairs():
-    count, blocks = ppm.token_table([b"a " * 150_000, b"b a"], np.array([True, False]))
-    rows = [r for block in blocks for r in block.to_pylist()]
-    assert count.tolist() == [150_000, 2] and sum(r["n"] for r in rows) == 150_000
-    pairs = {r["word"]: np.frombuffer(r["docs"], np.uint16).reshape(-1, 2) for r in rows}
-    assert pairs[b"a"][pairs[b"a"][:, 0] == 0][:, 1].sum() == 150_000 and pairs[b"b"].tolist() == [[1, 1]]
-
-
 # --- 2 --------------------------------------------------------------------------------------------------------------
 
 
