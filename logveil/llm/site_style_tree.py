@@ -2,15 +2,24 @@
 
 The elements of all pages of a host are merged by their path of tags, classes
 and ids. A node of the merged tree has a presentation importance (entropy of
-its children's tag sequences over the pages that have it) and a content
-importance (entropy of its text), both divided by the largest entropy that so
-many pages can have; what a page declares about an element (``article``,
-``nav``, class ``ad`` ...) is the prior by which the greater of the two is
-multiplied. Branches of low importance go; of the rest the text stays.
-
-A host's elements are counted as (host, path, style) and (host, path, content)
-with map-side combining, so a host with most of the pages is dealt out by its
-contents, never gathered.
+its children's tag sequences) and a content importance (entropy of its text),
+each divided by the largest entropy of so many pages; copies of a page, and of
+the article that a node is in, are counted once, so that copied texts don't
+look like templates. What a branch varies by, and how surely (1 - 1 / pages),
+is evidence between -3 (the same everywhere) and +1 (different everywhere),
+which is near -3 only close to an entropy of nought: words that often return
+make no template. To this evidence a page adds what it declares about the branch: +2 for the page's article and
+what it is in, -1.5 for what stands beside it, -3.5 for branches that declare
+themselves a menu, advert, comment and so on. A branch whose sum is below
+nought goes, with all in it; of the rest the text stays. So a template goes
+even from inside an article, and a page without declarations is judged by its
+site alone. Where all text would go, the site's pages are copies of each
+other, and what is declared decides alone.
+
+Elements are counted as numbers of (site, path, value) with map-side
+combining, so a host with most of the pages is dealt out by its contents. The
+nodes with evidence against them go back to the pages of their site, whose
+html is then read once more.
 """
 
 from __future__ import annotations
@@ -30,20 +39,17 @@ from .url_filter import split_url
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe textarea title svg math object select canvas audio video xmp noembed noframes".split())
-#: Branches with a prior of nought.
-ASIDE_TAGS = frozenset("head nav footer aside form menu button dialog input label fieldset".split()) | RAW
-ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar "
-    "breadcrumb breadcrumbs sidebar side rail footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert "
-    "popup modal overlay subscribe newsletter signup login search share sharing social comment comments disqus respond replies reply "
-    "related recommended recommendations widget widgets pager pagination skip copyright legal disclaimer form".split()
-)
-#: Parts of class and id names that tell as much inside longer words.
-ASIDE_PARTS = re.compile("advert|comment|cookie|newsletter|breadcrumb|sidebar|navbar|popup|sponsor")
+RAW = frozenset("script style noscript template iframe textarea title svg math object select canvas audio video xmp noembed noframes button".split())
+ASIDE_TAGS = frozenset("head nav footer aside form menu dialog fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+#: What a class or id calls a branch by its last word ("user-comments"), boxes aside ("comment-list").
+ASIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer form header masthead "
+    "menu menus nav navbar navigation newsletter notice notices popup respond sidebar sponsor sponsored".split()
+)
+BOXES = frozenset("area bar block box container group inner list section thread wrap wrapper".split())
 MAIN_TAGS = frozenset(("article", "main"))
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -51,80 +57,97 @@ CLOSES = {
 }
 SCOPE = frozenset("ul ol dl table article main section div nav aside body html".split())
 
+INSIDE, BESIDE, DECLARED = 2.0, -1.5, -3.5  # what a page's declarations add
+LEAST, MOST = -3.0, 1.0  # evidence of what never and what always differs
+SHARP = 8  # power by which evidence against a branch falls as it varies
+SENT = 500_000  # nodes that may be broadcast
+SALT = 16  # slices of a site's pages where its nodes are joined
+
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?", re.S)
-WORD = re.compile(r"[a-z0-9]+")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+DIGITS = re.compile(r"\d+")
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 
 
-def _hash(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _hash(x: bytes) -> int:
+    return xxhash.xxh64_intdigest(x) - (1 << 63)
 
 
-def _declared(tag: str, attributes: str, in_main: bool) -> tuple[bool, str, bool]:
-    """Whether an element declares itself beside the main text, its class and id, and whether it declares itself the main text."""
-    main = tag in MAIN_TAGS
-    if not attributes or attributes.isspace():
-        return tag in ASIDE_TAGS or (tag == "header" and not in_main), "", main
-    found = {}
-    for m in ATTRIBUTE.finditer(attributes):
-        found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    beside = tag in ASIDE_TAGS or (tag == "header" and not in_main) or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "") in ASIDE_ROLES or "display:none" in found.get("style", "").replace(" ", "")
-    if not beside and tag not in ("html", "body") and names != " ":
-        words = WORD.findall(names)
-        beside = not ASIDE_WORDS.isdisjoint(words) or ("header" in words and not in_main) or ASIDE_PARTS.search(names) is not None
-    main = main or found.get("role") == "main" or found.get("itemprop") == "articlebody"
-    return beside, names.strip(), main
+def _bytes(x: str) -> bytes:
+    return x.encode("utf-8", "surrogatepass")
 
 
 class Element:
-    __slots__ = ("tag", "path", "main", "children", "digest", "index")
-
-    def __init__(self, tag: str, path: int, main: int):
-        self.tag, self.path, self.main = tag, path, main
-        self.children: list[str] = []
-        self.digest = xxhash.xxh64()
+    """A block element: its place in the merged tree, what it declares, and digests of what it holds."""
 
+    __slots__ = ("tag", "names", "parent", "main", "aside", "header", "children", "held", "chars", "content", "holder", "path", "prior")
 
-def parse(html: str) -> tuple[list[tuple[str, int, list[int]]], list[tuple[int, int, int]]]:
-    """Blocks ``(text, main element or 0, paths of the elements around it)`` and branches ``(path, style, content)``, without what is declared to be beside the main text."""
-    blocks: list[tuple[str, int, list[int]]] = []
-    branches: list[tuple[int, int, int]] = []
-    stack = [Element("", 0, 0)]
+    def __init__(self, tag: str, parent: int, attributes: str):
+        self.tag, self.parent = tag, parent
+        self.main, self.aside, self.header = tag in MAIN_TAGS, tag in ASIDE_TAGS, tag == "header"
+        self.children: list[str] = []
+        self.held: list[bytes] = []
+        self.chars = 0
+        self.names = ""
+        if attributes and not attributes.isspace():
+            self._declared(attributes)
+
+    def _declared(self, attributes: str) -> None:
+        found: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(attributes):
+            found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+        names = [*found.get("class", "").split(), *found.get("id", "").split()]
+        self.names = DIGITS.sub("#", " ".join(names)).lower()
+        role = found.get("role", "").lower()
+        self.main = self.main or role == "main" or found.get("itemprop", "").lower() == "articlebody"
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        self.aside = self.aside or hidden or role in ASIDE_ROLES
+        if self.tag not in ("html", "body"):
+            for name in names:
+                words = [w.lower() for w in NAME_WORD.findall(name)]
+                while len(words) > 1 and words[-1] in BOXES:
+                    words.pop()
+                if words and words[-1] in ASIDE_NAMES:
+                    if words[-1] == "header":
+                        self.header = True
+                    else:
+                        self.aside = True
+
+
+def parse(html: str) -> tuple[list[Element], list[tuple[str, int]]]:
+    """Block elements in page order, of which the first is the page, and blocks of text with the element around each."""
+    elements = [Element("", -1, "")]
+    blocks: list[tuple[str, int]] = []
+    stack: list[tuple[str, int]] = [("", 0)]  # tag, nearest block element
     buffer: list[str] = []
-    mains = 0
-    skipped = 0  # depth of the stack at which a branch beside the main text began
 
     def flush() -> None:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((text, stack[-1].main, [e.path for e in stack[1:] if e.path]))
-                for e in stack[1:]:
-                    e.digest.update(text.encode("utf-8", "surrogatepass"))
+                at = stack[-1][1]
+                blocks.append((text, at))
+                elements[at].held.append(b"t" + _bytes(text))
+                elements[at].chars += len(text)
 
     def close() -> None:
-        nonlocal skipped
-        flush()
-        e = stack.pop()
-        if e.path and (not skipped or len(stack) < skipped):
-            branches.append((e.path, _hash(" ".join(e.children)), e.digest.intdigest() - (1 << 63)))
-        if skipped and len(stack) < skipped:
-            skipped = 0
+        if stack[-1][0] in BLOCK:
+            flush()
+        stack.pop()
 
     at, end = 0, len(html)
     while at < end:
         m = MARKUP.search(html, at)
         if m is None:
-            if not skipped:
-                buffer.append(html[at:])
+            buffer.append(html[at:])
             break
-        if not skipped and m.start() > at:
+        if m.start() > at:
             buffer.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if not skipped and m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA["):
                 buffer.append(m[0][9:-3])
             continue
         tag = m[2].lower()
@@ -132,14 +155,14 @@ def parse(html: str) -> tuple[list[tuple[str, int, list[int]]], list[tuple[int,
             if tag == "br":
                 buffer.append(" ")
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
+                if stack[k][0] == tag:
                     while len(stack) > k:
                         close()
                     break
             continue
         attributes = m[3] or ""
         if tag in RAW and not attributes.rstrip().endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
+            stop = _RAW_END[tag].search(html, at)
             at = stop.end() if stop else (end if tag in ("script", "style") else at)
             if tag in BLOCK:
                 flush()
@@ -148,113 +171,151 @@ def parse(html: str) -> tuple[list[tuple[str, int, list[int]]], list[tuple[int,
             flush()
             shut = CLOSES.get(tag)
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or (shut and stack[k].tag in shut):
+                if stack[k][0] == "p" or (shut and stack[k][0] in shut):
                     while len(stack) > k:
                         close()
                     if not shut:
                         break
-                elif stack[k].tag in SCOPE:
+                elif stack[k][0] in SCOPE:
                     break
         if tag in VOID or attributes.rstrip().endswith("/"):
-            if tag == "br" and not skipped:
+            if tag == "br":
                 buffer.append(" ")
             continue
-        parent = stack[-1]
-        if skipped:
-            stack.append(Element(tag, 0, parent.main))
-            continue
-        beside, names, is_main = _declared(tag, attributes, parent.main > 0)
-        if beside:
-            flush()
-            parent.children.append(tag)
-            stack.append(Element(tag, 0, parent.main))
-            skipped = len(stack)
-            continue
+        parent = stack[-1][1]
         if tag not in BLOCK:
-            stack.append(Element(tag, 0, parent.main))
+            stack.append((tag, parent))
             continue
-        main = parent.main
-        if is_main and not main:
-            mains += 1
-            main = mains
-        parent.children.append(tag)
-        # inside a declared article the tree ends: its parts share its importance
-        path = 0 if parent.main else _hash(f"{parent.path} {tag} {names}")
-        stack.append(Element(tag, path, main))
+        elements[parent].children.append(tag)
+        elements[parent].held.append(b"")  # to be the child's digest
+        stack.append((tag, len(elements)))
+        elements.append(Element(tag, parent, attributes))
     while len(stack) > 1:
         close()
     flush()
-    return blocks, branches
-
-
-NODE = "array<struct<path:long,style:long,content:long>>"
-BLOCKS = "array<struct<text:string,paths:array<long>>>"
-
-
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """``row, id, url, host, text, blocks, branches`` of ``pages (row, id, url, host, html)``.
-
-    ``text`` is there where the page declares its main text; only other pages
-    have ``blocks``.
-    """
-    block = pa.list_(pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64()))]))
-    node = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64())]))
-
-    def plain(text: str) -> str:
-        return text.encode("utf-8", "replace").decode()
+    _finish(elements)
+    return elements, blocks
+
+
+def _finish(elements: list[Element]) -> None:
+    """Digests and lengths from the leaves up, the page's article, then priors and paths from the root down."""
+    inner: list[list[bytes]] = [[] for _ in elements]
+    for i in range(len(elements) - 1, -1, -1):
+        e = elements[i]
+        below = iter(reversed(inner[i]))
+        digest = xxhash.xxh64(b"\n".join(h or next(below) for h in e.held)).digest()
+        e.content = int.from_bytes(digest, "big") - (1 << 63)
+        if i:
+            inner[e.parent].append(digest)
+            elements[e.parent].chars += e.chars
+    within = [False] * len(elements)  # in a branch that declares itself beside the text
+    for i, e in enumerate(elements):
+        within[i] = e.aside or (i > 0 and within[e.parent])
+    mains = [i for i, e in enumerate(elements) if e.main and not within[i]]
+    articles = [i for i in mains if elements[i].tag != "main"] or mains
+    best = max(articles, key=lambda i: (elements[i].chars, -i), default=None)
+    above, region = set(), None
+    i = best
+    while i is not None and i >= 0:
+        above.add(i)
+        if elements[i].main:
+            region = i
+        i = elements[i].parent
+    inside = [False] * len(elements)
+    for i, e in enumerate(elements):
+        inside[i] = i == region or (i > 0 and inside[e.parent])
+        e.holder = elements[region if inside[i] and i != region else 0].content
+        e.prior = 0.0 if region is None else INSIDE if inside[i] or i in above else BESIDE
+        teaser = e.tag == "article" and e.main and i not in above  # another article, or a comment in the article
+        if e.aside or teaser or (e.header and not inside[i]):
+            e.prior += DECLARED
+        e.path = _hash(_bytes(f"{elements[e.parent].path if i else 0} {e.tag} {e.names}{' +' if teaser else ''}"))
+
+
+def node_rows(elements: list[Element]) -> Iterator[tuple[int, int, int, int]]:
+    """``path, kind, value, holder`` of each element: its text (kind 0) and, where it holds elements, their tags (kind 1); the holder is the text of its article or page."""
+    for e in elements[1:]:
+        yield e.path, 0, e.content, e.holder
+        if e.children:
+            yield e.path, 1, _hash(" ".join(e.children).encode()), e.holder
+
+
+def chosen(html: str, against: dict[int, float]) -> list[str]:
+    """Texts of the blocks whose branches all have a sum of nought or more."""
+    elements, blocks = parse(html)
+
+    def kept(evidence: dict[int, float]) -> list[str]:
+        stays = [True] * len(elements)
+        for i, e in enumerate(elements[1:], 1):
+            stays[i] = stays[e.parent] and e.prior + evidence.get(e.path, 0.0) >= 0
+        return [t for t, i in blocks if stays[i]]
+
+    return kept(against) or kept({})
+
+
+def tree_nodes(pages: DataFrame) -> DataFrame:
+    """``site, path, kind, value, holder`` of the elements of ``pages (site, html)``."""
+    names = ["site", "path", "kind", "value", "holder"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                parsed = [parse(h or "") for h in part.column(4).to_pylist()]
-                main = [[plain(t) for t, m, _ in b if m] for b, _ in parsed]
-                text = pa.array(["\n".join(m) if m else None for m in main], pa.string())
-                blocks = pa.array([None if m else [{"text": plain(t), "paths": p} for t, _, p in b] for m, (b, _) in zip(main, parsed, strict=True)], block)
-                nodes = pa.array([[{"path": p, "style": s, "content": c} for p, s, c in n] for _, n in parsed], node)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), text, blocks, nodes], ["row", "id", "url", "host", "text", "blocks", "branches"])
+            rows = {(s, *r) for s, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in node_rows(parse(h or "")[0])}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-    return pages.select("row", "id", "url", "host", "html").mapInArrow(lean(run), f"row long, id long, url string, host string, text string, blocks {BLOCKS}, branches {NODE}")
+    return pages.select("site", "html").mapInArrow(lean(run), "site long, path long, kind int, value long, holder long")
 
 
-def importance(parsed: DataFrame) -> DataFrame:
-    """``host, path, pages, importance`` of the merged tree's nodes: the greater of both entropies, 1 for nodes of fewer than three pages."""
-    seen = parsed.select("host", F.inline("branches"))
+def importance(nodes: DataFrame) -> DataFrame:
+    """``site, path, n, importance, evidence`` of the merged tree's nodes.
 
-    def entropy(value: str) -> DataFrame:
-        each = seen.groupBy("host", "path", value).agg(F.count(F.lit(1)).alias("n"))
-        return each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    ``n``: pairs of its text and the article or page that holds it; the
+    importance is the greater of the entropies of its texts and of its
+    children's tags over these, divided by log ``n`` (1 where ``n`` is 1).
+    """
+    each = nodes.distinct().groupBy("site", "path", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
+    sums = [F.sum(F.when(F.col("kind") == k, v)).alias(f"{a}{k}") for k in (0, 1) for a, v in (("n", F.col("c")), ("s", F.col("c") * F.log("c")))]
+    found = each.groupBy("site", "path").agg(*sums)
 
-    def relative() -> F.Column:
-        return F.log("pages") - F.col("s") / F.col("pages")
+    def relative(k: int) -> F.Column:
+        n = F.col(f"n{k}")
+        return F.when(n > 1, 1 - F.col(f"s{k}") / (n * F.log(n))).otherwise(F.when(n == 1, 1.0))
 
-    style = entropy("style").select("host", "path", "pages", relative().alias("style_h"))
-    content = entropy("content").select("host", "path", relative().alias("content_h"))
-    both = style.join(content, ["host", "path"])
-    return both.select("host", "path", "pages", F.when(F.col("pages") < 3, 1.0).otherwise(F.greatest("style_h", "content_h") / F.log("pages")).alias("importance"))
+    high = F.greatest(relative(0), relative(1))
+    return found.select("site", "path", F.col("n0").alias("n"), high.alias("importance")).withColumn("evidence", (1 - 1 / F.col("n")) * (MOST - (MOST - LEAST) * (1 - F.col("importance")) ** SHARP))
 
 
-def main_text(pages: DataFrame, least: float = 0.3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``<id_col>, <url_col>, text, n_chars`` of every row.
 
-    A page that declares an ``article`` or ``main`` keeps the text of those
-    elements alone; of other pages every branch goes whose importance on its
-    host is under ``least``, unless nothing would stay. Null and empty pages
-    have an empty text; pages without a host make one site. Repeated rows stay
-    repeated; extra columns are ignored; an empty table gives an empty one.
+    Null and empty pages have an empty text; pages without a host make one
+    site. Where branches have a sum of nought, they stay. Of articles of one
+    length the first is the page's. Repeated rows stay repeated and count
+    once; extra columns are ignored; an empty table gives an empty one.
+
+    Only nodes with evidence against them can turn a decision, so only these
+    return to the pages, as one list for each site: by broadcast where they
+    are at most ``SENT``, else by a join of the site's pages in slices.
     """
     host, _ = split_url(F.col(url_col))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    parsed = written(parse_pages(rows), compression="zstd")
-    low = importance(parsed).where(F.col("importance") < least).select("host", "path")
-    open_ = parsed.where("text is null")
-    # collect_set gathers the paths of one page at most
-    gone = open_.select("row", "host", F.explode("branches.path").alias("path")).join(low, ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("gone"))
-    joined = open_.select("row", "id", "url", "blocks").join(gone, "row", "left")
-    left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["paths"], F.col("gone")))
-    kept = F.when(F.size(left) > 0, left).otherwise(F.col("blocks"))
-    chosen = joined.select("id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
-    out = parsed.where("text is not null").select("id", "url", "text").unionByName(chosen)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("site"), F.col(html_col).alias("html"))
+    low = written(importance(tree_nodes(rows)).where("evidence < 0").select("site", "path", "evidence"))
+    lists = low.groupBy("site").agg(F.collect_list(F.struct("path", "evidence")).alias("low"))
+    if low.count() <= SENT:
+        joined = rows.join(F.broadcast(lists), "site", "left")
+    else:
+        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALT)).cast("int")).join(salted, ["site", "salt"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                text = "\n".join(chosen(html or "", {x["path"]: x["evidence"] for x in low or ()}))
+                texts.append(text.encode("utf-8", "replace").decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+
+    out = joined.select("id", "url", "html", "low").mapInArrow(lean(run), "id long, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text").withColumn("n_chars", F.length("text").cast("long"))
 
 

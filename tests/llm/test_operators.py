@@ -516,12 +516,52 @@ def test_components(spark):
         ("<nav>x</nav><div class='side-bar ad'>y</div><div>z<script>if (a<b) '</div>'</script></div>", ["z"]),
         ("<article><header><h1>T</h1></header><p>x</p><section id=comments><p>no</p></section><form>q</form></article><footer>f", ["T", "x"]),
         ("<table><tr><td>1<td>2<tr><td>3</table><!-- c --><div hidden>h</div><div role=navigation>n", ["1", "2", "3"]),
-        ("<div class='siteHeader header'>x</div><div role=main><div class=userComments>no</div><p>y</div><p>z", ["y", "z"]),
+        ("<div class='siteHeader header'>x</div><div role=main><div class=userComments>no</div><p>y</div><p>z", ["y"]),
+        ("<article><p>Keep</p><div class='legal'>a</div><section id='search-trees'>b</section><div class='share-prices'>c</div></article>", ["Keep", "a", "b", "c"]),
+        ("<main><h1>T</h1><article><p>long text</p></article><article><p>teaser</p></article></main><div>side</div>", ["T", "long text"]),
+        ("<article><p>text of it</p><article><p>a reply</p></article><div class=comment-list>no</div><div class=menu-of-the-day>yes</div></article>", ["text of it", "yes"]),
         ("<title>t</title><p title='a > b'>x &#233;&nbsp; y</p><![CDATA[z]]>", ["x é y", "z"]),
     ],
 )
 def test_blocks(html, blocks):
-    assert [b[0] for b in site_style_tree.parse(html)[0]] == blocks
+    assert site_style_tree.chosen(html, {}) == blocks
+
+
+def test_template_inside_articles_goes(spark):
+    """A branch of the article that is the same in all articles is a template; copies of one article are none."""
+    page = "<nav>{0}</nav><article><h1>Title</h1><p>Text {0}</p><div class=legal>Law {0}</div><div class=more>Read our other texts</div></article>"
+    rows = [(i, f"http://a.example.org/{i}", page.format(f"number {i}")) for i in range(8)] + [(20 + i, f"http://b.example.org/{i}", page.format("same")) for i in range(8)]
+    got = {r.page_id: r.text for r in site_style_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text number {i}\nLaw number {i}" for i in range(8)} | {20 + i: "Title\nText same\nLaw same\nRead our other texts" for i in range(8)}
+
+
+def test_importance_against_brute_force(spark):
+    """Entropies of a tree merged with dictionaries, over hosts of mixed pages."""
+    rng = random.Random(8)
+    parts = ["<p>{}</p>", "<div class=legal>{}</div>", "<ul><li>{}<li>x</ul>", "<div id=c{}>same</div>", "<aside>{}</aside>"]
+    pages = [(rng.choice("ab"), "<article>" * (rng.random() < 0.5) + "".join(p.format(rng.randrange(4)) for p in rng.choices(parts, k=rng.randrange(5)))) for _ in range(60)]
+    merged = collections.defaultdict(set)
+    for site, html in pages:
+        elements, _ = site_style_tree.parse(html)
+        for path, kind, value, holder in site_style_tree.node_rows(elements):
+            merged[ord(site), path].add((kind, value, holder))
+
+    def relative(values):
+        n = len(values)
+        return 1.0 if n == 1 else -sum(c / n * math.log(c / n) for c in collections.Counter(values).values()) / math.log(n)
+
+    want = {k: max(relative([x for kind, x, _ in v if kind == j]) for j in (0, 1) if any(kind == j for kind, _, _ in v)) for k, v in merged.items()}
+    rows = spark.createDataFrame([(ord(s), h) for s, h in pages], "site long, html string")
+    got = {(r.site, r.path): r.importance for r in site_style_tree.importance(site_style_tree.tree_nodes(rows)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert min(want.values()) < 0.3 and max(want.values()) > 0.9
+
+
+def test_sliced_sites_give_the_same_text(spark, small, monkeypatch):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    want = {(r.page_id, r.text) for r in site_style_tree.main_text(pages).collect()}
+    monkeypatch.setattr(site_style_tree, "SENT", -1)
+    assert {(r.page_id, r.text) for r in site_style_tree.main_text(pages).collect()} == want
 
 
 def test_branches_alike_on_a_site_go(spark):
