@@ -193,7 +193,7 @@ def log10_of(gram: np.ndarray, count: np.ndarray, order: int, top: Top) -> np.nd
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """``chunk, heads, text, size, tokens, ends`` of ``docs (id, trained, text)``: canonical texts one after another; for each its id, flags, bytes and tokens."""
+    """``chunk, heads, text, size, tokens, ends`` of ``docs (id, trained, text)``: canonical texts one after another, packed; for each its id, flags, bytes and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -203,10 +203,10 @@ def chunk_table(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal held, rows, made
             head = np.concatenate([h for h, _ in kept])
-            text = b"".join(t.tobytes() for _, t in kept)
+            text = np.concatenate([t for _, t in kept])
             trained = head[:, 1] % 2 == 1
             kept.clear()
-            row = [(part << 24) | made, head.tobytes(), text, len(text), int(head[trained, 3].sum()), int(trained.sum())]
+            row = [(part << 24) | made, head.tobytes(), pack(text), len(text), int(head[trained, 3].sum()), int(trained.sum())]
             held, rows, made = 0, 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["chunk", "heads", "text", "size", "tokens", "ends"])
 
@@ -227,7 +227,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
 
 def _opened(heads: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(heads, np.int64).reshape(-1, 4), np.frombuffer(text, np.uint8)
+    return np.frombuffer(heads, np.int64).reshape(-1, 4), unpack(text, "u1")
 
 
 class Dealt:
@@ -390,7 +390,7 @@ def score_documents(docs: DataFrame, trained, id_col: str = "doc_id", text_col:
         raise ValueError(f"order {order} is not in {TOP + 1} to {ORDER}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(trained, F.lit(False)).alias("trained"), F.col(text_col).alias("text"))
-    chunks = written(chunk_table(rows), compression="zstd")
+    chunks = written(chunk_table(rows))
     facts = chunks.agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("ends").alias("ends")).first()
     parts = max(1, -(-(facts["size"] or 0) // PART_BYTES))
     ends = facts["ends"] or 0
