@@ -40,6 +40,29 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT, HOT_KEYS = 1000, 100_000
+
+
+def most_rows(total: int) -> int:
+    """Rows of a key from which on it is hot: of ``total`` rows fewer than ``HOT_KEYS`` keys have more."""
+    return max(HOT, total // HOT_KEYS)
+
+
+def by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key and in ``size`` how many ``rows`` have it.
+
+    Facts of hot keys, which are fewer than ``HOT_KEYS``, are broadcast, so
+    that rows of one key needn't meet in one task. Both should be written
+    tables, as each is read more than once.
+    """
+    hot = F.col(size) > most_rows(rows.count())
+    large = facts.where(hot)
+    if not large.take(1):
+        return rows.join(facts, keys)
+    rest = rows.join(F.broadcast(large.select(keys)), keys, "left_anti").join(facts.where(~hot), keys)
+    return rows.join(F.broadcast(large), keys).unionByName(rest)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

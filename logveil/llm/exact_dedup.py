@@ -3,7 +3,9 @@
 The index is a table of the warehouse, bucketed and sorted by the SHA-256 of
 the text. New rows are grouped by digest (with map-side combining), a
 sort-merge anti-join leaves the digests that the index lacks, and these are
-appended. DataFrame functions only.
+appended under the name of their batch, after the verdicts are written. A
+batch that is added again gets the same verdicts and appends nothing twice.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,73 +15,91 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_key, written
 
 
 class DigestIndex:
     """``name`` is a table of the session's catalog; it is made when absent.
 
-    Columns: ``digest`` binary (32 bytes), ``keep_id`` long.
+    Columns: ``digest`` binary (32 bytes), ``keep_id`` long, ``batch`` string.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        old = f"{self.name}_old"
         if not spark.catalog.tableExists(self.name):
-            self._write(spark.createDataFrame([], "digest binary, keep_id long"))
+            if spark.catalog.tableExists(old):  # a compaction ended between its two renames
+                spark.sql(f"alter table {old} rename to {self.name}")
+            else:
+                self._write(spark.createDataFrame([], "digest binary, keep_id long, batch string"), self.name)
 
-    def _write(self, rows: DataFrame) -> None:
+    def _write(self, rows: DataFrame, name: str) -> None:
         rows = rows.repartition(self.buckets, "digest")
-        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
+        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
-        """Judges ``rows`` and appends the digests that were new.
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+
+    def compact(self) -> None:
+        """One sorted file a bucket in place of one for each append. The old table stays until the new one has its name."""
+        new, old = f"{self.name}_new", f"{self.name}_old"
+        for left in (new, old):
+            self.spark.sql(f"drop table if exists {left}")
+        self._write(self.table(), new)
+        self.spark.sql(f"alter table {self.name} rename to {old}")
+        self.spark.sql(f"alter table {new} rename to {self.name}")
+        self.spark.sql(f"drop table {old}")
+
+    def add(self, rows: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+        """Judges ``rows`` and appends the digests that were new, as ``batch``.
 
         Returns one row per input row: ``<id_col>``, ``keep_id`` (row that
         stays), ``group_size`` (equal rows in this batch), ``kept``,
-        ``digest``. Of equal texts the row with the largest id stays; a text
-        that the index already has stays with the row indexed first. Null text
-        is the empty text. Rows with a null id are judged too and stay only
-        where no row of the group has an id; of rows that repeat an id with
-        the same text each is returned and marked alike. Extra columns are
-        ignored. An empty table gives an empty result.
-
-        Groups of more than ``hot`` rows and of more than a ten-thousandth of
-        the batch, of which there are fewer than 10,000, take their decision
-        by a broadcast join, so that no task meets a hot digest; the others
-        by a sort-merge join.
+        ``digest``, and ``key_col`` where it is given. Of equal texts the row
+        with the largest id stays; a text that another batch has brought stays
+        with the row indexed first. Null text is the empty text. Rows with a
+        null id are judged too and stay only where no row of the group has an
+        id. Rows that repeat an id with the same text are each returned and
+        marked alike, but where ``key_col`` (a number that no two rows share)
+        tells them apart: then the one of the largest key stays alone. Extra
+        columns are ignored. An empty table gives an empty result.
+
+        Adding a batch of the same rows and name again gives the same result
+        and leaves the index as it was, so a job that failed after its append
+        can be run again. Digests of many rows meet their verdict by a
+        broadcast of fewer than 100,000 of them, the others by a sort-merge
+        join.
         """
-        digests = written(rows.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest")))
-        groups = digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        known = self.table().select("digest", F.col("keep_id").alias("known_id"))
-        fresh = groups.join(known.hint("merge"), "digest", "left_anti").withColumn("known_id", F.lit(None).cast("long"))
-        seen = groups.join(known.hint("merge"), "digest")
-        fresh = written(fresh)
-        judged = fresh.unionByName(written(seen))
-        self._write(fresh.select("digest", "keep_id"))
-        total = digests.count()
-        most = max(hot, total // 10_000)
-        large = judged.where(F.col("group_size") > most)
-        small = judged.where(F.col("group_size") <= most)
-        by_hot = digests.join(F.broadcast(large), "digest")
-        rest = digests.join(F.broadcast(large.select("digest")), "digest", "left_anti").join(small, "digest")
-        out = by_hot.unionByName(rest)
+        key = F.col(key_col).cast("long") if key_col else F.lit(None).cast("long")
+        digests = written(rows.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest")))
+        groups = digests.groupBy("digest").agg(F.max(F.struct("id", "key")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        known = self.table().groupBy("digest").agg(F.max(F.when(F.col("batch") != batch, F.struct("keep_id"))).alias("known"), F.lit(True).alias("indexed"))
+        judged = written(groups.hint("merge").join(known, "digest", "left").withColumn("indexed", F.col("indexed").isNotNull()))
+        new = judged.where(~F.col("indexed")).select("digest", F.col("keep.id").alias("keep_id"), F.lit(batch).alias("batch"))
+        self._write(new, self.name)
+        out = by_key(digests, judged.drop("indexed"), ["digest"], "group_size")
+        stays = F.col("known").isNull() & F.col("id").eqNullSafe(F.col("keep.id")) & F.col("key").eqNullSafe(F.col("keep.key"))
         return out.select(
             F.col("id").alias(id_col),
-            F.coalesce("known_id", "keep_id").alias("keep_id"),
+            F.when(F.col("known").isNotNull(), F.col("known.keep_id")).otherwise(F.col("keep.id")).alias("keep_id"),
             "group_size",
-            (F.col("known_id").isNull() & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+            stays.alias("kept"),
             "digest",
+            *([F.col("key").alias(key_col)] if key_col else []),
         )
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return DigestIndex(spark).add(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    index = DigestIndex(spark)
+    out = index.add(docs, "documents").select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    index.drop()  # the verdicts are written; this query's index serves no later batch
+    return out
 
 
 OP4_SQL = """

@@ -1,32 +1,33 @@
 """Near-duplicates by an LSH forest over MinHash signatures.
 
-A document's set holds the hashes of its distinct five-word runs. Rows with
-equal sets are one representative. Its signature is cut into ``TREES`` labels
-of ``DEPTH`` minima; each tree orders all labels, regions are common prefixes
-of at least ``ROOT`` minima. In a region every representative is a candidate
-of its neighbour in label order, with which it has the longest common prefix
-there, so that the depth follows how crowded the region is, and of the
-region's first member. Regions of more than ``CROWD`` members are dealt into
-slices, each ordered for itself and all tied to the same first member, so that
-no task gets an unbounded region. Candidates are confirmed on the full sets,
-for which every text needed is sent once to the group that holds its links;
-links within what is connected already are skipped.
+A document's set holds the hashes of its distinct five-word runs. Rows are
+numbered, and those with equal sets have one representative row. Its signature
+is cut into ``TREES`` labels of ``DEPTH`` minima; each tree orders all labels,
+regions are common prefixes of at least ``ROOT`` minima. In a region every
+representative is a candidate of its neighbour in label order, with which it
+has the longest common prefix there, so that the depth follows how crowded the
+region is, and of the region's first member. Regions of more than ``CROWD``
+members are dealt into slices, each ordered for itself and all tied to the same
+first member, so that no task gets an unbounded region. Candidates are
+confirmed on the full sets, in groups of about ``WEIGHT`` shingles, to which
+every text needed is sent once; links within what is connected already are
+skipped.
 
 The forest finds most links but bounds the partners of a representative, so
 what it misses is found by a prefix-filtered set join of whatever it has left
-in different components: in one order of all shingles, two sets that are
-near enough have a shingle in common among their first ``n - ceil(t n) + 1``.
-Where at most ``LIST`` representatives have such a shingle, the pairs of
-different components that its place in both still allows are confirmed or
-excluded; longer lists that hold several components are joined to bundles, in
-which every pair of fitting sizes is. The order puts common shingles last (a bitmap from one in ``SAMPLED``
-representatives); it decides how much is compared, never what is found. The
-smallest id that the links reach names the component.
+in different components: in one order of all shingles, two sets that are near
+enough have a shingle in common among their first ``n - ceil(t n) + 1``. Where
+at most ``LIST`` representatives have such a shingle, the pairs of different
+components that its place in both still allows are confirmed or excluded;
+longer lists that hold several components are joined to bundles, each of which
+is filtered by prefixes in its own order. The order puts common shingles last
+(counts of one in ``SAMPLED`` representatives, in ``LEVELS`` steps); it decides
+how much is compared, never what is found. The smallest id that the links reach
+names the component.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, lean, mix, shingle_hashes, token_hashes, utf8, written
+from .common import by_key, chunks, give_back, lean, mix, most_rows, shingle_hashes, token_hashes, utf8, written
 from .components import components
 
 TREES, DEPTH, ROOT = 16, 6, 3
 WORDS = 5
-CROWD = 1000  # members of a region; a group that confirms links has about as many, four times as many at most
+CROWD = 1000  # members of a region's slice
+WEIGHT = 1_000_000  # shingles of a group that confirms links
 SENT = 500_000  # rows of the list of needed texts that may be broadcast
-SAMPLED, COMMON = 4, 2  # shingles that so many of one in SAMPLED representatives have are common
-BITS = 27  # of the bitmap of common shingles
+SAMPLED, LEVELS = 4, (2, 8, 32, 128)  # so many of one in SAMPLED representatives have a shingle of a level
+CELLS = 24  # bits of a hash that tell a shingle's level
 LIST = 32  # representatives with one shingle of whom each pair is a row
-BUNDLE = 2000  # members that are compared in one group; larger bundles are dealt by size, then in blocks
+BUNDLE = 400_000  # shingles that are compared in one group; larger bundles are dealt by size, then in blocks
 
 _SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FLIP, _TIMES = _SEEDS[: TREES * DEPTH], _SEEDS[TREES * DEPTH :] | np.uint64(1)
@@ -73,12 +75,12 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, print, sig``: size and 128-bit fingerprint of the set and its signature (null where empty)."""
+def sketch(rows: DataFrame) -> DataFrame:
+    """``row, id, n_shingles, print, sig`` of ``rows (row, id, text)``: size and 128-bit fingerprint of the set and its signature (null where empty)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = utf8(batch.column(1)), batch.column(0)
+            texts = utf8(batch.column(2))
             for a, b in chunks(texts):
                 sets, at = shingle_sets(texts[a:b])
                 size = np.diff(at)
@@ -90,48 +92,54 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     two = np.stack([np.add.reduceat(mix(sets + np.uint64(1)), begin), np.bitwise_xor.reduceat(mix(sets ^ _SEEDS[0]), begin)], axis=1)
                     for i, p, s in zip(some.tolist(), two, signatures(sets, at), strict=True):
                         prints[i], sigs[i] = p.tobytes(), s.tobytes()
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(size), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "print", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["row", "id", "n_shingles", "print", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(of), "id long, n_shingles long, print binary, sig binary")
+    return rows.select("row", "id", "text").mapInArrow(lean(of), "row long, id long, n_shingles long, print binary, sig binary")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """``a, b, hub`` of ``reps (rep, n_shingles, sig)``: pairs ``a < b``; ``hub`` is the least first member that ``b`` has met."""
+    """``a, b, hub, weight`` of ``reps (rep, n_shingles, sig)``: pairs ``a < b``; ``hub`` is the least first member that they met under, ``weight`` the shingles of both at most."""
     size = 4 * DEPTH
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", t * size + 1, size).alias("label")) for t in range(TREES)])
     rows = reps.select("rep", "n_shingles", F.inline(trees)).withColumn("root", F.substring("label", 1, 4 * ROOT))
-    regions = rows.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader")).where("members > 1")
-    met = rows.join(regions, ["tree", "root"])
+    regions = written(rows.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n_shingles")).alias("leader")).where("members > 1"))
+    met = by_key(rows, regions, ["tree", "root"], "members")
     met = met.withColumn("slice", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / CROWD)))
     met = met.repartition("tree", "root", "slice")
     order = Window.partitionBy("tree", "root", "slice").orderBy("label", "rep")
     met = met.withColumn("near", F.lag(F.struct("rep", "n_shingles")).over(order))
-    found = met.select(F.col("rep"), "n_shingles", "leader", F.explode(F.array(F.struct(F.col("leader").alias("other"), F.lit(None).cast("long").alias("n")), F.struct(F.col("near.rep").alias("other"), F.col("near.n_shingles").alias("n")))).alias("o"))
-    found = found.where("o.other is not null and o.other <> rep")
-    return found.groupBy(F.least("rep", "o.other").alias("a"), F.greatest("rep", "o.other").alias("b")).agg(
-        F.min("leader").alias("hub"), F.max(F.when(F.col("o.n").isNotNull(), F.greatest("n_shingles", "o.n"))).alias("most"), F.max(F.when(F.col("o.n").isNotNull(), F.least("n_shingles", "o.n"))).alias("fewest")
+    found = met.select("rep", "n_shingles", F.col("leader.rep").alias("hub"), F.explode(F.array("leader", "near")).alias("o")).where("o.rep <> rep")
+    return found.groupBy(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).agg(
+        F.min("hub").alias("hub"), F.min(F.greatest("n_shingles", "o.n_shingles")).alias("most"), F.min(F.least("n_shingles", "o.n_shingles")).alias("fewest")
     )
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs (a, b, hub)`` whose full sets have 100 * intersection >= percent * union, less those that others imply.
+    """The ``pairs (a, b, hub, most)`` whose full sets have 100 * intersection >= percent * union, less those that others imply.
 
-    ``docs``: ``rep, text``.
+    ``docs``: ``rep, text``, each ``rep`` once; ``most``: the shingles of the
+    larger one. Pairs of one hub go to one group, where those of a hub weigh
+    at most ``WEIGHT``; of heavier ones, of which there are fewer than groups,
+    each is dealt to several.
     """
-    hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("links"))
-    total = hubs.agg(F.sum("links")).first()[0] or 0
-    groups = max(1, -(-total // CROWD))
-    # hubs are dealt to groups whole, but for those of many links
-    crowded = F.col("links") > 4 * CROWD
-    dealt = pairs.join(hubs, "hub").select(
+    hubs = written(pairs.groupBy("hub").agg(F.sum("most").alias("weight")))
+    total = hubs.agg(F.sum("weight")).first()[0] or 0
+    groups = max(1, -(-total // WEIGHT))
+    heavy = F.broadcast(hubs.where(F.col("weight") > max(WEIGHT, total // 100_000)).select("hub", F.ceil(F.col("weight") / WEIGHT).alias("slices")))
+    dealt = pairs.join(heavy, "hub", "left").select(
         "a",
         "b",
-        F.when(crowded, F.xxhash64("hub", F.pmod(F.xxhash64("b"), F.ceil(F.col("links") / (4 * CROWD))))).otherwise(F.pmod(F.xxhash64("hub"), F.lit(groups))).alias("group"),
+        F.when(F.col("slices").isNotNull(), F.xxhash64("hub", F.pmod(F.xxhash64("b"), F.col("slices")))).otherwise(F.pmod(F.xxhash64("hub"), F.lit(groups))).alias("group"),
     )
     dealt = written(dealt)
     need = written(dealt.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct())
-    side = F.broadcast(need) if need.count() <= SENT else need
-    texts = docs.join(side, "rep").select("group", "rep", "text")
+    n = need.count()
+    if n <= SENT:
+        texts = docs.join(F.broadcast(need), "rep").select("group", "rep", "text")
+    else:  # a first member may be needed by many groups
+        wanted = written(need.groupBy("rep").agg(F.count(F.lit(1)).alias("times")))
+        often = F.broadcast(wanted.where(F.col("times") > most_rows(n)).select("rep"))
+        texts = need.join(F.broadcast(docs.join(often, "rep")), "rep").unionByName(need.join(often, "rep", "left_anti").join(docs, "rep")).select("group", "rep", "text")
 
     def confirm(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("rep").to_pylist()
@@ -148,9 +156,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         size = np.diff(at).tolist()
         links = []
         for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True):
-            if a in place and b in place:
-                i, j = place[a], place[b]
-                links.append((abs(size[i] - size[j]), i, j))
+            i, j = place[a], place[b]
+            links.append((abs(size[i] - size[j]), i, j))
         out = []
         for _, i, j in sorted(links):
             few, many = sorted((size[i], size[j]))
@@ -170,7 +177,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Bitmap of ``BITS`` bits of a hash, set for shingles that many of ``docs (rep, text)`` have."""
+    """For each of 2 ** ``CELLS`` values of a hash the highest of ``LEVELS`` that a shingle of ``docs (rep, text)`` there reaches."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,11 +186,14 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts[a:b])[0].view(np.int64))], ["shingle"])
 
     some = docs.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(lean(of), "shingle long")
-    cell = F.shiftrightunsigned("shingle", 64 - BITS)
-    often = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select(F.shiftright(cell, 3).alias("byte"), F.expr(f"cast(1 as int) << cast(shiftrightunsigned(shingle, {64 - BITS}) & 7 as int)").alias("bit"))
-    got = often.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (BITS - 3) rows at most
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    out[got.column("byte").to_numpy()] = got.column("bits").to_numpy()
+    often = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEVELS[0])
+    level = sum((F.col("n") >= k).cast("int") for k in LEVELS)
+    # two levels of a cell share a byte; 2 ** CELLS / 2 rows at most
+    cell = F.shiftrightunsigned("shingle", 64 - CELLS)
+    levels = often.groupBy(F.shiftright(cell, 1).alias("byte")).agg(*[F.max(F.when(cell.bitwiseAND(F.lit(1)) == k, level).otherwise(0)).alias(f"l{k}") for k in (0, 1)])
+    got = levels.select("byte", (F.col("l0") + 16 * F.col("l1")).cast("short").alias("two")).toArrow()
+    out = np.zeros(1 << (CELLS - 1), np.uint8)
+    out[got.column("byte").to_numpy()] = got.column("two").to_numpy()
     return out
 
 
@@ -202,8 +212,8 @@ def prefixes(docs: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
             for a, b in chunks(texts):
                 sets, at = shingle_sets(texts[a:b])
                 size = np.diff(at)
-                cell = (sets >> np.uint64(64 - BITS)).astype(np.int64)
-                late = (sent.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+                cell = (sets >> np.uint64(64 - CELLS)).astype(np.int64)
+                late = (sent.value[cell >> 1] >> ((cell & 1) * 4).astype(np.uint8)) & 15
                 owner = np.repeat(np.arange(len(size)), size)
                 by = np.lexsort((sets, late, owner))
                 first = size - _least(size, percent) + 1
@@ -217,27 +227,48 @@ def prefixes(docs: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
 
 
 def near_pairs(sets: np.ndarray, at: np.ndarray, component: np.ndarray, own: np.ndarray, other: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different components of which one is ``own`` and one ``other``, as many as connect what is near; every pair of fitting sizes is looked at."""
+    """Links between sets of different components of which one is ``own`` and one ``other``, as many as connect what is near.
+
+    By prefixes in the order of how many of these sets have a member, the
+    rarest first; what shares one is compared in full.
+    """
     size = np.diff(at)
     by = np.argsort(size, kind="stable")
-    _, ids = np.unique(sets, return_inverse=True)
-    ids = np.concatenate([ids[at[i] : at[i + 1]] for i in by])
+    _, ids, times = np.unique(sets, return_inverse=True, return_counts=True)
+    rarest = np.empty(len(times), np.int64)
+    rarest[np.argsort(times, kind="stable")] = np.arange(len(times))
+    ids = np.concatenate([np.sort(rarest[ids[at[i] : at[i + 1]]]) for i in by])
     size, own, other = size[by], own[by], other[by]
     at = np.append(0, np.cumsum(size))
     _, root = np.unique(component[by], return_inverse=True)
-    mark = np.zeros(int(ids.max()) + 1, bool)
+    owner = np.repeat(np.arange(len(size)), size)
+    first = np.arange(len(ids)) - at[owner] < (size - _least(size, percent) + 1)[owner]
+    member, held = ids[first], owner[first]
+    order = np.lexsort((held, member))
+    member, held = member[order], held[order]
+    begin, end = np.searchsorted(member, ids, "left"), np.searchsorted(member, ids, "right")
+    reach = at[:-1] + size - _least(size, percent) + 1
     last = np.searchsorted(size, size * 100 // percent, "right")
+    mark = np.zeros(len(times), bool)
     out = []
     for i in range(len(size)):
-        j = np.arange(i + 1, last[i])
+        # later sets of a fitting size, larger or equal
+        met = [held[begin[k] : end[k]] for k in range(at[i], reach[i]) if end[k] - begin[k] > 1]
+        if not met:
+            continue
+        j = np.unique(np.concatenate(met))
+        j = j[(j > i) & (j < last[i])]
         j = j[(root[j] != root[i]) & ((own[i] & other[j]) | (other[i] & own[j]))]
         if not len(j):
             continue
         mark[ids[at[i] : at[i + 1]]] = True
-        low, high = at[j[0]], at[j[-1] + 1]
-        both = np.add.reduceat(mark[ids[low:high]], at[j[0] : j[-1] + 1] - low, dtype=np.int64)[j - j[0]]
+        near = []
+        for k in j.tolist():
+            both = int(mark[ids[at[k] : at[k + 1]]].sum())
+            if 100 * both >= percent * (size[i] + size[k] - both):
+                near.append(k)
         mark[ids[at[i] : at[i + 1]]] = False
-        for k in j[100 * both >= percent * (size[i] + size[j] - both)]:
+        for k in near:
             if root[k] != root[i]:
                 root[root == root[k]] = root[i]
                 out.append((int(by[i]), int(by[k])))
@@ -260,7 +291,7 @@ def completed(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     rest = F.least(n - F.col("x.at"), m - F.col("y.at"))
     pairs = short.join(x, "shingle").join(y, "shingle").where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
     pairs = pairs.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= percent * (n + m)))
-    pairs = written(pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.min("hub").alias("hub")))
+    pairs = written(pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.min("hub").alias("hub"), F.max(F.greatest(n, m)).alias("most")))
     links = confirmed(docs, pairs, percent)
     met = written(met.join(lists.where(F.col("members") > LIST).select("shingle", "least"), "shingle").select("rep", "n_shingles", "component", "least").distinct())
     if not met.take(1):
@@ -268,17 +299,17 @@ def completed(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     bundles = components(met.select(F.col("component").alias("a"), F.col("least").alias("b")))
     # a bundle holds whole components, but of them only members that share a prefix with another one
     members = written(met.select("rep", "n_shingles", "component").distinct().join(bundles.select(F.col("node").alias("component"), F.col("component").alias("bundle")), "component"))
-    sizes = members.groupBy("bundle").agg(F.count(F.lit(1)).alias("members"))
-    groups = max(1, -(-members.count() // BUNDLE))
-    all_ = members.join(sizes, "bundle")
+    sizes = written(members.groupBy("bundle").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")))
+    groups = max(1, -(-(sizes.agg(F.sum("weight")).first()[0] or 0) // BUNDLE))
+    all_ = by_key(members, sizes, ["bundle"], "members")
     yes = F.lit(True)
-    small = all_.where(F.col("members") <= BUNDLE).select("rep", "component", "bundle", F.pmod(F.xxhash64("bundle"), F.lit(groups)).alias("group"), yes.alias("own"), yes.alias("other"))
+    small = all_.where(F.col("weight") <= BUNDLE).select("rep", "component", "bundle", F.pmod(F.xxhash64("bundle"), F.lit(groups)).alias("group"), yes.alias("own"), yes.alias("other"))
     # sizes of a pair lie in one band or in two beside each other
     band = F.floor(F.log("n_shingles") / -np.log(percent / 100 - 1e-9))
-    banded = all_.where(F.col("members") > BUNDLE).withColumn("band", band)
-    banded = banded.select("rep", "component", "bundle", F.inline(F.array(F.struct(F.col("band").alias("band"), yes.alias("lower")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("lower")))))
-    blocks = banded.groupBy("bundle", "band").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).cast("long").alias("blocks"), F.bool_or("lower").alias("needed")).where("needed")
-    banded = banded.join(blocks, ["bundle", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    banded = all_.where(F.col("weight") > BUNDLE).withColumn("band", band)
+    banded = written(banded.select("rep", "n_shingles", "component", "bundle", F.inline(F.array(F.struct(F.col("band").alias("band"), yes.alias("lower")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("lower"))))))
+    blocks = banded.groupBy("bundle", "band").agg(F.ceil(F.sum("n_shingles") / BUNDLE).cast("long").alias("blocks"), F.count(F.lit(1)).alias("rows"), F.bool_or("lower").alias("needed")).where("needed")
+    banded = by_key(banded, written(blocks), ["bundle", "band"], "rows").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "partner"), F.greatest("block", "partner")
     dealt = small.unionByName(banded.select("rep", "component", "bundle", F.xxhash64("bundle", "band", low, high).alias("group"), (F.col("block") == low).alias("own"), (F.col("block") == high).alias("other")))
     dealt = written(dealt)
@@ -300,39 +331,43 @@ def completed(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(texts.groupBy("group").applyInArrow(confirm, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """``<id_col>, n_shingles, component_id, kept`` of every row.
 
     Null, empty and blank texts have no shingles and link with nothing; a text
-    of fewer than five words is one shingle. Rows that repeat an id repeat in
-    the result; a row without an id is judged but never names a component that
-    has another (alone it has a null one and is not kept). Extra columns are
-    ignored; an empty table gives an empty one.
+    of fewer than five words is one shingle. Rows are judged by their own text
+    where an id repeats, and each is in the result; a row without an id is
+    judged and links others, but never names a component (without other rows
+    it has a null one and is not kept). With ``key_col``, a number that no two
+    rows share, the result has that column and ``stays``: true for one row of
+    each component, that of the smallest id, of equal ids the smallest key.
+    Extra columns are ignored; an empty table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = written(sketch(rows, "id", "text"))
-    groups = written(sketches.where("n_shingles > 0").groupBy("print").agg(F.min("id").alias("rep"), F.min_by("n_shingles", "print").alias("n_shingles"), F.min_by("sig", "print").alias("sig"), F.count(F.lit(1)).alias("rows")))
-    pairs = candidates(groups.where("rep is not null").select("rep", "n_shingles", "sig"))
-    pairs = written(pairs.where(F.col("most").isNull() | (F.col("fewest") * 100 >= F.col("most") * percent)).select("a", "b", "hub"))
-    first = rows.where("id is not null").withColumnRenamed("id", "rep")
-    links = written(confirmed(first, pairs, percent))
+    id_, text = F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
+    # row numbers must stay the same when a lost part is made again, so they are written
+    rows = docs.select(F.col(key_col).cast("long").alias("row"), id_, text) if key_col else written(docs.select(F.monotonically_increasing_id().alias("row"), id_, text))
+    sketches = written(sketch(rows))
+    some = sketches.where("n_shingles > 0")
+    named_by = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    groups = written(some.groupBy("print").agg(F.min("row").alias("rep"), F.min_by("n_shingles", "row").alias("n_shingles"), F.min_by("sig", "row").alias("sig"), F.min(named_by).alias("first"), F.count(F.lit(1)).alias("rows")))
+    pairs = written(candidates(groups.select("rep", "n_shingles", "sig")).where(F.col("fewest") * 100 >= F.col("most") * percent).drop("fewest"))
+    texts = rows.select(F.col("row").alias("rep"), "text")
+    links = written(confirmed(texts, pairs, percent))
     named = written(components(links))
-    reps = groups.where("rep is not null").join(named, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    reps = written(reps)
-    others = written(sketches.where("id is not null").select(F.col("id").alias("rep")).join(reps, "rep", "left_anti").distinct())
+    reps = written(groups.join(named, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    others = written(some.select(F.col("row").alias("rep")).join(reps, "rep", "left_anti"))
     others = F.broadcast(others) if others.count() <= SENT else others
-    more = written(completed(first.join(others, "rep", "left_anti"), reps, percent))
+    more = written(completed(texts.join(others, "rep", "left_anti"), reps, percent))
     if more.take(1):
         named = written(components(links.unionByName(more)))
-    known = written(groups.join(named, groups["rep"] == named["node"], "left").select("print", F.coalesce("component", "rep").alias("component_id"), "rows"))
-    few = sketches.select("id", "n_shingles", "print")
-    # fewer than 10,000 prints can have more rows than this
-    most = max(50_000, few.count() // 10_000)
-    large = F.broadcast(known.where(F.col("rows") > most).drop("rows"))
-    small = known.where(F.col("rows") <= most).drop("rows")
-    out = few.join(large, "print").select("id", "n_shingles", "component_id").unionByName(few.join(large.select("print"), "print", "left_anti").join(small, "print", "left").select("id", "n_shingles", "component_id"))
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("id")) & F.col("id").isNotNull()).alias("kept"))
+    known = written(groups.join(named, F.col("rep") == F.col("node"), "left").select("print", "first", "rows", F.coalesce("component", "rep").alias("component")))
+    whole = written(known.groupBy("component").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("prints")))
+    known = written(by_key(known.drop("first"), whole, ["component"], "prints").select("print", "rows", "first"))
+    out = by_key(written(some.select("row", "id", "n_shingles", "print")), known, ["print"], "rows").select("row", "id", "n_shingles", "first")
+    out = out.unionByName(sketches.where("n_shingles = 0").select("row", "id", "n_shingles", named_by.alias("first")))
+    component = F.col("first.id")
+    columns = [F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("id")) & F.col("id").isNotNull()).alias("kept")]
+    return out.select(*columns, *([F.col("row").alias(key_col), (F.col("first.row") == F.col("row")).alias("stays")] if key_col else []))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,14 +274,27 @@ def test_language_edges(spark, edges, nothing):
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 
-def test_index_keeps_what_it_has_seen(spark, edges, nothing):
+def test_index_keeps_what_it_has_seen(spark, edges, nothing, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
     index = exact_dedup.DigestIndex(spark, buckets=3)
-    got = {(r.doc_id, r.group_size, r.kept) for r in index.add(edges).collect()}
-    assert {(1, 2, False), (2, 2, True), (5, 2, True), (None, 1, True)} <= got
-    again = index.add(spark.createDataFrame([(9, "a"), (10, "new"), (11, "new")], "doc_id long, text string"), hot=1)
-    assert {(r.doc_id, r.keep_id, r.kept) for r in again.collect()} == {(9, 4, False), (10, 11, False), (11, 11, True)}
-    assert index.add(nothing).count() == 0
+    want = {(1, 2, False), (2, 2, True), (5, 2, True), (None, 1, True)}
+    assert want <= {(r.doc_id, r.group_size, r.kept) for r in index.add(edges, "first").collect()}
+    new = spark.createDataFrame([(9, "a"), (10, "new"), (11, "new")], "doc_id long, text string")
+    for _ in range(2):  # the second time is a replay
+        assert {(r.doc_id, r.keep_id, r.kept) for r in index.add(new, "second").collect()} == {(9, 4, False), (10, 11, False), (11, 11, True)}
+        assert want <= {(r.doc_id, r.group_size, r.kept) for r in index.add(edges, "first").collect()}
+        index.compact()
+    assert index.add(nothing, "third").count() == 0
     assert index.table().count() == len({t or "" for _, t in EDGES}) + 1
+    spark.sql(f"alter table {index.name} rename to {index.name}_old")  # as a compaction that was stopped
+    assert exact_dedup.DigestIndex(spark, index.name, buckets=3).table().count() == len({t or "" for _, t in EDGES}) + 1
+
+
+def test_index_tells_repeated_rows_apart_by_key(spark):
+    rows = spark.createDataFrame([(1, "x", 5), (1, "x", 7), (None, "x", 9), (None, "y", 3), (None, "y", 2)], "doc_id long, text string, row long")
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    assert {r.row for r in index.add(rows, "b", key_col="row").where("kept").collect()} == {7, 3}
 
 
 # --- 5 --------------------------------------------------------------------------------------------------------------
@@ -487,6 +500,16 @@ def test_near_duplicates_of_a_star(spark, monkeypatch, bundle):
     assert sorted(got) == [(k, 0) for k in range(3001)]
 
 
+def test_rows_that_repeat_an_id_keep_their_links(spark):
+    word = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    a, b = " ".join(word), " ".join(reversed(word))
+    rows = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a)], "doc_id long, text string").withColumn("row", F.monotonically_increasing_id())
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(rows).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False)}
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    assert [r.doc_id for r in near_dedup.near_duplicates(rows, key_col="row").where("stays").collect()] == [1, 1]
+
+
 def test_near_duplicate_edges(edges, nothing):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(edges).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (5, 1, 5, True), (6, 1, 6, True), (7, 1, 7, True), (None, 1, None, False)} <= got
