@@ -322,36 +322,74 @@ def test_tiling_against_brute_force():
     rng = random.Random(5)
     for _ in range(60):
         text, item = [rng.choice("abc") for _ in range(rng.randrange(5, 40))], [rng.choice("abc") for _ in range(rng.randrange(5, 25))]
-        hits = [(a, b) for a in range(len(text) - 2) for b in range(len(item) - 2) if text[a : a + 3] == item[b : b + 3]]
-        assert sorted(decontaminate.tile(hits, 3)) == sorted(brute_tiles(text, item, 3))
+        words = decontaminate._numbered([" ".join(text).encode(), " ".join(item).encode()])
+        assert decontaminate.tile(*words, 3) == brute_tiles(text, item, 3)
+    words = decontaminate._numbered([b"same " * 20_000, b"same " * 200])
+    assert decontaminate.tile(*words, 5) == [(0, 0, 200)]
+
+
+def split_words(t):
+    import re
+
+    return re.findall("[a-z0-9\u0080-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
+
+
+def brute_best(text, items, coverage=0.5):
+    """The item of which a text has most, by tilings of all items."""
+    words, best = split_words(text), None
+    for key, item in items:
+        own = split_words(item)
+        if own and words:
+            share = sum(t[2] for t in brute_tiles(words, own, min(5, len(own)))) / len(own)
+            if share >= coverage and (best is None or (share, -key) > (best[0], -best[1])):
+                best = share, key
+    return best
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    """Repeated words, short items, reordered passages, rows without an id and ids with two texts."""
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 500)
+    monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choices(vocabulary[: 2 + k % 11], k=rng.choice([1, 3, 4, 5, 9, 20])))) for k in range(25)] + [(30, None), (31, ""), (32, "alone here words four")]
+    rows = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 30)))) for k in range(40)]
+    rows += [(k, " ".join(p for p in sorted((split_words(items[rng.randrange(25)][1]) + ["and"] * 3) * 2, key=lambda _: rng.random()))) for k in range(40, 60)]
+    rows += [(70, f"x {items[5][1]} y {items[9][1].upper()}"), (None, items[7][1]), (1, items[8][1]), (71, "so alone, HERE words: four it is"), (72, None), (73, "w1 " * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("row", F.lit("clash"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id or -1, r.contaminated, r.item_id, round(r.coverage, 9)) for r in decontaminate.verdicts(docs, bench).collect())
+    best = [(k, brute_best(t, [i for i in items if i[1]])) for k, t in rows]
+    want = sorted((k or -1, b is not None, b and b[1], round(b[0], 9) if b else 0.0) for k, b in best)
+    assert got == want and 5 < sum(w[1] for w in want) < len(want)
 
 
 def test_leaks_are_found_in_any_order(spark, edges, nothing):
     words = [f"word{i}" for i in range(30)]
     item = " ".join(words)
     rows = [(1, "x y " + item.upper().replace(" ", ", ") + " z"), (2, " ".join(words[15:] + ["and"] + words[:15])), (3, " ".join(words[:12])), (4, None), (5, "q " * 50_000 + item)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "k long, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "too short"), (11, item)], "item_id long, text string")
-    for options in ({}, {"block_bytes": 100}):
-        got = {r.doc_id: (r.item_id, round(r.coverage, 2), r.n_tiles) for r in decontaminate.contaminated(docs, bench, **options).collect()}
-        assert got == {1: (7, 1.0, 1), 2: (7, 1.0, 2), 5: (7, 1.0, 1)}
-    assert decontaminate.contaminated(edges, bench).count() == 0 and decontaminate.contaminated(nothing, bench).count() == 0
-    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+    got = {r.k: (r.item_id, round(r.coverage, 2), r.n_tiles) for r in decontaminate.verdicts(docs, bench, id_col="k").where("contaminated").collect()}
+    assert got == {1: (7, 1.0, 1), 2: (7, 1.0, 2), 5: (7, 1.0, 1)}
+    assert sorted((r.k, r.item_id, len(r.tiles)) for r in decontaminate.matches(docs, bench, id_col="k").collect()) == [(1, 7, 1), (1, 11, 1), (2, 7, 2), (2, 11, 2), (5, 7, 1), (5, 11, 1)]
+    assert decontaminate.verdicts(edges, bench).where("not contaminated").count() == len(EDGES) and decontaminate.verdicts(nothing, bench).count() == 0
+    assert decontaminate.verdicts(docs, bench.limit(0), id_col="k").where("contaminated").count() == 0
 
 
 def test_every_leak_of_the_tables(spark, small, texts):
-    import re
-
-    found = {r.doc_id for r in queries.QUERIES["op5_decontaminate"](spark, small).where("contaminated").collect()}
-    items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    assert {k for k, t in texts.items() if any(i in t for i in items)} <= found
-
-    def words(t):
-        return re.findall("[a-z0-9\u0080-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t))
-
-    for k in found:
-        own = set(zip(*[words(texts[k])[i:] for i in range(5)], strict=False))
-        assert any(sum(g in own for g in zip(*[words(i)[j:] for j in range(5)], strict=False)) > 0.3 * len(words(i)) for i in items)
+    got = {r.doc_id: (r.item_id, r.coverage) for r in queries.QUERIES["op5_decontaminate"](spark, small).where("contaminated").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    runs = {k: set(zip(*[split_words(t)[i:] for i in range(5)], strict=False)) for k, t in items}
+    want = {}
+    for k, t in texts.items():
+        own = set(zip(*[split_words(t)[i:] for i in range(5)], strict=False))
+        best = brute_best(t, [i for i in items if own & runs[i[0]]])
+        if best:
+            want[k] = best[1], best[0]
+    assert got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
+    assert {k for k, t in texts.items() if any(i in t for _, i in items)} <= got.keys()
 
 
 # --- 6, 9 -----------------------------------------------------------------------------------------------------------
