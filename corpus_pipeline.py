@@ -2,6 +2,8 @@
 
 Each stage gets the documents that the one before kept, and the folder of the
 tables for what else it needs. All but the last return the columns they got.
+A stage numbers its rows, writes them, and decides by that number, so that
+rows without an id, and rows that share one, are each judged by their own text.
 """
 
 from __future__ import annotations
@@ -13,52 +15,73 @@ from logveil.llm import byte_bpe, decontaminate, line_quality, near_dedup
 from logveil.llm.common import bucket, table, written
 from logveil.llm.exact_dedup import DigestIndex
 
+ROW = "row of the stage"
+SENT = 1_000_000  # row numbers that may be broadcast
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field calls good; it learns from the labels of rows outside the held-out quarter.
 
     It learns from the texts of ``documents``, so that what it learns doesn't
-    depend on what an earlier stage has dropped.
+    depend on what an earlier stage has dropped. Null and empty texts are one
+    empty line and are judged like others; repeated rows are judged alike; a
+    score of the threshold itself is good; without labels every score is 0.5,
+    and every document goes.
     """
     labels = table(spark, sf_dir, "labels").where(bucket("doc_id", 4) != 2)
     model = line_quality.fit(table(spark, sf_dir, "documents"), labels)
-    good = line_quality.score_documents(docs, model).where(F.col("score") >= line_quality.THRESHOLD).select("doc_id")
-    return _keep(docs, good)
+    rows = _numbered(docs)
+    return _keep(rows, line_quality.score_documents(rows, model, id_col=ROW).where(F.col("score") >= line_quality.THRESHOLD))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, the one of the largest id."""
-    return _keep(docs, DigestIndex(spark).add(docs).where("kept").select("doc_id"))
+    """One row of each group of equal texts, the one of the largest id.
+
+    Null and empty texts are equal. A row without an id stays only where no
+    row of its group has one; of rows that repeat id and text one stays.
+    """
+    rows, index = _numbered(docs), DigestIndex(spark)
+    kept = written(index.add(rows, "pipeline", key_col=ROW).where("kept").select(ROW))
+    index.drop()
+    return _keep(rows, kept)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, the one of the smallest id."""
-    return _keep(docs, near_dedup.near_duplicates(docs, percent=80).where("kept").select("doc_id"))
+    """One row of each component of near-duplicates, the one of the smallest id; rows without an id stay last.
+
+    Null, empty and blank texts link with nothing, so each of them stays.
+    """
+    rows = _numbered(docs)
+    return _keep(rows, near_dedup.near_duplicates(rows, percent=80, key_col=ROW).where("stays"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti")
+    """Rows whose text doesn't hold half of a benchmark item; null and empty texts hold none, an empty benchmark keeps all."""
+    rows = _numbered(docs)
+    return _keep(rows, decontaminate.verdicts(rows, table(spark, sf_dir, "benchmark"), key_col=ROW).where("not contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of the byte-level BPE."""
+    """``doc_id, n_tokens, ids`` of the byte-level BPE for every row; null and empty texts have no ids."""
     import public_tokenizers
 
     coded = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``; a side of checked size is broadcast, a larger one joined by sorting.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written, so that the numbers stay the same."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The ``rows`` whose number is in ``kept``; a side of checked size is broadcast, a larger one joined by sorting.
 
-    The few ids that go are mostly the shorter list, so it is they that are
-    sent: rows without an id were judged on their own and stay.
+    The numbers that go are mostly the shorter list, so it is they that are sent.
     """
-    gone = written(docs.select("doc_id").distinct().join(ids, "doc_id", "left_anti"))
-    side = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
-    return docs.join(side, "doc_id", "left_anti")
+    gone = written(rows.select(ROW).join(kept.select(ROW), ROW, "left_anti"))
+    side = F.broadcast(gone) if gone.count() <= SENT else gone
+    return rows.join(side, ROW, "left_anti").drop(ROW)
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("decontamination", leaks), ("tokens", tokens)]
