@@ -18,7 +18,7 @@ import base64
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,9 +115,15 @@ def token_starts(points: np.ndarray, ends: np.ndarray, block: int = 256) -> np.n
 
 
 def pre_tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
-    """The pre-tokens of all texts in a row, and the place of the mark that ends each text."""
+    """The pre-tokens of all texts in a row, and the place of the mark that ends each text. Bytes that aren't UTF-8 are read as U+FFFD."""
     joined = b"\0".join([*texts, b""])
-    points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    try:
+        plain = joined.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        texts = [t.decode("utf-8", "replace").encode() for t in texts]
+        joined = b"\0".join([*texts, b""])
+        plain = joined.decode()
+    points = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
     width = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
     offset = np.zeros(len(points) + 1, np.int64)
     np.cumsum(width, out=offset[1:])
@@ -222,9 +228,29 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         return self.encode_texts([text.encode("utf-8", "surrogatepass")])[0].tolist()
 
-    def offsets(self, ids: list[int]) -> list[int]:
-        """Byte offsets at which the tokens begin in the text."""
-        return np.cumsum([0, *(len(self.vocab[i]) for i in ids)])[:-1].tolist()
+    @cached_property
+    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens in a row, where each begins, and its size."""
+        size = np.array([len(t) for t in self.vocab])
+        return np.frombuffer(b"".join(self.vocab), np.uint8), np.cumsum(size) - size, size
+
+    def offsets(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For the ids of texts that begin ``at`` these places the byte of its text at which each token begins."""
+        before = np.append(0, np.cumsum(self.spelled[2][ids]))
+        return (before[:-1] - np.repeat(before[at[:-1]], np.diff(at))).astype(np.int32)
+
+    def decode_texts(self, ids: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The bytes of each text, every token put at its offset."""
+        raw, begin, size = self.spelled
+        size, last = size[ids], at[1:][np.diff(at) > 0] - 1
+        length = np.zeros(len(at) - 1, np.int64)
+        length[np.diff(at) > 0] = offsets[last] + size[last]
+        start = np.append(0, np.cumsum(length))
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out = np.zeros(start[-1], np.uint8)
+        out[np.repeat(offsets + np.repeat(start[:-1], np.diff(at)), size) + step] = raw[np.repeat(begin[ids], size) + step]
+        whole = out.tobytes()
+        return [whole[a:b] for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
@@ -235,13 +261,13 @@ def coder(ranks_path: str) -> ByteBPE:
     return ByteBPE(ranks_path)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """``<id_col>, ids array<int>`` of every row, and with ``offsets`` the byte offset of each token.
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id_col>, ids array<int>, offsets array<int>`` of every row: the tokens and the byte of the text at which each begins.
 
-    Null and empty texts have no ids. Repeated rows stay repeated; extra
-    columns are ignored; an empty table gives an empty one.
+    Null and empty texts have no ids. Bytes that aren't UTF-8 count as U+FFFD,
+    offsets too. Repeated rows stay repeated; extra columns are ignored; an
+    empty table gives an empty one.
     """
-    schema = "id long, ids array<int>" + ", offsets array<int>" * offsets
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path)
@@ -249,26 +275,26 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
             texts, keys = utf8(batch.column(1)), batch.column(0)
             for a, b in chunks(texts):
                 ids, at = bpe.encode_texts(texts[a:b])
-                columns = [keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))]
-                if offsets:
-                    columns.append(pa.array((bpe.offsets(ids[i:j].tolist()) for i, j in zip(at[:-1], at[1:], strict=True)), pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "offsets"][: len(columns)])
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in (ids, bpe.offsets(ids, at))]
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *lists], ["id", "ids", "offsets"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(encode), schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(encode), "id long, ids array<int>, offsets array<int>").withColumnRenamed("id", id_col)
 
 
-def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``<id_col>, ids, decoded binary``; null ids decode to nothing."""
+def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
+    """``<id_col>, ids, decoded binary``: every token's bytes put at its offset; null ids decode to nothing."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                texts = pa.array((bpe.decode(x or []) for x in part.column(1).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["id", "ids", "decoded"])
-
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(lean(decode), "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+            lists = batch.column(1)
+            at = np.append(0, np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy()))
+            ids, offsets = (pa.compute.list_flatten(batch.column(k)).to_numpy() for k in (1, 2))
+            texts = pa.array(bpe.decode_texts(ids, offsets, at), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, texts], ["id", "ids", "decoded"])
+
+    columns = [F.col(id_col).alias("id"), F.col(ids_col).alias("ids"), F.col(offsets_col).alias("offsets")]
+    return encoded.select(*columns).mapInArrow(lean(decode), "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,23 +149,40 @@ class ByteNet:
         return names, np.clip(score, 0.0, 1.0)
 
 
+def spread(texts: list[bytes], per_text: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``per_text`` windows with letters of each text, spread over it, and the text of each."""
+    x, letters, at = windows(texts)
+    pick = np.unique(np.concatenate([np.linspace(a, b - 1, per_text).astype(int) for a, b in zip(at[:-1], at[1:], strict=True)]))
+    pick = pick[letters[pick] > 0]
+    return x[pick], np.searchsorted(at, pick, side="right") - 1
+
+
 def fit(docs: DataFrame, sample: int = 3000, per_text: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteNet | None:
-    """Trains on at most ``sample`` labelled texts (least hash of the id), ``per_text`` windows of each, spread over it. None without labels."""
-    rows = docs.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(id_col, text_col, label_col)
+    """Trains on at most ``sample`` labelled texts (least hash of the id), ``per_text`` windows of each, spread over it. None without labels.
+
+    Windows are cut by the executors, so the driver gets at most
+    ``sample * per_text * WINDOW`` bytes, however long the texts are. Of rows
+    that repeat an id the greatest text counts.
+    """
+    rows = docs.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("y"))
     # the sample is chosen without the texts, which then join it
-    chosen = rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    found = rows.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.max_by(F.struct(F.encode(text_col, "utf-8").alias("t"), label_col), F.struct(text_col, label_col)).alias("s")).select(id_col, "s.t", F.col(f"s.{label_col}").alias("y")).toArrow().sort_by(id_col)
+    chosen = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max(F.struct("text", "y")).alias("s")).select("id", "s.*")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, owner = spread(utf8(batch.column(1)), per_text)
+            where = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(2).take(where), pa.array([w.tobytes() for w in x], pa.binary())], ["id", "y", "window"])
+
+    found = texts.select(F.col("id").cast("string"), "text", "y").mapInArrow(lean(cut), "id string, y string, window binary").toArrow().sort_by([("id", "ascending"), ("window", "ascending")])
     if not found.num_rows:
         return None
     labels = found.column("y").to_pylist()
     languages = sorted(set(labels))
-    x, letters, at = windows([bytes(t) for t in found.column("t").to_pylist()])
-    pick = np.unique(np.concatenate([np.linspace(a, b - 1, per_text).astype(int) for a, b in zip(at[:-1], at[1:], strict=True)]))
-    pick = pick[letters[pick] > 0]
-    owner = np.searchsorted(at, pick, side="right") - 1
-    y = np.array([languages.index(v) for v in labels])[owner]
+    x = np.frombuffer(b"".join(found.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
     net = ByteNet(languages)
-    net.train(x[pick], y, epochs=max(4, min(40, 40_000 // max(1, len(pick)))))
+    net.train(x, np.array([languages.index(v) for v in labels]), epochs=max(4, min(40, 40_000 // len(x))))
     return net
 
 
@@ -173,7 +190,8 @@ def predict_languages(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_i
     """``<id_col>, lang_pred, score`` of every row.
 
     Null, empty and letterless texts are ``und`` with score 0, as is every
-    text without a model. Repeated rows stay repeated, extra columns are
+    text without a model. Of languages of equal probability the first by name
+    is taken. Repeated rows stay repeated, extra columns are
     ignored, an empty table gives an empty one.
     """
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bucket, chunks, lean, run_hashes, utf8
@@ -104,34 +104,88 @@ class LineField:
         return _forward_backward(self.unary(x), at, self.pair)[0]
 
 
-def _forward_backward(u: np.ndarray, at: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of good and the expected count of each label pair. Longest texts first, so that those still running are a prefix."""
-    count = np.diff(at)
-    order = np.argsort(-count, kind="stable")
-    first, length = at[:-1][order], count[order]
-    steps = int(length[0]) if len(length) else 0
-    running = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
-    psi = np.stack([np.ones_like(u), np.exp(u)], axis=1)
-    move = np.exp(pair)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def _forward_backward(u: np.ndarray, at: np.ndarray, pair: np.ndarray, piece: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of good and the expected count of each label pair, over whole chains.
+
+    Chains are walked in pieces, all at once and the longest first, so that
+    those still running are a prefix. What reaches a piece from the pieces
+    before and after it comes from their products of transfer matrices.
+    """
+    psi, move = np.stack([np.ones_like(u), np.exp(u)], axis=1), np.exp(pair)
+    chain = np.diff(at)
+    pieces = -(-chain // piece)
+    of = np.repeat(np.arange(len(chain)), pieces)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = at[:-1][of] + piece * step
+    length = np.minimum(at[1:][of] - first, piece)
+    opens = step == 0
+    entry, leave = np.ones((len(of), 2)), np.ones((len(of), 2))
+
+    def order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows[np.argsort(-length[rows], kind="stable")]
+        most = int(length[rows[0]]) if len(rows) else 0
+        return rows, np.searchsorted(-length[rows], -np.arange(1, most + 1), side="right")
+
+    def onward(x: np.ndarray, t: int, rows: np.ndarray) -> np.ndarray:
+        """``x`` after line ``t`` of the pieces; the first line of a chain has none before it."""
+        moved = x @ move
+        if t == 0:
+            new = opens[rows]
+            moved[new] = x[new]
+        here = psi[first[rows] + t]
+        return _scaled(moved * (here if x.ndim == 2 else here[:, None, :]))
+
+    rows, running = order(np.flatnonzero(pieces[of] > 1))
+    if len(rows):
+        product = np.broadcast_to(np.eye(2), (len(of), 2, 2)).copy()
+        for t, n in enumerate(running):
+            product[rows[:n]] = onward(product[rows[:n]], t, rows[:n])
+        for k in range(1, int(pieces.max())):
+            here = np.flatnonzero(step == k)
+            entry[here] = _scaled((entry[here - 1][:, None, :] @ product[here - 1])[:, 0])
+        for k in range(int(pieces.max()) - 1, 0, -1):
+            here = np.flatnonzero(step == k)
+            leave[here - 1] = _scaled((product[here] @ leave[here][:, :, None])[:, :, 0])
+    rows, running = order(np.arange(len(of)))
     alpha, beta = np.ones_like(psi), np.ones_like(psi)
-    for t in range(steps):
-        here = first[: running[t]] + t
-        a = psi[here] if t == 0 else (alpha[here - 1] @ move) * psi[here]
-        alpha[here] = a / a.sum(axis=1, keepdims=True)
-    expected = np.zeros((2, 2))
-    for t in range(steps - 2, -1, -1):
-        here = first[: running[t + 1]] + t
-        after = psi[here + 1] * beta[here + 1]
-        b = after @ move.T
-        beta[here] = b / b.sum(axis=1, keepdims=True)
-        joint = alpha[here][:, :, None] * move * after[:, None, :]
-        expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    for t, n in enumerate(running):
+        here = first[rows[:n]] + t
+        alpha[here] = onward(alpha[here - 1] if t else entry[rows], t, rows[:n])
+    beta[first + length - 1] = leave
+    for t in range(len(running) - 2, -1, -1):
+        here = first[rows[: running[t + 1]]] + t
+        beta[here] = _scaled((psi[here + 1] * beta[here + 1]) @ move.T)
+    inner = np.ones(len(u), bool)
+    inner[at[1:] - 1] = False
+    t = np.flatnonzero(inner)
+    joint = alpha[t][:, :, None] * move * (psi[t + 1] * beta[t + 1])[:, None, :]
     both = alpha * beta
-    return both[:, 1] / both.sum(axis=1), expected
+    return both[:, 1] / both.sum(axis=1), _scaled(joint).sum(axis=0)
+
+
+class Likelihood:
+    """Of the labels of all lines of the chains; ``slope`` is the mean over lines of its derivative, negated, by weights and pair weights."""
 
+    def __init__(self, z: np.ndarray, y: np.ndarray, at: np.ndarray):
+        self.z, self.y, self.at = z, y, at
+        inner = np.ones(len(y), bool)
+        inner[at[1:] - 1] = False
+        left = np.flatnonzero(inner)
+        self.seen = np.zeros((2, 2))
+        np.add.at(self.seen, (y[left].astype(int), y[left + 1].astype(int)), 1)
 
-def train(texts: list[bytes], labels: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3, piece: int = 64) -> LineField:
-    """Maximises the likelihood of the line labels with Adam; chains longer than ``piece`` lines are trained in pieces."""
+    def slope(self, theta: np.ndarray) -> np.ndarray:
+        w, pair = theta[:-4], theta[-4:].reshape(2, 2)
+        p, expected = _forward_backward(np.clip((self.z @ w.astype(np.float32)).astype(np.float64), -30, 30), self.at, pair)
+        return np.concatenate([self.z.T @ (p - self.y).astype(np.float32), (expected - self.seen).ravel()]) / len(self.y)
+
+
+def train(texts: list[bytes], labels: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> LineField:
+    """Maximises the likelihood of the line labels of whole texts with Adam."""
     if not len(texts):
         width = 3 * OWN
         return LineField(np.zeros(width), np.ones(width), np.zeros(width + 1), np.zeros((2, 2)))
@@ -139,33 +193,33 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 150, rate: float
     x = np.concatenate([p[0] for p in parts])
     at = np.append(0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))
     y = np.repeat(np.asarray(labels, np.float64), np.diff(at))
-    cuts = np.concatenate([np.arange(a, b, piece) for a, b in zip(at[:-1], at[1:], strict=True)] + [at[-1:]])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1), np.float32)])
-    inner = np.ones(len(y), bool)
-    inner[cuts[1:] - 1] = False
-    left = y[inner].astype(int)
-    right = y[np.flatnonzero(inner) + 1].astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (left, right), 1)
-    theta = np.zeros(z.shape[1] + 4)
+    likelihood = Likelihood(np.hstack([(x - mean) / scale, np.ones((len(x), 1), np.float32)]), y, at)
+    theta = np.zeros(3 * OWN + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, pair = theta[:-4], theta[-4:].reshape(2, 2)
-        p, expected = _forward_backward(np.clip((z @ w.astype(np.float32)).astype(np.float64), -30, 30), cuts, pair)
-        grad = np.concatenate([z.T @ (p - y).astype(np.float32), (expected - seen).ravel()]) / len(y) + decay * theta
+        grad = likelihood.slope(theta) + decay * theta
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return LineField(mean, scale, theta[:-4].copy(), theta[-4:].reshape(2, 2).copy())
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField:
-    """Fits on at most ``sample`` labelled rows (those of least hash of the id); null labels and texts of no row are left out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField:
+    """Fits on at most ``sample`` labelled rows (those of least hash of the id), as many of these as have ``sample_bytes`` of text together.
+
+    Null labels and texts of no row are left out; of rows that repeat an id
+    one text counts; an id with both labels is good.
+    """
     key = F.col(id_col)
+    order = F.struct(F.xxhash64(key), key)
     chosen = labels.where(F.col(label_col).isNotNull() & key.isNotNull()).groupBy(key).agg(F.max(label_col).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, F.col(text_col).alias("t")).join(F.broadcast(chosen), id_col).select(F.encode(F.coalesce("t", F.lit("")), "utf-8").alias("t"), "y", key).toArrow()
+    chosen = chosen.orderBy(order).limit(sample)
+    size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
+    sizes = docs.select(key, size.alias("size")).join(F.broadcast(chosen), id_col).groupBy(key).agg(F.max("size").alias("size"), F.max("y").alias("y"))
+    # a window over at most ``sample`` rows
+    chosen = sizes.withColumn("all", F.sum("size").over(Window.orderBy(order))).where(F.col("all") <= sample_bytes).select(key, "y")
+    rows = docs.select(key, F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("t")).join(F.broadcast(chosen), id_col).groupBy(key).agg(F.max("t").alias("t"), F.max("y").alias("y")).toArrow()
     rows = rows.sort_by(id_col)
     return train([bytes(t) for t in rows.column("t").to_pylist()], rows.column("y").to_numpy())
 

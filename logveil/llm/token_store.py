@@ -14,6 +14,7 @@ against the library over whole texts).
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -51,6 +52,26 @@ PARTS = re.compile(f"[{SMALL}]+|[0-9]|[^{SMALL}0-9]+")
 
 
 AT_ONCE = 12 << 20  # bytes of text
+#: What a tokenizer's file must say for its words to be split here; any other file's texts go through the library whole.
+SPLIT_HERE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def splits_here(path: str) -> bool:
+    """Whether the file's settings are those that the word splitter follows, and its model is a plain BPE."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model = told["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "fuse_unk", "byte_fallback", "ignore_merges", "continuing_subword_prefix"))
+    return plain and all(told.get(k) == v for k, v in SPLIT_HERE.items()) and all(t["special"] for t in told["added_tokens"])
 
 
 class Known(dict):
@@ -72,7 +93,9 @@ class WordEncoder:
 
     A word of letters up to U+017F and printable ASCII without an apostrophe
     has parts that are plain to see, and the library's merges take each part
-    once; every other word goes through the whole library.
+    once; every other word goes through the whole library, and so does every
+    whole text where the tokenizer's file has other settings than
+    ``SPLIT_HERE``.
     """
 
     def __init__(self, path: str, cache: int = 800_000):
@@ -81,6 +104,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
+        self.library.no_padding()
+        self.split = splits_here(path)
         self.merge = self.library.model.tokenize
         self.words = Known(self._word)
         self.parts: dict[str, bytes] = {}
@@ -114,6 +139,9 @@ class WordEncoder:
         library would. The words of all texts are dictionary-coded by Arrow,
         each with the white space after it, and ids are gathered by code.
         """
+        if not self.split:
+            each = [e.ids for e in self.library.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], np.int32), np.cumsum([0, *map(len, each)])
         if len(self.words) + len(self.parts) > self.limit:
             self.words.clear()
             self.parts.clear()

@@ -217,6 +217,88 @@ def test_forward_backward_against_enumeration():
     assert expected.sum() == pytest.approx(sum(s - 1 for s in sizes))
 
 
+def test_pieces_are_linked():
+    rng = np.random.default_rng(2)
+    at = np.append(0, np.cumsum([1, 9, 3, 12, 4, 7]))
+    unary, pair = rng.normal(size=at[-1]), rng.normal(size=(2, 2))
+    whole, expected = line_quality._forward_backward(unary, at, pair)
+    for piece in (1, 2, 3, 4, 5):
+        got, again = line_quality._forward_backward(unary, at, pair, piece)
+        assert got == pytest.approx(whole) and again == pytest.approx(expected)
+    assert whole[at[3] : at[4]] == pytest.approx(brute_marginals(unary[at[3] : at[4]], pair))
+
+
+def test_quality_slope():
+    """The derivative of the enumerated likelihood of whole chains."""
+    rng = np.random.default_rng(3)
+    at = np.array([0, 2, 7, 8])
+    z, y = rng.normal(size=(8, 2)).astype(np.float32), np.array([0, 0, 1, 1, 1, 1, 1, 0.0])
+
+    def likelihood(theta):
+        u, pair, out = (z @ theta[:2].astype(np.float32)).astype(float), theta[2:].reshape(2, 2), 0.0
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            def weight(labels, a=a):
+                return sum(u[a + i] for i, v in enumerate(labels) if v) + sum(pair[x, w] for x, w in zip(labels, labels[1:], strict=False))
+
+            every = [[(code >> i) & 1 for i in range(b - a)] for code in range(1 << (b - a))]
+            out += weight([int(v) for v in y[a:b]]) - math.log(sum(math.exp(weight(v)) for v in every))
+        return out / len(y)
+
+    theta = rng.normal(size=6)
+    slope = line_quality.Likelihood(z, y, at).slope(theta)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-3
+        assert -slope[k] == pytest.approx((likelihood(theta + step) - likelihood(theta - step)) / 2e-3, rel=1e-2, abs=1e-4)
+
+
+def brute_lines(text):
+    """Features of each line, counted byte by byte."""
+    kinds = {**dict.fromkeys(range(32), "control"), 127: "control", **dict.fromkeys((9, 11, 12, 13, 32), "space"), **dict.fromkeys(range(65, 91), "upper")}
+    kinds |= dict.fromkeys([*range(97, 123), *range(128, 256)], "lower") | dict.fromkeys(range(48, 58), "digit")
+    kinds |= dict.fromkeys(b".,;:'\"-()", "stop") | {ord("|"): "bar", ord("!"): "mark", ord("?"): "mark"}
+    lines, own = text.split(b"\n"), []
+    for i, line in enumerate(lines):
+        kind = [kinds.get(b, "other") for b in line]
+        words = "".join("  " if k == "space" else chr(256 + b) for b, k in zip(line, kind, strict=True)).split()
+        visible = max(1, len(line) - kind.count("space"))
+        shares = [kind.count(k) / visible for k in ("upper", "lower", "digit", "stop", "bar", "mark", "other", "control")]
+        repeated = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words) - 1)
+        same = i > 0 and line == lines[i - 1] and len(line) > 0
+        own.append([*shares, repeated, math.log1p(len(words)), min(visible / max(1, len(words)), 40) / 10, same, bool(line) and kind[-1] == "stop"])
+    none = [0.0] * line_quality.OWN
+    rows = [[*x, *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none)] for i, x in enumerate(own)]
+    return np.array(rows, float), [max(1, len(line)) for line in lines]
+
+
+def test_quality_query_against_brute_force(spark, small, texts):
+    """Features, unary weights, forward-backward and the weighted mean of every document, one by one; the field itself is fitted."""
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    model = line_quality.fit(docs, labels.where(common.bucket("doc_id", 4) != 2))
+    for r in queries.QUERIES["op3_line_quality"](spark, small).collect():
+        x, weight = brute_lines(texts[r.doc_id].encode())
+        score = np.clip((x - model.mean) / model.scale @ model.weight[:-1] + model.weight[-1], -30, 30)
+        psi = [np.array([1.0, math.exp(u)]) for u in score]
+        ahead, behind = [psi[0] / psi[0].sum()], [np.ones(2)]
+        for p in psi[1:]:
+            a = ahead[-1] @ np.exp(model.pair) * p
+            ahead.append(a / a.sum())
+        for p in reversed(psi[1:]):
+            b = np.exp(model.pair) @ (p * behind[0])
+            behind.insert(0, b / b.sum())
+        good = [(a * b)[1] / (a * b).sum() for a, b in zip(ahead, behind, strict=True)]
+        assert r.score == pytest.approx(np.average(good, weights=weight), abs=2e-3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7)
+
+
+def test_quality_sample_is_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(50)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(line_quality, "train", lambda texts, labels: seen.append(len(texts)))
+    line_quality.fit(docs, docs.selectExpr("doc_id", "1 as quality"), sample_bytes=1000)
+    line_quality.fit(docs, docs.selectExpr("doc_id", "1 as quality"), sample=7)
+    assert seen == [10, 7]
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.QUERIES["op3_line_quality"](spark, sf)
@@ -262,6 +344,27 @@ def test_language_gradients():
         assert (up - down) / (2 * eps) == pytest.approx(float(g[at]), rel=0.1, abs=1e-3)
 
 
+def test_language_against_a_plain_convolution():
+    """Every window of whole texts by sums over embeddings, then the mean by letters."""
+    net = language_id.ByteNet(["a", "b", "c"], depth=3, filters=2)
+    texts = [b"", b"ab 1", b"The quick brown fox", b"words and words " * 40, "Öl über Nötiges".encode()]
+    names, score = net.predict(texts)
+    for t, name, s in zip(texts, names, score, strict=True):
+        low = t.lower()
+        total, letters = np.zeros(3), 0
+        for i in range(0, max(1, len(low)), language_id.WINDOW):
+            e = net.embed[list(low[i : i + language_id.WINDOW].ljust(language_id.WINDOW, b"\0"))]
+            pooled = []
+            for f, b in zip(net.filter, net.bias, strict=True):
+                conv = [sum(e[p + j] @ f[j] for j in range(len(f))) + b for p in range(len(e) - len(f) + 1)]
+                pooled.append(np.maximum(np.max(conv, axis=0), 0))
+            x = np.exp(np.hstack(pooled) @ net.out + net.out_bias)
+            n = sum(c in b"abcdefghijklmnopqrstuvwxyz" or 0xC2 <= c < 0xF5 for c in low[i : i + language_id.WINDOW])
+            total, letters = total + n * x / x.sum(), letters + n
+        want = total / letters if letters else None
+        assert (name, s) == (("und", 0.0) if want is None else (net.languages[int(want.argmax())], pytest.approx(want.max(), rel=1e-4)))
+
+
 def test_language_edges(spark, edges, nothing):
     labelled = edges.withColumn("lang", F.when(F.col("doc_id") == 6, "de").when(F.col("doc_id") == 4, "en"))
     net = language_id.fit(labelled)
@@ -411,7 +514,9 @@ def test_byte_bpe_against_the_library(mixed):
     for i, t in enumerate(mixed):
         got = ids[at[i] : at[i + 1]].tolist()
         assert got == library.encode_ordinary(t) and own.decode(got) == t.encode()
-        cuts = [*own.offsets(got), len(t.encode())]
+        places = own.offsets(np.array(got, np.int32), np.array([0, len(got)]))
+        cuts = [*places.tolist(), len(t.encode())]
+        assert own.decode_texts(np.array(got, np.int32), places, np.array([0, len(got)])) == [t.encode()]
         assert [t.encode()[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] == [own.vocab[k] for k in got]
 
 
@@ -424,9 +529,13 @@ def test_byte_bpe_query(spark, small, texts):
 
 
 def test_byte_bpe_edges(edges, nothing):
-    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(edges, RANKS, offsets=True), RANKS)
+    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(edges, RANKS), RANKS)
     assert sorted((r.doc_id or 0, bytes(r.decoded).decode()) for r in coded.collect()) == sorted((k or 0, t or "") for k, t in EDGES)
     assert byte_bpe.encode_documents(nothing, RANKS).count() == 0
+    broken = edges.sparkSession.sql("select 1L as doc_id, decode(unhex('61ff62'), 'utf-8') as t, cast(unhex('61FF62C3') as string) as text")
+    assert [bytes(r.decoded).decode() for r in byte_bpe.decode_documents(byte_bpe.encode_documents(broken, RANKS), RANKS).collect()] == ["a\ufffdb\ufffd"]
+    none = edges.sparkSession.sql("select 1L as doc_id, cast(null as array<int>) as ids, cast(null as array<int>) as offsets union all select 2L, array(64, 65), array(0, 1)")
+    assert {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode_documents(none, RANKS).collect()} == {1: b"", 2: byte_bpe.coder(RANKS).decode([64, 65])}
 
 
 def test_word_ids_against_the_library(mixed):
@@ -438,6 +547,23 @@ def test_word_ids_against_the_library(mixed):
         assert ids[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_other_tokenizer_files_go_through_the_library(spark, tmp_path, mixed):
+    import json
+
+    with open(WORDS, encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"]["normalizers"].pop()  # keeps capitals
+    path = f"{tmp_path}/other.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(told, f)
+    assert token_store.splits_here(WORDS) and not token_store.splits_here(path)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    some = [*mixed[:200], "Capital Letters", ""]
+    ids, at = token_store.WordEncoder(path).encode([t.encode() for t in some])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_token_store_query(spark, small, texts):
     library = Tokenizer.from_file(WORDS)
     start, got = 0, {r.doc_id: r for r in queries.QUERIES["op9_token_store"](spark, small).collect()}
@@ -465,9 +591,10 @@ def test_token_files(spark, tmp_path, documents, encoding):
 
 def test_token_edges(spark, tmp_path, edges, nothing):
     path = f"{tmp_path}/edges"
-    token_store.write_tokens(edges.where("doc_id is not null"), WORDS, path, end_id=2)
+    token_store.write_tokens(edges, WORDS, path, end_id=2)
     got = token_store.with_starts(token_store.read_tokens(spark, path), token_store.read_tokens(spark, path, ids=False), parts=3).orderBy("doc_id", "start").collect()
-    assert [r.start for r in got] == np.append(0, np.cumsum([r.n_tokens for r in got]))[:-1].tolist() and got[0].ids == [2]
+    assert [r.start for r in got] == np.append(0, np.cumsum([r.n_tokens for r in got]))[:-1].tolist()
+    assert [r.doc_id for r in got][:3] == [None, 1, 2] and got[1].ids == [2] and len(got) == len(EDGES)
     assert token_store.encode_documents(nothing, WORDS).count() == 0
 
 
