@@ -41,7 +41,7 @@ from .components import components
 TREES, DEPTH, ROOT = 16, 6, 3
 WORDS = 5
 CROWD = 1000  # members of a region's slice
-WEIGHT = 1_000_000  # shingles of a group that confirms links
+WEIGHT = 250_000  # shingles of a group that confirms links
 SENT = 500_000  # rows of the list of needed texts that may be broadcast
 SAMPLED, LEVELS = 4, (2, 8, 32, 128)  # so many of one in SAMPLED representatives have a shingle of a level
 CELLS = 24  # bits of a hash that tell a shingle's level
@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """
     id_, text = F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     # row numbers must stay the same when a lost part is made again, so they are written
-    rows = docs.select(F.col(key_col).cast("long").alias("row"), id_, text) if key_col else written(docs.select(F.monotonically_increasing_id().alias("row"), id_, text))
+    rows = docs.select(F.col(key_col).cast("long").alias("row"), id_, text) if key_col else written(docs.select(F.monotonically_increasing_id().alias("row"), id_, text), compression="zstd")
     sketches = written(sketch(rows))
     some = sketches.where("n_shingles > 0")
     named_by = F.struct(F.col("id").isNull().alias("none"), "id", "row")
