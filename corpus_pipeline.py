@@ -71,7 +71,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number for each row, written, so that the numbers stay the same."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), compression="zstd")
 
 
 def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
