@@ -164,7 +164,8 @@ def possible(docs: DataFrame, bitmap, sizes: list[int], key: bool) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(pairs[:, 1]))
                 rows = batch.column(0).slice(a, b - a) if key else pa.array(np.arange(row, row + b - a))
                 row += b - a
-                yield pa.RecordBatch.from_arrays([rows, batch.column(1).slice(a, b - a), pa.compute.if_else(pa.array(none), pa.scalar(None, pa.string()), column.slice(a, b - a).cast(pa.string())), lists], ["row", "id", "text", "seeds"])
+                kept = column.take(pa.array(np.arange(a, b), mask=none)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([rows, batch.column(1).slice(a, b - a), kept, lists], ["row", "id", "text", "seeds"])
 
     return docs.select("row", "id", "text").mapInArrow(lean(run), schema)
 
