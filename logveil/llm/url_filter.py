@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, written
 
 WORDS = 8
+SENT = 100_000  # rules that may be broadcast
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -82,8 +83,10 @@ def apply_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
             test = test & (F.call_function("shiftrightunsigned", F.get("bloom", at + w), _bit(k["key"], w)).bitwiseAND(F.lit(1)) == 1)
         return (F.length("path") >= k["p_len"]) & test
 
-    urls = urls.withColumn("keys", F.filter("keys", passes)).drop("bloom").withColumn("row", F.monotonically_increasing_id())
-    hits = urls.select("row", F.inline("keys")).join(rules, ["key", "h_len", "p_len"])
+    # written, so that both reads see the same row numbers
+    urls = written(urls.withColumn("keys", F.filter("keys", passes)).drop("bloom").withColumn("row", F.monotonically_increasing_id()))
+    side = F.broadcast(rules) if facts["n"] <= SENT else rules
+    hits = urls.select("row", F.inline("keys")).join(side, ["key", "h_len", "p_len"])
     best = hits.groupBy("row").agg(F.max_by(F.struct("key", "r_verdict"), F.struct(F.length("key"), F.col("h_len"))).alias("best"))
     return urls.join(best, "row", "left").select(id_col, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
 
