@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from ..functions.accept import REASONS, accepted, veto
 from ..rules import values as V
 from ..rules.registry import CATEGORIES, compiles, effective, validate
@@ -114,6 +118,19 @@ def diagnose(sample: str, value: str, enabled: tuple[str, ...] = CATEGORIES) ->
     }
 
 
+def diagnosed(rows: DataFrame, id_col: str = "doc_id", sample_col: str = "sample", value_col: str = "value", enabled: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """``<id_col>, verdict, label, occurrences`` of many samples and values; a null verdict where the value isn't in the sample."""
+    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, verdict string, label string, occurrences int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [diagnose(s, v, enabled) for s, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            columns = [pa.array([f.get(k) for f in found], t) for k, t in (("verdict", pa.string()), ("label", pa.string()), ("occurrences", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "verdict", "label", "occurrences"])
+
+    return rows.select(id_col, sample_col, value_col).mapInArrow(run, schema)
+
+
 def _effect(sample: str, value: str, config: MaskConfig, changed: MaskConfig) -> tuple[bool, list[str]]:
     """Whether the value goes, and which values are masked that weren't."""
     old, new = kernel.mask(sample, config)[1], kernel.mask(sample, changed)
@@ -131,12 +148,36 @@ def _pattern(around: dict, shape: str) -> str:
     }[around["kind"]]
 
 
+_LIST = re.compile(r"\(\?:(?P<body>[^()+*{}^$]*\|[^()+*{}^$]*)\)")
+
+
 def _widened(regex: str, key: str) -> list[str]:
-    """The rule with the key added to each alternation of keys it has."""
-    out = []
-    for m in re.finditer(r"\((\?:)?(?=[A-Za-z])[^()]*\|[^()]*(?=\))", regex):
-        out.append(regex[: m.end()] + "|" + re.escape(key) + regex[m.end() :])
-    return [r for r in out if compiles(r) and len(r) <= 2000]
+    """The rule with the key put before each list of field names it has; none where it knows the key. Blanks, hyphens and underscores in the key may be any of them or none."""
+    if re.search(rf"(?<!\w){re.escape(key.lower())}", regex.lower()):
+        return []
+    name = r"[ _\-]?".join(re.escape(part) for part in re.split(r"[ _\-]+", key.strip()) if part)
+    wider = (regex[: m.start("body")] + f"{name}|" + regex[m.start("body") :] for m in _LIST.finditer(regex))
+    return [r for r in wider if compiles(r) and len(r) <= 2000]
+
+
+def takes_place(regex: str, sample: str, start: int, end: int) -> bool:
+    """Whether the pattern captures what stands there and not much more: at most three times its length, or forty characters more."""
+    if not compiles(regex):
+        return False
+    room = max(3 * (end - start), end - start + 40)
+    spans = (m.span(m.lastindex or 0) for m in re.finditer(regex, sample))
+    first = next(((a, b) for a, b in spans if a <= start and b >= end), None)
+    return first is not None and first[1] - first[0] <= room
+
+
+#: Marks of a rule that was written for what stands around the value.
+_MADE_FOR = {"kv": ("[=:]", r"=\s", r":\s"), "param": ("-(?:", "--?", "-(?i:"), "xml": ("<",), "xml_data": ("<Data",)}
+
+
+def _fits(around: dict, regex: str) -> bool:
+    """Whether a rule is of the family of the value's surroundings; a name of several words is a label at the start of a line."""
+    marks = ("(?im)^", "(?m)^") if around["kind"] == "kv" and " " in (around["key"] or "") else _MADE_FOR.get(around["kind"], ())
+    return any(mark in regex for mark in marks)
 
 
 def suggest(sample: str, value: str, enabled: tuple[str, ...] = CATEGORIES) -> dict:
@@ -145,6 +186,8 @@ def suggest(sample: str, value: str, enabled: tuple[str, ...] = CATEGORIES) -> d
     out: list[dict] = []
     if found["verdict"] in ("no_match", "rejected"):
         sample, value, around = sample[:SAMPLE], found["value"], found["anchor"]
+        start = occurrences(sample, value)[0]
+        end = start + len(value)
         label = found["label"] if accepted(found["label"], value) else "CUSTOM"
         config = MaskConfig(enabled=tuple(enabled))
         if around["key"] and label != "CUSTOM":
@@ -152,18 +195,20 @@ def suggest(sample: str, value: str, enabled: tuple[str, ...] = CATEGORIES) -> d
             for r in effective():
                 if r.label == label and r.category in enabled:
                     for wide in _widened(r.regex, around["key"]):
+                        if not takes_place(wide, sample, start, end):
+                            continue
                         gone, more = _effect(sample, value, config, replace(config, patches={r.rule_id: wide}))
                         if gone:
-                            tried.append((len(more), len(wide), {"kind": "extend_builtin", "rule_id": r.rule_id, "label": label, "regex": wide, "also_masked": more}))
+                            tried.append((not _fits(around, r.regex), len(more), len(wide), {"kind": "extend_builtin", "rule_id": r.rule_id, "label": label, "regex": wide, "also_masked": more}))
                             break
-            out += [t[2] for t in sorted(tried, key=lambda t: t[:2])[:2]]
+            out += [t[3] for t in sorted(tried, key=lambda t: t[:3])[:2]]
         for kind, regex in (("new_pattern", _pattern(around, value_class(value, around["quoted"]))), ("literal", kernel.literal(value))):
             try:
                 validate(regex)
             except ValueError:
                 continue
             gone, more = _effect(sample, value, config, replace(config, custom_patterns=({"label": label, "regex": regex},)))
-            if gone:
+            if gone and takes_place(regex, sample, start, end):
                 out.append({"kind": kind, "rule_id": None, "label": label, "regex": regex, "also_masked": more})
     return found | {"proposals": out[:PROPOSALS]}
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..rules.registry import JsonStore
+
 AUDIT = (
     "seq long, time string, kind string, provider string, model string, conversation_id string, system string, "
     "messages array<struct<role:string,content:string>>, response string, error string, ok boolean, duration_ms long, "
@@ -78,7 +80,7 @@ def rate(provider: Column, model: Column, overrides: DataFrame | None = None) ->
 def priced(sums: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Adds ``rate_in, rate_out, rate_source, cost``. ``overrides (model, own_in, own_out)`` is a small table of exact names in lower case."""
     if overrides is not None:
-        sums = sums.join(F.broadcast(overrides.withColumnRenamed("model", "own_model")), F.lower(F.trim("model")) == F.col("own_model"), "left")
+        sums = sums.join(overrides.withColumnRenamed("model", "own_model"), F.lower(F.trim("model")) == F.col("own_model"), "left")
     out = sums.withColumn("r", rate(F.col("provider"), F.col("model"), overrides))
     cost = F.coalesce(F.col("tokens_in") / 1e6 * F.col("r.rate_in") + F.col("tokens_out") / 1e6 * F.col("r.rate_out"), F.lit(0.0))
     return out.select(*[c for c in sums.columns if not c.startswith("own_")], F.col("r.rate_in").alias("rate_in"), F.col("r.rate_out").alias("rate_out"), F.col("r.source").alias("rate_source"), cost.alias("cost"))
@@ -140,8 +142,53 @@ def in_range(audit: DataFrame, low: str | None, high: str | None) -> DataFrame:
 
 
 def compact(n: Column) -> Column:
-    """Token counts as people read them: 950, 1.2k, 3.4M."""
-    return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1e6, 1), F.lit("M"))).when(n >= 1000, F.concat(F.format_number(n / 1e3, 1), F.lit("k"))).otherwise(n.cast("string"))
+    """Token counts as people read them: 950, 1.2K, 34K, 5.6M."""
+    out = F.when(n >= 10_000_000, F.format_string("%.0fM", n / 1e6)).when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6))
+    return out.when(n >= 10_000, F.format_string("%.0fK", n / 1e3)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+
+
+def money(n: Column) -> Column:
+    """Dollars: whole ones from a thousand on, four digits below a cent, a dash for null."""
+    digits = F.when(F.abs(n) >= 1000, F.format_string("$%.0f", n)).when((F.abs(n) > 0) & (F.abs(n) < 0.01), F.format_string("$%.4f", n))
+    return F.when(n.isNull(), "\u2014").otherwise(digits.otherwise(F.format_string("$%.2f", n)))
+
+
+def relevant(cards: DataFrame, configured: list[str] = (), active: str | None = None) -> DataFrame:
+    """Of ``credits`` the providers worth a card: used, set up or selected, and not free."""
+    worth = (F.col("requests_all") > 0) | F.col("provider").isin([*configured, active or ""])
+    return cards.where((F.col("cost_model") != "free") & worth)
+
+
+class RateStore:
+    """Rates that a user has set, by a model's exact name, in one file."""
+
+    def __init__(self, path: str):
+        self._file = JsonStore(path, {})
+
+    def rates(self) -> dict[str, tuple[float, float]]:
+        return {m: (float(r.get("in", 0)), float(r.get("out", 0))) for m, r in sorted(self._file.load().get("rates", {}).items()) if isinstance(r, dict)}
+
+    def _save(self, rates: dict[str, tuple[float, float]]) -> None:
+        self._file.save({"rates": {m: {"in": a, "out": b} for m, (a, b) in sorted(rates.items())}})
+
+    def set_rate(self, model: str, rate_in: float, rate_out: float) -> None:
+        name = (model or "").strip().lower()
+        if not name or min(rate_in, rate_out) < 0:
+            raise ValueError("A rate needs a model's name and amounts of nought or more.")
+        self._save(self.rates() | {name: (float(rate_in), float(rate_out))})
+
+    def clear_rate(self, model: str) -> None:
+        name = (model or "").strip().lower()
+        self._save({m: r for m, r in self.rates().items() if m != name})
+
+    def overrides(self, spark: SparkSession) -> DataFrame:
+        """``model, own_in, own_out``, as :func:`priced` takes them."""
+        return spark.createDataFrame([(m, *r) for m, r in self.rates().items()], "model string, own_in double, own_out double")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``ord, model, rate_in, rate_out, source, pattern``: the patterns of models in their order, then the models set by name."""
+        rows = [(p, a, b, "default", True) for p, a, b in RATES] + [(m, a, b, "custom", False) for m, (a, b) in self.rates().items()]
+        return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "ord int, model string, rate_in double, rate_out double, source string, pattern boolean")
 
 
 def usage_of(block: Column, provider: str) -> Column:

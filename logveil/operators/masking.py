@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.accept import veto_column
 from ..rules import values as V
@@ -24,45 +26,40 @@ SPAN = "struct<start:int,end:int,value:string,label:string,tier:string,rule_id:s
 _SPAN = pa.struct([(n, pa.int32() if n in ("start", "end") else pa.string()) for n in ("start", "end", "value", "label", "tier", "rule_id", "placeholder")])
 
 
-SMALL, LARGE = 1 << 20, 32 << 20
-
-
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where they are few bytes for each: a file of one row group is one task, however many cores there are.
+    """Rows of fewer files than cores dealt to all cores: a file of one row group is one task, however many cores there are.
 
-    Inputs of more than 32 MB for each core have parts enough and aren't
-    shuffled, nor are those under 1 MB.
+    More files make tasks enough and aren't shuffled.
     """
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(cores) if SMALL < size < LARGE * cores else rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
+def _span_lists(placed: list[list[tuple[kernel.Span, str]] | None]) -> pa.Array:
+    """The spans of each text as one list array, built from flat columns."""
+    flat = [(*vars(s).values(), p) for spans in placed for s, p in spans or ()]
+    columns = [pa.array([f[k] for f in flat], _SPAN.field(k).type) for k in range(len(_SPAN))]
+    ends = np.cumsum([0, *(len(p or ()) for p in placed)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_SPAN)), mask=pa.array([p is None for p in placed]))
 
 
-def mask(rows: DataFrame, config: MaskConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id_col>, masked, mapping, spans`` of every row; a null text stays null."""
+def mask(rows: DataFrame, config: MaskConfig | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``<id_col>, masked, mapping, spans`` and the columns to ``keep`` of every row; a null text stays null."""
     config = config or MaskConfig()
-    kind = rows.schema[id_col].dataType.simpleString()
+    schema = rows.select(id_col, *keep).schema
+    names = [*schema.names, "masked", "mapping", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                masked, mappings, spans = [], [], []
-                for text in part.column(1).to_pylist():
-                    if text is None:
-                        masked.append(None), mappings.append(None), spans.append(None)
-                        continue
-                    out, mapping, placed = kernel.mask(text, config)
-                    masked.append(out)
-                    mappings.append(list(mapping.items()))
-                    spans.append([{"start": s.start, "end": s.end, "value": s.value, "label": s.label, "tier": s.tier, "rule_id": s.rule_id, "placeholder": p} for s, p in placed])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(masked, pa.string()), pa.array(mappings, pa.map_(pa.string(), pa.string())), pa.array(spans, pa.list_(_SPAN))],
-                    [id_col, "masked", "mapping", "spans"],
-                )
-
-    return dealt(rows.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, masked string, mapping map<string,string>, spans array<{SPAN}>")
+                done = [None if t is None else kernel.mask(t, config) for t in part.column(part.num_columns - 1).to_pylist()]
+                masked = pa.array([d and d[0] for d in done], pa.string())
+                mappings = pa.array([d and list(d[1].items()) for d in done], pa.map_(pa.string(), pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], masked, mappings, _span_lists([d and d[2] for d in done])], names)
+
+    out = StructType([*schema, *StructType.fromDDL(f"masked string, mapping map<string,string>, spans array<{SPAN}>")])
+    return dealt(rows.select(id_col, *keep, F.col(text_col))).mapInArrow(run, out)
 
 
 def spans(masked: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -75,6 +72,13 @@ def entities(masked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return each.select(id_col, "placeholder", F.regexp_extract("placeholder", r"^\[([A-Z0-9]+)_\d+\]$", 1).alias("label"), F.regexp_extract("placeholder", r"_(\d+)\]$", 1).cast("int").alias("n"), "value")
 
 
+def field_table(masked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``<id_col>, field, placeholder, value`` of the mappings as people read them, by label and number; a user's own labels name themselves."""
+    names = F.create_map(*[F.lit(x) for pair in V.FIELD_NAMES.items() for x in pair])
+    each = entities(masked, id_col)
+    return each.select(id_col, F.coalesce(F.try_element_at(names, F.col("label")), F.col("label")).alias("field"), "placeholder", "value", "label", "n").orderBy(id_col, "label", "n").drop("label", "n")
+
+
 def java(regex: str) -> str:
     """A rule's pattern for Spark: ``\\n`` alone ends lines, letters are Unicode's, a bracket in a class is itself."""
     out, inside = [], False
@@ -141,7 +145,7 @@ def number(spans: DataFrame, id_col: str = "doc_id", floors: DataFrame | None =
     last = spans.groupBy(id_col, "label", "value").agg(F.max("start").alias("last"))
     n = F.row_number().over(Window.partitionBy(id_col, "label").orderBy(F.desc("last"))).cast("long")
     if floors is not None:
-        last = last.join(F.broadcast(floors.select("label", F.col("n").alias("floor"))), "label", "left")
+        last = last.join(floors.select("label", F.col("n").alias("floor")), "label", "left")
         n = n + F.coalesce("floor", F.lit(0))
     return last.select(id_col, "label", "value", n.alias("n")).withColumn("placeholder", F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]")))
 

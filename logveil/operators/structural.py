@@ -9,6 +9,9 @@ import base64
 import re
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..rules import values as V
 
 Found = Iterator[tuple[int, int, str]]
@@ -52,6 +55,19 @@ def column_label(header: str) -> str | None:
     return None
 
 
+def column_label_column(header: Column) -> Column:
+    """``column_label`` as an expression."""
+    name = F.regexp_replace(F.lower(header), "[^a-z]", "")
+
+    def has(words: list[str]) -> Column:
+        return name.rlike("|".join(words))
+
+    out = F.when((name == "") | has(V.CSV_EXCLUDE), F.lit(None).cast("string"))
+    for label, words in (("USER", V.CSV_USER), ("DOMAIN", V.CSV_DOMAIN), ("HOST", V.CSV_HOST)):
+        out = out.when(has(words), label)
+    return out
+
+
 def cells(line: str, delimiter: str) -> list[tuple[int, int]]:
     """Where the cells of a line lie; of a quoted cell, what is inside the quotes."""
     out = []

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,15 +121,44 @@ def used(mapping: DataFrame, texts: DataFrame) -> DataFrame:
     return mapping.join(found, ["id", "placeholder"], "left_semi")
 
 
-def save(vault: Vault, path: str, key: str | None = None) -> None:
-    """The four tables under ``path``; with a key (16, 24 or 32 bytes) values are encrypted."""
-    rows = vault.entities if key is None else vault.entities.withColumn("value", F.base64(F.aes_encrypt("value", F.lit(key))))
-    for name, table in (("entities", rows), ("incidents", vault.incidents), ("bridge", vault.bridge), ("counters", vault.counters)):
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+def clear(vault: Vault) -> Vault:
+    """No entities and no incidents; numbers stay retired, as counters stay."""
+    none = empty(vault.entities.sparkSession)
+    return replace(none, counters=vault.counters)
+
+
+TABLES = ("entities", "incidents", "bridge", "counters")
+
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the saves under ``path`` that were finished, by their marks."""
+    try:
+        return sorted(r["version"] for r in spark.read.schema("version long").parquet(f"{path}/saved").collect())  # a row for each save that was not cleaned up
+    except AnalysisException:  # nothing was saved yet
+        return []
 
-def load(spark: SparkSession, path: str, key: str | None = None) -> Vault:
-    entities, *rest = (spark.read.parquet(f"{path}/{n}") for n in ("entities", "incidents", "bridge", "counters"))
+
+def save(vault: Vault, path: str, key: str | None = None) -> None:
+    """A new version of the four tables under ``path``; with a key (16, 24 or 32 bytes) values are encrypted.
+
+    The tables go to a folder of their own and are marked when all are
+    written, so a vault that was loaded from ``path`` can be saved there, and a
+    save that fails leaves the last one as it was.
+    """
+    spark = vault.entities.sparkSession
+    rows = vault.entities if key is None else vault.entities.withColumn("value", F.base64(F.aes_encrypt("value", F.lit(key))))
+    version = max(_versions(spark, path), default=0) + 1
+    for name, table in zip(TABLES, (rows, vault.incidents, vault.bridge, vault.counters), strict=True):
+        table.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/saved")
+
+
+def load(spark: SparkSession, path: str, key: str | None = None, version: int | None = None) -> Vault:
+    """The last version that was finished, or the one asked for."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no vault is saved under {path}")
+    entities, *rest = (spark.read.parquet(f"{path}/version={version or found[-1]}/{n}") for n in TABLES)
     if key is not None:
         entities = entities.withColumn("value", F.aes_decrypt(F.unbase64("value"), F.lit(key)).cast("string"))
     return Vault(entities, *rest)

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.accept import veto_column
-from ..operators import lab, leaks, ledger, masking, providers, templates, vault, verdicts
+from ..operators import lab, leaks, ledger, masking, providers, structural, templates, vault, verdicts
 from ..operators.kernel import MaskConfig
 from ..rules import registry
 from ..rules import values as V
+from ..session import shared_folder
 from ..sources import text as text_source
 from ..streaming import conversations as conv
 from ..streaming import ledger as ledger_stream
@@ -60,16 +60,13 @@ def _documents_sql(pattern: str, group: int, extra: str = "true") -> str:
 where value <> '' and ({extra}) group by doc_id, value"""
 
 
-for _rule, _pattern, _group, _extra in (
-    ("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 0, "true"),
-    ("uuid", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", 0, "true"),
-    ("hex-blob", r"\b[A-Fa-f0-9]{32,}\b", 0, "true"),
-    ("mac", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", 0, "true"),
-    ("ipv4", r"(?:^|[^A-Za-z0-9_.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))\b", 1, "not starts_with(value, '127.') and value <> '0.0.0.0'"),
-    ("phone", r"(?:^|[^A-Za-z0-9_.+-])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11})\b", 1, "true"),
-):
+REGEX = {r[0]: r[4] for r in V.RULES}
+
+for _rule, _extra in (("email", "true"), ("uuid", "true"), ("hex-blob", "true"), ("mac", "true"), ("ipv4", "not starts_with(value, '127.') and value <> '0.0.0.0'"), ("phone", "true")):
+    _pattern, _group = rendered.SQL_PATTERNS.get(_rule, (REGEX[_rule], 0))
     query(f"detect_{_rule.replace('-', '_')}", _documents_sql(_pattern, _group, _extra))(_documents_rule(_rule))
 
+
 @query(
     "detect_credit_card",
     f"""select doc_id, d as value, count(*) as n from (
@@ -95,13 +92,11 @@ where value <> '' and value not similar to '/.*|@[{{(].*|-[A-Za-z].*' and not re
 
 
 def _rules_native(rows: DataFrame) -> DataFrame:
-    """``event_id, rule_id, value``: one extraction for each rule, one veto for all."""
-    out = F.array().cast("array<string>")
-    for rule_id, *_ in V.RULES:
-        _, regex, group = masking.rule(rule_id)
-        out = F.when(F.col("rule_id") == rule_id, F.regexp_extract_all("line", F.lit(regex), F.lit(group))).otherwise(out)
-    labels = F.create_map(*[F.lit(x) for r in V.RULES for x in (r[0], r[2])])
-    each = rows.select("event_id", "rule_id", labels[F.col("rule_id")].alias("label"), F.explode(out).alias("value"))
+    """``event_id, rule_id, value``: the rule's pattern is a column from a table of 96 rows; lines are sorted by rule within their partition, so that each pattern is compiled once there."""
+    spark = rows.sparkSession
+    patterns = spark.createDataFrame([(r[0], *masking.rule(r[0])) for r in V.RULES], "rule_id string, label string, regex string, grp int")
+    sorted_ = rows.join(F.broadcast(patterns), "rule_id").sortWithinPartitions("rule_id")
+    each = sorted_.select("event_id", "rule_id", "label", F.explode(F.regexp_extract_all("line", F.col("regex"), F.col("grp"))).alias("value"))
     return each.where((F.col("value") != "") & veto_column(F.col("label"), F.col("value")).isNull()).drop("label")
 
 
@@ -237,22 +232,39 @@ def spread_values(spark, sf_dir):
 # --- the composite -------------------------------------------------------------------------------------------------
 
 
-@query("mask_documents")
+@query("mask_documents", "select doc_id, true as restored, 0::bigint as left_over, true as numbered, true as apart from documents")
 def mask_documents(spark, sf_dir):
-    """All documents through all tiers, with the check that they can be restored."""
+    """All documents through all tiers, by what must hold of each.
+
+    It can be restored; no mailbox, hardware address or UUID is left; the
+    numbers of each label run from 1; spans are apart, in order, and cut out
+    the values that they name.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    masked = masking.mask(docs)
+    masked = masking.mask(docs, keep=("text",))
     back = masking.unmask(F.col("masked"), F.col("mapping"))
-    return masked.join(docs, "doc_id").select("doc_id", F.md5("masked").alias("masked_md5"), F.size("spans").alias("n_spans"), F.size("mapping").alias("n_values"), (back == F.col("text")).alias("restored"))
+    left = F.size(F.regexp_extract_all("masked", F.lit("|".join(masking.java(REGEX[r]).removeprefix("(?dU)") for r in ("email", "mac", "uuid"))), F.lit(0)))
+    keys = F.map_keys("mapping")
+    labels = F.transform(keys, lambda k: F.regexp_extract(k, r"^\[([A-Z0-9]+)_", 1))
+    numbers = F.transform(keys, lambda k: F.regexp_extract(k, r"_(\d+)\]$", 1).cast("int"))
+    numbered = F.forall(F.array_distinct(labels), lambda a: F.array_sort(F.transform(F.filter(F.arrays_zip(labels.alias("a"), numbers.alias("n")), lambda z: z["a"] == a), lambda z: z["n"])) == F.sequence(F.lit(1), F.size(F.filter(labels, lambda x: x == a))))
+    apart = F.forall(F.transform("spans", lambda s, i: (s["end"] > s["start"]) & ((i == 0) | (F.element_at("spans", F.greatest(i, F.lit(1)))["end"] <= s["start"]))), lambda x: x)
+    cut = F.forall("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) == s["value"])
+    return masked.select("doc_id", (back == F.col("text")).alias("restored"), left.cast("long").alias("left_over"), numbered.alias("numbered"), (apart & cut).alias("apart"))
 
 
-@query("mask_lines", f"select event_id, rule_id, true as hidden, true as restored from {rendered.lines_sql()}")
+@query("mask_lines", f"select event_id, rule_id, masked, true as restored from {rendered.lines_sql()}")
 def mask_lines(spark, sf_dir):
-    """Rendered lines of all sources: something is hidden in each, and each can be restored."""
-    rows = rendered.lines(spark, sf_dir).select(F.struct("event_id", "rule_id").alias("key"), "line")
-    masked = masking.mask(rows.select(F.to_json("key").alias("id"), "line"), id_col="id", text_col="line")
-    joined = masked.join(rows.select(F.to_json("key").alias("id"), "key", "line"), "id")
-    return joined.select("key.event_id", "key.rule_id", (F.size("spans") > 0).alias("hidden"), (masking.unmask(F.col("masked"), F.col("mapping")) == F.col("line")).alias("restored"))
+    """Rendered lines of all sources through all tiers: the whole masked text of each."""
+    masked = masking.mask(rendered.lines(spark, sf_dir), id_col="event_id", text_col="line", keep=("rule_id", "line"))
+    return masked.select("event_id", "rule_id", "masked", (masking.unmask(F.col("masked"), F.col("mapping")) == F.col("line")).alias("restored"))
+
+
+@query("mask_kept_lines", f"select event_id, rule_id, kept as masked, 0 as n_spans from {rendered.lines_sql()}")
+def mask_kept_lines(spark, sf_dir):
+    """For each rule a line of nearly its shape that has nothing to mask."""
+    masked = masking.mask(rendered.lines(spark, sf_dir), id_col="event_id", text_col="kept", keep=("rule_id",))
+    return masked.select("event_id", "rule_id", "masked", F.size("spans").alias("n_spans"))
 
 
 @query("entities_by_source")
@@ -263,12 +275,19 @@ def entities_by_source(spark, sf_dir):
     return spans.join(docs.select("doc_id", "lang", "source"), "doc_id").groupBy("lang", "source", "label").agg(F.count(F.lit(1)).alias("n_spans"), F.countDistinct("value").alias("n_values"))
 
 
-@query("mask_options")
+_OPTION_LINE = "concat('Unit Zeta saw QX', lpad(cast(event_id % 10000 as string), 4, '0'), ' for user=user', user_id, ' and user=boss at 10.1.2.', event_id % 250 + 1, '; zeta host=kappa7 done')"
+
+
+@query(
+    "mask_options",
+    """select event_id, 'Unit [CUSTOM_2] saw [CODEX_1] for user=' || case when user_id = 7 then 'user7' else '[USER_4]' end || ' and user=[USER_3] at 10.1.2.' || (event_id % 250 + 1) || '; [CUSTOM_1] host=kappa7 done' as masked,
+  case when user_id = 7 then 4 else 5 end as n_spans from events""",
+)
 def mask_options(spark, sf_dir):
-    """Conversations under custom terms, a custom pattern, kept terms, a known value and one category off."""
-    config = MaskConfig(enabled=("identities", "secrets"), custom_terms=("that", "the of"), custom_patterns=({"label": "code-x", "regex": r"\b[A-Z]{2}\d{4}\b"},), keep_terms=("and",), base_mapping={"[USER_3]": "which"})
-    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn", "role").alias("id"), "text")
-    return masking.mask(turns, config, id_col="id").select("id", "masked", F.size("spans").alias("n_spans"))
+    """Lines under a custom term in two spellings, a custom pattern, a kept term, a known value and one category off."""
+    config = MaskConfig(enabled=("identities", "secrets"), custom_terms=("zeta",), custom_patterns=({"label": "code-x", "regex": r"\b[A-Z]{2}\d{4}\b"},), keep_terms=("user7",), base_mapping={"[USER_3]": "boss"})
+    rows = _table(spark, sf_dir, "events").select("event_id", F.expr(_OPTION_LINE).alias("line"))
+    return masking.mask(rows, config, id_col="event_id", text_col="line").select("event_id", "masked", F.size("spans").alias("n_spans"))
 
 
 KEEP_LINES = "select event_id, 'SHA256=' || md5(event_id::varchar) || md5(user_id::varchar) || ' hash=' || md5(event_id::varchar) as line from events"
@@ -283,34 +302,38 @@ def keep_rules(spark, sf_dir):
     return masking.mask(rows, id_col="event_id", text_col="line").select("event_id", "masked")
 
 
-@query("csv_columns", "select * from (values ('User Name', 'USER'), ('deviceName', 'HOST'), ('AD Domain', 'DOMAIN'), ('Source IP', 'HOST'), ('user count', null), ('Status', null), ('id', null), ('Offense Source', 'USER')) t(header, label)")
-def csv_columns(spark, sf_dir):
-    """Labels of column names, in Catalyst."""
-    rows = spark.createDataFrame([(h,) for h in ("User Name", "deviceName", "AD Domain", "Source IP", "user count", "Status", "id", "Offense Source")], "header string")
-    plain = F.regexp_replace(F.lower("header"), "[^a-z]", "")
+_HEADERS = {"User Name": "USER", "deviceName": "HOST", "AD Domain": "DOMAIN", "Source IP": "HOST", "user count": None, "Status": None, "id": None, "Offense Source": "USER"}
 
-    def has(words: list[str]) -> F.Column:
-        return plain.rlike("|".join(words))
 
-    label = F.when((plain == "") | has(V.CSV_EXCLUDE), None).when(has(V.CSV_USER), "USER").when(has(V.CSV_DOMAIN), "DOMAIN").when(has(V.CSV_HOST), "HOST")
-    return rows.select("header", label.alias("label"))
+@query("csv_columns", f"select n_nationkey as k, n_nationkey || ' ' || header as header, label from nation, (values {', '.join(f'({rendered.quoted(h)}, {rendered.quoted(v) if v else chr(110) + chr(117) + chr(108) + chr(108)})' for h, v in _HEADERS.items())}) t(header, label) where n_nationkey % 8 = list_position([{', '.join(map(rendered.quoted, _HEADERS))}], header) - 1")
+def csv_columns(spark, sf_dir):
+    """Labels of column names, by the operator that exports use."""
+    headers = F.array(*map(F.lit, _HEADERS))
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.col("n_nationkey").cast("string"), F.lit(" "), F.get(headers, F.col("n_nationkey") % 8)).alias("header"))
+    return rows.withColumn("label", structural.column_label_column(F.col("header")))
 
 
 @query(
     "mask_csv_export",
-    "select c_custkey // 50 as doc_id, 'id,user,device,count' || chr(10) || string_agg(c_custkey || ',[USER_' || (50 - c_custkey % 50) || '],[HOST_' || (50 - c_custkey % 50) || '],' || c_nationkey, chr(10) order by c_custkey) as masked from customer where c_custkey >= 50 group by 1 having count(*) = 50",
+    """select doc_id, 'id,user,device,count' || chr(10) || string_agg(c_custkey || ',[USER_' || k || '],[HOST_' || k || '],' || c_nationkey, chr(10) order by c_custkey) as masked
+from (select c_custkey, c_nationkey, c_custkey // 50 as doc_id, row_number() over (partition by c_custkey // 50 order by c_custkey desc) as k from customer) group by doc_id""",
 )
 def mask_csv_export(spark, sf_dir):
-    """Exports of fifty rows: cells under sensitive columns, numbered from the end."""
-    c = _table(spark, sf_dir, "customer").where("c_custkey >= 50")
+    """Exports of up to fifty rows of all customers: cells under sensitive columns, numbered from the end."""
+    c = _table(spark, sf_dir, "customer")
     # the cells' names are unlike the numbers of the columns beside them
     row = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit("person"), "c_custkey"), F.concat(F.lit("box"), "c_custkey"), F.col("c_nationkey").cast("string"))
-    docs = c.select(F.expr("c_custkey div 50").alias("doc_id"), F.struct("c_custkey", row.alias("row")).alias("r")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("r")).alias("rows")).where("n = 50")
+    # a group is one export, of at most fifty rows
+    docs = c.select(F.expr("c_custkey div 50").alias("doc_id"), F.struct("c_custkey", row.alias("row")).alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     text = F.concat(F.lit("id,user,device,count\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"))
     return masking.mask(docs.select("doc_id", text.alias("text"))).select("doc_id", "masked")
 
 
-@query("structural_shapes")
+@query(
+    "structural_shapes",
+    """select s_suppkey as id, 'Get-ADUser -Identity ''[USER_2]'' -Server [HOST_3],[HOST_2]' || chr(10) || 'Name          Enabled DNSHostName' || chr(10) || '----          ------- -----------' || chr(10)
+  || '[USER_1]' || repeat(' ', 10 - length(s_suppkey::varchar)) || 'True    [HOST_1]' || chr(10) || chr(10) || 'powershell -enc [ENCODED_1]' || chr(10) as masked from supplier""",
+)
 def structural_shapes(spark, sf_dir):
     """PowerShell parameters, tables and an encoded command over the suppliers."""
     import base64
@@ -326,10 +349,10 @@ def structural_shapes(spark, sf_dir):
 
 # --- residue -------------------------------------------------------------------------------------------------------
 
-_LEAK_KINDS = r"""hits as (
-  select doc_id, 3 as detector, 'ip_address' as type, 'high' as severity, unnest(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b')) as value from documents
-  union all select doc_id, 4, 'email', 'high', unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b')) from documents
-  union all select doc_id, 5, 'secret_like', 'medium', unnest(regexp_extract_all(text, '\b[A-Fa-f0-9]{32,}\b')) from documents),
+_LEAK_KINDS = f"""hits as (
+  select doc_id, 3 as detector, 'ip_address' as type, 'high' as severity, unnest(regexp_extract_all(text, {rendered.quoted(leaks.IPV4)})) as value from documents
+  union all select doc_id, 4, 'email', 'high', unnest(regexp_extract_all(text, {rendered.quoted(leaks.MAILBOX)})) from documents
+  union all select doc_id, 5, 'secret_like', 'medium', unnest(regexp_extract_all(text, {rendered.quoted(leaks.HEX)})) from documents),
 counted as (select doc_id, type, severity, value, count(*) as n from hits where not (type = 'ip_address' and (starts_with(value, '127.') or value = '0.0.0.0')) group by all)"""
 
 
@@ -361,23 +384,52 @@ def entropy_tokens(spark, sf_dir):
     return each.select("doc_id", "token", F.round(leaks.entropy(F.col("token")), 6).alias("bits"))
 
 
+_DETECTED = {
+    "custom_term": ("high", "'Acme'"),
+    "email": ("high", "concat('user', user_id, '@corp.io')"),
+    "ip_address": ("high", "concat('10.9.', user_id % 256, '.', event_id % 250)"),
+    "known_value": ("high", "concat('user', user_id)"),
+    "host_like": ("medium", "concat('SRV-', user_id % 50 + 100)"),
+    "secret_like": ("medium", "md5(cast(event_id as string))"),
+    "secret_like ": ("medium", "concat('Abcdefgh1234567890Zz', event_id % 10)"),
+}
+
+
+@query(
+    "leak_detectors",
+    " union all ".join(f"select event_id, {k} as rank, '{t.strip()}' as type, '{severity}' as severity, {value} as value, {3 if t == 'known_value' else 1}::bigint as count from events" for k, (t, (severity, value)) in enumerate(_DETECTED.items(), 1)),
+)
+def leak_detectors(spark, sf_dir):
+    """All seven detectors on one line for each event, a value that two of them find once, in order."""
+    parts = [v for _, v in _DETECTED.values()]
+    line = f"concat('seen ', {parts[3]}, ' at ', {parts[2]}, ' by ', {parts[1]}, ' hex ', {parts[5]}, ' token ', {parts[6]}, ' asset ', {parts[4]}, ' of Acme and ', {parts[3]}, '; UTF-8 127.0.0.1')"
+    rows = _table(spark, sf_dir, "events").select("event_id", F.expr(line).alias("masked"), F.expr(f"map('[USER_1]', {parts[3]})").alias("mapping"))
+    return leaks.scan(rows, custom_terms=["Acme", "xy"], id_col="event_id", mapping_col="mapping").select("event_id", "rank", "type", "severity", "value", "count")
+
+
+_ASSET_SQL = r"(?:^|[^%\w.\-/\\])([A-Z][A-Z0-9]+(?:-[A-Z0-9]+)+)\b"
+
+
 @query(
     "leak_assets",
-    """select event_id as doc_id, 'SRV-' || upper(event_type) || '-' || lpad((user_id % 50)::varchar, 2, '0') as value, 'medium' as severity, 1::bigint as count from events where event_id % 96 = 69""",
+    f"""with a as (select event_id, line, unnest(regexp_extract_all(line, {rendered.quoted(_ASSET_SQL)}, 1)) as value from {rendered.lines_sql()})
+select event_id as doc_id, any_value(value) as value, 'medium' as severity, ((length(any_value(line)) - length(replace(any_value(line), any_value(value), ''))) / length(any_value(value)))::bigint as count
+from a where regexp_matches(value, '[0-9]') and lower(value) not in ({", ".join(map(rendered.quoted, leaks.SAFE))}) and not regexp_matches(lower(value), '^({"|".join(leaks.SAFE_PREFIXES)})') group by event_id, lower(value)""",
 )
 def leak_assets(spark, sf_dir):
-    """Names of assets in lines of one shape."""
-    rows = rendered.lines(spark, sf_dir).where("rule_id = 'winevent-host'").select(F.col("event_id").alias("doc_id"), F.col("line").alias("masked"))
-    return leaks.scan(rows, enabled=("network",)).select("doc_id", "value", "severity", "count")
+    """Names of assets in the lines of all shapes."""
+    rows = rendered.lines(spark, sf_dir).select(F.col("event_id").alias("doc_id"), F.col("line").alias("masked"))
+    return leaks.scan(rows, enabled=("network",)).where("type = 'host_like'").select("doc_id", "value", "severity", "count")
 
 
 @query(
     "leak_known_values",
-    "select event_id as doc_id, 'user' || user_id as value, ((length(line) - length(replace(line, 'user' || user_id, ''))) / length('user' || user_id))::bigint as count, 'high' as severity from " + rendered.lines_sql() + " where rule_id in ('user-kv', 'sudo-user', 'home-path-user', 'pam-by-user')",
+    f"""select event_id as doc_id, 'user' || user_id as value, n as count, 'high' as severity from (
+  select event_id, user_id, len(regexp_extract_all(line, '(?:^|[^A-Za-z0-9_])user' || user_id || '(?:[^A-Za-z0-9_]|$)'))::bigint as n from {rendered.lines_sql()}) where n > 0""",
 )
 def leak_known_values(spark, sf_dir):
-    """Values masked elsewhere that are still there."""
-    rows = rendered.lines(spark, sf_dir).where("rule_id in ('user-kv', 'sudo-user', 'home-path-user', 'pam-by-user')")
+    """Values masked elsewhere that are still there, in the lines of all shapes."""
+    rows = rendered.lines(spark, sf_dir)
     mapping = rows.select(F.col("event_id").alias("doc_id"), F.lit("[USER_1]").alias("placeholder"), F.concat(F.lit("user"), "user_id").alias("value"), F.lit(1).alias("ord"))
     found = leaks.scan(rows.select(F.col("event_id").alias("doc_id"), F.col("line").alias("masked")), mapping, enabled=())
     return found.select("doc_id", "value", "count", "severity")
@@ -486,11 +538,10 @@ def rate_lookup(spark, sf_dir):
 @query("stream_ledger", _BUCKET_SQL)
 def stream_ledger(spark, sf_dir):
     """The buckets from a stream of the log's lines."""
-    folder = tempfile.mkdtemp(prefix="logveil-stream-")
+    folder = shared_folder(spark)
     _audit(spark, sf_dir).write.json(f"{folder}/log")
     stream = ledger_stream.running_buckets(ledger_stream.read_folder(spark, f"{folder}/log"))
-    name = "ledger_" + folder.rpartition("-")[2].replace("-", "_")
-    return ledger_stream.drain(stream, name, f"{folder}/checkpoint")
+    return ledger_stream.drain(stream, folder)
 
 
 # --- vault ---------------------------------------------------------------------------------------------------------
@@ -561,6 +612,45 @@ def vault_ordered(spark, sf_dir):
     return conv.vaulted(rows).select("incident_id", "ord", "masked", F.size("mapping").alias("n_values"))
 
 
+@query(
+    "vault_numbering",
+    """with r as (select g, row_number() over (order by m) as k from (select s_suppkey % 7 as g, min(s_suppkey) as m from supplier group by 1))
+select 'i' || s_suppkey as incident_id, s_suppkey as ord, 'login user=[USER_' || k || '] ok' as masked from supplier join r on s_suppkey % 7 = g""",
+)
+def vault_numbering(spark, sf_dir):
+    """One vault over the suppliers' incidents: a name keeps the number that it got when it came first."""
+    key = F.col("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("i"), key).alias("incident_id"), key.cast("long").alias("ord"), F.concat(F.lit("login user=acct"), (key % 7).cast("string"), F.lit(" ok")).alias("text"))
+    return conv.vaulted(rows).select("incident_id", "ord", "masked")
+
+
+_TURNS_SQL = """with t as (select user_id as conv_id, event_id as turn, event_id % 5 as g from events), r as (select conv_id, g, row_number() over (partition by conv_id order by m) as k from (select conv_id, g, min(turn) as m from t group by all))
+select conv_id, turn, 'user=[USER_' || k || '] ok' as masked from t join r using (conv_id, g)"""
+
+
+def _event_turns(spark, sf_dir) -> DataFrame:
+    """Events as turns, each user's as one conversation."""
+    return _table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("conv_id"), F.col("event_id").cast("long").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("user=acct"), (F.col("event_id") % 5).cast("string"), F.lit(" ok")).alias("text"))
+
+
+def _streamed(spark, turns: DataFrame) -> DataFrame:
+    folder = shared_folder(spark)
+    turns.write.parquet(f"{folder}/turns")
+    return ledger_stream.drain(conv.stream(spark.readStream.schema(turns.schema).parquet(f"{folder}/turns")), folder, "append")
+
+
+@query("conversation_numbering", _TURNS_SQL)
+def conversation_numbering(spark, sf_dir):
+    """Numbers of a conversation's names, in the order of its turns."""
+    return conv.batch(_event_turns(spark, sf_dir)).select("conv_id", "turn", "masked")
+
+
+@query("conversation_stream_numbering", _TURNS_SQL)
+def conversation_stream_numbering(spark, sf_dir):
+    """The same from a stream."""
+    return _streamed(spark, _event_turns(spark, sf_dir)).select("conv_id", "turn", "masked")
+
+
 @query("conversation_masking")
 def conversation_masking(spark, sf_dir):
     """Turn by turn, each conversation with its own mapping."""
@@ -570,11 +660,7 @@ def conversation_masking(spark, sf_dir):
 @query("conversation_stream")
 def conversation_stream(spark, sf_dir):
     """The same from a stream, the mapping kept as state."""
-    folder = tempfile.mkdtemp(prefix="logveil-stream-")
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns.write.parquet(f"{folder}/turns")
-    stream = conv.stream(spark.readStream.schema(turns.schema).parquet(f"{folder}/turns"))
-    return ledger_stream.drain(stream, "turns_" + folder.rpartition("-")[2].replace("-", "_"), f"{folder}/checkpoint", "append")
+    return _streamed(spark, _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 # --- templates, verdicts, workbench, text --------------------------------------------------------------------------
@@ -625,14 +711,22 @@ def verdict_fields(spark, sf_dir):
     return rows.select("event_id", v["verdict"].alias("verdict"), v["severity"].alias("severity"), v["summary"].alias("summary"), F.size(v["iocs"]).alias("n_iocs"), v["iocs"][0]["type"].alias("ioc_type"), v["iocs"][0]["value"].alias("ioc"), "prose")
 
 
-DIAGNOSES = [
-    ("user=pkim x", "pkim", "already_masked"), ("sha256=" + "a" * 64, "a" * 64, "protected"), ("user=root", "root", "rejected"), ("thing QQ77 there", "QQ77", "no_match"),
-]
+DIAGNOSES = [("user=pkim{n} x", "pkim{n}", "already_masked"), ("sha256={x}{x}", "{x}{x}", "protected"), ("user=root", "root", "rejected"), ("thing QQ{n} there", "QQ{n}", "no_match")]
 
 
-@query("diagnose", "select * from (values " + ", ".join(f"({k}, '{v}')" for k, (_, _, v) in enumerate(DIAGNOSES)) + ") t(k, verdict)")
+@query(
+    "diagnose",
+    "select event_id, (['already_masked', 'protected', 'rejected', 'no_match'])[event_id % 4 + 1] as verdict from events",
+)
 def diagnose(spark, sf_dir):
-    return spark.createDataFrame([(k, lab.diagnose(s, v)["verdict"]) for k, (s, v, _) in enumerate(DIAGNOSES)], "k int, verdict string")
+    """Why a value of a line is masked or isn't, for four kinds of lines over the events."""
+    shapes = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(DIAGNOSES)], "k int, line string, value string")
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id").join(F.broadcast(shapes), F.col("event_id") % len(DIAGNOSES) == F.col("k"))  # four rows
+
+    def filled(c: str) -> F.Column:
+        return F.replace(F.replace(F.col(c), F.lit("{n}"), F.col("user_id").cast("string")), F.lit("{x}"), F.md5(F.col("event_id").cast("string")))
+
+    return lab.diagnosed(events.select("event_id", filled("line").alias("sample"), filled("value").alias("value")), id_col="event_id").select("event_id", "verdict")
 
 
 @query("propose_rules")

@@ -135,6 +135,21 @@ class RuleStore:
         self._terms = JsonStore(folder / "custom_terms.json", [])
         self._keep = JsonStore(folder / "keep_terms.json", [])
 
+    def migrate(self, workspaces: str | Path | None = None) -> bool:
+        """Fills an empty store from the terms and patterns of an older file of workspaces: its active one, else the default, else the first. True where something came."""
+        if workspaces is None or self._terms.load() or self._patterns.load():
+            return False
+        told = JsonStore(workspaces, {}).load()
+        spaces = told.get("workspaces") if isinstance(told.get("workspaces"), dict) else {}
+        chosen = next((w for w in (spaces.get(told.get("active")), spaces.get("default"), *spaces.values()) if isinstance(w, dict)), {})
+        terms = [t for t in chosen.get("custom_terms", []) if isinstance(t, str)]
+        patterns = [{"label": p["label"], "regex": p["regex"]} for p in chosen.get("custom_patterns", []) if isinstance(p, dict) and p.get("label") and p.get("regex")]
+        if terms:
+            self._terms.save(distinct_terms(terms))
+        if patterns:
+            self._patterns.save(patterns)
+        return bool(terms or patterns)
+
     def overrides(self) -> dict[str, str]:
         return {k: v for k, v in self._overrides.load().items() if isinstance(v, str) and v}
 

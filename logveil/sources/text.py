@@ -70,3 +70,31 @@ def review(masked: Column) -> Column:
     """Masked text as HTML with its placeholders marked."""
     safe = F.replace(F.replace(F.replace(masked, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.regexp_replace(safe, r"(\[[A-Z0-9]+_\d+\])", "<mark>$1</mark>")
+
+
+def _escaped(text: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def restored(masked: Column, mapping: Column) -> Column:
+    """Restored text as HTML, each value marked with the placeholder that it stands for.
+
+    Values go in where placeholders stood, in one pass, so a value inside
+    another one is never marked again. Unknown placeholders stay.
+    """
+    shape = r"\[[A-Z0-9]+_\d+\]"
+    gaps, found = F.split(masked, shape, -1), F.regexp_extract_all(masked, F.lit(shape), F.lit(0))
+
+    def shown(p: Column) -> Column:
+        value = F.try_element_at(mapping, p)
+        return F.when(value.isNull(), _escaped(p)).otherwise(F.concat(F.lit('<mark title="'), p, F.lit('">'), _escaped(value), F.lit("</mark>")))
+
+    return F.concat(_escaped(F.element_at(gaps, 1)), F.array_join(F.transform(found, lambda p, i: F.concat(shown(p), _escaped(F.get(gaps, i + 1)))), ""))
+
+
+def write_masked(masked: DataFrame, path: str, id_col: str = "doc_id", html: bool = False) -> None:
+    """Masked texts as files, a folder ``<id_col>=...`` for each document, as text or with placeholders marked as HTML."""
+    shown = review(F.col("masked")) if html else F.col("masked")
+    masked.select(id_col, F.coalesce(shown, F.lit("")).alias("value")).write.partitionBy(id_col).option("lineSep", "\n").text(path)

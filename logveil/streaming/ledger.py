@@ -25,11 +25,27 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
     return audit.parse(spark.readStream.format("appended").option("path", path).load().select("value"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is now, into a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what there is now, into Parquet under ``folder``, where its checkpoint is too.
+
+    ``append``: the file sink, which writes each row once whatever fails.
+    ``complete``: each batch's table takes the place of the one before, in a
+    folder of its own.
+    """
+    spark, out = stream.sparkSession, f"{folder}/table"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    last = [f"{out}/none"]
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(last[0])
+
+    def put(table: DataFrame, batch: int) -> None:
+        last[0] = f"{out}/batch={batch}"
+        table.write.mode("overwrite").parquet(last[0])
+
+    writer.foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last[0])
 
 
 def by_minute(entries: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -2,6 +2,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from logveil.operators import ledger, vault, verdicts
 from logveil.sources import audit, text, xlsx
@@ -62,7 +63,7 @@ def test_appended_lines(spark, tmp_path):
     log, state = tmp_path / "log.jsonl", str(tmp_path / "state")
     log.write_text('{"seq": 1, "ok": true, "provider": "openai", "model": "o3", "time": "2024-01-02T00:00:00", "response": "abcdefgh"}\nbroken\n{"seq": 2, "ok": tr')
     stream = streams.running_buckets(streams.read_appended(spark, str(log)))
-    assert [r.requests for r in streams.drain(stream, "appended_1", state).collect()] == [1]
+    assert [r.requests for r in streams.drain(stream, state).collect()] == [1]
     with log.open("a") as f:
         f.write('ue, "provider": "openai", "model": "o3", "time": "2024-01-03T00:00:00"}\n')
     reader = audit._Appended(str(log))
@@ -91,7 +92,7 @@ def test_vault_saved_and_encrypted(spark, tmp_path):
     v, new = vault.record(vault.empty(spark), seen)
     assert [(r.incident_id, r.n_new) for r in new.collect()] == [("i1", 1)]
     vault.save(v, str(tmp_path / "v"), key="0123456789abcdef")
-    stored = spark.read.parquet(str(tmp_path / "v" / "entities")).first().value
+    stored = spark.read.parquet(str(tmp_path / "v" / "version=1" / "entities")).first().value
     assert stored != "ann"
     back = vault.load(spark, str(tmp_path / "v"), key="0123456789abcdef")
     assert back.entities.first().value == "ann" and vault.search(back, "ANN").count() == 1
@@ -106,3 +107,29 @@ def test_verdicts():
     prose, got = verdicts.split('a ```json\n{"verdict": 1}\n``` b ```\n{"verdict": "benign true-positive", "mitre": "T1", "iocs": ["1.2.3.4", ""], "next_steps": "x"}\n``` c ```json\n{broken}\n```')
     assert got["verdict"] == "benign_true_positive" and got["mitre"][0]["technique"] == "T1" and got["iocs"] == [{"type": "other", "value": "1.2.3.4", "context": ""}] and got["next_steps"] == ["x"]
     assert prose.startswith("a ```json")
+
+
+def test_vault_is_saved_where_it_was_loaded_from(spark, tmp_path):
+    path = str(tmp_path / "again")
+    seen = spark.createDataFrame([("i1", "2024", "[USER_1]", "ann", 1)], "incident_id string, time string, placeholder string, value string, ord long")
+    vault.save(vault.record(vault.empty(spark), seen)[0], path)
+    more = spark.createDataFrame([("i2", "2025", "[USER_2]", "bob", 2)], "incident_id string, time string, placeholder string, value string, ord long")
+    vault.save(vault.record(vault.load(spark, path), more)[0], path)
+    back = vault.load(spark, path)
+    assert {r.value for r in back.entities.collect()} == {"ann", "bob"} and vault.load(spark, path, version=1).entities.count() == 1
+
+    class Broken(Exception):
+        pass
+
+    @F.udf("string")
+    def fail(_):
+        raise Broken
+
+    with pytest.raises(Exception, match="Broken"):
+        vault.save(vault.Vault(back.entities, back.incidents, back.bridge, back.counters.withColumn("label", fail("label"))), path)
+    assert vault.load(spark, path).entities.count() == 2
+    vault.save(vault.clear(back), path)
+    empty = vault.load(spark, path)
+    assert empty.entities.count() == empty.bridge.count() == 0 and empty.counters.first().n == 2
+    with pytest.raises(FileNotFoundError):
+        vault.load(spark, str(tmp_path / "nowhere"))
