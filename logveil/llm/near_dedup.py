@@ -67,11 +67,11 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """32-bit minima, big-endian so that bytes order as numbers; only for sets with members."""
+    """16 bits of a mix of each minimum, big-endian so that bytes order as numbers; only for sets with members."""
     some = at[:-1][np.diff(at) > 0]
-    out = np.empty((len(some), TREES * DEPTH), ">u4")
+    out = np.empty((len(some), TREES * DEPTH), ">u2")
     for j in range(TREES * DEPTH):
-        out[:, j] = np.minimum.reduceat((sets ^ _FLIP[j]) * _TIMES[j], some) >> np.uint64(32)
+        out[:, j] = mix(np.minimum.reduceat((sets ^ _FLIP[j]) * _TIMES[j], some)) >> np.uint64(48)
     return out
 
 
@@ -99,9 +99,9 @@ def sketch(rows: DataFrame) -> DataFrame:
 
 def candidates(reps: DataFrame) -> DataFrame:
     """``a, b, hub, weight`` of ``reps (rep, n_shingles, sig)``: pairs ``a < b``; ``hub`` is the least first member that they met under, ``weight`` the shingles of both at most."""
-    size = 4 * DEPTH
+    size = 2 * DEPTH
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", t * size + 1, size).alias("label")) for t in range(TREES)])
-    rows = reps.select("rep", "n_shingles", F.inline(trees)).withColumn("root", F.substring("label", 1, 4 * ROOT))
+    rows = reps.select("rep", "n_shingles", F.inline(trees)).withColumn("root", F.substring("label", 1, 2 * ROOT))
     regions = written(rows.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n_shingles")).alias("leader")).where("members > 1"))
     met = by_key(rows, regions, ["tree", "root"], "members")
     met = met.withColumn("slice", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / CROWD)))
@@ -281,8 +281,8 @@ def completed(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     ``docs``: ``rep, text`` of the representatives.
     """
     first = written(prefixes(docs, percent, common_shingles(docs)))
-    shared = first.groupBy("shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("shingle")
-    met = written(first.join(shared, "shingle").join(reps, "rep"))
+    shared = written(first.groupBy("shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("shingle"))
+    met = written(first.join(F.broadcast(shared) if shared.count() <= SENT else shared, "shingle").join(reps, "rep"))
     lists = met.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members"), F.min("rep").alias("hub")).where("least < most").drop("most")
     lists = written(lists)
     short, x, y = lists.where(F.col("members") <= LIST).select("shingle", "hub"), met.alias("x"), met.alias("y")
