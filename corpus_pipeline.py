@@ -2,8 +2,9 @@
 
 Each stage gets the documents that the one before kept, and the folder of the
 tables for what else it needs. All but the last return the columns they got.
-A stage numbers its rows, writes them, and decides by that number, so that
-rows without an id, and rows that share one, are each judged by their own text.
+Quality is judged within the row; the other stages number their rows, write
+them, and decide by that number, so that rows without an id, and rows that
+share one, are each judged by their own text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from logveil.llm import byte_bpe, decontaminate, line_quality, near_dedup
 from logveil.llm.common import bucket, table, written
 from logveil.llm.exact_dedup import DigestIndex
 
-ROW = "row of the stage"
+ROW, SCORE = "row of the stage", "score of the stage"
 SENT = 1_000_000  # row numbers that may be broadcast
 
 
@@ -30,8 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = table(spark, sf_dir, "labels").where(bucket("doc_id", 4) != 2)
     model = line_quality.fit(table(spark, sf_dir, "documents"), labels)
-    rows = _numbered(docs)
-    return _keep(rows, line_quality.score_documents(rows, model, id_col=ROW).where(F.col("score") >= line_quality.THRESHOLD))
+    return line_quality.with_score(docs, model, SCORE).where(F.col(SCORE) >= line_quality.THRESHOLD).drop(SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
