@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.accept import veto_column
-from ..operators import lab, leaks, ledger, masking, providers, structural, templates, vault, verdicts
+from ..operators import lab, leaks, ledger, masking, providers, structural, templates, vault, vaulting, verdicts
 from ..operators.kernel import MaskConfig
 from ..rules import registry
 from ..rules import values as V
@@ -609,7 +609,7 @@ def vault_ordered(spark, sf_dir):
     """The incidents of one vault after each other with one numbering."""
     c = _table(spark, sf_dir, "conversations")
     rows = c.select(F.concat(F.lit("c"), "conv_id").alias("incident_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
-    return conv.vaulted(rows).select("incident_id", "ord", "masked", F.size("mapping").alias("n_values"))
+    return vaulting.vaulted(rows).select("incident_id", "ord", "masked", F.size("mapping").alias("n_values"))
 
 
 @query(
@@ -621,7 +621,7 @@ def vault_numbering(spark, sf_dir):
     """One vault over the suppliers' incidents: a name keeps the number that it got when it came first."""
     key = F.col("s_suppkey")
     rows = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("i"), key).alias("incident_id"), key.cast("long").alias("ord"), F.concat(F.lit("login user=acct"), (key % 7).cast("string"), F.lit(" ok")).alias("text"))
-    return conv.vaulted(rows).select("incident_id", "ord", "masked")
+    return vaulting.vaulted(rows).select("incident_id", "ord", "masked")
 
 
 _TURNS_SQL = """with t as (select user_id as conv_id, event_id as turn, event_id % 5 as g from events), r as (select conv_id, g, row_number() over (partition by conv_id order by m) as k from (select conv_id, g, min(turn) as m from t group by all))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "logveil", **conf: str) -> SparkSession:
@@ -26,3 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all machines see; where that is unset (tests), one of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logveil-")
     return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: cuts lineage and survives the loss of any executor."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

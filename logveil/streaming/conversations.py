@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
 
 import pandas as pd
 import pyarrow as pa
@@ -16,27 +15,17 @@ from ..operators.kernel import MaskConfig
 TURN = "conv_id long, turn long, role string, masked string, mapping_size long"
 
 
-def _counters(mapping: dict[str, str]) -> dict[str, int]:
-    top: dict[str, int] = {}
-    for placeholder in mapping:
-        m = kernel.PLACEHOLDER.fullmatch(placeholder)
-        if m:
-            top[m[1]] = max(top.get(m[1], 0), int(m[2]))
-    return top
-
-
 def batch(turns: DataFrame, config: MaskConfig | None = None) -> DataFrame:
     """Every conversation in the order of its turns; one conversation is one group, as its mapping passes from turn to turn."""
     config = config or MaskConfig()
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("turn", "ascending"), ("role", "ascending")])
-        mapping = dict(config.base_mapping)
+        session = kernel.Session(config)
         masked, sizes = [], []
         for text in group.column("text").to_pylist():
-            out, mapping, _ = kernel.mask(text or "", replace(config, base_mapping=mapping))
-            masked.append(out)
-            sizes.append(len(mapping))
+            masked.append(session.mask(text or "")[0])
+            sizes.append(len(config.base_mapping) + len(session.learned))
         return pa.table([group.column("conv_id"), group.column("turn"), group.column("role"), pa.array(masked), pa.array(sizes, pa.int64())], names=["conv_id", "turn", "role", "masked", "mapping_size"])
 
     return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInArrow(run, TURN)
@@ -49,36 +38,14 @@ def stream(turns: DataFrame, config: MaskConfig | None = None) -> DataFrame:
     config = config or MaskConfig()
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        mapping = dict(zip(*state.get, strict=True)) if state.exists else dict(config.base_mapping)
+        session = kernel.Session(config, dict(zip(*state.get, strict=True)) if state.exists else None)
         rows = pd.concat(list(frames)).sort_values(["turn", "role"], kind="stable")
         out = []
         for turn, role, text in zip(rows["turn"], rows["role"], rows["text"], strict=True):
-            masked, mapping, _ = kernel.mask(text or "", replace(config, base_mapping=mapping))
-            out.append((key[0], turn, role, masked, len(mapping)))
-        state.update((list(mapping), list(mapping.values())))
+            masked, _ = session.mask(text or "")
+            out.append((key[0], turn, role, masked, len(config.base_mapping) + len(session.learned)))
+        state.update((list(session.learned), list(session.learned.values())))
         yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "masked", "mapping_size"])
 
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     return rows.groupBy("conv_id").applyInPandasWithState(step, TURN, "placeholders array<string>, vals array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-def vaulted(incidents: DataFrame, config: MaskConfig | None = None) -> DataFrame:
-    """Incidents ``(incident_id, ord, text)`` one after the other with one mapping for all.
-
-    What is known after one incident decides what the next one hides, so this
-    is one ordered pass over one group: for the incidents of one vault, not
-    for a corpus. Corpora are masked row by row (see operators.masking).
-    """
-    config = config or MaskConfig()
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("ord")
-        mapping, out = dict(config.base_mapping), []
-        for incident, order, text in zip(*(group.column(c).to_pylist() for c in ("incident_id", "ord", "text")), strict=True):
-            masked, mapping, _ = kernel.mask(text or "", replace(config, base_mapping=mapping, base_counters=_counters(mapping)))
-            out.append((incident, order, masked, list(kernel.used(mapping, masked).items())))
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
-        return pa.table([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["incident_id", "ord", "masked", "mapping"])
-
-    rows = incidents.select(F.col("incident_id").cast("string").alias("incident_id"), F.col("ord").cast("long").alias("ord"), "text", F.lit(0).alias("vault"))
-    return rows.groupBy("vault").applyInArrow(run, "incident_id string, ord long, masked string, mapping map<string,string>")
