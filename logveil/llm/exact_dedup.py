@@ -1,59 +1,87 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table of the warehouse, bucketed and sorted by the SHA-256 of
-the text. New rows are grouped by digest (with map-side combining), a
-sort-merge anti-join leaves the digests that the index lacks, and these are
-appended under the name of their batch, after the verdicts are written. A
-batch that is added again gets the same verdicts and appends nothing twice.
-DataFrame functions only.
+The index lies at a path, bucketed and sorted by the SHA-256 of the text, and
+any session that opens the path works on with it. New rows are grouped by
+digest (with map-side combining), a sort-merge anti-join leaves the digests
+that the index lacks, and these are appended under the name of their batch.
+Verdicts are read off the index then, so a batch that is added again gets the
+same ones and appends nothing twice. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, written
+from .common import by_key, shared_dir, written
+
+ROW = "digest binary, keep_id long, batch string"
 
 
 class DigestIndex:
-    """``name`` is a table of the session's catalog; it is made when absent.
+    """The index at ``path`` (any file system that Spark reads), made when there is none; without a path, a new one in the shared folder.
 
     Columns: ``digest`` binary (32 bytes), ``keep_id`` long, ``batch`` string.
+    ``<path>/spec`` says how many buckets each version has, and the last one is
+    in use: a session registers it by that as a bucketed table, so that joins
+    on the digest don't shuffle it. ``buckets`` counts only for a new index.
+    One session may write at a time, any number may read.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        old = f"{self.name}_old"
-        if not spark.catalog.tableExists(self.name):
-            if spark.catalog.tableExists(old):  # a compaction ended between its two renames
-                spark.sql(f"alter table {old} rename to {self.name}")
-            else:
-                self._write(spark.createDataFrame([], "digest binary, keep_id long, batch string"), self.name)
-
-    def _write(self, rows: DataFrame, name: str) -> None:
-        rows = rows.repartition(self.buckets, "digest")
-        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(name)
+        self.path = (path or shared_dir(spark)).rstrip("/")
+        self.name = f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()}"
+        if not self._exists(f"{self.path}/spec"):
+            self._use(0, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self._open()
+
+    def _exists(self, path: str) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def _use(self, version: int, buckets: int) -> None:
+        self.spark.createDataFrame([(version, buckets)], "version int, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/spec")
+
+    def _open(self) -> None:
+        spec = self.spark.read.schema("version int, buckets int").parquet(f"{self.path}/spec")
+        self.version, self.buckets = spec.orderBy(F.desc("version")).first()
+        self._register(self.name, self.version, self.buckets)
+
+    def _register(self, name: str, version: int, buckets: int) -> None:
+        self.spark.sql(f"drop table if exists {name}")  # of a table at a path this drops the name alone
+        self.spark.sql(f"create table {name} ({ROW}) using parquet clustered by (digest) sorted by (digest) into {buckets} buckets location '{self.path}/v{version}'")
+
+    def _write(self, rows: DataFrame, name: str, buckets: int) -> None:
+        rows = rows.repartition(buckets, "digest")
+        rows.write.bucketBy(buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(name)
 
     def table(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)  # another session may have appended
         return self.spark.table(self.name)
 
     def drop(self) -> None:
+        """Removes the index and its files."""
         self.spark.sql(f"drop table if exists {self.name}")
-
-    def compact(self) -> None:
-        """One sorted file a bucket in place of one for each append. The old table stays until the new one has its name."""
-        new, old = f"{self.name}_new", f"{self.name}_old"
-        for left in (new, old):
-            self.spark.sql(f"drop table if exists {left}")
-        self._write(self.table(), new)
-        self.spark.sql(f"alter table {self.name} rename to {old}")
-        self.spark.sql(f"alter table {new} rename to {self.name}")
-        self.spark.sql(f"drop table {old}")
+        self._delete(self.path)
+
+    def compact(self, buckets: int | None = None) -> None:
+        """One sorted file a bucket in place of one for each append, in as many ``buckets`` as asked. The new version counts once its spec is written; the old one goes then."""
+        new, old = f"{self.name}_new", self.version
+        buckets = buckets or self.buckets
+        self._delete(f"{self.path}/v{old + 1}")  # of a compaction that didn't end
+        self._register(new, old + 1, buckets)
+        self._write(self.table(), new, buckets)
+        self.spark.sql(f"drop table {new}")
+        self._use(old + 1, buckets)
+        self._open()
+        self._delete(f"{self.path}/v{old}")
 
     def add(self, rows: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
         """Judges ``rows`` and appends the digests that were new, as ``batch``.
@@ -77,21 +105,14 @@ class DigestIndex:
         """
         key = F.col(key_col).cast("long") if key_col else F.lit(None).cast("long")
         digests = written(rows.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest")))
-        groups = digests.groupBy("digest").agg(F.max(F.struct("id", "key")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        known = self.table().groupBy("digest").agg(F.max(F.when(F.col("batch") != batch, F.struct("keep_id"))).alias("known"), F.lit(True).alias("indexed"))
-        judged = written(groups.hint("merge").join(known, "digest", "left").withColumn("indexed", F.col("indexed").isNotNull()))
-        new = judged.where(~F.col("indexed")).select("digest", F.col("keep.id").alias("keep_id"), F.lit(batch).alias("batch"))
-        self._write(new, self.name)
-        out = by_key(digests, judged.drop("indexed"), ["digest"], "group_size")
-        stays = F.col("known").isNull() & F.col("id").eqNullSafe(F.col("keep.id")) & F.col("key").eqNullSafe(F.col("keep.key"))
-        return out.select(
-            F.col("id").alias(id_col),
-            F.when(F.col("known").isNotNull(), F.col("known.keep_id")).otherwise(F.col("keep.id")).alias("keep_id"),
-            "group_size",
-            stays.alias("kept"),
-            "digest",
-            *([F.col("key").alias(key_col)] if key_col else []),
-        )
+        groups = written(digests.groupBy("digest").agg(F.max(F.struct("id", "key")).alias("keep"), F.count(F.lit(1)).alias("group_size")))
+        new = groups.hint("merge").join(self.table(), "digest", "left_anti")
+        self._write(new.select("digest", F.col("keep.id").alias("keep_id"), F.lit(batch).alias("batch")), self.name, self.buckets)
+        known = self.table().select("digest", "keep_id", (F.col("batch") != batch).alias("before"))
+        judged = written(groups.hint("merge").join(known, "digest"))
+        out = by_key(digests, judged, ["digest"], "group_size")
+        stays = ~F.col("before") & F.col("id").eqNullSafe(F.col("keep.id")) & F.col("key").eqNullSafe(F.col("keep.key"))
+        return out.select(F.col("id").alias(id_col), "keep_id", "group_size", stays.alias("kept"), "digest", *([F.col("key").alias(key_col)] if key_col else []))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
