@@ -1,25 +1,32 @@
 """Main text of pages by a site style tree.
 
 The elements of all pages of a host are merged by their path of tags, classes
-and ids. A node of the merged tree has a presentation importance (entropy of
-its children's tag sequences) and a content importance (entropy of its text),
-each divided by the largest entropy of so many pages; copies of a page, and of
-the article that a node is in, are counted once, so that copied texts don't
-look like templates. What a branch varies by, and how surely (1 - 1 / pages),
-is evidence between -3 (the same everywhere) and +1 (different everywhere),
-which is near -3 only close to an entropy of nought: words that often return
-make no template. To this evidence a page adds what it declares about the branch: +2 for the page's article and
-what it is in, -1.5 for what stands beside it, -3.5 for branches that declare
-themselves a menu, advert, comment and so on. A branch whose sum is below
-nought goes, with all in it; of the rest the text stays. So a template goes
-even from inside an article, and a page without declarations is judged by its
-site alone. Where all text would go, the site's pages are copies of each
-other, and what is declared decides alone.
-
-Elements are counted as numbers of (site, path, value) with map-side
-combining, so a host with most of the pages is dealt out by its contents. The
-nodes with evidence against them go back to the pages of their site, whose
-html is then read once more.
+and ids. A node of the merged tree has a presentation importance, the entropy of
+how its pages lay it out (how often it stands there, and with which children),
+and a content importance, the entropy of its text, each divided by the largest
+entropy of so many pages; copies of a page, and of the article that a node is
+in, are counted once, so that copied texts don't look like templates. How sure
+both are grows with the pages (1 - 1 / pages).
+
+The tree tells first where the text of a page is: in the element of the greatest
+product of its share of the page's characters and its presentation importance
+(``FLOOR`` added, as some sites write all texts in one form). What a page
+declares is a factor of that, ``MAIN`` for an article, ``SIDE`` for a menu,
+footer and so on, so a site that lays out its texts in something undeclared, or
+declares a teaser to be its article, is read by its layout. Then each branch has
+a sum: ``INSIDE`` in that element, ``BESIDE`` out of it, nought where no element
+stands out; less where it declares itself a menu, advert, notice and so on
+(``SOFT``); and the tree's evidence, up to ``VARIED`` for layouts and ``NEW``
+for texts that always differ, down to ``SAME`` for a text that never does. So
+entropy overrules a declaration both ways. Only what reader comments and forms
+declare stays decided (``HARD``), as they differ from page to page like
+articles do. A branch whose sum is below nought goes, with all in it; of the
+rest the text stays. Where all text would go, the page is judged alone.
+
+Elements are counted as numbers of (site, path, value) with map-side combining,
+so a host with most of the pages is dealt out by its contents. The merged tree
+goes back to the pages as a whole where it is small, else each page gets its
+own nodes by a join; html is read twice.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, written
+from .common import by_key, lean, written
 from .url_filter import split_url
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,15 +48,18 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe textarea title svg math object select canvas audio video xmp noembed noframes button".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object select canvas audio video xmp noembed noframes button".split())
 ASIDE_TAGS = frozenset("head nav footer aside form menu dialog fieldset".split())
+HARD_TAGS = frozenset("head form dialog fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: What a class or id calls a branch by its last word ("user-comments"), boxes aside ("comment-list").
-ASIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer form header masthead "
-    "menu menus nav navbar navigation newsletter notice notices popup respond sidebar sponsor sponsored".split()
+#: What a class or id calls a branch, alone ("ad"), in a box ("comment-list") or of something ("user-comments"); any other word in the name and it says nothing ("history-of-the-menu").
+HARD_NAMES = frozenset("comment comments form respond".split())
+ASIDE_NAMES = HARD_NAMES | frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs consent cookie cookies footer header masthead "
+    "menu menus nav navbar navigation newsletter notice notices popup sidebar sponsor sponsored".split()
 )
 BOXES = frozenset("area bar block box container group inner list section thread wrap wrapper".split())
+OF_WHAT = frozenset("article blog bottom desktop global google left main mobile page post primary privacy reader right secondary side site sub text top user web".split())
 MAIN_TAGS = frozenset(("article", "main"))
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -57,11 +67,12 @@ CLOSES = {
 }
 SCOPE = frozenset("ul ol dl table article main section div nav aside body html".split())
 
-INSIDE, BESIDE, DECLARED = 2.0, -1.5, -3.5  # what a page's declarations add
-LEAST, MOST = -3.0, 1.0  # evidence of what never and what always differs
-SHARP = 8  # power by which evidence against a branch falls as it varies
-SENT = 500_000  # nodes that may be broadcast
-SALT = 16  # slices of a site's pages where its nodes are joined
+FLOOR, MAIN, SIDE, CLEAR = 0.25, 2.5, 0.5, 0.3  # of where the text is: added to the presentation importance, factors of declarations, importance of an undeclared element
+INSIDE, BESIDE, SOFT, HARD = 2.0, -1.5, -3.5, -9.0  # of a branch; beside the text a soft declaration takes SLIGHT
+SLIGHT = -0.7
+VARIED, NEW, SAME = 2.0, 0.5, -4.0  # evidence of layouts and texts that always differ, and of texts that never do
+SHARP = 8  # power by which evidence against a branch falls as its text varies
+SENT = 200_000  # nodes of the merged trees that may be sent to all
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?", re.S)
@@ -81,11 +92,11 @@ def _bytes(x: str) -> bytes:
 class Element:
     """A block element: its place in the merged tree, what it declares, and digests of what it holds."""
 
-    __slots__ = ("tag", "names", "parent", "main", "aside", "header", "children", "held", "chars", "content", "holder", "path", "prior")
+    __slots__ = ("tag", "names", "parent", "main", "aside", "hard", "header", "children", "held", "chars", "content", "holder", "path")
 
     def __init__(self, tag: str, parent: int, attributes: str):
         self.tag, self.parent = tag, parent
-        self.main, self.aside, self.header = tag in MAIN_TAGS, tag in ASIDE_TAGS, tag == "header"
+        self.main, self.aside, self.hard, self.header = tag in MAIN_TAGS, tag in ASIDE_TAGS, tag in HARD_TAGS, tag == "header"
         self.children: list[str] = []
         self.held: list[bytes] = []
         self.chars = 0
@@ -101,18 +112,18 @@ class Element:
         self.names = DIGITS.sub("#", " ".join(names)).lower()
         role = found.get("role", "").lower()
         self.main = self.main or role == "main" or found.get("itemprop", "").lower() == "articlebody"
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+        self.hard = self.hard or hidden or role in ("form", "search", "dialog", "alertdialog")
         self.aside = self.aside or hidden or role in ASIDE_ROLES
         if self.tag not in ("html", "body"):
             for name in names:
                 words = [w.lower() for w in NAME_WORD.findall(name)]
-                while len(words) > 1 and words[-1] in BOXES:
-                    words.pop()
-                if words and words[-1] in ASIDE_NAMES:
-                    if words[-1] == "header":
+                told = [w for w in words if w in ASIDE_NAMES]
+                if told and all(w in ASIDE_NAMES or w in BOXES or w in OF_WHAT for w in words):
+                    if set(told) == {"header"}:
                         self.header = True
                     else:
-                        self.aside = True
+                        self.aside, self.hard = True, self.hard or not HARD_NAMES.isdisjoint(told)
 
 
 def parse(html: str) -> tuple[list[Element], list[tuple[str, int]]]:
@@ -198,7 +209,7 @@ def parse(html: str) -> tuple[list[Element], list[tuple[str, int]]]:
 
 
 def _finish(elements: list[Element]) -> None:
-    """Digests and lengths from the leaves up, the page's article, then priors and paths from the root down."""
+    """Digests and lengths from the leaves up, then paths and holders from the root down."""
     inner: list[list[bytes]] = [[] for _ in elements]
     for i in range(len(elements) - 1, -1, -1):
         e = elements[i]
@@ -208,49 +219,87 @@ def _finish(elements: list[Element]) -> None:
         if i:
             inner[e.parent].append(digest)
             elements[e.parent].chars += e.chars
-    within = [False] * len(elements)  # in a branch that declares itself beside the text
-    for i, e in enumerate(elements):
-        within[i] = e.aside or (i > 0 and within[e.parent])
-    mains = [i for i, e in enumerate(elements) if e.main and not within[i]]
-    articles = [i for i in mains if elements[i].tag != "main"] or mains
-    best = max(articles, key=lambda i: (elements[i].chars, -i), default=None)
-    above, region = set(), None
-    i = best
-    while i is not None and i >= 0:
-        above.add(i)
-        if elements[i].main:
-            region = i
-        i = elements[i].parent
+    best, region, above = _declared_text(elements)
     inside = [False] * len(elements)
     for i, e in enumerate(elements):
         inside[i] = i == region or (i > 0 and inside[e.parent])
         e.holder = elements[region if inside[i] and i != region else 0].content
-        e.prior = 0.0 if region is None else INSIDE if inside[i] or i in above else BESIDE
-        teaser = e.tag == "article" and e.main and i not in above  # another article, or a comment in the article
-        if e.aside or teaser or (e.header and not inside[i]):
-            e.prior += DECLARED
+        teaser = e.tag == "article" and i not in above
         e.path = _hash(_bytes(f"{elements[e.parent].path if i else 0} {e.tag} {e.names}{' +' if teaser else ''}"))
 
 
+def _above(elements: list[Element], i: int | None) -> set[int]:
+    out = set()
+    while i is not None and i >= 0:
+        out.add(i)
+        i = elements[i].parent
+    return out
+
+
+def _declared_text(elements: list[Element]) -> tuple[int | None, int | None, set[int]]:
+    """The longest declared article, the outermost declared element that it is in, and all that it is in; not in what declares itself beside the text."""
+    within = [False] * len(elements)
+    for i, e in enumerate(elements):
+        within[i] = e.aside or (i > 0 and within[e.parent])
+    mains = [i for i, e in enumerate(elements) if e.main and not within[i]]
+    articles = [i for i in mains if elements[i].tag != "main"] or mains
+    best = max(articles, key=lambda i: (elements[i].chars, -i), default=None)
+    above = _above(elements, best)
+    return best, min((i for i in above if elements[i].main), default=None), above
+
+
+Node = tuple[float, float]  # presentation importance, as sure as it is, and evidence
+
+
+def _text_in(elements: list[Element], nodes: dict[int, Node], declared: bool) -> tuple[int | None, set[int]]:
+    """The element that the page's text is in (None where none stands out), and all that this, or the article in it, is in."""
+    total = max(1, elements[0].chars)
+
+    def score(i: int) -> float:
+        e = elements[i]
+        factor = (MAIN if e.main else SIDE if e.aside or e.header else 1.0) if declared else 1.0
+        return e.chars / total * (FLOOR + nodes.get(e.path, (0.0, 0.0))[0]) * factor
+
+    told, region, above = _declared_text(elements) if declared else (None, None, set())
+    whole = [i for i, e in enumerate(elements) if e.tag in ("", "html", "body")]
+    clear = [i for i, e in enumerate(elements) if e.tag not in ("", "html", "body") and i not in above and nodes.get(e.path, (0.0, 0.0))[0] >= CLEAR]
+    best = max(clear, key=lambda i: (score(i), -i), default=None)
+    if best is not None and score(best) > max((score(i) for i in whole), default=0.0) and (region is None or (region not in _above(elements, best) and score(best) > score(region))):
+        return best, _above(elements, best)
+    return region, above
+
+
 def node_rows(elements: list[Element]) -> Iterator[tuple[int, int, int, int]]:
-    """``path, kind, value, holder`` of each element: its text (kind 0) and, where it holds elements, their tags (kind 1); the holder is the text of its article or page."""
+    """``path, kind, value, holder`` of each element's text (kind 0), and of how the page lays out each path that holds elements (kind 1: the children of all its elements there); the holder is the text of its article or page."""
+    laid_out: dict[tuple[int, int], list[str]] = {}
     for e in elements[1:]:
         yield e.path, 0, e.content, e.holder
-        if e.children:
-            yield e.path, 1, _hash(" ".join(e.children).encode()), e.holder
+        laid_out.setdefault((e.path, e.holder), []).append(" ".join(e.children))
+    for (path, holder), shapes in laid_out.items():
+        if any(shapes):
+            yield path, 1, _hash("|".join(shapes).encode()), holder
 
 
-def chosen(html: str, against: dict[int, float]) -> list[str]:
-    """Texts of the blocks whose branches all have a sum of nought or more."""
+def chosen(html: str, nodes: dict[int, Node], declared: bool = True) -> list[str]:
+    """Texts of the blocks whose branches all have a sum of nought or more; without ``declared`` by the tree alone."""
     elements, blocks = parse(html)
 
-    def kept(evidence: dict[int, float]) -> list[str]:
-        stays = [True] * len(elements)
+    def kept(nodes: dict[int, Node]) -> list[str]:
+        region, above = _text_in(elements, nodes, declared)
+        inside, stays = [False] * len(elements), [True] * len(elements)
         for i, e in enumerate(elements[1:], 1):
-            stays[i] = stays[e.parent] and e.prior + evidence.get(e.path, 0.0) >= 0
+            inside[i] = i == region or inside[e.parent]
+            told = INSIDE if inside[i] or i in above else 0.0 if region is None else BESIDE
+            if declared:
+                teaser = e.tag == "article" and e.main and i not in above and region is not None  # another article, or a comment in the article
+                if e.hard or teaser:
+                    told += HARD
+                elif (e.aside or (e.header and not inside[i])) and i not in above:
+                    told += SLIGHT if told == BESIDE else SOFT
+            stays[i] = stays[e.parent] and told + nodes.get(e.path, (0.0, 0.0))[1] >= 0
         return [t for t, i in blocks if stays[i]]
 
-    return kept(against) or kept({})
+    return kept(nodes) or kept({})
 
 
 def tree_nodes(pages: DataFrame) -> DataFrame:
@@ -267,55 +316,81 @@ def tree_nodes(pages: DataFrame) -> DataFrame:
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """``site, path, n, importance, evidence`` of the merged tree's nodes.
+    """``site, path, n, presentation, content, evidence`` of the merged tree's nodes.
 
-    ``n``: pairs of its text and the article or page that holds it; the
-    importance is the greater of the entropies of its texts and of its
-    children's tags over these, divided by log ``n`` (1 where ``n`` is 1).
+    ``n``: pairs of its text and the article or page that holds it. The
+    importances are the entropies of its layouts and of its texts over these,
+    divided by their logarithm (1 for a single text, 0 for a single layout, and
+    for nodes that hold no elements).
     """
     each = nodes.distinct().groupBy("site", "path", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
     sums = [F.sum(F.when(F.col("kind") == k, v)).alias(f"{a}{k}") for k in (0, 1) for a, v in (("n", F.col("c")), ("s", F.col("c") * F.log("c")))]
     found = each.groupBy("site", "path").agg(*sums)
 
-    def relative(k: int) -> F.Column:
+    def relative(k: int, alone: float) -> F.Column:
         n = F.col(f"n{k}")
-        return F.when(n > 1, 1 - F.col(f"s{k}") / (n * F.log(n))).otherwise(F.when(n == 1, 1.0))
+        return F.coalesce(F.when(n > 1, 1 - F.col(f"s{k}") / (n * F.log(n))), F.lit(alone))
 
-    high = F.greatest(relative(0), relative(1))
-    return found.select("site", "path", F.col("n0").alias("n"), high.alias("importance")).withColumn("evidence", (1 - 1 / F.col("n")) * (MOST - (MOST - LEAST) * (1 - F.col("importance")) ** SHARP))
+    out = found.select("site", "path", F.col("n0").alias("n"), "n1", relative(1, 0.0).alias("presentation"), relative(0, 1.0).alias("content"))
+    sure = 1 - 1 / F.col("n")
+    layouts = VARIED * F.coalesce(1 - 1 / F.col("n1"), F.lit(0.0)) * F.col("presentation")
+    texts = sure * (NEW - (NEW - SAME) * (1 - F.col("content")) ** SHARP)
+    # a text that never differs is a template however it is laid out
+    return out.withColumn("evidence", texts + F.col("content") * layouts).drop("n1")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", declared: bool = True) -> DataFrame:
     """``<id_col>, <url_col>, text, n_chars`` of every row.
 
     Null and empty pages have an empty text; pages without a host make one
-    site. Where branches have a sum of nought, they stay. Of articles of one
-    length the first is the page's. Repeated rows stay repeated and count
+    site, and a site of one page has no evidence, so there declarations decide
+    alone. Branches with a sum of nought stay. Of elements that are as likely
+    to hold the text the first one does. Repeated rows stay repeated and count
     once; extra columns are ignored; an empty table gives an empty one.
-
-    Only nodes with evidence against them can turn a decision, so only these
-    return to the pages, as one list for each site: by broadcast where they
-    are at most ``SENT``, else by a join of the site's pages in slices.
+    Without ``declared`` the tree decides alone.
     """
     host, _ = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("site"), F.col(html_col).alias("html"))
-    low = written(importance(tree_nodes(rows)).where("evidence < 0").select("site", "path", "evidence"))
-    lists = low.groupBy("site").agg(F.collect_list(F.struct("path", "evidence")).alias("low"))
-    if low.count() <= SENT:
-        joined = rows.join(F.broadcast(lists), "site", "left")
+    # of one page nothing is known
+    told = importance(tree_nodes(rows)).where("n > 1").select("site", "path", "n", (F.col("presentation") * (1 - 1 / F.col("n"))).alias("presentation"), "evidence")
+    tree = written(told)
+
+    def text_of(html: str | None, nodes: dict[int, Node]) -> str:
+        return "\n".join(chosen(html or "", nodes, declared)).encode("utf-8", "replace").decode()
+
+    names, kinds = ["id", "url", "text"], "id long, url string, text string"
+    if tree.count() <= SENT:
+        sites: dict[int, dict[int, Node]] = {}
+        got = tree.toArrow()
+        for site, path, *node in zip(*(got.column(c).to_pylist() for c in ("site", "path", "presentation", "evidence")), strict=True):
+            sites.setdefault(site, {})[path] = tuple(node)
+        sent = pages.sparkSession.sparkContext.broadcast(sites)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [text_of(h, sent.value.get(s, {})) for s, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names)
+
+        out = rows.mapInArrow(lean(run), kinds)
     else:
-        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALT)).cast("int")).join(salted, ["site", "salt"], "left")
+        keyed = rows.withColumn("page", F.xxhash64("site", "html"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                text = "\n".join(chosen(html or "", {x["path"]: x["evidence"] for x in low or ()}))
-                texts.append(text.encode("utf-8", "replace").decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+        def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = {(s, p, e.path) for s, p, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for e in parse(h or "")[0][1:]}
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["site", "page", "path"])
+
+        held = written(keyed.select("site", "page", "html").mapInArrow(lean(paths), "site long, page long, path long").distinct())
+        size = written(held.groupBy("site", "path").agg(F.count(F.lit(1)).alias("pages")).join(tree, ["site", "path"]))
+        met = by_key(held, size, ["site", "path"], "pages")
+        lists = met.groupBy("site", "page").agg(F.collect_list(F.struct("path", "presentation", "evidence")).alias("nodes"))  # of one page
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [text_of(h, {x["path"]: (x["presentation"], x["evidence"]) for x in nodes or ()}) for h, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names)
 
-    out = joined.select("id", "url", "html", "low").mapInArrow(lean(run), "id long, url string, text string")
+        out = keyed.join(lists, ["site", "page"], "left").select("id", "url", "html", "nodes").mapInArrow(lean(joined), kinds)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text").withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -3,7 +3,10 @@ import collections
 import functools
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -390,8 +393,40 @@ def test_index_keeps_what_it_has_seen(spark, edges, nothing, monkeypatch):
         index.compact()
     assert index.add(nothing, "third").count() == 0
     assert index.table().count() == len({t or "" for _, t in EDGES}) + 1
-    spark.sql(f"alter table {index.name} rename to {index.name}_old")  # as a compaction that was stopped
-    assert exact_dedup.DigestIndex(spark, index.name, buckets=3).table().count() == len({t or "" for _, t in EDGES}) + 1
+    index._register(f"{index.name}_new", index.version + 1, 2)  # as a compaction that was stopped
+    index._write(index.table().limit(3), f"{index.name}_new", 2)
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert (again.buckets, again.table().count()) == (3, len({t or "" for _, t in EDGES}) + 1)
+    again.compact(buckets=2)
+    last = exact_dedup.DigestIndex(spark, index.path)
+    assert (last.buckets, last.table().count()) == (2, len({t or "" for _, t in EDGES}) + 1)
+    last.drop()
+    assert not index._exists(index.path)
+
+
+LATER = """
+import sys
+from pyspark.sql import SparkSession
+from logveil.llm.exact_dedup import DigestIndex
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", sys.argv[2]).config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+rows = spark.createDataFrame([(20, "a"), (21, "b"), (22, "c"), (23, "c")], "doc_id long, text string")
+out = DigestIndex(spark, sys.argv[1]).add(rows, "later")
+print("GOT", sorted(tuple(r) for r in out.select("doc_id", "keep_id", "kept").collect()))
+"""
+
+
+def test_another_process_goes_on_with_the_index(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=3)
+    index.add(spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "doc_id long, text string"), "first").collect()
+    said = subprocess.run([sys.executable, "-c", LATER, index.path, str(tmp_path / "other")], capture_output=True, text=True, cwd=os.environ["PYTHONPATH"].split(os.pathsep)[0], timeout=300, check=True)
+    assert "GOT [(20, 1, False), (21, 3, False), (22, 23, False), (23, 23, True)]" in said.stdout
+    assert {(r.batch, r["count"]) for r in index.table().groupBy("batch").count().collect()} == {("first", 2), ("later", 1)}
+
+
+def test_joins_with_the_index_are_sorted_and_anti(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    plan = index.table().hint("merge").join(index.table().select("digest"), "digest", "left_anti")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan.partition("Physical")[2]
 
 
 def test_index_tells_repeated_rows_apart_by_key(spark):
@@ -708,6 +743,8 @@ def test_components(spark):
         ("<article><p>Keep</p><div class='legal'>a</div><section id='search-trees'>b</section><div class='share-prices'>c</div></article>", ["Keep", "a", "b", "c"]),
         ("<main><h1>T</h1><article><p>long text</p></article><article><p>teaser</p></article></main><div>side</div>", ["T", "long text"]),
         ("<article><p>text of it</p><article><p>a reply</p></article><div class=comment-list>no</div><div class=menu-of-the-day>yes</div></article>", ["text of it", "yes"]),
+        ("<article><p>a</p><section id='history-of-the-menu'>b</section><div class='second-notice'>c</div><section class='origin-of-the-banner'>d</section><p aria-hidden='true'>e <math><mi>x</mi></math></p></article>", ["a", "b", "c", "d", "e x"]),
+        ("<article><p>a</p><div class='cookie-notice'>b</div><div class='site-footer'>c</div><div class='article-comments'>d</div></article>", ["a"]),
         ("<title>t</title><p title='a > b'>x &#233;&nbsp; y</p><![CDATA[z]]>", ["x é y", "z"]),
     ],
 )
@@ -738,11 +775,12 @@ def test_importance_against_brute_force(spark):
         n = len(values)
         return 1.0 if n == 1 else -sum(c / n * math.log(c / n) for c in collections.Counter(values).values()) / math.log(n)
 
-    want = {k: max(relative([x for kind, x, _ in v if kind == j]) for j in (0, 1) if any(kind == j for kind, _, _ in v)) for k, v in merged.items()}
+    want = {k: tuple(relative([x for kind, x, _ in v if kind == j]) if any(kind == j for kind, _, _ in v) else 0.0 for j in (0, 1)) for k, v in merged.items()}
+    want = {k: (c, p if sum(kind == 1 for kind, _, _ in merged[k]) > 1 else 0.0) for k, (c, p) in want.items()}
     rows = spark.createDataFrame([(ord(s), h) for s, h in pages], "site long, html string")
-    got = {(r.site, r.path): r.importance for r in site_style_tree.importance(site_style_tree.tree_nodes(rows)).collect()}
+    got = {(r.site, r.path): (r.content, r.presentation) for r in site_style_tree.importance(site_style_tree.tree_nodes(rows)).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
-    assert min(want.values()) < 0.3 and max(want.values()) > 0.9
+    assert min(want.values())[0] < 0.3 and max(want.values())[0] > 0.9 and max(p for _, p in want.values()) > 0.5
 
 
 def test_sliced_sites_give_the_same_text(spark, small, monkeypatch):
@@ -752,6 +790,82 @@ def test_sliced_sites_give_the_same_text(spark, small, monkeypatch):
     assert {(r.page_id, r.text) for r in site_style_tree.main_text(pages).collect()} == want
 
 
+def _site(page, texts, host="s.example.org"):
+    return [(i, f"http://{host}/{i}", page.format(menu=" ".join(t[:2]), ad=t[2], text="".join(f"<p>{w} {i} and more of it</p>" for w in t[3:]), i=i)) for i, t in enumerate(texts)]
+
+
+def _texts_of(spark, rows, **how):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in site_style_tree.main_text(frame, **how).collect()}
+
+
+@pytest.fixture(scope="module")
+def varied():
+    """Words of menus and adverts that differ on every page, and from one to nine paragraphs."""
+    rng = random.Random(12)
+    return [[f"m{rng.random()}", f"n{rng.random()}", f"buy {rng.random()}", *(f"words{rng.random()} are here" for _ in range(rng.randrange(2, 11)))] for _ in range(40)]
+
+
+def _wanted(texts):
+    return {i: "\n".join(f"{w} {i} and more of it" for w in t[3:]) for i, t in enumerate(texts)}
+
+
+def test_the_tree_finds_undeclared_texts(spark, varied):
+    """Nothing is declared, and no words return: only layouts tell the text from the menu, the advert and the foot of the page."""
+    page = "<div class=a><ul><li>{menu}</li><li>x{i}</li></ul></div><div class=b>{ad}</div><div class=c>{text}</div><div class=d>end {i}</div>"
+    assert _texts_of(spark, _site(page, varied)) == _wanted(varied)
+
+
+def test_the_tree_overrules_declarations(spark, varied):
+    """A teaser is declared the article, and the text stands in what is called a notice."""
+    page = "<article><h2>{ad}</h2></article><div class=notice>{text}</div>"
+    assert _texts_of(spark, _site(page, varied)) == _wanted(varied)
+    assert _texts_of(spark, _site(page, varied[:1])) == {0: varied[0][2]}  # one page tells nothing
+
+
+def test_the_tree_keeps_what_differs_inside_and_drops_what_never_does(spark, varied):
+    page = "<article>{text}<div class=banner><ul><li>a{i}</li></ul></div><div class=kept>Always the same words</div></article><form>{text}</form>"
+    assert _texts_of(spark, _site(page, varied)) == _wanted(varied)
+    page = "<article><p>Of {i}</p><aside>{text}</aside></article>"
+    assert _texts_of(spark, _site(page, varied)) == {i: f"Of {i}\n{t}" for i, t in _wanted(varied).items()}
+    page = "<article><p>Of {i}</p><section id=comments>{text}</section></article>"
+    assert _texts_of(spark, _site(page, varied)) == {i: f"Of {i}" for i in range(len(varied))}
+
+
+def brute_texts(rows, declared=True):
+    """Pages judged by a tree that is merged with dictionaries."""
+    merged = collections.defaultdict(lambda: (set(), set()))
+    for _, url, html in rows:
+        for path, kind, value, holder in site_style_tree.node_rows(site_style_tree.parse(html)[0]):
+            merged[url.split("/")[2], path][kind].add((value, holder))
+
+    def relative(values, alone):
+        n = len(values)
+        return alone if n < 2 else -sum(c / n * math.log(c / n) for c in collections.Counter(v for v, _ in values).values()) / math.log(n)
+
+    nodes = collections.defaultdict(dict)
+    for (host, path), (texts, layouts) in merged.items():
+        n, content, laid = len(texts), relative(texts, 1.0), relative(layouts, 0.0)
+        if n > 1:
+            evidence = (1 - 1 / n) * (0.5 - 4.5 * (1 - content) ** 8) + content * 2.0 * (1 - 1 / max(1, len(layouts))) * laid
+            nodes[host][path] = (laid * (1 - 1 / n), evidence)
+    return {i: "\n".join(site_style_tree.chosen(html, nodes[url.split("/")[2]], declared)) for i, url, html in rows}
+
+
+@pytest.mark.parametrize("declared", [True, False])
+def test_main_text_against_brute_force(spark, small, declared, monkeypatch):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect()]
+    want = brute_texts(rows, declared)
+    assert _texts_of(spark, rows, declared=declared) == want
+    monkeypatch.setattr(site_style_tree, "SENT", -1)
+    assert _texts_of(spark, rows, declared=declared) == want
+
+
+def test_a_very_long_page(spark):
+    page = "<nav>m</nav><article>" + "".join(f"<p>paragraph {k} &amp; more</p>" for k in range(60_000)) + "</article>" + "<div>" * 3000
+    assert _texts_of(spark, [(1, "http://l.org/", page)])[1].count("\n") == 59_999
+
+
 def test_branches_alike_on_a_site_go(spark):
     rows = [(i, f"http://h.example.org/{i}", f"<div class='x'><div id=top>Same words here</div><div id=body><p>Text {i} of its own</p></div></div>") for i in range(9)]
     rows += [(9, "http://one.org/", "<div id=top>Same words here</div>"), (10, None, None), (11, "u", ""), (11, "u", "<article>a</article><p>b</p>")]
