@@ -9,8 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,42 @@ def shared_dir(spark: SparkSession) -> str:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="logveil-"))
         root = sc._jsc.sc().getCheckpointDir().get()
-    return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if _TRACKED:
+        _FOLDERS.append(path)
+    return path
+
+
+_TRACKED: list[bool] = []
+_FOLDERS: list[str] = []  # given out within ``tracked`` and not removed since
+
+
+@contextmanager
+def tracked() -> Iterator[None]:
+    """Folders that are given out within it are removed by the next ``cleared``."""
+    _TRACKED.append(True)
+    try:
+        yield
+    finally:
+        _TRACKED.pop()
+
+
+def cleared(docs: DataFrame) -> DataFrame:
+    """``docs``, after the removal of all tracked folders that it doesn't read.
+
+    For jobs that go stage by stage over written tables: what the stages before
+    left is of no use once their rows are written.
+    """
+    held = [unquote(f) for f in docs.inputFiles()]
+    spark, kept = docs.sparkSession, []
+    for path in _FOLDERS:
+        if any(path in f for f in held):
+            kept.append(path)
+            continue
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _FOLDERS[:] = kept
+    return docs
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:
@@ -40,6 +78,29 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a long in ``name`` that no two rows share and that stays the same however often a part is read.
+
+    Rows of Parquet files are numbered by their file and their place in it,
+    which needs no copy. Other rows are written with their number.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        try:
+            names = sorted(r[0] for r in df.select(file).distinct().collect())  # files, which the driver has listed anyway
+        except AnalysisException:  # files of a kind that has no such columns
+            names = None
+        if names is not None and len(names) < 1 << 23:
+            files = df.sparkSession.createDataFrame(list(enumerate(names)), "file_no long, file_name string")
+            keyed = df.withColumns({"name of its file": file, "place in its file": at})
+            known = keyed.join(F.broadcast(files), F.col("name of its file") == F.col("file_name"))
+            return known.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft("file_no", 40) + F.col("place in its file")).alias(name))
+    return written(df.withColumn(name, F.monotonically_increasing_id()), compression="zstd")
+
+
 HOT, HOT_KEYS = 1000, 100_000
 
 
@@ -48,14 +109,15 @@ def most_rows(total: int) -> int:
     return max(HOT, total // HOT_KEYS)
 
 
-def by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str) -> DataFrame:
+def by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``facts``, which has one row a key and in ``size`` how many ``rows`` have it.
 
     Facts of hot keys, which are fewer than ``HOT_KEYS``, are broadcast, so
     that rows of one key needn't meet in one task. Both should be written
-    tables, as each is read more than once.
+    tables, as each is read more than once. ``total``: how many ``rows`` there
+    are, where that is known.
     """
-    hot = F.col(size) > most_rows(rows.count())
+    hot = F.col(size) > most_rows(rows.count() if total is None else total)
     large = facts.where(hot)
     if not large.take(1):
         return rows.join(facts, keys)

@@ -8,34 +8,40 @@ from pyspark.sql import functions as F
 from .common import by_key, written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
-    return by_key(both, least, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return by_key(both, least, ["a"], "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = written(down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-    moved = by_key(down, least, ["a"], "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = by_key(down, least, ["a"], "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every ``b`` has one ``a``, less than it, that is no ``b``."""
+    ends = links.select(F.col("b").alias("x"), F.lit(1).alias("down"), (F.col("a") > F.col("b")).cast("int").alias("up")).unionByName(links.select(F.col("a").alias("x"), F.lit(0).alias("down"), F.lit(0).alias("up")))
+    each = ends.groupBy("x").agg(F.sum("down").alias("down"), F.count(F.lit(1)).alias("n"), F.sum("up").alias("up"))
+    return not each.where("down > 0 and (down < n or down > 1 or up > 0)").take(1)
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """``a, b`` links to ``node, component`` (the least node reachable), for nodes that have a link.
 
     Each round is written to the shared folder; rounds grow with the logarithm
-    of the longest path. Links of a node to itself and repeated links change
-    nothing.
+    of the longest path, and end when every component is a star around its
+    least node. Links of a node to itself and repeated links change nothing.
     """
-    links = written(links.select("a", "b").where("a <> b").distinct())
-    before = None
+    links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     for _ in range(rounds):
-        links = written(_small_star(written(_large_star(links).distinct())).distinct())
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if _stars(links):
             break
-        before = state
+        large = written(_large_star(links, links.count()).distinct())
+        small = _small_star(large, large.count())
+        links = written(small.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

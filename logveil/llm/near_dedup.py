@@ -3,12 +3,14 @@
 A document's set holds the hashes of its distinct five-word runs. Rows are
 numbered, and those with equal sets have one representative row. Its signature
 is cut into ``TREES`` labels of ``DEPTH`` minima; each tree orders all labels,
-regions are common prefixes of at least ``ROOT`` minima. In a region every
-representative is a candidate of its neighbour in label order, with which it
-has the longest common prefix there, so that the depth follows how crowded the
-region is, and of the region's first member. Regions of more than ``CROWD``
-members are dealt into slices, each ordered for itself and all tied to the same
-first member, so that no task gets an unbounded region. Candidates are
+regions are common prefixes of at least ``ROOT`` minima. A region of more than
+``CROWD`` members is parted by the next byte of its labels, and again, until
+its parts fit, so the depth follows how crowded the region is; each part's first
+member is a candidate of the first member of the region. In a region that fits
+every representative is a candidate of its neighbour in label order, with which
+it has the longest common prefix there, and of the first member. Where more than
+``CROWD`` whole labels are equal, their order says nothing, and they are dealt
+into slices tied to the same first member. Candidates are
 confirmed on the full sets, in groups of about ``WEIGHT`` shingles, to which
 every text needed is sent once; links within what is connected already are
 skipped.
@@ -32,15 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_key, chunks, give_back, lean, mix, most_rows, shingle_hashes, token_hashes, utf8, written
+from .common import by_key, chunks, give_back, lean, mix, most_rows, numbered, shingle_hashes, token_hashes, utf8, written
 from .components import components
 
 TREES, DEPTH, ROOT = 16, 6, 3
 WORDS = 5
-CROWD = 1000  # members of a region's slice
+CROWD = 1000  # members of a region at most, and of a slice of equal labels
 WEIGHT = 250_000  # shingles of a group that confirms links
 SENT = 500_000  # rows of the list of needed texts that may be broadcast
 SAMPLED, LEVELS = 4, (2, 8, 32, 128)  # so many of one in SAMPLED representatives have a shingle of a level
@@ -98,17 +100,45 @@ def sketch(rows: DataFrame) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """``a, b, hub, weight`` of ``reps (rep, n_shingles, sig)``: pairs ``a < b``; ``hub`` is the least first member that they met under, ``weight`` the shingles of both at most."""
+    """``a, b, hub, most, fewest`` of ``reps (rep, n_shingles, sig)``: pairs ``a < b``; ``hub`` is the least first member that they met under, ``most`` and ``fewest`` the shingles of the two."""
     size = 2 * DEPTH
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", t * size + 1, size).alias("label")) for t in range(TREES)])
-    rows = reps.select("rep", "n_shingles", F.inline(trees)).withColumn("root", F.substring("label", 1, 2 * ROOT))
-    regions = written(rows.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n_shingles")).alias("leader")).where("members > 1"))
-    met = by_key(rows, regions, ["tree", "root"], "members")
-    met = met.withColumn("slice", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / CROWD)))
-    met = met.repartition("tree", "root", "slice")
-    order = Window.partitionBy("tree", "root", "slice").orderBy("label", "rep")
-    met = met.withColumn("near", F.lag(F.struct("rep", "n_shingles")).over(order))
-    found = met.select("rep", "n_shingles", F.col("leader.rep").alias("hub"), F.explode(F.array("leader", "near")).alias("o")).where("o.rep <> rep")
+    rows = reps.select("rep", "n_shingles", F.inline(trees))
+    member = F.struct("rep", "n_shingles")
+    found = None
+
+    def met(regions: DataFrame, slices: Column) -> DataFrame:
+        """Neighbours in label order, and the first member with each."""
+        keys = ["tree", "region", "slice"]
+        order = Window.partitionBy(*keys).orderBy("label", "rep")
+        near = regions.withColumn("slice", slices).withColumn("near", F.lag(member).over(order)).withColumn("leader", F.min(member).over(Window.partitionBy(*keys)))
+        return near.select("rep", "n_shingles", F.col("leader.rep").alias("hub"), F.explode(F.array("leader", "near")).alias("o"))
+
+    for depth in range(2 * ROOT, size + 1):
+        level = rows.withColumn("region", F.substring("label", 1, depth))
+        counts = level.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("members"), F.min(member).alias("first")).where(F.col("members") > CROWD)
+        crowded = written(counts)
+        many = crowded.count()
+        if depth > 2 * ROOT:  # parts of a crowded region, tied to its first member
+            firsts = level.groupBy("tree", "region").agg(F.min(F.struct(member.alias("own"), F.col("above"))).alias("x"))
+            found = found.unionByName(firsts.select(F.col("x.own.rep").alias("rep"), F.col("x.own.n_shingles").alias("n_shingles"), F.col("x.above.rep").alias("hub"), F.col("x.above").alias("o")))
+            level = level.drop("above")
+        if many:
+            keys = crowded.select("tree", "region")
+            fitting = level.join(F.broadcast(keys) if many <= SENT else keys, ["tree", "region"], "left_anti")
+        else:
+            fitting = level
+        more = met(fitting, F.lit(0).cast("long"))
+        found = more if found is None else found.unionByName(more)
+        if not many:
+            break
+        rows = written(by_key(level, crowded.withColumnRenamed("first", "above"), ["tree", "region"], "members").select("rep", "n_shingles", "tree", "label", "above", "members"))
+        if depth == size:
+            dealt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / CROWD))
+            equal = met(rows.withColumn("region", F.col("label")), dealt).unionByName(rows.select("rep", "n_shingles", F.col("above.rep").alias("hub"), F.col("above").alias("o")))
+            found = found.unionByName(equal)
+        rows = rows.drop("members")
+    found = found.where("o.rep <> rep")
     return found.groupBy(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).agg(
         F.min("hub").alias("hub"), F.min(F.greatest("n_shingles", "o.n_shingles")).alias("most"), F.min(F.least("n_shingles", "o.n_shingles")).alias("fewest")
     )
@@ -122,9 +152,11 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     at most ``WEIGHT``; of heavier ones, of which there are fewer than groups,
     each is dealt to several.
     """
-    hubs = written(pairs.groupBy("hub").agg(F.sum("most").alias("weight")))
-    total = hubs.agg(F.sum("weight")).first()[0] or 0
+    links, total = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("most"), F.lit(0))).first()
+    if not links:
+        return pairs.select("a", "b")
     groups = max(1, -(-total // WEIGHT))
+    hubs = pairs.groupBy("hub").agg(F.sum("most").alias("weight"))
     heavy = F.broadcast(hubs.where(F.col("weight") > max(WEIGHT, total // 100_000)).select("hub", F.ceil(F.col("weight") / WEIGHT).alias("slices")))
     dealt = pairs.join(heavy, "hub", "left").select(
         "a",
@@ -132,11 +164,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         F.when(F.col("slices").isNotNull(), F.xxhash64("hub", F.pmod(F.xxhash64("b"), F.col("slices")))).otherwise(F.pmod(F.xxhash64("hub"), F.lit(groups))).alias("group"),
     )
     dealt = written(dealt)
-    need = written(dealt.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct())
-    n = need.count()
+    need = dealt.toDF("a", "b", "in_group").select(F.col("in_group").alias("group"), F.explode(F.array("a", "b")).alias("rep")).distinct()
+    n = 2 * links  # at most
     if n <= SENT:
         texts = docs.join(F.broadcast(need), "rep").select("group", "rep", "text")
     else:  # a first member may be needed by many groups
+        need = written(need)
         wanted = written(need.groupBy("rep").agg(F.count(F.lit(1)).alias("times")))
         often = F.broadcast(wanted.where(F.col("times") > most_rows(n)).select("rep"))
         texts = need.join(F.broadcast(docs.join(often, "rep")), "rep").unionByName(need.join(often, "rep", "left_anti").join(docs, "rep")).select("group", "rep", "text")
@@ -280,7 +313,8 @@ def completed(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     ``docs``: ``rep, text`` of the representatives.
     """
-    first = written(prefixes(docs, percent, common_shingles(docs)))
+    # so many that reading the texts again takes less than keeping them
+    first = prefixes(docs, percent, common_shingles(docs))
     shared = written(first.groupBy("shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("shingle"))
     met = written(first.join(F.broadcast(shared) if shared.count() <= SENT else shared, "shingle").join(reps, "rep"))
     lists = met.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members"), F.min("rep").alias("hub")).where("least < most").drop("most")
@@ -344,8 +378,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     Extra columns are ignored; an empty table gives an empty one.
     """
     id_, text = F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
-    # row numbers must stay the same when a lost part is made again, so they are written
-    rows = docs.select(F.col(key_col).cast("long").alias("row"), id_, text) if key_col else written(docs.select(F.monotonically_increasing_id().alias("row"), id_, text), compression="zstd")
+    rows = docs.select(F.col(key_col).cast("long").alias("row"), id_, text) if key_col else numbered(docs.select(id_, text), "row")
     sketches = written(sketch(rows))
     some = sketches.where("n_shingles > 0")
     named_by = F.struct(F.col("id").isNull().alias("none"), "id", "row")
@@ -360,9 +393,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     more = written(completed(texts.join(others, "rep", "left_anti"), reps, percent))
     if more.take(1):
         named = written(components(links.unionByName(more)))
-    known = written(groups.join(named, F.col("rep") == F.col("node"), "left").select("print", "first", "rows", F.coalesce("component", "rep").alias("component")))
-    whole = written(known.groupBy("component").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("prints")))
-    known = written(by_key(known.drop("first"), whole, ["component"], "prints").select("print", "rows", "first"))
+    linked = written(groups.join(named, F.col("rep") == F.col("node")).select("print", "first", "component"))
+    whole = written(linked.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("prints")))
+    least = by_key(linked.select("print", "component"), whole, ["component"], "prints").select("print", "least")
+    known = written(groups.select("print", "rows", "first").join(least, "print", "left").select("print", "rows", F.coalesce("least", "first").alias("first")))
     out = by_key(written(some.select("row", "id", "n_shingles", "print")), known, ["print"], "rows").select("row", "id", "n_shingles", "first")
     out = out.unionByName(sketches.where("n_shingles = 0").select("row", "id", "n_shingles", named_by.alias("first")))
     component = F.col("first.id")

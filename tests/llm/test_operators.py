@@ -683,6 +683,23 @@ def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
     assert got == brute_near(texts, 85)
 
 
+def test_a_crowded_region_goes_deeper(spark, monkeypatch):
+    """Pairs whose labels go on alike in a region that a thousand share by its root; slices by chance would part them."""
+    monkeypatch.setattr(near_dedup, "CROWD", 8)
+    rng = random.Random(3)
+    rows = []
+    for pair in range(120):
+        tail = rng.randbytes(5) + bytes([pair])
+        for k in range(2):
+            others = rng.randbytes(2 * near_dedup.DEPTH * (near_dedup.TREES - 1))
+            rows.append((2 * pair + k, 100, b"r" * (2 * near_dedup.ROOT) + tail + others))
+    rows += [(1000 + k, 100, b"e" * 12 + rng.randbytes(2 * near_dedup.DEPTH * (near_dedup.TREES - 1))) for k in range(40)]  # equal labels
+    frame = spark.createDataFrame(rows, "rep long, n_shingles long, sig binary")
+    found = {(r.a, r.b) for r in near_dedup.candidates(frame).collect()}
+    assert {(2 * p, 2 * p + 1) for p in range(120)} <= found and {(1000, 1000 + k) for k in range(1, 40)} <= found
+    assert len(found) < 240 * 6
+
+
 @pytest.mark.parametrize("bundle", [2000, 400])
 def test_near_duplicates_of_a_star(spark, monkeypatch, bundle):
     """Thousands of variants that are near to their centre alone, whose id is in the middle."""
@@ -884,3 +901,36 @@ def test_main_text_of_the_tables(spark, small):
         article = re.search("<article>(.*)</article>", pages[r.page_id], re.S)[1]
         blocks = [" ".join(unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1|li|ul|ol|div)\b[^>]*>", article)]
         assert r.text == "\n".join(filter(None, blocks))
+
+
+# --- numbers and folders --------------------------------------------------------------------------------------------
+
+
+def test_numbers_of_rows_follow_their_files(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 as k").repartition(5).write.parquet(f"{tmp_path}/rows with spaces")
+    frame = spark.read.parquet(f"{tmp_path}/rows with spaces")
+    got = {r.id: r.n for r in common.numbered(frame.select("id"), "n").collect()}
+    assert len(set(got.values())) == 1000 and common.numbered(frame, "n").columns == ["id", "k", "n"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:  # in other parts
+        assert {r.id: r.n for r in common.numbered(frame.where("k < 3"), "n").collect()} == {i: n for i, n in got.items() if i % 7 < 3}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    twice = frame.unionByName(frame)
+    assert common.numbered(twice, "n").select("n").distinct().count() == 2000
+    assert common.numbered(frame.limit(0), "n").count() == 0
+
+
+def test_tracked_folders_go_when_nothing_reads_them(spark):
+    import pathlib
+
+    def there(df):
+        return [pathlib.Path(f.removeprefix("file://")).exists() for f in df.inputFiles()[:1]] == [True]
+
+    with common.tracked():
+        a, b = common.written(spark.range(3)), common.written(spark.range(4))
+    c = common.written(spark.range(5))
+    common.cleared(b.where("id > 1"))
+    assert not there(a) and there(b) and there(c)
+    common.cleared(c)
+    assert not there(b) and there(c)
