@@ -2,18 +2,23 @@
 
 Each stage gets the documents that the one before kept, and the folder of the
 tables for what else it needs. All but the last return the columns they got.
-Quality is judged within the row; the other stages number their rows, write
-them, and decide by that number, so that rows without an id, and rows that
-share one, are each judged by their own text.
+Quality is judged within the row; the other stages decide by a number of the
+row (its file and its place there, as each stage reads what the one before has
+written), so that rows without an id, and rows that share one, are each judged
+by their own text. A stage begins with removing what the stages before have
+left in the shared folder and its rows don't read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logveil.llm import byte_bpe, decontaminate, line_quality, near_dedup
-from logveil.llm.common import bucket, table, written
+from logveil.llm.common import bucket, cleared, numbered, table, tracked, written
 from logveil.llm.exact_dedup import DigestIndex
 
 ROW, SCORE = "row of the stage", "score of the stage"
@@ -40,7 +45,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are equal. A row without an id stays only where no
     row of its group has one; of rows that repeat id and text one stays.
     """
-    rows, index = _numbered(docs), DigestIndex(spark)
+    rows, index = numbered(docs, ROW), DigestIndex(spark)
     kept = written(index.add(rows, "pipeline", key_col=ROW).where("kept").select(ROW))
     index.drop()
     return _keep(rows, kept)
@@ -51,13 +56,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and blank texts link with nothing, so each of them stays.
     """
-    rows = _numbered(docs)
+    rows = numbered(docs, ROW)
     return _keep(rows, near_dedup.near_duplicates(rows, percent=80, key_col=ROW).where("stays"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text doesn't hold half of a benchmark item; null and empty texts hold none, an empty benchmark keeps all."""
-    rows = _numbered(docs)
+    rows = numbered(docs, ROW)
     return _keep(rows, decontaminate.verdicts(rows, table(spark, sf_dir, "benchmark"), key_col=ROW).where("not contaminated"))
 
 
@@ -69,11 +74,6 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, written, so that the numbers stay the same."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), compression="zstd")
-
-
 def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The ``rows`` whose number is in ``kept``; a side of checked size is broadcast, a larger one joined by sorting.
 
@@ -84,7 +84,17 @@ def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(side, ROW, "left_anti").drop(ROW)
 
 
-STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("decontamination", leaks), ("tokens", tokens)]
+def _stage(work: Callable) -> Callable:
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        cleared(docs)
+        with tracked():
+            return work(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _stage(work)) for name, work in (("quality", quality), ("exact dedup", exact), ("near dedup", near), ("decontamination", leaks), ("tokens", tokens))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +102,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs)
+            with tracked():
+                docs = written(docs)
     return docs
 
 
