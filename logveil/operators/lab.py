@@ -14,6 +14,7 @@ from ..rules import values as V
 from ..rules.registry import CATEGORIES, compiles, effective, validate
 from . import kernel
 from .kernel import MaskConfig
+from .masking import dealt
 
 SAMPLE, PROPOSALS, MATCHES = 20_000, 6, 200
 # Fragments of key names, in order, and the label they imply.
@@ -223,3 +224,20 @@ def try_regex(sample: str, regex: str, label: str = "CUSTOM", enabled: tuple[str
     before = set(kernel.mask(sample, config)[1].values())
     after = kernel.mask(sample, replace(config, custom_patterns=({"label": label, "regex": regex},)))
     return {"matches": matches, "newly_masked": sorted(set(after[1].values()) - before), "masked_preview": after[0]}
+
+
+def suggested(rows: DataFrame, id_col: str = "doc_id", sample_col: str = "sample", value_col: str = "value", enabled: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """``<id_col>, place, kind, rule_id, label, regex, also_masked`` of the proposals for many samples and values, the best first."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    names = [id_col, "place", "kind", "rule_id", "label", "regex", "also_masked"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [suggest(s, v, enabled).get("proposals", []) for s, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            where = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
+            flat = [(k, p) for f in found for k, p in enumerate(f, 1)]
+            strings = [pa.array([p[n] for _, p in flat], pa.string()) for n in ("kind", "rule_id", "label", "regex")]
+            also = pa.array([p["also_masked"] for _, p in flat], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), pa.array([k for k, _ in flat], pa.int32()), *strings, also], names)
+
+    return dealt(rows.select(id_col, sample_col, value_col)).mapInArrow(run, f"`{id_col}` {kind}, place int, kind string, rule_id string, label string, regex string, also_masked array<string>")

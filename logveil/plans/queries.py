@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.accept import veto_column
-from ..operators import lab, leaks, ledger, masking, providers, structural, templates, vault, vaulting, verdicts
+from ..operators import claims, lab, leaks, ledger, masking, network, providers, structural, templates, vault, vaulting, verdicts
 from ..operators.kernel import MaskConfig
 from ..rules import registry
 from ..rules import values as V
@@ -128,15 +128,23 @@ def rules_by_source(spark, sf_dir):
     return found.join(F.broadcast(rules), "rule_id").groupBy("source", "label").agg(F.countDistinct("event_id").alias("n_lines"), F.count(F.lit(1)).alias("n_values"))
 
 
-@query("rule_catalogue", "select * from (values " + ", ".join(f"({i}, {rendered.quoted(r[0])}, {rendered.quoted(r[1])}, '{r[2]}', '{r[3]}', {'true' if r[0] == 'mac' else 'false'})" for i, r in enumerate(V.RULES)) + ") t(priority, rule_id, source, label, category, modified)")
+_CATALOGUE_SQL = "(values " + ", ".join(f"({i}, {rendered.quoted(r[0])}, {rendered.quoted(r[1])}, '{r[2]}', '{r[3]}', {'true' if r[0] == 'mac' else 'false'})" for i, r in enumerate(V.RULES)) + ") t(priority, rule_id, source, label, category, modified)"
+
+
+def _lines_by_rule(spark, sf_dir) -> DataFrame:
+    return rendered.lines(spark, sf_dir).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("rule_catalogue", f"select t.*, n_lines from {_CATALOGUE_SQL} join (select rule_id, count(*) as n_lines from {rendered.lines_sql()} group by 1) using (rule_id)")
 def rule_catalogue(spark, sf_dir):
-    """The catalogue with one rule overridden."""
-    return registry.catalogue(spark, {"mac": r"\b[0-9a-f]{12}\b", "uuid": "("}).select("priority", "rule_id", "source", "label", "category", "modified")
+    """The catalogue with one rule overridden, and how many lines each rule's shape has."""
+    rules = registry.catalogue(spark, {"mac": r"\b[0-9a-f]{12}\b", "uuid": "("}).select("priority", "rule_id", "source", "label", "category", "modified")
+    return rules.join(_lines_by_rule(spark, sf_dir), "rule_id").select("priority", "rule_id", "source", "label", "category", "modified", "n_lines")
 
 
-@query("rule_search", "select * from (values " + ", ".join(f"({rendered.quoted(r[0])}, {rendered.quoted(r[1])})" for r in V.RULES if "sysmon" in r[1].lower()) + ") t(rule_id, source)")
+@query("rule_search", f"select rule_id, source, n_lines from {_CATALOGUE_SQL} join (select rule_id, count(*) as n_lines from {rendered.lines_sql()} group by 1) using (rule_id) where source ilike '%sysmon%'")
 def rule_search(spark, sf_dir):
-    return registry.search_catalogue(registry.catalogue(spark), "Sysmon").select("rule_id", "source")
+    return registry.search_catalogue(registry.catalogue(spark), "Sysmon").join(_lines_by_rule(spark, sf_dir), "rule_id").select("rule_id", "source", "n_lines")
 
 
 # --- accept, labels, columns ---------------------------------------------------------------------------------------
@@ -150,10 +158,24 @@ ACCEPT_CASES = [
 ]
 
 
-@query("accept_rules", "select * from (values " + ", ".join(f"({i}, '{a}', {rendered.quoted(b)}, {rendered.quoted(c) if c else 'null'})" for i, (a, b, c) in enumerate(ACCEPT_CASES)) + ") t(k, label, value, veto)")
+def _cases(spark, sf_dir, table: str, key: str, cases: list[tuple], names: str) -> DataFrame:
+    """A table's rows, each with the case of its key modulo their number (``k``): a broadcast of as many rows as there are cases."""
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], f"k int, {names}")
+    return _table(spark, sf_dir, table).select(F.col(key)).join(F.broadcast(rows), F.col(key) % len(cases) == F.col("k"))
+
+
+def _cases_sql(table: str, key: str, cases: list[tuple], names: str) -> str:
+    def one(v) -> str:
+        return "null" if v is None else rendered.quoted(v) if isinstance(v, str) else str(v)
+
+    return f"(select {table}.{key}, {'user_id, ' if table == 'events' else ''}cases.* from {table} join (values " + ", ".join(f"({k}, {', '.join(map(one, c))})" for k, c in enumerate(cases)) + f") cases(k, {names}) on {key} % {len(cases)} = k)"
+
+
+@query("accept_rules", f"select event_id, label, value, veto from {_cases_sql('events', 'event_id', ACCEPT_CASES, 'label, value, veto')}")
 def accept_rules(spark, sf_dir):
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(ACCEPT_CASES)], "k int, label string, value string")
-    return rows.withColumn("veto", veto_column(F.col("label"), F.col("value")))
+    """The vetoes R1 to R20, and values that pass, over all events."""
+    rows = _cases(spark, sf_dir, "events", "event_id", [c[:2] for c in ACCEPT_CASES], "label string, value string")
+    return rows.select("event_id", "label", "value", veto_column(F.col("label"), F.col("value")).alias("veto"))
 
 
 @query(
@@ -260,6 +282,55 @@ def mask_lines(spark, sf_dir):
     return masked.select("event_id", "rule_id", "masked", (masking.unmask(F.col("masked"), F.col("mapping")) == F.col("line")).alias("restored"))
 
 
+@query("native_lines", f"select event_id, rule_id, masked from {rendered.lines_sql()}")
+def native_lines(spark, sf_dir):
+    """The same lines masked by Catalyst alone: candidate spans of all rules as rows, claims as interval selection, numbers, rewriting."""
+    lines = rendered.lines(spark, sf_dir)
+    masked = claims.mask(lines, id_col="event_id", text_col="line")
+    return masked.join(lines.select("event_id", "rule_id"), "event_id").select("event_id", "rule_id", "masked")
+
+
+@query("native_kept_lines", f"select event_id, kept as masked from {rendered.lines_sql()}")
+def native_kept_lines(spark, sf_dir):
+    return claims.mask(rendered.lines(spark, sf_dir), id_col="event_id", text_col="kept")
+
+
+_TRIED = [("cards", "CUSTOM", r"\b\d{4} \d{4} \d{4} \d{4}\b"), ("mail_hosts", "CUSTOM", r"@([A-Za-z0-9.\-]+)")]
+_TRIAL_SQL = f"""(
+  select distinct 'cards' as proposal, doc_id, unnest(regexp_extract_all(text, '{_TRIED[0][2]}')) as value from documents union all
+  select distinct 'mail_hosts', doc_id, unnest(regexp_extract_all(text, '{_TRIED[1][2]}', 1)) from documents)"""
+
+
+@query("pattern_trial", f"select proposal, doc_id, value from {_TRIAL_SQL}")
+def pattern_trial(spark, sf_dir):
+    """What two proposed patterns mask in all documents that the rule for mailboxes doesn't."""
+    return claims.trial(_table(spark, sf_dir, "documents"), _TRIED, rules=("email",))
+
+
+@query("pattern_trial_ranked", f"select row_number() over (order by n_values, n_texts, proposal) as place, * from (select proposal, count(distinct value) as n_values, count(distinct doc_id) as n_texts from {_TRIAL_SQL} group by 1)")
+def pattern_trial_ranked(spark, sf_dir):
+    """The proposals by what else they mask."""
+    return claims.side_effects(pattern_trial(spark, sf_dir)).select("place", "proposal", "n_values", "n_texts")
+
+
+_ADDRESS = "concat('10.', user_id % 256, '.', event_id % 256, '.', event_id % 200 + 1)"
+_NETWORKS = "select concat('10.', s_suppkey % 256, '.', s_suppkey * 7 % 256, '.0/24') as network from {t} union all select concat('10.', s_suppkey * 3 % 256, '.0.0/', 10 + s_suppkey % 7) from {t} union all select '10.0.0.0/8' from {t}"
+
+
+@query(
+    "network_of_address",
+    f"""with n as (select network, 167772160 + split_part(network, '.', 2)::bigint * 65536 + split_part(network, '.', 3)::bigint * 256 as base, split_part(network, '/', 2)::bigint as bits from (select distinct network from ({_NETWORKS.format(t="supplier")}))),
+u as (select min(network) as network, base >> (32 - bits)::int as key, bits from n group by all),
+e as (select event_id, {_ADDRESS} as address, 167772160 + (user_id % 256) * 65536 + (event_id % 256) * 256 + event_id % 200 + 1 as ip from events)
+select event_id, any_value(address) as address, arg_max(network, bits) as network from e join u on e.ip >> (32 - bits)::int = key group by event_id""",
+)
+def network_of_address(spark, sf_dir):
+    """The narrowest network of each event's address, of networks that the suppliers have."""
+    rows = _table(spark, sf_dir, "events").select("event_id", F.expr(_ADDRESS).alias("address"))
+    _table(spark, sf_dir, "supplier").createOrReplaceTempView("suppliers_of_networks")
+    return network.longest_prefix(rows, spark.sql(_NETWORKS.format(t="suppliers_of_networks")).distinct())
+
+
 @query("mask_kept_lines", f"select event_id, rule_id, kept as masked, 0 as n_spans from {rendered.lines_sql()}")
 def mask_kept_lines(spark, sf_dir):
     """For each rule a line of nearly its shape that has nothing to mask."""
@@ -528,11 +599,12 @@ def ledger_latest(spark, sf_dir):
 RATE_CASES = [("anthropic", "claude-x-opus", 15.0, "default"), ("openai", "gpt-z-nano", 0.05, "default"), ("openai", "o3-pro", 1.1, "default"), ("azure", "gpt-z", None, None), ("ollama", "x", 0.0, "free"), ("m365copilot", "x", 0.0, "licensed"), ("openai", " My-Model ", 2.0, "custom"), ("gemini", "gemini-flash-lite", 0.1, "default"), ("openai", "", None, None)]
 
 
-@query("rate_lookup", "select provider, model, rate_in::double as rate_in, rate_source from (values " + ", ".join(f"('{p}', '{m}', {'null' if a is None else a}, {'null' if s is None else rendered.quoted(s)})" for p, m, a, s in RATE_CASES) + ") t(provider, model, rate_in, rate_source)")
+@query("rate_lookup", f"select event_id, provider, model, rate_in::double as rate_in, rate_source from {_cases_sql('events', 'event_id', RATE_CASES, 'provider, model, rate_in, rate_source')}")
 def rate_lookup(spark, sf_dir):
-    rows = spark.createDataFrame([(p, m, 1, 1) for p, m, _, _ in RATE_CASES], "provider string, model string, tokens_in long, tokens_out long")
+    """Rates of all events' models: defaults, a user's own, free and unknown ones."""
+    rows = _cases(spark, sf_dir, "events", "event_id", [c[:2] for c in RATE_CASES], "provider string, model string").withColumns({"tokens_in": F.lit(1), "tokens_out": F.lit(1)})
     own = spark.createDataFrame([("my-model", 2.0, 4.0)], "model string, own_in double, own_out double")
-    return ledger.priced(rows, own).select("provider", "model", "rate_in", "rate_source")
+    return ledger.priced(rows, own).select("event_id", "provider", "model", "rate_in", "rate_source")
 
 
 @query("stream_ledger", _BUCKET_SQL)
@@ -688,9 +760,11 @@ def template_scores(spark, sf_dir):
     return got.select("doc_id", F.col("rank").cast("long").alias("rank"), "template_id", F.round(F.round(F.col("score") * total) / total, 6).alias("score"), "signals_fired")
 
 
-@query("template_search", "select * from (values " + ", ".join(f"('{t[0]}')" for t in templates.TEMPLATES if all(w in " ".join(t[1:]).lower() for w in ("access", "ta00"))) + ") t(template_id)")
+@query("template_search", f"select event_id, template_id from events join (values " + ", ".join(f"({k}, '{t[0]}')" for k, t in enumerate(templates.TEMPLATES) if all(w in " ".join(t[1:]).lower() for w in ("access", "ta00"))) + f") t(k, template_id) on event_id % {len(templates.TEMPLATES)} = k")
 def template_search(spark, sf_dir):
-    return templates.search(templates.library(spark), "Access TA00").select("template_id")
+    """Of the events' templates those that have the words of a search."""
+    found = templates.search(templates.library(spark), "Access TA00").select("ord", "template_id")
+    return _table(spark, sf_dir, "events").join(F.broadcast(found), F.col("event_id") % len(templates.TEMPLATES) == F.col("ord")).select("event_id", "template_id")
 
 
 @query("verdict_fields", "select event_id, (['true_positive', 'false_positive', 'inconclusive'])[event_id % 3 + 1] as verdict, (['high', ''])[event_id % 2 + 1] as severity, 'seen user' || user_id as summary, 1 as n_iocs, 'ip' as ioc_type, '10.0.0.1' as ioc, 'Some prose.' as prose from events")
@@ -729,25 +803,39 @@ def diagnose(spark, sf_dir):
     return lab.diagnosed(events.select("event_id", filled("line").alias("sample"), filled("value").alias("value")), id_col="event_id").select("event_id", "verdict")
 
 
-@query("propose_rules")
+_PROPOSED = [("extend_builtin", "host-kv", "null"), ("new_pattern", None, rendered.quoted(r"(?i)\bassetTag[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9._@\\\-]+)")), ("literal", None, r"'(?<!\w)QQ' || event_id % 500 + 10 || '(?!\w)'")]
+_PROPOSED_SQL = " union all ".join(f"select event_id, {k} as place, '{kind}' as kind, {f"'{rule}'" if rule else 'null'} as rule_id, 'HOST' as label, {regex} as new_regex, 0 as also_masked from events" for k, (kind, rule, regex) in enumerate(_PROPOSED, 1))
+
+
+@query("propose_rules", _PROPOSED_SQL)
 def propose_rules(spark, sf_dir):
-    found = lab.suggest("2024 assetTag=QQ77 seen", "QQ77")["proposals"]
-    return spark.createDataFrame([(k, p["kind"], p["rule_id"], p["label"], p["regex"]) for k, p in enumerate(found)], "k int, kind string, rule_id string, label string, regex string")
+    """Proposals for a value that no rule masks, over all events, each tried on its sample."""
+    tag = F.concat(F.lit("QQ"), (F.col("event_id") % 500 + 10).cast("string"))
+    rows = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("2024 assetTag="), tag, F.lit(" seen")).alias("sample"), tag.alias("value"))
+    found = lab.suggested(rows, id_col="event_id")
+    return found.select("event_id", "place", "kind", "rule_id", "label", F.when(F.col("kind") != "extend_builtin", F.col("regex")).alias("new_regex"), F.size("also_masked").alias("also_masked"))
+
+
+_CODECS = [("utf-8", "EFBBBF", "\r\n"), ("utf-16-le", "", "\n"), ("utf-16-be", "", "\r"), ("utf-16-le", "FFFE", "\r\n"), ("utf-8", "", "\r")]
 
 
-@query("decode_files", "select region.r_regionkey as k, 'a' || chr(10) || 'b' || r_name || ' ends here' as text, (['utf-8', 'utf-16-le', 'utf-16-be', 'utf-16-le', 'utf-8'])[r_regionkey + 1] as encoding from region")
+@query("decode_files", "select s_suppkey as k, 'a' || chr(10) || 'b' || s_name || ' ends here' as text, (['utf-8', 'utf-16-le', 'utf-16-be', 'utf-16-le', 'utf-8'])[s_suppkey % 5 + 1] as encoding from supplier")
 def decode_files(spark, sf_dir):
-    """Bytes in five encodings, with and without marks and with each kind of line end."""
-    codecs = [("utf-8-sig", "\r\n"), ("utf-16-le", "\n"), ("utf-16-be", "\r"), ("utf-16", "\r\n"), ("utf-8", "\r")]
-    names = {r["r_regionkey"]: r["r_name"] for r in _table(spark, sf_dir, "region").collect()}  # five rows
-    files = [(str(k), f"a{end}b{names[k]} ends here".encode(codec)) for k, (codec, end) in enumerate(codecs)]
-    out = text_source.decoded(spark.createDataFrame(files, "path string, content binary"))
-    return out.select(F.col("path").cast("int").alias("k"), "text", "encoding")
+    """A file for each supplier: bytes in five encodings, with and without marks and with each kind of line end."""
+    key, content = F.col("s_suppkey"), None
+    for k, (codec, mark, end) in enumerate(_CODECS):
+        raw = F.concat(F.unhex(F.lit(mark)), F.encode(F.concat(F.lit("a" + end + "b"), "s_name", F.lit(" ends here")), codec.replace("16-le", "16LE").replace("16-be", "16BE")))
+        content = F.when(key % 5 == k, raw) if content is None else content.when(key % 5 == k, raw)
+    files = _table(spark, sf_dir, "supplier").select(key.cast("string").alias("path"), content.alias("content"))
+    return text_source.decoded(files).select(F.col("path").cast("long").alias("k"), "text", "encoding")
 
 
-@query("split_terms", "select * from (values ('ACME'), ('srv'), ('x y')) t(term)")
+@query("split_terms", "select event_id, unnest(['ACME' || user_id, 'srv', 'x y']) as term from events")
 def split_terms(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in registry.distinct_terms(registry.split_terms(" ACME, acme\nsrv,,x y "))], "term string")
+    """Terms as typed for each event: parted by commas and line ends, trimmed, each once whatever its case."""
+    user = F.col("user_id").cast("string")
+    typed = F.concat(F.lit(" ACME"), user, F.lit(", acme"), user, F.lit("\nsrv,,x y ,SRV"))
+    return _table(spark, sf_dir, "events").select("event_id", F.explode(registry.terms_of(typed)).alias("term"))
 
 
 @query("entity_join", f"with {_NUMBER_SQL} select doc_id, lang, source, count(*) as n_values from numbered join documents using (doc_id) group by all")
@@ -760,9 +848,13 @@ def entity_join(spark, sf_dir):
 MODELS = [("openai", "gpt-9-mini", 1), ("openai", "gpt-9-audio", 0), ("openai", "o7", 1), ("openai", "text-embedding", 0), ("google", "models/gemini-9-flash", 1), ("google", "models/gemini-9-tts", 0), ("google", "models/bison", 0), ("azure", "x", 0), ("ollama", "llama", 1)]
 
 
-@query("chat_models", "select * from (values " + ", ".join(f"('{p}', '{m.removeprefix('models/')}')" for p, m, keep in MODELS if keep) + ") t(provider, model)")
+@query("chat_models", f"select distinct user_id, provider, regexp_replace(model, '^models/', '') as model from {_cases_sql('events', 'event_id', MODELS, 'provider, model, keep')} where keep = 1")
 def chat_models(spark, sf_dir):
-    return providers.chat_models(spark.createDataFrame([(p, m) for p, m, _ in MODELS], "provider string, model string"))
+    """The models that chat, of those that each user's events name."""
+    rows = _cases(spark, sf_dir, "events", "event_id", [m[:2] for m in MODELS], "provider string, model string").join(_table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    kept = providers.chat_models(rows)
+    named = rows.withColumn("model", F.regexp_replace("model", "^models/", "")).join(F.broadcast(kept), ["provider", "model"])  # as many as models
+    return named.select("user_id", "provider", "model").distinct()
 
 
 ENDPOINTS = [
@@ -771,14 +863,19 @@ ENDPOINTS = [
 ]
 
 
-@query("endpoint_refusals", "select * from (values " + ", ".join(f"('{u}', {rendered.quoted(w) if w else 'null'})" for u, w in ENDPOINTS) + ") t(url, refusal)")
+@query("endpoint_refusals", f"select event_id as id, url, refusal from {_cases_sql('events', 'event_id', ENDPOINTS, 'url, refusal')} union all select -1 - page_id, url, null from pages")
 def endpoint_refusals(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u, _ in ENDPOINTS], "url string").select("url", providers.refusal(F.col("url")).alias("refusal"))
+    """Endpoints of all events, and the pages' own addresses, which may all be used."""
+    cases = _cases(spark, sf_dir, "events", "event_id", [(u,) for u, _ in ENDPOINTS], "url string").select(F.col("event_id").alias("id"), "url")
+    rows = cases.unionByName(_table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), "url"))
+    return rows.select("id", "url", providers.refusal(F.col("url")).alias("refusal"))
 
 
-@query("provider_registry", "select * from (values " + ", ".join(f"('{p}', '{a}', {str(a == 'apikey').lower()})" for p, _, a, _ in providers.PROVIDERS) + ") t(provider, auth, needs_key)")
+@query("provider_registry", f"with {_AUDIT_SQL}, asked as (select provider as p, count(*) as n from audit group by 1) select provider, auth, needs_key, coalesce(n, 0) as requests from (values " + ", ".join(f"('{p}', '{a}', {str(a == 'apikey').lower()})" for p, _, a, _ in providers.PROVIDERS) + ") t(provider, auth, needs_key) left join asked on p = provider")
 def provider_registry(spark, sf_dir):
-    return providers.registry(spark).select("provider", "auth", "needs_key")
+    """The providers, and how many requests of the log each has."""
+    asked = _audit(spark, sf_dir).groupBy("provider").agg(F.count(F.lit(1)).alias("requests"))
+    return providers.registry(spark).join(asked, "provider", "left").select("provider", "auth", "needs_key", F.coalesce("requests", F.lit(0)).alias("requests"))
 
 
 @query("clean_answers", "select event_id, 'user' || user_id || ' did it' as answer from events")

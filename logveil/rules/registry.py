@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import values
 
@@ -221,3 +222,9 @@ def distinct_terms(terms) -> list[str]:
 def split_terms(text: str) -> list[str]:
     """Terms as typed: parted by newlines or commas."""
     return [t.strip() for t in re.split(r"[\n,]", text) if t.strip()]
+
+
+def terms_of(text: Column) -> Column:
+    """``distinct_terms(split_terms(text))`` as an array, by Catalyst: the first spelling of terms that differ only in case."""
+    each = F.filter(F.transform(F.split(text, r"[\n,]"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+    return F.filter(each, lambda t, i: ~F.exists(F.slice(each, 1, i), lambda before: F.lower(before) == F.lower(t)))
