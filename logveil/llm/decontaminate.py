@@ -31,6 +31,7 @@ from .common import _BASE, _powers, by_key, chunks, give_back, lean, mix, shingl
 LEAST, COVERAGE = 5, 0.5
 BITS = 27  # of the bitmap of seeds, whatever the benchmark's size
 GROUP_BYTES = 4 << 20  # of texts tiled in one group
+SENT = 500_000  # seeds that may be broadcast
 BETWEEN = np.ones(256, bool)
 BETWEEN[48:58] = BETWEEN[65:91] = BETWEEN[97:123] = BETWEEN[128:] = False
 
@@ -185,10 +186,9 @@ def _tiled(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int, i
     rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     looked = written(possible(rows, spark.sparkContext.broadcast(seed_map(seeds)), sizes or [least], key_col is not None), compression="zstd")
     met = looked.where("text is not null").select("row", F.explode("seeds").alias("seed"))
-    times = written(met.groupBy("seed").agg(F.count(F.lit(1)).alias("rows")))
-    lists = written(seeds.groupBy("seed").agg(F.collect_set("item").alias("items")).join(times, "seed"))
-    pairs = by_key(written(met), lists, ["seed"], "rows").select("row", F.explode("items").alias("item")).distinct()
-    side = written(pairs.join(items, "item").select("row", "item_id", "item_text"))
+    # rows of two numbers on both sides: few are sent, many are joined by sorting, where Spark splits a seed that many rows have
+    known = seeds.select("seed", "item")
+    pairs = written(met.join(F.broadcast(known) if known.count() <= SENT else known, "seed").select("row", "item").distinct())
     size = looked.where("text is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
     group = F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group")
@@ -198,11 +198,16 @@ def _tiled(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int, i
         place = {r: i for i, r in enumerate(left.column("row").to_pylist())}
         texts = left.column("text").combine_chunks() if left.num_rows else pa.array([], pa.string())
         wanted: dict[int, list[int]] = {}
-        for j, r in enumerate(right.column("row").to_pylist()):
-            wanted.setdefault(r, []).append(j)
+        item_texts, of_item = right.column("item_text").combine_chunks(), {}
+        for j, (r, item) in enumerate(zip(right.column("row").to_pylist(), right.column("item").to_pylist(), strict=True)):
+            if r is None:
+                of_item[item] = j
+            else:
+                wanted.setdefault(r, []).append(item)
         out = []
-        for r, js in wanted.items():
-            raw = utf8(pa.concat_arrays([texts.slice(place[r], 1), *(pa.array([right.column("item_text")[j].as_py()], pa.string()) for j in js)]))
+        for r, own in wanted.items():
+            js = [of_item[item] for item in own]
+            raw = utf8(pa.concat_arrays([texts.slice(place[r], 1), item_texts.take(pa.array(js))]))
             words, *others = _numbered(raw)
             for j, item in zip(js, others, strict=True):
                 tiles = tile(words, item, min(least, len(item)))
@@ -214,7 +219,12 @@ def _tiled(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int, i
         return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["row", "id", "item_id", "coverage", "tiles"])
 
     texts = looked.where("text is not null").select(group, "row", "id", "text").groupBy("group")
-    tiled = texts.cogroup(side.select(group, "*").groupBy("group")).applyInArrow(run, f"row long, id long, item_id long, coverage double, tiles {TILES}")
+    # a group gets its pairs, and once each item of them (without a row)
+    needed = pairs.select(group, "row", "item")
+    nothing = [F.lit(None).cast(k).alias(c) for c, k in (("item_id", "long"), ("item_text", "string"))]
+    sent = needed.select("group", "item").distinct().join(items, "item").select("group", F.lit(None).cast("long").alias("row"), "item", "item_id", "item_text")
+    side = needed.select("group", "row", "item", *nothing).unionByName(sent).toDF("in_group", "row", "item", "item_id", "item_text")
+    tiled = texts.cogroup(side.groupBy("in_group")).applyInArrow(run, f"row long, id long, item_id long, coverage double, tiles {TILES}")
     return looked.select("row", "id"), tiled
 
 
