@@ -151,7 +151,7 @@ class Cache(dict):
 class ByteBPE:
     """``ranks_path``: a file of lines ``base64-token rank``."""
 
-    def __init__(self, ranks_path: str, cache: int = 1_000_000):
+    def __init__(self, ranks_path: str, cache: int = 250_000):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.vocab: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
@@ -261,8 +261,8 @@ def coder(ranks_path: str) -> ByteBPE:
     return ByteBPE(ranks_path)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id_col>, ids array<int>, offsets array<int>`` of every row: the tokens and the byte of the text at which each begins.
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
+    """``<id_col>, ids array<int>, offsets array<int>`` of every row: the tokens and the byte of the text at which each begins (not without ``offsets``).
 
     Null and empty texts have no ids. Bytes that aren't UTF-8 count as U+FFFD,
     offsets too. Repeated rows stay repeated; extra columns are ignored; an
@@ -275,10 +275,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
             texts, keys = utf8(batch.column(1)), batch.column(0)
             for a, b in chunks(texts):
                 ids, at = bpe.encode_texts(texts[a:b])
-                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in (ids, bpe.offsets(ids, at))]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *lists], ["id", "ids", "offsets"])
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in (ids, *([bpe.offsets(ids, at)] if offsets else []))]
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *lists], ["id", "ids", "offsets"][: 1 + len(lists)])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(encode), "id long, ids array<int>, offsets array<int>").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(encode), "id long, ids array<int>" + ", offsets array<int>" * offsets).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
