@@ -14,9 +14,11 @@ from ..operators.kernel import MaskConfig
 from ..rules import registry
 from ..rules import values as V
 from ..session import shared_folder
+from ..sources import audit, tail, xlsx
 from ..sources import text as text_source
 from ..streaming import conversations as conv
 from ..streaming import ledger as ledger_stream
+from ..streaming import vaults
 from . import rendered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -616,6 +618,16 @@ def stream_ledger(spark, sf_dir):
     return ledger_stream.drain(stream, folder)
 
 
+@query("tail_ledger", _BUCKET_SQL)
+def tail_ledger(spark, sf_dir):
+    """The buckets from files that are followed in byte ranges."""
+    spark.dataSource.register(tail.LogTail)
+    folder = shared_folder(spark)
+    _audit(spark, sf_dir).write.json(f"{folder}/log")
+    lines = spark.readStream.format("log_tail").option("path", f"{folder}/log/part-").option("bytesPerPartition", 1 << 20).load().select("value")
+    return ledger_stream.drain(ledger_stream.running_buckets(audit.parse(lines)), folder)
+
+
 # --- vault ---------------------------------------------------------------------------------------------------------
 
 _SEEN_SQL = """seen as (
@@ -711,6 +723,24 @@ def _streamed(spark, turns: DataFrame) -> DataFrame:
     return ledger_stream.drain(conv.stream(spark.readStream.schema(turns.schema).parquet(f"{folder}/turns")), folder, "append")
 
 
+@query(
+    "vault_stream",
+    """with t as (select s_suppkey % 3 as v, s_suppkey as ord, s_suppkey % 7 as g from supplier), r as (select v, g, row_number() over (partition by v order by m) as k from (select v, g, min(ord) as m from t group by all))
+select 'team' || v as vault, 'i' || ord as incident_id, 'login user=[USER_' || k || '] ok' as masked, false as late from t join r using (v, g)""",
+)
+def vault_stream(spark, sf_dir):
+    """Three vaults over the suppliers' incidents as a stream with keyed maps."""
+    key = F.col("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("team"), (key % 3).cast("string")).alias("vault"), F.concat(F.lit("i"), key).alias("incident_id"), key.cast("long").alias("ord"),
+        F.concat(F.lit("login user=acct"), (key % 7).cast("string"), F.lit(" ok")).alias("text"),
+    )
+    folder = shared_folder(spark)
+    rows.coalesce(1).write.parquet(f"{folder}/incidents")  # one file is one batch, which is masked in the order of ord
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/incidents")
+    return ledger_stream.drain(vaults.masked(stream), folder, "append").select("vault", "incident_id", "masked", "late")
+
+
 @query("conversation_numbering", _TURNS_SQL)
 def conversation_numbering(spark, sf_dir):
     """Numbers of a conversation's names, in the order of its turns."""
@@ -830,6 +860,17 @@ def decode_files(spark, sf_dir):
     return text_source.decoded(files).select(F.col("path").cast("long").alias("k"), "text", "encoding")
 
 
+@query(
+    "workbooks",
+    r"""select s_suppkey as k, '# --- Sheet: People ---' || chr(10) || 'name,' || s_name || chr(13) || chr(10) || s_suppkey || ',true' || chr(13) || chr(10) || chr(10) || '# --- Sheet: Notes ---' || chr(10) || '"a, ' || s_name || '"' || chr(13) || chr(10) as csv from supplier""",
+)
+def workbooks(spark, sf_dir):
+    """A spreadsheet of two sheets for each supplier, read sheet by sheet."""
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), "s_name")
+    files = rows.mapInArrow(rendered.workbooks, "path string, content binary")
+    return xlsx.put_together(xlsx.sheets(files)).select(F.col("path").cast("long").alias("k"), "csv")
+
+
 @query("split_terms", "select event_id, unnest(['ACME' || user_id, 'srv', 'x y']) as term from events")
 def split_terms(spark, sf_dir):
     """Terms as typed for each event: parted by commas and line ends, trimmed, each once whatever its case."""

@@ -311,7 +311,7 @@ NOTES = {
     "ipv4": 'dotted quad not preceded by word char or dot',
     "winevent-host": 'indented Workstation/Computer-family line value',
     "winxml-host": 'Workstation/MachineName XML',
-    "winxml-computer": '<Computer> element',
+    "winxml-computer": "the machine that an event's XML names",
     "syslog-bsd-host": 'token after "Mon dd HH:MM:SS", line start or after a quote',
     "cli-host-param": '-computername/-server/-node/… argument',
     "cloud-asset-kv": 'repo/project/environment/bucket/app/service/site/… JSON values',

@@ -59,6 +59,44 @@ def test_spreadsheets(spark, tmp_path):
         xlsx.to_csv(workbook({"Bomb": "<row/>" * 2_000_000}))
 
 
+def test_workbooks_by_sheets(spark, tmp_path, monkeypatch):
+    rows = '<row><c t="s"><v>0</v></c><c r="C1"><v>7</v></c></row><row/><row><c t="inlineStr" r="B3"><is><t>x, y</t></is></c></row>'
+    books = {"a.xlsx": {"One": rows}, "b.xlsm": {"One": rows, "Two &amp; more": "", "Three": rows * 40}, "sub/c.XLSX": {"S": '<row><c t="s"><v>9</v></c></row>'}, "d.xlsx": {}, "e.xlsx": {"A": rows, "B": "<row"}}
+    (tmp_path / "sub").mkdir()
+    for name, sheets in books.items():
+        (tmp_path / name).write_bytes(workbook(sheets))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(workbook({"One": rows, "Two": rows * 3000}))) as a, zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as b:
+        for name in a.namelist():
+            b.writestr(name, a.read(name))
+    (tmp_path / "f.xlsx").write_bytes(packed.getvalue())
+    (tmp_path / "g.xlsx").write_bytes(b"no")
+    (tmp_path / "h.xlsx").write_bytes(b"P" * ((10 << 20) + 1))
+    (tmp_path / "notes.txt").write_text("no spreadsheet")
+
+    def wanted(path):
+        try:
+            return xlsx.to_csv(path.read_bytes()), None
+        except ValueError as e:
+            return None, str(e)
+
+    want = {p.name: wanted(p) for p in tmp_path.rglob("*.*") if p.suffix.lower() in (".xlsx", ".xlsm")}
+    assert {r.path.rpartition("/")[2]: (r.csv, r.error) for r in xlsx.workbooks(spark, str(tmp_path)).collect()} == want
+    assert len(want) == 8 and sum(e is not None for _, e in want.values()) == 4
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/b.xlsm")
+    assert [(r.k, r.name, r.sheets) for r in xlsx.sheets(files).orderBy("k").collect()] == [(0, "One", 3), (1, "Two & more", 3), (2, "Three", 3)]
+
+
+def test_a_packed_sheet_that_grows_too_much_is_refused(monkeypatch):
+    import zlib
+
+    monkeypatch.setattr(xlsx, "EXPANDED", 1 << 20)
+    pack = zlib.compressobj(9, zlib.DEFLATED, -15)
+    data = pack.compress(b" " * (3 << 20)) + pack.flush()
+    with pytest.raises(ValueError):
+        list(xlsx._unpacked(data, zipfile.ZIP_DEFLATED))
+
+
 def test_appended_lines(spark, tmp_path):
     log, state = tmp_path / "log.jsonl", str(tmp_path / "state")
     log.write_text('{"seq": 1, "ok": true, "provider": "openai", "model": "o3", "time": "2024-01-02T00:00:00", "response": "abcdefgh"}\nbroken\n{"seq": 2, "ok": tr')
