@@ -186,10 +186,6 @@ def register(spark, config: MaskConfig | None = None) -> None:
     def mask_text(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else kernel.mask(t, config)[0])
 
-    @pandas_udf("string")
-    def unmask_text(text: pd.Series, mapping: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else kernel.unmask(t, dict(m or {})) for t, m in zip(text, mapping, strict=True)], dtype=object)
-
     @pandas_udf("boolean")
     def is_accepted(label: pd.Series, value: pd.Series) -> pd.Series:
         return pd.Series([accepted(a or "", b or "") for a, b in zip(label, value, strict=True)])
@@ -201,6 +197,10 @@ def register(spark, config: MaskConfig | None = None) -> None:
                 yield str(id), s.start, s.end, s.value, s.label, s.rule_id, p
 
     spark.udf.register("mask_text", mask_text)
-    spark.udf.register("unmask_text", unmask_text)
+    # as ``unmask``, in the plan of the query that calls it
+    spark.sql(
+        "create or replace temporary function unmask_text(text string, mapping map<string,string>) returns string return "
+        "aggregate(array_sort(map_entries(coalesce(mapping, map())), (a, b) -> length(b.key) - length(a.key)), text, (acc, e) -> replace(acc, e.key, e.value))"
+    )
     spark.udf.register("is_accepted", is_accepted)
     spark.udtf.register("detect_spans", DetectSpans)

@@ -4,12 +4,17 @@ State is four tables: ``entities (placeholder, label, n, value, first_seen,
 last_seen)``, ``incidents (incident_id, time, verdict, severity)``, ``bridge
 (placeholder, incident_id, ord)`` and ``counters (label, n)``. Every operator
 takes and returns tables; counters only ever grow.
+
+On disk a vault is a row of versions: a whole one, then what each save changed,
+upserts and tombstones by key, merged when it is read. A version belongs to the
+one who creates its claim first, so two savers never write one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +28,11 @@ class Vault:
     incidents: DataFrame
     bridge: DataFrame
     counters: DataFrame
+    version: int | None = None  # that it was loaded from
+
+
+class Conflict(RuntimeError):
+    """Another one has saved, or is saving, since the vault was loaded."""
 
 
 def empty(spark: SparkSession) -> Vault:
@@ -57,7 +67,7 @@ def record(vault: Vault, seen: DataFrame) -> tuple[Vault, DataFrame]:
     new = by.join(vault.entities, "placeholder", "left_anti").groupBy(F.col("by_").alias("incident_id")).agg(F.count(F.lit(1)).alias("n_new"))
     links = seen.groupBy("placeholder", "incident_id").agg(F.min("ord").alias("ord")).join(vault.bridge, ["placeholder", "incident_id"], "left_anti")
     counters = vault.counters.unionByName(seen.select("label", "n")).groupBy("label").agg(F.max("n").alias("n"))
-    return Vault(entities, vault.incidents.unionByName(fresh), vault.bridge.unionByName(links), counters), new
+    return Vault(entities, vault.incidents.unionByName(fresh), vault.bridge.unionByName(links), counters, vault.version), new
 
 
 def set_verdicts(vault: Vault, verdicts: DataFrame) -> Vault:
@@ -124,41 +134,113 @@ def used(mapping: DataFrame, texts: DataFrame) -> DataFrame:
 def clear(vault: Vault) -> Vault:
     """No entities and no incidents; numbers stay retired, as counters stay."""
     none = empty(vault.entities.sparkSession)
-    return replace(none, counters=vault.counters)
+    return replace(none, counters=vault.counters, version=vault.version)
 
 
-TABLES = ("entities", "incidents", "bridge", "counters")
+#: Each table's key.
+TABLES = {"entities": ["placeholder"], "incidents": ["incident_id"], "bridge": ["placeholder", "incident_id"], "counters": ["label"]}
+SAVED = "version long, base long"
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the saves under ``path`` that were finished, by their marks."""
+def _saved(spark: SparkSession, path: str) -> dict[int, int | None]:
+    """The saves under ``path`` that were finished, by their marks: the version that each changes, or none where it is whole."""
     try:
-        return sorted(r["version"] for r in spark.read.schema("version long").parquet(f"{path}/saved").collect())  # a row for each save that was not cleaned up
+        return {r["version"]: r["base"] for r in spark.read.schema(SAVED).parquet(f"{path}/saved").collect()}  # a row for each save that was not cleaned up
     except AnalysisException:  # nothing was saved yet
-        return []
+        return {}
+
+
+def _claim(spark: SparkSession, path: str, version: int) -> None:
+    """Creates the claim of a version, which can be done once."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claims/{version}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target.getParent())
+    try:
+        system.create(target, False).close()
+    except Py4JJavaError as e:
+        raise Conflict(f"Version {version} of {path} is being saved by another.") from e
+
+
+def _released(spark: SparkSession, path: str, version: int) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claims/{version}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, False)
 
 
-def save(vault: Vault, path: str, key: str | None = None) -> None:
-    """A new version of the four tables under ``path``; with a key (16, 24 or 32 bytes) values are encrypted.
+def _tables(vault: Vault) -> dict[str, DataFrame]:
+    return {name: getattr(vault, name) for name in TABLES}
 
-    The tables go to a folder of their own and are marked when all are
-    written, so a vault that was loaded from ``path`` can be saved there, and a
-    save that fails leaves the last one as it was.
+
+def _changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``new`` that ``old`` hasn't just so, and keys that only ``old`` has (``gone``)."""
+    changed = new.join(old, [new[c].eqNullSafe(old[c]) for c in new.columns], "left_anti").withColumn("gone", F.lit(False))
+    lost = old.join(new, [old[c].eqNullSafe(new[c]) for c in key], "left_anti")
+    return changed.unionByName(lost.withColumn("gone", F.lit(True)))
+
+
+def save(vault: Vault, path: str, key: str | None = None, whole: bool = False) -> Vault:
+    """Saves a new version under ``path`` and returns the vault as of it; with a key (16, 24 or 32 bytes) values are encrypted.
+
+    A vault that was loaded from there writes what has changed since, any other
+    one, and with ``whole``, all of it; then what is read is one version again.
+    ``Conflict`` where another one has saved since it was loaded, or is saving
+    now. A version is marked when all its tables are written, so a save that
+    fails leaves the last one as it was. Where its process died, its claim stays,
+    and from ``STALE_MS`` on the next save takes the version after it.
     """
-    spark = vault.entities.sparkSession
-    rows = vault.entities if key is None else vault.entities.withColumn("value", F.base64(F.aes_encrypt("value", F.lit(key))))
-    version = max(_versions(spark, path), default=0) + 1
-    for name, table in zip(TABLES, (rows, vault.incidents, vault.bridge, vault.counters), strict=True):
-        table.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/saved")
+    spark, found = vault.entities.sparkSession, _saved(vault.entities.sparkSession, path)
+    last, base = max(found, default=None), None if whole else vault.version
+    if vault.version is not None and vault.version != last:
+        raise Conflict(f"{path} has version {last}; this vault comes from {vault.version}.")
+    version = max([last or 0, *_claimed(spark, path, last)]) + 1
+    _claim(spark, path, version)
+    try:
+        before = _tables(load(spark, path, key, base)) if base is not None else None
+        for name, table in _tables(vault).items():
+            rows = table if before is None else _changes(before[name], table, TABLES[name])
+            if key is not None and name == "entities":
+                rows = rows.withColumn("value", F.base64(F.aes_encrypt("value", F.lit(key))))
+            rows.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+    except BaseException:
+        _released(spark, path, version)
+        raise
+    spark.createDataFrame([(version, base)], SAVED).coalesce(1).write.mode("append").parquet(f"{path}/saved")
+    return load(spark, path, key, version)
+
+
+def _claimed(spark: SparkSession, path: str, last: int | None) -> list[int]:
+    """Versions after the last one whose save was given up: claimed more than ``STALE_MS`` ago."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claims")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    now = int(spark._jvm.java.lang.System.currentTimeMillis())
+    each = [(int(f.getPath().getName()), f.getModificationTime()) for f in system.listStatus(folder) if f.getPath().getName().isdigit()]
+    return [v for v, at in each if v > (last or 0) and now - at > STALE_MS]
+
+
+STALE_MS = 6 * 3_600_000
 
 
 def load(spark: SparkSession, path: str, key: str | None = None, version: int | None = None) -> Vault:
-    """The last version that was finished, or the one asked for."""
-    found = _versions(spark, path)
-    if not found:
-        raise FileNotFoundError(f"no vault is saved under {path}")
-    entities, *rest = (spark.read.parquet(f"{path}/version={version or found[-1]}/{n}") for n in TABLES)
-    if key is not None:
-        entities = entities.withColumn("value", F.aes_decrypt(F.unbase64("value"), F.lit(key)).cast("string"))
-    return Vault(entities, *rest)
+    """The last version that was finished, or the one asked for: the whole one before it, with the changes since."""
+    found = _saved(spark, path)
+    version = version or max(found, default=0)
+    if version not in found:
+        raise FileNotFoundError(f"no vault is saved under {path}" if not found else f"{path} has no version {version}")
+    chain = [version]
+    while found[chain[-1]] is not None:
+        chain.append(found[chain[-1]])
+    tables = {}
+    for name, keys in TABLES.items():
+        parts = [spark.read.parquet(f"{path}/version={v}/{name}").withColumn("of", F.lit(v)) for v in chain]
+        columns = [c for c in parts[-1].columns if c != "of"]
+        if len(parts) > 1:
+            all_ = parts[-1].withColumn("gone", F.lit(False))
+            for part in parts[:-1]:
+                all_ = all_.unionByName(part)
+            newest = all_.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys], "gone"), "of").alias("row"))
+            table = newest.where("not row.gone").select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in columns])
+        else:
+            table = parts[0].drop("of")
+        tables[name] = table.withColumn("value", F.aes_decrypt(F.unbase64("value"), F.lit(key)).cast("string")) if key is not None and name == "entities" else table
+    return Vault(**tables, version=version)
