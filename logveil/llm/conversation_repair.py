@@ -455,3 +455,54 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     longs = [F.coalesce(F.col(f"f.{c}"), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     empty = hashlib.sha256(b"").hexdigest()
     return both.select("i.conv_id", *longs, F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
+
+
+#: The same by a table of the cheapest edits for each state, row after row; the first two steps are CRC-32.
+OP13_SQL = r"""
+with recursive codes as (
+    select [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) for n in range(256)] as t
+), kinds as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        xor(list_reduce(list_prepend(4294967295::bigint, [ascii(c)::bigint for c in string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '')]),
+            lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 as kind
+    from conversations, codes
+), damaged as (
+    select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+        case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from (select *, unnest(case when kind = 3 then [1, 2] else [1] end) as copy from kinds where kind <> 0)
+), ordered as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged
+), judged as (
+    select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+        when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+        when regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+        role[1] as own, lag(role[1]) over (partition by conv_id order by i) as before
+    from ordered
+), counted as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+        count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || own not in ('su', 'ua', 'au')) as illegal, count(*) as n
+    from judged group by conv_id
+), inserts(state, k, after_, cost_, audit_, text_) as (values
+    ('', 0, '', 0, '', ''), ('s', 0, 's', 0, '', ''), ('u', 0, 'u', 0, '', ''), ('a', 0, 'a', 0, '', ''),
+    ('', 1, 'u', 2, 'I', chr(10) || 'user:'), ('s', 1, 'u', 2, 'I', chr(10) || 'user:'), ('a', 1, 'u', 2, 'I', chr(10) || 'user:'), ('u', 1, 'a', 2, 'I', chr(10) || 'assistant:'),
+    ('', 2, 'a', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 2, 'a', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), edits as (
+    select conv_id, i, state, 'D' as edit, 3 as cost, state as to_, '' as text from judged, (select distinct state from inserts) union all
+    select conv_id, i, state, 'R', 2 + (fault = 'truncated')::int, case when state = 'u' then 'a' else 'u' end, chr(10) || case when state = 'u' then 'assistant:' else 'user:' end || text
+    from judged, (select distinct state from inserts) where fault not in ('blank', 'duplicate') union all
+    select conv_id, i, state, 'K', (fault = 'truncated')::int, own, chr(10) || role || ':' || text
+    from judged, (select distinct state from inserts) where fault not in ('blank', 'duplicate') and state || own in ('s', 'u', 'su', 'ua', 'au') and own <> ''
+), walked as (
+    select conv_id, 0::bigint as i, '' as state, {'cost': 0::bigint, 'audit': '', 'text': ''} as best from counted
+    union all
+    select w.conv_id, w.i + 1, e.to_, min({'cost': w.best.cost + x.cost_ + e.cost, 'audit': w.best.audit || x.audit_ || e.edit, 'text': w.best.text || x.text_ || e.text})
+    from walked w join inserts x on x.state = w.state join edits e on e.conv_id is not distinct from w.conv_id and e.i = w.i + 1 and e.state = x.after_
+    group by w.conv_id, w.i + 1, e.to_
+), ended as (
+    select conv_id, min({'cost': w.best.cost + x.cost_, 'audit': w.best.audit || x.audit_, 'text': w.best.text || x.text_}) as best
+    from walked w join inserts x on x.state = w.state and x.after_ in ('', 'a') join counted c using (conv_id) where w.i = c.n group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    coalesce(e.best.cost, 0) as cost, coalesce(e.best.audit, '') as audit, sha256(coalesce(e.best.text[2:], '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counted c on c.conv_id is not distinct from o.conv_id left join ended e on e.conv_id is not distinct from o.conv_id
+"""

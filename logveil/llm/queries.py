@@ -1,7 +1,7 @@
 """Queries of this folder's operators and the SQL that checks them."""
 
 from .byte_bpe import op6_byte_bpe
-from .conversation_repair import op13_conversation_repair
+from .conversation_repair import OP13_SQL, op13_conversation_repair
 from .decontaminate import op5_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .hard_negatives import OP11_SQL, op11_hard_negatives
@@ -30,4 +30,4 @@ QUERIES = {
     "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op11_hard_negatives": OP11_SQL, "op13_conversation_repair": OP13_SQL}
