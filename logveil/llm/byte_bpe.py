@@ -148,10 +148,13 @@ class Cache(dict):
         return ids
 
 
+CACHE = 1_000_000  # pieces that a worker keeps merged
+
+
 class ByteBPE:
     """``ranks_path``: a file of lines ``base64-token rank``."""
 
-    def __init__(self, ranks_path: str, cache: int = 250_000):
+    def __init__(self, ranks_path: str, cache: int = CACHE):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.vocab: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
@@ -257,12 +260,12 @@ class ByteBPE:
 
 
 @lru_cache(2)
-def coder(ranks_path: str) -> ByteBPE:
-    return ByteBPE(ranks_path)
+def coder(ranks_path: str, cache: int = CACHE) -> ByteBPE:
+    return ByteBPE(ranks_path, cache)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
-    """``<id_col>, ids array<int>, offsets array<int>`` of every row: the tokens and the byte of the text at which each begins (not without ``offsets``).
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True, cache: int = CACHE) -> DataFrame:
+    """``<id_col>, ids array<int>, offsets array<int>`` of every row: the tokens and the byte of the text at which each begins (not without ``offsets``). A worker keeps ``cache`` pieces merged at most.
 
     Null and empty texts have no ids. Bytes that aren't UTF-8 count as U+FFFD,
     offsets too. Repeated rows stay repeated; extra columns are ignored; an
@@ -270,7 +273,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(ranks_path)
+        bpe = coder(ranks_path, cache)
         for batch in batches:
             texts, keys = utf8(batch.column(1)), batch.column(0)
             for a, b in chunks(texts):
