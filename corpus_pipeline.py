@@ -70,7 +70,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of the byte-level BPE for every row; null and empty texts have no ids."""
     import public_tokenizers
 
-    coded = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), offsets=False)
+    # workers still hold what earlier stages needed, so this one keeps less
+    coded = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), offsets=False, cache=250_000)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
