@@ -19,8 +19,15 @@ to parts by the three bytes nearest to the symbol. A part sums the grams of all
 chunks, holds every context of three and more bytes that ends in its own, and
 gives each chunk back the log probability of its grams. Contexts of fewer than
 three bytes span parts; their table has at most 2 ** 24 entries at any size and
-is sent to all. Token counts for the smoothed word baseline travel the same
-way, by the token's 64-bit hash.
+is sent to all. Where three bytes are crowded (``CROWD`` bytes of text stand
+behind them), their own context is sent to all as well and their grams are
+dealt by four bytes, and so on. A context is crowded only where it has at least
+a share of 2 ** -17 of all text, so there are at most 2 ** 17 on a level. Token
+counts for the smoothed word baseline travel the same way, by the token's
+64-bit hash.
+
+A text longer than a chunk is cut behind a token; each piece knows the bytes
+before it, and the pieces' sums are added up at the end.
 """
 
 from __future__ import annotations
@@ -39,30 +46,54 @@ ORDER = 6  # bytes of context; seven bytes of context and symbol leave one of 64
 TOP = 2  # contexts up to here are sent to all parts
 CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 50_000
 PART_BYTES = 16 << 20  # text whose grams make a part
+CROWD = 64 << 20  # bytes behind one context, from which on it is dealt by one byte more
 END, GAP = 10, 32
 HALF = 0.5  # what method D takes off every count
+ID, FLAGS, SIZE, SPACES, BEFORE, WHOLE = range(6)  # what is known of each text of a chunk
+TRAINED, HAS_ID, GOES_ON = 1, 2, 4
+_FOLDED, _BLANK = _FOLD.tobytes(), _SPACE.tobytes()
+_NOTHING = int.from_bytes(bytes([END] * ORDER))  # the bytes before a text, nearest in the lowest byte
 
 
 def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' lower-cased tokens, each with a space after it, and an end; and the bytes of each text."""
-    raw = _FOLD[np.frombuffer(b"".join(t + b" \n" for t in texts), np.uint8)]
+    joined = bytearray(b" \n").join([*texts, b""]).translate(_FOLDED)
     ends = np.cumsum([len(t) + 2 for t in texts], dtype=np.int64) - 1
-    space = _SPACE[raw]
+    space = np.frombuffer(joined.translate(_BLANK), bool)
+    raw = np.frombuffer(joined, np.uint8)
     keep = ~space
     keep[1:] |= ~space[:-1]
     keep[ends] = True
     raw[space] = GAP
     raw[ends] = END
-    size = np.add.reduceat(keep, np.append(0, ends[:-1] + 1), dtype=np.int64)
-    return raw[keep], size
+    return raw[keep], _numbers(keep, ends + 1)
 
 
-def grams(raw: np.ndarray, size: np.ndarray, order: int) -> np.ndarray:
+def _numbers(mask: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many are true up to each of ``ends`` since the one before."""
+    return np.array([np.count_nonzero(mask[a:b]) for a, b in zip((0, *ends), ends, strict=False)], np.int64)
+
+
+def cut(raw: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces of about ``limit`` bytes of one text start, each behind a token, and the ``ORDER`` bytes before each as a number."""
+    gaps = np.flatnonzero(raw[:-2] == GAP) + 1
+    wanted = np.arange(limit, len(raw) - 1, limit)
+    at = np.searchsorted(gaps, wanted)
+    starts = np.unique(np.append(0, gaps[at[at < len(gaps)]]))
+    before = [_NOTHING, *(int.from_bytes(raw[: a][-ORDER:].tobytes().rjust(ORDER, bytes([END]))) for a in starts[1:].tolist())]
+    return starts, np.array(before, np.int64)
+
+
+def grams(raw: np.ndarray, size: np.ndarray, order: int, before: np.ndarray | None = None) -> np.ndarray:
     """For every byte a number: the ``order`` bytes before it, nearest first, and itself in the lowest byte."""
     owner = np.repeat(np.arange(1, len(size) + 1, dtype=np.int32), size)
     place = np.arange(len(raw)) + order * owner
     padded = np.full(len(raw) + order * len(size), END, np.uint64)
     padded[place] = raw
+    inner = np.flatnonzero(before != _NOTHING) if before is not None else ()
+    for i in inner:
+        first = int(size[:i].sum()) + order * int(i)
+        padded[first : first + order] = [int(before[i]) >> 8 * (order - 1 - k) & 255 for k in range(order)]
     key = padded.copy()
     for k in range(1, order + 1):
         key[k:] |= padded[:-k] << np.uint64(8 * (order + 1 - k))
@@ -129,9 +160,10 @@ def _escape(count: np.ndarray, total: np.ndarray, kinds: np.ndarray, tail: np.nd
 
 
 class Top:
-    """Contexts of at most ``TOP`` bytes: the grams of ``TOP`` + 1 bytes and how many longer contexts met each."""
+    """Contexts that are sent to all: those of at most ``TOP`` bytes, from the grams of ``TOP`` + 1 bytes and how many longer contexts met each, and the crowded ones of each number of bytes from there on (``crowds``, with their grams and numbers in ``longer``)."""
 
-    def __init__(self, gram: np.ndarray, count: np.ndarray):
+    def __init__(self, gram: np.ndarray, count: np.ndarray, crowds: list[np.ndarray] = (), longer: list[tuple[np.ndarray, np.ndarray]] = ()):
+        self.crowds = list(crowds)
         by = np.argsort(gram)
         self.gram, self.count = [gram[by].astype(np.uint64)], [count[by].astype(np.int64)]
         for _ in range(TOP):
@@ -139,8 +171,12 @@ class Top:
             at = _starts(key)
             self.gram.insert(0, key[at])
             self.count.insert(0, np.diff(np.append(at, len(key))))
+        for gram, count in longer:
+            by = np.argsort(gram)
+            self.gram.append(gram[by].astype(np.uint64))
+            self.count.append(count[by].astype(np.int64))
         self.context, self.total, self.kinds, self.below = [], [], [], []
-        for k in range(TOP + 1):
+        for k in range(len(self.gram)):
             context = self.gram[k] >> np.uint64(8)
             at = _starts(context)
             add = (lambda v, at=at: np.add.reduceat(v, at)) if len(at) else (lambda v: np.zeros(0, np.int64))
@@ -149,34 +185,52 @@ class Top:
             self.kinds.append(np.diff(np.append(at, len(context))))
             self.below.append(add(_found(self.gram[k - 1], self.count[k - 1], _shorter(self.gram[k]))) if k else np.zeros(len(at), np.int64))
 
-    def state(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of grams of ``TOP`` + 1 bytes: count, total and kinds of the context, and log10 of the symbol after an escape from it."""
+    def state(self, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of grams of ``depth`` + 1 bytes: count, total and kinds of the context, and log10 of the symbol after an escape from it."""
         keys = [key]
-        for _ in range(TOP):
+        for _ in range(depth):
             keys.insert(0, _shorter(keys[0]))
         used = int(self.kinds[0][0]) if len(self.kinds[0]) else 0
         tail = np.full(len(key), -np.log10(max(256 - used, 1)))
-        for k in range(TOP):
+        for k in range(depth):
             count, total, kinds = self._at(k, keys[k])
             above, context = k + 1, keys[k + 1] >> np.uint64(8)
             tail = _escape(count, total - _found(self.context[above], self.below[above], context), kinds - _found(self.context[above], self.kinds[above], context), tail)
-        return *self._at(TOP, key), tail
+        return *self._at(depth, key), tail
 
     def _at(self, k: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         context = key >> np.uint64(8)
         return _found(self.gram[k], self.count[k], key), _found(self.context[k], self.total[k], context), _found(self.context[k], self.kinds[k], context)
 
 
+def depths(gram: np.ndarray, order: int, crowds: list[np.ndarray]) -> np.ndarray:
+    """How many bytes of the context of each gram are sent to all: ``TOP``, and one more for each crowded context it ends in."""
+    depth = np.full(len(gram), TOP, np.uint8)
+    for k, crowd in enumerate(crowds, TOP + 1):
+        inner = np.flatnonzero(depth == k - 1)
+        depth[inner[np.isin(gram[inner] >> np.uint64(8 * (order + 1 - k)), crowd)]] = k
+    return depth
+
+
 def log10_of(gram: np.ndarray, count: np.ndarray, order: int, top: Top) -> np.ndarray:
-    """log10 probability of the last byte of each of the sorted distinct grams, of which each context of more than ``TOP`` bytes is there whole or not at all."""
+    """log10 probability of the last byte of each of the sorted distinct grams, of which each context that isn't sent to all is there whole or not at all."""
+    depth = depths(gram, order, top.crowds)
+    out = np.empty(len(gram))
+    for d in np.unique(depth).tolist():
+        at = np.flatnonzero(depth == d)
+        out[at] = _log10_below(gram[at], count[at], order, top, d)
+    return out
+
+
+def _log10_below(gram: np.ndarray, count: np.ndarray, order: int, top: Top, depth: int) -> np.ndarray:
     key, counts, up = [gram], [count], []
-    for _ in range(order - TOP):
+    for _ in range(order - depth):
         shorter, back = np.unique(_shorter(key[0]), return_inverse=True)
         key.insert(0, shorter)
         up.insert(0, back)
         counts.insert(0, np.bincount(back, counts[0] > 0, len(shorter)).astype(np.int64))
-    count, total, kinds, tail = top.state(key[0])
-    for k in range(1, order - TOP + 1):
+    count, total, kinds, tail = top.state(key[0], depth)
+    for k in range(1, order - depth + 1):
         back = up[k - 1]
         context = key[k] >> np.uint64(8)
         at = _starts(context)
@@ -193,20 +247,21 @@ def log10_of(gram: np.ndarray, count: np.ndarray, order: int, top: Top) -> np.nd
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """``chunk, heads, text, size, tokens, ends`` of ``docs (id, trained, text)``: canonical texts one after another, packed; for each its id, flags, bytes and tokens."""
+    """``chunk, heads, text, size, tokens, ends`` of ``docs (id, trained, text)``: canonical texts (and pieces of those longer than a chunk) one after another, packed; for each its id, flags, bytes, tokens, the bytes before it, and for a piece a number of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         kept: list[tuple[np.ndarray, np.ndarray]] = []
-        held = rows = made = 0
+        held = rows = made = texts = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, rows, made
             head = np.concatenate([h for h, _ in kept])
             text = np.concatenate([t for _, t in kept])
-            trained = head[:, 1] % 2 == 1
+            trained = _trained(head)
             kept.clear()
-            row = [(part << 24) | made, head.tobytes(), pack(text), len(text), int(head[trained, 3].sum()), int(trained.sum())]
+            ends = trained & (head[:, FLAGS] & GOES_ON == 0)
+            row = [(part << 24) | made, head.tobytes(), pack(text), len(text), int(head[trained, SPACES].sum()), int(ends.sum())]
             held, rows, made = 0, 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["chunk", "heads", "text", "size", "tokens", "ends"])
 
@@ -215,9 +270,28 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 piece = batch.slice(i, 200)
                 text, size = canonical(utf8(piece.column(2)))
                 ids, flags = piece.column(0), piece.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                spaces = np.add.reduceat(text == GAP, np.cumsum(size) - size, dtype=np.int64)
-                kept.append((np.stack([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False) * 2 + flags, size, spaces], axis=1).astype(np.int64), text))
-                held, rows = held + len(text), rows + len(size)
+                flags += ids.is_valid().to_numpy(zero_copy_only=False) * HAS_ID
+                plain = np.broadcast_to(np.array([_NOTHING, -1], np.int64), (len(size), 2))
+                head = np.column_stack([ids.fill_null(0).to_numpy(), flags, size, _numbers(text == GAP, np.cumsum(size)), plain])
+                bounds = np.append(0, np.cumsum(size))
+                done = 0
+                for j in np.flatnonzero(size > CHUNK_BYTES).tolist():  # a text of its own pieces, and what stands before it
+                    if j > done:
+                        kept.append((head[done:j], text[bounds[done] : bounds[j]]))
+                    if kept:
+                        yield flush()
+                    long = text[bounds[j] : bounds[j + 1]]
+                    starts, before = cut(long, CHUNK_BYTES)
+                    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(long)], strict=True)):
+                        one = head[j : j + 1].copy()
+                        one[0, [SIZE, SPACES, BEFORE, WHOLE]] = b - a, np.count_nonzero(long[a:b] == GAP), before[k], (part << 32) | texts
+                        one[0, FLAGS] |= GOES_ON * (b < len(long))
+                        kept.append((one, long[a:b]))
+                        yield flush()
+                    texts, done = texts + 1, j + 1
+                if done < len(size):
+                    kept.append((head[done:], text[bounds[done] :]))
+                    held, rows = held + len(kept[-1][1]), rows + len(kept[-1][0])
                 if held >= CHUNK_BYTES or rows >= CHUNK_ROWS:
                     yield flush()
         if kept:
@@ -227,16 +301,21 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
 
 def _opened(heads: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(heads, np.int64).reshape(-1, 4), unpack(text, "u1")
+    return np.frombuffer(heads, np.int64).reshape(-1, 6), unpack(text, "u1")
+
+
+def _trained(head: np.ndarray) -> np.ndarray:
+    return head[:, FLAGS] & TRAINED == TRAINED
 
 
 class Dealt:
     """The distinct grams and token hashes of a chunk in the order of the parts they go to."""
 
-    def __init__(self, head: np.ndarray, raw: np.ndarray, order: int, parts: int):
-        size, trained = head[:, 2], head[:, 1] % 2 == 1
-        self.gram, self.gram_n = distinct(grams(raw, size, order), np.repeat(trained, size))
-        nearest = self.gram >> np.uint64(8 * (order - TOP))
+    def __init__(self, head: np.ndarray, raw: np.ndarray, order: int, parts: int, crowds: list[np.ndarray]):
+        size, trained = head[:, SIZE], _trained(head)
+        self.gram, self.gram_n = distinct(grams(raw, size, order, head[:, BEFORE]), np.repeat(trained, size))
+        depth = depths(self.gram, order, crowds).astype(np.uint64)
+        nearest = (self.gram >> (np.uint64(8) * (np.uint64(order) - depth))) | (depth - np.uint64(TOP) << np.uint64(60))
         self.gram_order, self.gram_cut = self._deal(mix(nearest), parts)
         value, owner = tokens(raw, size)
         by = np.argsort(value)
@@ -252,14 +331,14 @@ class Dealt:
         return np.argsort(part, kind="stable"), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
 
 
-def deal(chunks: DataFrame, order: int, parts: int) -> DataFrame:
+def deal(chunks: DataFrame, order: int, parts: int, crowds: list[np.ndarray]) -> DataFrame:
     """``part, chunk, gram, gram_n, word, word_n``: packed distinct grams and token hashes of a chunk with their counts in training texts."""
     names = ["part", "chunk", "gram", "gram_n", "word", "word_n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, heads, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-                d = Dealt(*_opened(heads.as_py(), text.as_py()), order, parts)
+                d = Dealt(*_opened(heads.as_py(), text.as_py()), order, parts, crowds)
                 rows = []
                 for p in range(parts):
                     g = d.gram_order[d.gram_cut[p] : d.gram_cut[p + 1]]
@@ -305,13 +384,13 @@ def judge(dealt: DataFrame, order: int, sent) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(run, "chunk long, part long, scores binary, counts binary")
 
 
-def _document_scores(raw: np.ndarray, size: np.ndarray, gram: np.ndarray, score: np.ndarray, order: int) -> np.ndarray:
+def _document_scores(raw: np.ndarray, size: np.ndarray, before: np.ndarray, gram: np.ndarray, score: np.ndarray, order: int) -> np.ndarray:
     """Sums of the scores of each text's grams, 256 texts at once: a gram's free byte holds the text."""
     out = np.zeros(len(size))
     bounds = np.append(0, np.cumsum(size))
     for a in range(0, len(size), 256):
         own = size[a : a + 256]
-        key = grams(raw[bounds[a] : bounds[a + len(own)]], own, order) << np.uint64(8)
+        key = grams(raw[bounds[a] : bounds[a + len(own)]], own, order, before[a : a + len(own)]) << np.uint64(8)
         key |= np.repeat(np.arange(len(own), dtype=np.uint64), own)
         key.sort()
         at = _starts(key)
@@ -322,19 +401,19 @@ def _document_scores(raw: np.ndarray, size: np.ndarray, gram: np.ndarray, score:
     return out
 
 
-def gather(chunks: DataFrame, judged: DataFrame, order: int, parts: int, end_n: int) -> DataFrame:
-    """``id, trained, n_tokens, n_known, logs, score`` of each text, and rows without tokens that hold distinct trained tokens in ``n_known``."""
-    schema = pa.schema([("id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+def gather(chunks: DataFrame, judged: DataFrame, order: int, parts: int, end_n: int, crowds: list[np.ndarray]) -> DataFrame:
+    """``id, trained, n_tokens, n_known, logs, score, whole`` of each text or piece (null, but for pieces the number of their text), and rows without tokens that hold distinct trained tokens in ``n_known``."""
+    schema = pa.schema([("id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("whole", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
         counts = [unpack(b.as_py(), "i8") for b in right.column("counts")]
         if not left.num_rows:
             kinds = int(sum(c[0] for c in counts))
-            return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, 0, kinds, 0.0, 0.0), schema, strict=True)], schema=schema)
+            return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, 0, kinds, 0.0, 0.0, None), schema, strict=True)], schema=schema)
         head, raw = _opened(left.column("heads")[0].as_py(), left.column("text")[0].as_py())
-        n, size = len(head), head[:, 2]
-        d = Dealt(head, raw, order, parts)
+        n, size, closed = len(head), head[:, SIZE], head[:, FLAGS] & GOES_ON == 0
+        d = Dealt(head, raw, order, parts, crowds)
         score = np.empty(len(d.gram), np.float32)
         score[d.gram_order] = np.concatenate([unpack(b.as_py(), "f4") for b in right.column("scores")])
         found = np.empty(len(d.word), np.int64)
@@ -344,30 +423,34 @@ def gather(chunks: DataFrame, judged: DataFrame, order: int, parts: int, end_n:
             return np.bincount(d.owner, np.repeat(value, d.times), n)
 
         result = [
-            pa.array(head[:, 0], mask=head[:, 1] < 2),
-            pa.array(head[:, 1] % 2 == 1),
-            pa.array(head[:, 3] + 1),
-            pa.array(total((found > 0).astype(np.float64)).astype(np.int64) + (end_n > 0)),
-            pa.array(total(np.log10(found + 0.1)) + np.log10(end_n + 0.1)),
-            pa.array(_document_scores(raw, size, d.gram, score, order)),
+            pa.array(head[:, ID], mask=head[:, FLAGS] & HAS_ID == 0),
+            pa.array(_trained(head)),
+            pa.array(head[:, SPACES] + closed),
+            pa.array(total((found > 0).astype(np.float64)).astype(np.int64) + (closed & (end_n > 0))),
+            pa.array(total(np.log10(found + 0.1)) + closed * np.log10(end_n + 0.1)),
+            pa.array(_document_scores(raw, size, head[:, BEFORE], d.gram, score, order)),
+            pa.array(head[:, WHOLE], mask=head[:, WHOLE] < 0),
         ]
         give_back()
         return pa.Table.from_arrays(result, schema=schema)
 
     left = chunks.select("chunk", "heads", "text")
-    return left.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(run, "id long, trained boolean, n_tokens long, n_known long, logs double, score double")
+    return left.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(run, "id long, trained boolean, n_tokens long, n_known long, logs double, score double, whole long")
 
 
-def top_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, n``: grams of ``TOP`` + 1 bytes and the number of contexts one byte longer that met each, at most 2 ** 24 rows."""
+def top_counts(chunks: DataFrame, length: int = TOP, within: np.ndarray | None = None) -> DataFrame:
+    """``gram, n``: grams of ``length`` bytes of context (of those in ``within``, where given) and a symbol, and the number of contexts one byte longer that met each; at most 256 rows a context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for heads, text in zip(batch.column(0), batch.column(1), strict=True):
                 head, raw = _opened(heads.as_py(), text.as_py())
-                trained = head[:, 1] % 2 == 1
-                raw = raw[np.repeat(trained, head[:, 2])]
-                key = np.sort(grams(raw, head[trained, 2], TOP + 1).astype(np.uint32))
+                trained = _trained(head)
+                raw = raw[np.repeat(trained, head[:, SIZE])]
+                key = grams(raw, head[trained, SIZE], length + 1, head[trained, BEFORE])
+                if within is not None:
+                    key = key[np.isin(key >> np.uint64(16), within)]
+                key = np.sort(key.astype(np.uint32 if length <= TOP else np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key[_starts(key)].astype(np.int64))], ["gram"])
         give_back()
 
@@ -376,6 +459,40 @@ def top_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
     return met.groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def crowded(chunks: DataFrame, length: int, size: int, within: np.ndarray | None) -> np.ndarray:
+    """Sorted contexts of ``length`` bytes (of which one byte less is in ``within``) that stand before half of ``CROWD`` bytes, or of 2 ** -16 of all, at least; none with the whole of it is missed.
+
+    A chunk tells only those that reach half of that share in it: what it
+    leaves out adds up to less than half of the bound.
+    """
+    bound = max(CROWD, size >> 16)
+    if size < bound:
+        return np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for heads, text in zip(batch.column(0), batch.column(1), strict=True):
+                head, raw = _opened(heads.as_py(), text.as_py())
+                key = grams(raw, head[:, SIZE], length, head[:, BEFORE]) >> np.uint64(8)
+                if within is not None:
+                    key = key[np.isin(key >> np.uint64(8), within)]
+                key = np.sort(key.astype(np.uint32 if length <= TOP + 1 else np.uint64))
+                at = _starts(key)
+                n = np.diff(np.append(at, len(key)))
+                often = n >= bound / size / 2 * len(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(key[at[often]].astype(np.int64)), pa.array(n[often])], ["context", "n"])
+        give_back()
+
+    told = chunks.select("heads", "text").mapInArrow(run, "context long, n long")
+    found = told.groupBy("context").agg(F.sum("n").alias("n")).where(F.col("n") >= bound / 2).toArrow()
+    return np.sort(found.column("context").to_numpy()).astype(np.uint64)
+
+
+def _arrays(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = counted.toArrow()
+    return got.column("gram").to_numpy(), got.column("n").to_numpy()
+
+
 def score_documents(docs: DataFrame, trained, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """``<id_col>, trained, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -384,7 +501,8 @@ def score_documents(docs: DataFrame, trained, id_col: str = "doc_id", text_col:
     ``trained`` is null, not learnt from. Repeated rows each count and are each
     returned; ties don't arise. Extra columns are ignored; an empty table gives
     an empty one. Without a row to learn from every byte has 1/256. ``order``
-    is 3 to 6. A very long text is a chunk by itself.
+    is 3 to 6. A very long text is cut to pieces of a chunk's size behind a token;
+    only a single token longer than a chunk stays whole.
     """
     if not TOP < order <= ORDER:
         raise ValueError(f"order {order} is not in {TOP + 1} to {ORDER}")
@@ -395,13 +513,24 @@ def score_documents(docs: DataFrame, trained, id_col: str = "doc_id", text_col:
     parts = max(1, -(-(facts["size"] or 0) // PART_BYTES))
     ends = facts["ends"] or 0
     total = (facts["tokens"] or 0) + ends
-    top = top_counts(chunks).toArrow()
-    sent = spark.sparkContext.broadcast(Top(top.column("gram").to_numpy(), top.column("n").to_numpy()))
-    judged = judge(deal(chunks, order, parts), order, sent)
-    out = written(gather(chunks, judged, order, parts, ends))
+    crowds: list[np.ndarray] = []
+    longer = []
+    for length in range(TOP + 1, order):
+        crowd = crowded(chunks, length, facts["size"] or 0, crowds[-1] if crowds else None)
+        if not len(crowd):
+            break
+        crowds.append(crowd)
+        longer.append(_arrays(top_counts(chunks, length, crowd)))
+    sent = spark.sparkContext.broadcast(Top(*_arrays(top_counts(chunks)), crowds, longer))
+    judged = judge(deal(chunks, order, parts, crowds), order, sent)
+    out = written(gather(chunks, judged, order, parts, ends, crowds))
     kinds = (out.where("n_tokens = 0").agg(F.sum("n_known")).first()[0] or 0) + (ends > 0)
     base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + 0.1 * (kinds + 1))))
-    return out.where("n_tokens > 0").select(F.col("id").alias(id_col), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    texts = out.where("n_tokens > 0")
+    numbers = ("n_tokens", "n_known", "logs", "score")
+    joined = texts.where("whole is not null").groupBy("whole").agg(F.first("id").alias("id"), F.first("trained").alias("trained"), *(F.sum(c).alias(c) for c in numbers))
+    texts = texts.where("whole is null").drop("whole").unionByName(joined.drop("whole"))
+    return texts.select(F.col("id").alias(id_col), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,9 +125,15 @@ def spelled(text):
 FOLD = bytes(ord(chr(k).lower()) if 65 <= k < 91 else 32 if 9 <= k < 14 else k for k in range(256))
 
 
-def test_ppm_score_equals_brute_force(spark, small, texts, monkeypatch):
-    monkeypatch.setattr(ppm, "PART_BYTES", 100_000)  # more than one part and chunk
-    monkeypatch.setattr(ppm, "CHUNK_BYTES", 150_000)
+@pytest.mark.parametrize(("chunk", "crowd"), [(150_000, ppm.CROWD), (5_000, 4_000)])
+def test_ppm_score_equals_brute_force(spark, small, texts, monkeypatch, chunk, crowd):
+    """In more than one part and chunk; then with texts cut to pieces, and crowded contexts of three, four and five bytes."""
+    monkeypatch.setattr(ppm, "PART_BYTES", 100_000)
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(ppm, "CROWD", crowd)
+    levels = []
+    monkeypatch.setattr(ppm, "crowded", lambda *a, find=ppm.crowded: levels.append(find(*a)) or levels[-1])
+    assert chunk > 100_000 or max(map(len, texts.values())) > 3 * chunk
     got = {r.doc_id: r.score for r in queries.QUERIES["op1_ppm"](spark, small).collect()}
     lines = {k: spelled(t) for k, t in texts.items()}
     distribution = functools.cache(brute_ppm([t for k, t in lines.items() if zlib.crc32(str(k).encode()) % 10], ppm.ORDER))
@@ -136,6 +142,30 @@ def test_ppm_score_equals_brute_force(spark, small, texts, monkeypatch):
         q = b"\n" * ppm.ORDER + t
         want = sum(math.log10(distribution(q[i : i + ppm.ORDER])[q[i + ppm.ORDER]]) for i in range(len(t)))
         assert got[k] == pytest.approx(want, rel=1e-6)
+    assert sum(len(v) > 0 for v in levels) == (3 if crowd < 5_000 else 0)
+
+
+def test_ppm_cuts_long_texts_behind_tokens():
+    raw, size = ppm.canonical([b"aB  c\t" * 50, b"x" * 90])
+    starts, before = ppm.cut(raw[: size[0]], 40)
+    assert size.tolist() == [251, 92] and len(starts) == 7 and all(raw[a - 1] == ppm.GAP for a in starts[1:])
+    assert ppm.cut(raw[size[0] :], 40)[0].tolist() == [0]  # one token
+    pieces = [ppm.grams(raw[a:b], np.array([b - a]), 6, before[k : k + 1]) for k, (a, b) in enumerate(zip(starts, [*starts[1:], size[0]], strict=True))]
+    assert np.concatenate(pieces).tolist() == ppm.grams(raw[: size[0]], size[:1], 6).tolist()
+
+
+def test_ppm_of_a_long_text_is_that_of_its_pieces_together(spark, monkeypatch):
+    """A text of 20 MB beside others: pieces of a chunk's size, one row, and the same score as in one chunk."""
+    long = "".join(f"line {i % 977} of {i} words\n" for i in range(900_000))
+    rows = spark.createDataFrame([(0, "before it"), (1, long), (2, "line 5 of 5 words"), (None, None)], "doc_id long, text string").coalesce(1)
+    sizes = [r["size"] for r in ppm.chunk_table(rows.selectExpr("doc_id id", "true trained", "text")).select("size").collect()]
+    assert len(sizes) > 4 and max(sizes) <= ppm.CHUNK_BYTES + 100
+    got = ppm.score_documents(rows, F.lit(True)).orderBy("doc_id").collect()
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 1 << 30)
+    one = ppm.score_documents(rows, F.lit(True)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == [None, 0, 1, 2] and got[2].n_tokens == 5 * 900_000 + 1
+    for a, b in zip(got, one, strict=True):
+        assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score, rel=1e-6)
 
 
 def test_ppm_depends_on_word_order(spark):
