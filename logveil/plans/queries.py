@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.accept import veto_column
-from ..operators import claims, lab, leaks, ledger, masking, network, providers, structural, templates, vault, vaulting, verdicts
+from ..operators import claims, lab, layout, leaks, ledger, masking, network, providers, structural, templates, vault, vaulting, verdicts
 from ..operators.kernel import MaskConfig
 from ..rules import registry
 from ..rules import values as V
@@ -402,6 +402,40 @@ def mask_csv_export(spark, sf_dir):
     return masking.mask(docs.select("doc_id", text.alias("text"))).select("doc_id", "masked")
 
 
+@query(
+    "export_lines",
+    """with rows as (select c_custkey as k, length(c_custkey::varchar) as w, length(c_nationkey::varchar) as v from customer),
+placed as (select k, w, 21 + coalesce(sum(3 * w + v + 13) over (order by k rows between unbounded preceding and 1 preceding), 0) as place from rows)
+select k + 1 as line_no, 'export' as shape, (place + w + 1)::bigint as start, (place + 2 * w + 7)::bigint as "end", 'USER' as label from placed
+union all select k + 1, 'export', (place + 2 * w + 8)::bigint, (place + 3 * w + 11)::bigint, 'HOST' from placed""",
+)
+def export_lines(spark, sf_dir):
+    """All customers as lines of one export: where its sensitive cells lie, without the text in one place."""
+    key = F.col("c_custkey").cast("string")
+    row = F.concat_ws(",", key, F.concat(F.lit("person"), key), F.concat(F.lit("box"), key), F.col("c_nationkey").cast("string"))
+    lines = _table(spark, sf_dir, "customer").select(F.lit(0).alias("doc_id"), (F.col("c_custkey") + 1).alias("line_no"), row.alias("line"))
+    head = spark.range(1).select(F.lit(0), F.col("id"), F.lit("id,user,device,count"))
+    return layout.spans(lines.union(head)).drop("doc_id")
+
+
+@query(
+    "table_lines",
+    """with rows as (select c_mktsegment as segment, c_custkey as k, length(c_custkey::varchar) as w, length(c_nationkey::varchar) as v from customer),
+placed as (select segment, k, w, 86 + coalesce(sum(37 + v) over (partition by segment order by k rows between unbounded preceding and 1 preceding), 0) as place from rows)
+select segment, k + 2 as line_no, 'table' as shape, place::bigint as start, (place + w + 1)::bigint as "end", 'USER' as label from placed
+union all select segment, k + 2, 'table', (place + 20)::bigint, (place + 23 + w)::bigint, 'HOST' from placed""",
+)
+def table_lines(spark, sf_dir):
+    """The customers of each segment as lines of a printed table: where the cells under sensitive names lie."""
+    key = F.col("c_custkey").cast("string")
+    customers = _table(spark, sf_dir, "customer")
+    row = F.concat(F.rpad(F.concat(F.lit("u"), key), 20, " "), F.rpad(F.concat(F.lit("box"), key), 16, " "), F.col("c_nationkey").cast("string"))
+    lines = customers.select("c_mktsegment", (F.col("c_custkey") + 2).alias("line_no"), row.alias("line"))
+    top = F.array(F.lit(f"{'SamAccountName':20}{'HostName':16}Number"), F.lit(f"{'-' * 18}  {'-' * 14}  {'-' * 6}"))
+    heads = customers.select("c_mktsegment").distinct().select("c_mktsegment", F.posexplode(top))
+    return layout.spans(lines.union(heads), "c_mktsegment").withColumnRenamed("c_mktsegment", "segment")
+
+
 @query(
     "structural_shapes",
     """select s_suppkey as id, 'Get-ADUser -Identity ''[USER_2]'' -Server [HOST_3],[HOST_2]' || chr(10) || 'Name          Enabled DNSHostName' || chr(10) || '----          ------- -----------' || chr(10)
