@@ -132,11 +132,13 @@ def spans(lines: DataFrame, id_col: str = "doc_id", line_col: str = "line_no", t
     its own. No lines give no rows; other columns are ignored. The spans are
     those of ``structural.delimited`` and ``structural.tables``.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = lines.select(
-        F.struct(F.col(id_col).alias("id"), F.expr(f"`{line_col}` div {block}").alias("block")).alias("key"),
-        F.col(line_col).alias("n"), F.regexp_replace(text, r"\r+\z", "").alias("line"), (F.length(text) + 1).cast("long").alias("size"),
-    ).repartition("key")
+    key = F.struct(F.col(id_col).alias("id"), F.expr(f"`{line_col}` div {block}").alias("block"))
+    texts = lines.select(key.alias("key"), F.col(line_col).alias("n"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ended = F.regexp_replace("text", r"\r+\z", "").alias("line")
+    size = (F.length("text") + 1).cast("long").alias("size")
+    rows = texts.select("key", "n", ended, size)
+    # dealt with the columns that all readers need, so that one shuffle serves them
+    dealt = texts.repartition("key").select("key", "n", ended, size)
     earlier = Window.partitionBy("key.id").orderBy("key.block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("key.id")
 
@@ -153,7 +155,7 @@ def spans(lines: DataFrame, id_col: str = "doc_id", line_col: str = "line_no", t
 
     inner = Window.partitionBy("key").orderBy("n")
     ruled = F.col("line").rlike(java(V.PS_RULER))
-    placed = rows.join(facts, "key").select(
+    placed = dealt.join(facts.hint("merge"), "key").select(
         "key", "n", "line", "delimiter", "labels", "head_n",
         (F.col("before") + F.coalesce(F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("place"),
         F.coalesce(F.lag("line").over(inner), F.col("line_before"), F.lit("")).alias("above"), ruled.alias("ruled"),
@@ -165,7 +167,7 @@ def spans(lines: DataFrame, id_col: str = "doc_id", line_col: str = "line_no", t
     kept = placed.where("begun is not null").groupBy("key").agg(F.max_by("begun", "n").alias("left"))
     carried = blocks.select("key").join(kept, "key", "left").select("key", F.last("left", ignorenulls=True).over(earlier).alias("carried"))
     columns = F.when(~F.col("ruled"), F.coalesce(F.last("begun", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried")))
-    known = placed.join(carried, "key").withColumn("columns", columns)
+    known = placed.join(carried.hint("merge"), "key").withColumn("columns", columns)
 
     line = F.col("line")
     in_table = F.when(F.size("columns") > 0, _table_cells(line, F.col("columns")))
