@@ -45,6 +45,7 @@ WORDS = 5
 CROWD = 1000  # members of a region at most, and of a slice of equal labels
 WEIGHT = 250_000  # shingles of a group that confirms links
 SENT = 500_000  # rows of the list of needed texts that may be broadcast
+WIDE = 25_000  # rows with signatures in one file of few tasks
 SAMPLED, LEVELS = 4, (2, 8, 32, 128)  # so many of one in SAMPLED representatives have a shingle of a level
 CELLS = 24  # bits of a hash that tell a shingle's level
 LIST = 32  # representatives with one shingle of whom each pair is a row
@@ -163,14 +164,14 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         "b",
         F.when(F.col("slices").isNotNull(), F.xxhash64("hub", F.pmod(F.xxhash64("b"), F.col("slices")))).otherwise(F.pmod(F.xxhash64("hub"), F.lit(groups))).alias("group"),
     )
-    dealt = written(dealt)
+    dealt = written(dealt, links)
     need = dealt.toDF("a", "b", "in_group").select(F.col("in_group").alias("group"), F.explode(F.array("a", "b")).alias("rep")).distinct()
     n = 2 * links  # at most
     if n <= SENT:
         texts = docs.join(F.broadcast(need), "rep").select("group", "rep", "text")
     else:  # a first member may be needed by many groups
-        need = written(need)
-        wanted = written(need.groupBy("rep").agg(F.count(F.lit(1)).alias("times")))
+        need = written(need, n)
+        wanted = written(need.groupBy("rep").agg(F.count(F.lit(1)).alias("times")), n)
         often = F.broadcast(wanted.where(F.col("times") > most_rows(n)).select("rep"))
         texts = need.join(F.broadcast(docs.join(often, "rep")), "rep").unionByName(need.join(often, "rep", "left_anti").join(docs, "rep")).select("group", "rep", "text")
 
@@ -316,24 +317,27 @@ def completed(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     # so many that reading the texts again takes less than keeping them
     first = prefixes(docs, percent, common_shingles(docs))
     shared = written(first.groupBy("shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("shingle"))
-    met = written(first.join(F.broadcast(shared) if shared.count() <= SENT else shared, "shingle").join(reps, "rep"))
+    most = shared.count()
+    met = written(first.join(F.broadcast(shared) if most <= SENT else shared, "shingle").join(reps, "rep"))
     lists = met.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members"), F.min("rep").alias("hub")).where("least < most").drop("most")
-    lists = written(lists)
+    lists = written(lists, most)
+    two = F.col("members") * (F.col("members") - 1) / 2
+    most, long = lists.agg(F.sum(F.when(F.col("members") <= LIST, two).cast("long")), F.sum(F.when(F.col("members") > LIST, F.col("members")))).first()
     short, x, y = lists.where(F.col("members") <= LIST).select("shingle", "hub"), met.alias("x"), met.alias("y")
     n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
     # what both have from their first common shingle on
     rest = F.least(n - F.col("x.at"), m - F.col("y.at"))
     pairs = short.join(x, "shingle").join(y, "shingle").where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
     pairs = pairs.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= percent * (n + m)))
-    pairs = written(pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.min("hub").alias("hub"), F.max(F.greatest(n, m)).alias("most")))
+    pairs = written(pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.min("hub").alias("hub"), F.max(F.greatest(n, m)).alias("most")), most or 0)
     links = confirmed(docs, pairs, percent)
-    met = written(met.join(lists.where(F.col("members") > LIST).select("shingle", "least"), "shingle").select("rep", "n_shingles", "component", "least").distinct())
-    if not met.take(1):
+    if not long:
         return links
+    met = written(met.join(lists.where(F.col("members") > LIST).select("shingle", "least"), "shingle").select("rep", "n_shingles", "component", "least").distinct(), long)
     bundles = components(met.select(F.col("component").alias("a"), F.col("least").alias("b")))
     # a bundle holds whole components, but of them only members that share a prefix with another one
-    members = written(met.select("rep", "n_shingles", "component").distinct().join(bundles.select(F.col("node").alias("component"), F.col("component").alias("bundle")), "component"))
-    sizes = written(members.groupBy("bundle").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")))
+    members = written(met.select("rep", "n_shingles", "component").distinct().join(bundles.select(F.col("node").alias("component"), F.col("component").alias("bundle")), "component"), long)
+    sizes = written(members.groupBy("bundle").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")), long)
     groups = max(1, -(-(sizes.agg(F.sum("weight")).first()[0] or 0) // BUNDLE))
     all_ = by_key(members, sizes, ["bundle"], "members")
     yes = F.lit(True)
@@ -381,23 +385,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     rows = docs.select(F.col(key_col).cast("long").alias("row"), id_, text) if key_col else numbered(docs.select(id_, text), "row")
     sketches = written(sketch(rows))
     some = sketches.where("n_shingles > 0")
+    total = some.count()
     named_by = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    groups = written(some.groupBy("print").agg(F.min("row").alias("rep"), F.min_by("n_shingles", "row").alias("n_shingles"), F.min_by("sig", "row").alias("sig"), F.min(named_by).alias("first"), F.count(F.lit(1)).alias("rows")))
-    pairs = written(candidates(groups.select("rep", "n_shingles", "sig")).where(F.col("fewest") * 100 >= F.col("most") * percent).drop("fewest"))
+    groups = written(some.groupBy("print").agg(F.min("row").alias("rep"), F.min_by("n_shingles", "row").alias("n_shingles"), F.min_by("sig", "row").alias("sig"), F.min(named_by).alias("first"), F.count(F.lit(1)).alias("rows")), total, WIDE)
+    pairs = written(candidates(groups.select("rep", "n_shingles", "sig")).where(F.col("fewest") * 100 >= F.col("most") * percent).drop("fewest"), 2 * TREES * total)
     texts = rows.select(F.col("row").alias("rep"), "text")
     links = written(confirmed(texts, pairs, percent))
-    named = written(components(links))
-    reps = written(groups.join(named, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
-    others = written(some.select(F.col("row").alias("rep")).join(reps, "rep", "left_anti"))
+    named = written(components(links), total)
+    reps = written(groups.join(named, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("component")), total)
+    others = written(some.select(F.col("row").alias("rep")).join(reps, "rep", "left_anti"), total)
     others = F.broadcast(others) if others.count() <= SENT else others
     more = written(completed(texts.join(others, "rep", "left_anti"), reps, percent))
     if more.take(1):
-        named = written(components(links.unionByName(more)))
-    linked = written(groups.join(named, F.col("rep") == F.col("node")).select("print", "first", "component"))
-    whole = written(linked.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("prints")))
+        named = written(components(links.unionByName(more)), total)
+    linked = written(groups.join(named, F.col("rep") == F.col("node")).select("print", "first", "component"), total)
+    whole = written(linked.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("prints")), linked.count())
     least = by_key(linked.select("print", "component"), whole, ["component"], "prints").select("print", "least")
-    known = written(groups.select("print", "rows", "first").join(least, "print", "left").select("print", "rows", F.coalesce("least", "first").alias("first")))
-    out = by_key(written(some.select("row", "id", "n_shingles", "print")), known, ["print"], "rows").select("row", "id", "n_shingles", "first")
+    known = written(groups.select("print", "rows", "first").join(least, "print", "left").select("print", "rows", F.coalesce("least", "first").alias("first")), total)
+    out = by_key(some.select("row", "id", "n_shingles", "print"), known, ["print"], "rows", total).select("row", "id", "n_shingles", "first")
     out = out.unionByName(sketches.where("n_shingles = 0").select("row", "id", "n_shingles", named_by.alias("first")))
     component = F.col("first.id")
     columns = [F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("id")) & F.col("id").isNotNull()).alias("kept")]

@@ -1,6 +1,7 @@
 import base64
 import collections
 import functools
+import glob
 import hashlib
 import math
 import os
@@ -757,6 +758,32 @@ def test_rows_that_repeat_an_id_keep_their_links(spark):
     assert [r.doc_id for r in near_dedup.near_duplicates(rows, key_col="row").where("stays").collect()] == [1, 1]
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, what is known to be small is written by few tasks."""
+    folders, fresh = [], common.shared_dir
+    monkeypatch.setattr(common, "shared_dir", lambda s: folders.append(fresh(s)) or folders[-1])
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = common.written(spark.createDataFrame([(k, k + 1) for k in range(100) if k % 10], "a long, b long"))
+        folders.clear()
+        got = {(r.node, r.component) for r in components(path).collect()}
+        assert got == {(k, k - (k - 1) % 10) for k in range(1, 101)}
+        files = [len(glob.glob(f"{f}/part-*.parquet")) for f in folders]
+        assert len(files) > 4 and max(files) == 1
+        folders.clear()
+        base = [f"w{k}" for k in range(60)]
+        docs = [(k, " ".join(base[: 30 + k % 20] + [f"u{k // 20}_{i}" for i in range(40)])) for k in range(300)]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 85).collect()}
+        assert got == brute_near(dict(docs), 85)
+        files = [len(glob.glob(f"{f}/part-*.parquet")) for f in folders]
+        assert sum(n > 4 for n in files) <= 1  # the list of shared shingles, whose size nothing tells before
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_near_duplicate_edges(edges, nothing):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(edges).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (5, 1, 5, True), (6, 1, 6, True), (7, 1, 7, True), (None, 1, None, False)} <= got
