@@ -1,7 +1,10 @@
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
 from logveil.operators import lab, leaks, masking, templates
+from logveil.rules import registry
 
 
 @pytest.mark.parametrize(
@@ -27,6 +30,31 @@ def test_proposals_mask_the_value():
     assert lab.suggest("user=pkim", "pkim")["proposals"] == []
 
 
+def test_one_process_tries_many_patterns(monkeypatch):
+    started = []
+
+    class Counted(subprocess.Popen):
+        def __init__(self, *args, **more):
+            started.append(args)
+            super().__init__(*args, **more)
+
+    monkeypatch.setattr(subprocess, "Popen", Counted)
+    for n in range(20):
+        assert [p["kind"] for p in lab.suggest(f"2024 assetTag=RR{n} seen", f"RR{n}")["proposals"]] == ["extend_builtin", "new_pattern", "literal"]
+    assert len(started) <= 1
+    for bad in ("(b+)+$", "(c+)+$"):
+        with pytest.raises(ValueError, match="backtracks"):
+            registry.validate(bad)
+        assert registry.validate(f"{bad[1]}+") == f"{bad[1]}+"  # after one that was killed
+    assert len(started) <= 3
+
+
+def test_proposals_of_many_rows(spark):
+    rows = [(k, f"2024 assetTag=QQ{k % 3} seen" if k % 5 else None, f"QQ{k % 3}") for k in range(40)]
+    got = lab.suggested(spark.createDataFrame(rows, "doc_id long, sample string, value string")).collect()
+    assert sorted((r.doc_id, r.place, r.kind, r.regex) for r in got) == [(k, n, p["kind"], p["regex"]) for k, s, v in rows if s for n, p in enumerate(lab.suggest(s, v)["proposals"], 1)]
+
+
 def test_tried_patterns():
     got = lab.try_regex("Q1 Q2 user=pkim", r"Q\d")
     assert [m["value"] for m in got["matches"]] == ["Q1", "Q2"] and got["newly_masked"] == ["Q1", "Q2"]
