@@ -20,6 +20,19 @@ from logveil.rules import registry
 )
 def test_ladder(sample, value, enabled, verdict):
     assert lab.diagnose(sample, value, enabled)["verdict"] == verdict
+    brief = lab.diagnose(sample, value, enabled, brief=True)
+    assert [brief.get(k) for k in ("verdict", "label", "occurrences")] == [lab.diagnose(sample, value, enabled).get(k) for k in ("verdict", "label", "occurrences")]
+
+
+def test_diagnoses_are_dealt_to_all_cores(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet").select("event_id", F.concat(F.lit("thing QQ"), "event_id").alias("sample"), F.concat(F.lit("QQ"), "event_id").alias("value"))
+    told = lab.diagnosed(events, id_col="event_id")
+    assert told.select(F.spark_partition_id().alias("task")).distinct().count() == spark.sparkContext.defaultParallelism
+    assert [tuple(r) for r in told.groupBy("verdict", "label", "occurrences").count().collect()] == [("no_match", "USER", 1, 1000)]
+
+
+def test_places_of_a_value():
+    assert lab.occurrences("aaa a", "aa") == [0, 1] and lab.occurrences("a", "") == [] == lab.occurrences("a", "b")
 
 
 def test_proposals_mask_the_value():
