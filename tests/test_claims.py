@@ -52,6 +52,18 @@ def test_masked_lines_are_the_kernels(spark, small):
     assert got == {r.event_id: kernel.mask(r.line)[0] for r in lines.collect()}
 
 
+def test_lines_of_large_numbers(spark):
+    """Numbers of five digits and more: some lines are no longer values of their rule, whatever the shape was made for."""
+    lines = [line.replace("{n}", n).replace("{u}", f"user{n}").replace("{h}", "SRV-9").replace("{ip}", "10.1.2.3").replace("{x}", "0a" * 16) for n in ("12130", "43812", "871116439") for line in rendered.LINES.values()]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, line string")
+    assert {r.doc_id: r.masked for r in claims.mask(frame, text_col="line").collect()} == {k: kernel.mask(t)[0] for k, t in enumerate(lines)}
+    with pytest.raises(ValueError):
+        ipaddress.ip_address("fe80::1:12130")  # five digits in a group
+    assert kernel.mask("addr fe80::1:12130 up")[0] == "addr fe80::1:12130 up" and kernel.mask("addr fe80::1:2130 up")[0] == "addr [IPV6_1] up"
+    # thirteen digits whose last one checks are a card, and cards come before telephones
+    assert kernel.mask("call +49 30 124381256 now")[0] == "call +[CC_1]now" and kernel.mask("call +49 30 124381356 now")[0] == "call [PHONE_1] now"
+
+
 def test_claims_of_touching_intervals(spark):
     rng = random.Random(7)
     rows = [(k % 5, rng.randrange(4), a, a + rng.randrange(1, 12), "v") for k in range(400) for a in [rng.randrange(300)]]
